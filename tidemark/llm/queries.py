@@ -1,7 +1,9 @@
 """The queries of the numbered operators, and their SQL where SQL can express them."""
 
+from .decontamination import OP3_SQL, op3_decontamination
+from .jpeg import op2_media
 from .mixing import op9_mixing
 from .token_files import op5_token_files
 
-QUERIES = {f.__name__: f for f in (op5_token_files, op9_mixing)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_media, op3_decontamination, op5_token_files, op9_mixing)}
+ORACLE_SQL: dict[str, str] = {"op3_decontamination": OP3_SQL}

@@ -19,7 +19,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_dir, table, written
+from .common import Words, as_bytes, grouped, new_dir, table, written
 
 #: Stands for a null doc_id in the files.
 NO_ID = -(2**63)
@@ -32,14 +32,93 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def _encoder(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_file(path)
-    t.no_padding()
-    t.no_truncation()
-    return t
+#: Encoded pieces that a worker keeps, and bytes of text that it encodes at once.
+KEPT_PIECES, ENCODE_BYTES = 3 << 20, 6_000_000
+#: Bytes that begin white space outside ASCII in UTF-8: no cut before a space that one of them follows.
+_SPACE_LEAD = np.isin(np.arange(256), [0xC2, 0xE1, 0xE2, 0xE3])
+_LETTER = np.isin(np.arange(256), [*range(65, 91), *range(97, 123)])
+#: ASCII marks but the apostrophe, which begins contractions: always a piece of their own after a letter.
+_MARK = np.isin(np.arange(256), [x for x in range(33, 127) if not chr(x).isalnum() and x != 39])
+
+
+class Encoder:
+    """Whole texts to ids by the tokenizers library. Byte-level BPE never merges over a space before a visible character,
+    nor from a letter to a mark, so texts are cut there and each distinct piece is encoded once in a worker. Pieces are told apart by 64-bit hashes
+    and lengths, among those of one worker only."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.lib = Tokenizer.from_file(path)
+        self.lib.no_padding()
+        self.lib.no_truncation()
+        self.line = self._ids("\n")[0]
+        self.size = self.lib.get_vocab_size(with_added_tokens=True)
+        self._forget()
+
+    def _forget(self):
+        self.known, self.flat, self.at, self.n = np.empty(0, np.uint64), np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def _ids(self, text: str) -> list[int]:
+        return self.lib.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def _learn(self, hashes: np.ndarray, pieces: list[bytes]) -> None:
+        """Encodes pieces; those without other white space many at a time, with line ends between."""
+        ids: list = [None] * len(pieces)
+        plain = [i for i, p in enumerate(pieces) if p and p[1:].isalpha() and p[:1] in b" abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"]
+        for lo in range(0, len(plain), 2000):
+            part = plain[lo : lo + 2000]
+            got = np.array(self._ids("\n".join(pieces[i].decode() for i in part)), np.uint32)
+            ends = np.flatnonzero(got == self.line)
+            for i, x in zip(part, np.split(got, ends), strict=True):
+                ids[i] = x[1:] if i != part[0] else x
+        other = [i for i, x in enumerate(ids) if x is None]
+        for lo in range(0, len(other), 1000):
+            part = other[lo : lo + 1000]
+            for i, e in zip(part, self.lib.encode_batch_fast([pieces[i].decode("utf-8", "surrogatepass") for i in part], add_special_tokens=False), strict=True):
+                ids[i] = np.array(e.ids, np.uint32)
+        n = np.fromiter(map(len, ids), np.int64, len(ids))
+        at = np.cumsum(n) - n + len(self.flat)
+        self.flat = np.concatenate([self.flat, *ids])
+        order = np.argsort(known := np.concatenate([self.known, hashes]))
+        self.known, self.at, self.n = known[order], np.concatenate([self.at, at])[order], np.concatenate([self.n, n])[order]
+
+    def encode(self, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each with the end id, and how many each has."""
+        w = Words.__new__(Words)
+        w.buf = buf = np.frombuffer(b"".join(texts), np.uint8)
+        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+        begin = np.cumsum(lengths) - lengths
+        cut = np.zeros(len(buf) + 1, bool)
+        cut[: len(buf) - 1] = (buf[:-1] == 32) & (buf[1:] > 32) & (buf[1:] != 127) & ~_SPACE_LEAD[buf[1:]]
+        cut[1 : len(buf)] |= _LETTER[buf[:-1]] & _MARK[buf[1:]]
+        cut[begin[lengths > 0]] = True
+        w.starts = np.flatnonzero(cut)
+        w.ends = np.append(w.starts[1:], len(buf)) if len(w.starts) else w.starts
+        doc = np.searchsorted(begin[lengths > 0], w.starts, side="right") - 1
+        h, first, which = np.unique(w.hashes(), return_index=True, return_inverse=True)
+        if len(self.known) + len(h) > KEPT_PIECES:
+            self._forget()
+        place = np.searchsorted(self.known, h)
+        new = np.ones(len(h), bool)
+        inside = place < len(self.known)
+        new[inside] = self.known[place[inside]] != h[inside]
+        if new.any():
+            whole = buf.tobytes()
+            self._learn(h[new], [whole[a:z] for a, z in zip(w.starts[first[new]].tolist(), w.ends[first[new]].tolist(), strict=True)])
+            place = np.searchsorted(self.known, h)
+        n, at = self.n[place][which], self.at[place][which]
+        total = np.zeros(len(texts), np.int64)
+        if len(doc):
+            total[lengths > 0] = np.bincount(doc, n, int((lengths > 0).sum())).astype(np.int64)
+        # each piece's ids follow those of the pieces before it, and one end id for each text before
+        text_of = np.flatnonzero(lengths > 0)[doc] if len(doc) else doc
+        to = np.cumsum(n) - n + text_of
+        out = np.full(int(total.sum()) + len(texts), end_id, np.uint32)
+        step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        out[np.repeat(to, n) + step] = self.flat[np.repeat(at, n) + step]
+        return out, total + 1
 
 
 def _put(fs, path: str, data: np.ndarray) -> None:
@@ -61,17 +140,18 @@ def write_token_files(docs: DataFrame, out_dir: str, tokenizer: str, end_id: int
     shard again under another name; only names in the manifest count."""
 
     def shard(batches):
-        enc, toks, ids, lens, width = _encoder(tokenizer), [], [], [], 4
-        width = 2 if max(enc.get_vocab_size(with_added_tokens=True), end_id + 1) <= 1 << 16 else 4
+        enc, toks, ids, lens = Encoder(tokenizer), [], [], []
+        width = 2 if max(enc.size, end_id + 1) <= 1 << 16 else 4
         for b in batches:
-            texts = b["text"].tolist()
-            for i in range(0, len(texts), 256):
-                for e in enc.encode_batch_fast(texts[i : i + 256], add_special_tokens=False):
-                    toks.append(np.array([*e.ids, end_id], f"<u{width}"))
+            texts = as_bytes(b["text"])
+            for lo, hi in grouped(texts, ENCODE_BYTES):
+                got, n = enc.encode(texts[lo:hi], end_id)
+                toks.append(got.astype(f"<u{width}"))
+                lens.append(n)
             ids.append(b["doc_id"].to_numpy(np.int64))
         if not ids:
             return
-        lens = np.fromiter(map(len, toks), np.int64, len(toks))
+        lens = np.concatenate(lens)
         stem = f"{out_dir}/shard-{uuid.uuid4().hex}"
         fs, path = pafs.FileSystem.from_uri(stem)
         fs.create_dir(os.path.dirname(path), recursive=True)
