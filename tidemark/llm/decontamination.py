@@ -1,9 +1,9 @@
 """Benchmark decontamination (operator 3), with DataFrame functions only.
 
-A positional inverted index over the words of all documents holds (term, document, position) with the words around the
-position. A test window is looked up from its rarest terms: their posting lists, each moved back by the term's offset in
-the window, are intersected, and what remains is compared word by word with the words that ride with the rarest term.
-Terms that no window looks up are never asked for, so their lists are not written. `proximity_matches` returns documents
+A positional inverted index over the words of all documents holds (term, document, position). A test window is looked up
+from its rarest terms: their posting lists, each moved back by the term's offset in the window, are intersected, and where
+all meet the document's words are compared one by one. Terms that no window looks up are never asked for, so their lists
+are not kept. `proximity_matches` returns documents
 in which the rarest terms of an item stand close together, in any order.
 
 Defined results: a null text has no words; an item without words has no windows; rows that repeat a doc_id are each
@@ -46,31 +46,38 @@ def lookups(docs: DataFrame, windows: DataFrame, rarest: int = 3) -> DataFrame:
     return known.filter(F.col("rank") <= rarest).join(gone, ["wid", "window"], "left_anti").select("wid", "window", "offset", "term", "rank")
 
 
-def index(docs: DataFrame, asked: DataFrame, around: int) -> DataFrame:
-    """Postings of the asked terms in docs(doc_id, text): term, doc_id, text_key, pos, and, where term is a first (rarest) one, the words from pos - around on."""
-    tokens = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), words(F.col("text")).alias("w"))
-    at = tokens.select("doc_id", "text_key", "w", F.posexplode("w").alias("pos", "term"))
-    ride = F.when(F.col("is_first"), F.slice("w", F.greatest(F.col("pos") - around, F.lit(0)) + 1, F.least(F.col("pos"), F.lit(around)) + around + 1))
-    return at.join(asked, "term").select("term", "doc_id", "text_key", "pos", ride.alias("near"))
+def index(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """Postings of the asked terms in docs(doc_id, text): term, doc_id, text_key, pos."""
+    at = docs.select("doc_id", text_key(), F.posexplode(words(F.col("text"))).alias("pos", "term"))
+    return at.join(asked, "term")
+
+
+def text_key() -> Column:
+    """With doc_id it names a row; rows alike in both get the same results."""
+    return F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key")
+
+
+def same_row(rows: DataFrame, part: DataFrame, how: str) -> DataFrame:
+    """rows joined to part by doc_id (null too) and text_key."""
+    part = part.withColumnsRenamed({"doc_id": "_d", "text_key": "_t"})
+    return rows.join(part, rows["doc_id"].eqNullSafe(part["_d"]) & (rows["text_key"] == part["_t"]), how).drop("_d", "_t")
 
 
 def phrase_matches(docs: DataFrame, windows: DataFrame, n: int = 10, rarest: int = 3) -> DataFrame:
     """doc_id, text_key, start, window: every occurrence of a window in a document, exactly."""
     look = written(lookups(docs, windows, rarest), "lookups")
-    asked = look.groupBy("term").agg((F.min("rank") == 1).alias("is_first"))
-    postings = written(index(docs, asked, n - 1), "postings")
-    # how many lists a window has, and each list moved back by its offset
+    postings = index(docs, look.select("term").distinct())
+    # each list moved back by its offset in the window: where all of a window's lists meet, it may start
     lists = look.groupBy("wid").agg(F.count("*").alias("lists"))
-    moved = postings.join(look.select("term", "wid", "offset", "rank"), "term").withColumn("start", F.col("pos") - F.col("offset")).filter("start >= 0")
-    both = moved.groupBy("wid", "doc_id", "text_key", "start").agg(
-        F.count("*").alias("found"), F.max(F.when(F.col("rank") == 1, F.struct("pos", "offset", "near"))).alias("seed")
-    )
-    both = both.filter("seed IS NOT NULL").join(lists, "wid").filter("found >= lists")
-    first = look.filter("rank = 1").select("wid", "window")
-    # the seed's words begin at pos - (n - 1), or at 0
-    skip = F.col("start") - F.greatest(F.col("seed.pos") - (n - 1), F.lit(0))
-    exact = F.slice("seed.near", skip + 1, F.size("window")) == F.col("window")
-    return both.join(first, "wid").filter(exact).select("doc_id", "text_key", "start", "window")
+    moved = postings.join(look.select("term", "wid", "offset"), "term").withColumn("start", F.col("pos") - F.col("offset")).filter("start >= 0")
+    met = moved.groupBy("wid", "doc_id", "text_key", "start").agg(F.count("*").alias("found")).join(lists, "wid").filter("found >= lists")
+    sizes = look.select("wid", F.size("window").alias("size")).distinct()
+    places = met.join(sizes, "wid").groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "wid", "size")).alias("places"))
+    # the words there, compared one by one
+    rows = docs.select("doc_id", text_key(), words(F.col("text")).alias("w"))
+    there = F.explode(F.transform("places", lambda p: F.struct(p["start"].alias("start"), p["wid"].alias("wid"), F.slice("w", p["start"] + 1, p["size"]).alias("window"))))
+    seen = same_row(rows, written(places, "places"), "inner").select("doc_id", "text_key", there.alias("m")).select("doc_id", "text_key", "m.*")
+    return seen.join(look.select("wid", "window").distinct(), ["wid", "window"]).select("doc_id", "text_key", "start", "window").distinct()
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
@@ -79,10 +86,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFra
     matches = written(phrase_matches(docs, windows, n).withColumn("size", F.size("window")), "matches")
     covered = matches.select("doc_id", "text_key", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("size") - 1)).alias("p")).groupBy("doc_id", "text_key").agg(F.count_distinct("p").alias("n_hit"))
     items = matches.select("doc_id", "text_key", "window").distinct().join(windows, "window").groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
-    rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), F.size(words(F.col("text"))).cast("long").alias("n_words"))
+    rows = docs.select("doc_id", text_key(), F.size(words(F.col("text"))).cast("long").alias("n_words"))
     for part in (covered, items):
-        p = part.withColumnsRenamed({"doc_id": "_d", "text_key": "_t"})
-        rows = rows.join(p, rows["doc_id"].eqNullSafe(p["_d"]) & (rows["text_key"] == p["_t"]), "left").drop("_d", "_t")
+        rows = same_row(rows, part, "left")
     n_hit, held = F.coalesce("n_hit", F.lit(0)), F.coalesce("items", F.array().cast("array<string>"))
     return rows.select("doc_id", "text_key", "n_words", n_hit.alias("n_hit"), F.size(held).cast("long").alias("n_items"), F.sha2(F.array_join(held, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
@@ -112,8 +118,9 @@ OP3_SQL = """
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
 i AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
 win AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[s:s + 9], ' ') AS k FROM (SELECT item_id, w, unnest(generate_series(1, greatest(len(w) - 9, 1))) AS s FROM i WHERE len(w) > 0)),
-dp AS (SELECT doc_id, w, unnest(generate_series(1, len(w))) AS s FROM d),
-m AS (SELECT dp.doc_id, dp.s, win.n, win.item_id FROM dp, (SELECT DISTINCT n FROM win) l JOIN win ON win.n = l.n AND win.k = array_to_string(dp.w[dp.s:dp.s + l.n - 1], ' ') WHERE dp.s + l.n - 1 <= len(dp.w)),
+sizes AS (SELECT DISTINCT n FROM win),
+dk AS (SELECT doc_id, n, unnest(list_transform(generate_series(1, len(w) - n + 1), lambda s: {'s': s, 'k': array_to_string(w[s:s + n - 1], ' ')})) AS x FROM d, sizes WHERE len(w) >= n),
+m AS (SELECT doc_id, x.s AS s, dk.n AS n, win.item_id AS item_id FROM dk JOIN win ON win.n = dk.n AND win.k = x.k),
 hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(s, s + n - 1)) AS p FROM m) GROUP BY 1),
 it AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM m) GROUP BY 1)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated

@@ -49,6 +49,21 @@ def lookup(counts: bytes, symbols: bytes) -> tuple[np.ndarray, np.ndarray]:
     return lengths, values
 
 
+@lru_cache(maxsize=64)
+def whole_blocks(dc: tuple[bytes, bytes], ac: tuple[bytes, bytes]) -> np.ndarray:
+    """For each 16 bits ahead that hold a whole block without other coefficients: (difference + 32768) * 32 + bits; else 0."""
+    (dc_len, dc_val), (ac_len, ac_val) = lookup(*dc), lookup(*ac)
+    peek = np.arange(1 << 16)
+    length, size = dc_len.astype(np.int64), dc_val.astype(np.int64)
+    fits = (length > 0) & (length + size < 16)
+    size = np.where(fits, size, 0)
+    extra = (peek >> (16 - length - size).clip(0)) & ((1 << size) - 1)
+    step = np.where((size > 0) & (2 * extra < 1 << size), extra - (1 << size) + 1, extra)
+    rest = (peek << (length + size)) & 0xFFFF
+    used = length + size + ac_len[rest]
+    return np.where(fits & (ac_len[rest] > 0) & (ac_val[rest] == 0) & (used <= 16), (step + 32768) * 32 + used, 0).astype(np.int32)
+
+
 @lru_cache(maxsize=1)
 def _block_codes() -> tuple[np.ndarray, np.ndarray]:
     """Bits and their number for a block whose DC differs by -255 to 255 from the one before: size, difference, end."""
@@ -203,24 +218,32 @@ def _lanes(scans: list[bytes]):
 
 
 def _decode(words: np.ndarray, bit: np.ndarray, units: np.ndarray, pattern: list, out: np.ndarray, to: np.ndarray) -> None:
-    """Decodes all lanes together, block by block. pattern: (component, DC table, AC table) of a unit's blocks, the luminance first. out[to[lane] + i] gets the i-th luminance DC of the lane."""
-    lanes, last = np.arange(len(bit)), {c: np.zeros(len(bit), np.int64) for c, _, _ in pattern}
+    """Decodes all lanes together, block by block. pattern: (component, whole blocks, DC table, AC table) of a unit's blocks, the luminance first. out[to[lane] + i] gets the i-th luminance DC of the lane."""
+    lanes, last = np.arange(len(bit)), {p[0]: np.zeros(len(bit), np.int64) for p in pattern}
     to, luma = to.copy(), pattern[0][0]
 
     def ahead(at):
-        return ((words[at >> 3] << np.uint64(32)) | words[(at >> 3) + 4]) << (at & 7).astype(np.uint64)
+        return ((words[at >> 3].astype(np.uint64) << np.uint64(32)) | words[(at >> 3) + 4]) << (at & 7).astype(np.uint64)
 
     for unit in range(int(units.max(initial=0))):
-        if (more := units[lanes] > unit).sum() < len(lanes):
+        if not (more := units[lanes] > unit).all():
             lanes = lanes[more]
-        for comp, (dc_len, dc_val), (ac_len, ac_val) in pattern:
+        for comp, quick, (dc_len, dc_val), (ac_len, ac_val) in pattern:
             at = bit[lanes]
+            peek = (words[at >> 3] >> (16 - (at & 7)).astype(np.uint32)) & np.uint32(0xFFFF)
+            if (fast := quick[peek]).all():
+                last[comp][lanes] += (fast >> 5) - 32768
+                bit[lanes] = at + (fast & 31)
+                if comp == luma:
+                    out[to[lanes]] = last[comp][lanes]
+                    to[lanes] += 1
+                continue
             w = ahead(at)
             peek = (w >> np.uint64(48)).astype(np.int64)
             length, size = dc_len[peek].astype(np.uint64), dc_val[peek].astype(np.uint64)
             extra = ((w << length) >> np.uint64(1) >> (np.uint64(63) - size)).astype(np.int64)
             low = np.int64(1) << size.astype(np.int64)
-            last[comp][lanes] += np.where(2 * extra < low, extra - low + 1, extra)
+            last[comp][lanes] += np.where((size > 0) & (2 * extra < low), extra - low + 1, extra)
             peek = ((w << (length + size)) >> np.uint64(48)).astype(np.int64)
             if comp == luma:
                 out[to[lanes]] = last[comp][lanes]
@@ -257,10 +280,11 @@ def decode_dc(streams: list[bytes]) -> list[list[tuple[Picture, np.ndarray]]]:
     thumbs: list = [None] * len(flat)
     for same in like.values():
         head = flat[same[0]]
-        pattern = [(c[0], lookup(*head.huff[head.tables[c[0]][0]]), lookup(*head.huff[16 + head.tables[c[0]][1]])) for c in head.comps for _ in range(c[1] * c[2])]
+        tables = {c[0]: (head.huff[head.tables[c[0]][0]], head.huff[16 + head.tables[c[0]][1]]) for c in head.comps}
+        pattern = [(c[0], whole_blocks(*tables[c[0]]), *(lookup(*t) for t in tables[c[0]])) for c in head.comps for _ in range(c[1] * c[2])]
         data, start, scan = _lanes([flat[i].scan for i in same])
-        b = np.concatenate([data, np.full(16, 255, np.uint8)]).astype(np.uint64)
-        words = (b[:-3] << np.uint64(24)) | (b[1:-2] << np.uint64(16)) | (b[2:-1] << np.uint64(8)) | b[3:]
+        b = np.concatenate([data, np.full(16, 255, np.uint8)]).astype(np.uint32)
+        words = (b[:-3] << np.uint32(24)) | (b[1:-2] << np.uint32(16)) | (b[2:-1] << np.uint32(8)) | b[3:]
         total = np.array([flat[i].across * flat[i].down for i in same])
         interval = np.array([flat[i].interval for i in same])
         interval = np.where(interval > 0, interval, total)

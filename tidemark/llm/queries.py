@@ -3,7 +3,8 @@
 from .decontamination import OP3_SQL, op3_decontamination
 from .jpeg import op2_media
 from .mixing import op9_mixing
+from .substrings import OP8_SQL, op8_substrings
 from .token_files import op5_token_files
 
-QUERIES = {f.__name__: f for f in (op2_media, op3_decontamination, op5_token_files, op9_mixing)}
-ORACLE_SQL: dict[str, str] = {"op3_decontamination": OP3_SQL}
+QUERIES = {f.__name__: f for f in (op2_media, op3_decontamination, op5_token_files, op8_substrings, op9_mixing)}
+ORACLE_SQL: dict[str, str] = {"op3_decontamination": OP3_SQL, "op8_substrings": OP8_SQL}

@@ -12,6 +12,7 @@ doc_id are all kept, ordered by text; an empty table gives no shards; other colu
 import os
 import uuid
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -33,7 +34,7 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
 
 
 #: Encoded pieces that a worker keeps, and bytes of text that it encodes at once.
-KEPT_PIECES, ENCODE_BYTES = 3 << 20, 6_000_000
+KEPT_PIECES, ENCODE_BYTES = 3 << 19, 3_000_000
 #: Bytes that begin white space outside ASCII in UTF-8: no cut before a space that one of them follows.
 _SPACE_LEAD = np.isin(np.arange(256), [0xC2, 0xE1, 0xE2, 0xE3])
 _LETTER = np.isin(np.arange(256), [*range(65, 91), *range(97, 123)])
@@ -41,6 +42,12 @@ _LETTER = np.isin(np.arange(256), [*range(65, 91), *range(97, 123)])
 _MARK = np.isin(np.arange(256), [x for x in range(33, 127) if not chr(x).isalnum() and x != 39])
 
 
+@lru_cache(maxsize=2)
+def encoder(path: str) -> "Encoder":
+    """The worker's own, which keeps its pieces from task to task."""
+    return Encoder(path)
+
+
 class Encoder:
     """Whole texts to ids by the tokenizers library. Byte-level BPE never merges over a space before a visible character,
     nor from a letter to a mark, so texts are cut there and each distinct piece is encoded once in a worker. Pieces are told apart by 64-bit hashes
@@ -140,7 +147,7 @@ def write_token_files(docs: DataFrame, out_dir: str, tokenizer: str, end_id: int
     shard again under another name; only names in the manifest count."""
 
     def shard(batches):
-        enc, toks, ids, lens = Encoder(tokenizer), [], [], []
+        enc, toks, ids, lens = encoder(tokenizer), [], [], []
         width = 2 if max(enc.size, end_id + 1) <= 1 << 16 else 4
         for b in batches:
             texts = as_bytes(b["text"])
