@@ -45,7 +45,7 @@ def learn_lexicon(texts: list[bytes], labels: np.ndarray, terms: int = TERMS) ->
     good = {}
     for (w, begins), (clean, toxic) in seen.items():
         a, b = len(toxic) / n1, (len(clean) + 0.5) / n0
-        if len(toxic) >= (8 if begins else 4) and a >= 8 * b:
+        if len(toxic) >= max(8 if begins else 6, 0.01 * n1) and a >= 8 * b:
             good[w, begins] = len(toxic) * np.log(a / b)
     words = {w for w, begins in good if not begins}
     # a beginning stands for at least four words; of nested ones with about the same support the longest counts
