@@ -93,6 +93,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFra
     return rows.select("doc_id", "text_key", "n_words", n_hit.alias("n_hit"), F.size(held).cast("long").alias("n_items"), F.sha2(F.array_join(held, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
+    """The rows of docs, with all their columns, that hold no window of a test item."""
+    hit = written(phrase_matches(docs, written(test_windows(benchmark, n), "windows"), n).select("doc_id", "text_key").distinct(), "hit")
+    p = hit.withColumnsRenamed({"doc_id": "_d", "text_key": "_t"})
+    return docs.join(p, docs["doc_id"].eqNullSafe(p["_d"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == p["_t"]), "left_anti")
+
+
 def proximity_matches(docs: DataFrame, benchmark: DataFrame, terms: int = 3, within: int = 20) -> DataFrame:
     """item_id, doc_id, start: places where the item's rarest terms (all that the documents hold, at most so many) stand
     within so many words, in any order; start is the bucket of `within` words in which the first of them stands."""

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import U64, Words, as_bytes, grouped, mix64, table, written
-from .packed import _split, n_buckets
+from .packed import _split, n_buckets, row_key
 
 #: A member is frequent from this share of the documents on (so at most 1 / FREQUENT times the mean set size are), and in FREQUENT_LEAST documents.
 FREQUENT, FREQUENT_LEAST = 0.001, 50
@@ -38,11 +38,11 @@ def shingle_sets(texts: list[bytes], n: int):
     at = np.flatnonzero(np.arange(len(h)) + n <= w.first[1:][w.doc[: len(h)]])
     doc, member = [w.doc[at]], [h[at]]
     for i in short.tolist():  # the whole as one
-        x = U64(int(w.count[i]))
+        x = np.array([w.count[i]], U64)
         for v in word[w.first[i] : w.first[i + 1]]:
-            x = mix64(np.array([x * U64(3) + v], U64))[0]
+            x = mix64(x * U64(3) + v)
         doc.append(np.array([i]))
-        member.append(np.array([x], U64))
+        member.append(x)
     doc, member = np.concatenate(doc), np.concatenate(member)
     order = np.lexsort((member, doc))
     doc, member = doc[order], member[order]
@@ -59,7 +59,7 @@ def class_ids(doc: np.ndarray, member: np.ndarray, size: np.ndarray) -> np.ndarr
 
 
 def describe(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles, cid for each row of docs; and for each task a row of its often-met members (many) with counts."""
+    """doc_id, row (hash of doc_id and text), n_shingles, cid for each row of docs; and for each task a row of its often-met members (many) with counts."""
 
     def one(batches):
         seen, held, docs_here = [], 0, 0
@@ -79,12 +79,12 @@ def describe(docs: DataFrame, n: int) -> DataFrame:
                 if held > 4_000_000:  # what is rare so far is let go: only the order of members depends on these counts
                     m, c = fold()
                     counted, seen, held = (m[c > 1], c[c > 1]), [], 0
-                yield pd.DataFrame({"doc_id": b["doc_id"].iloc[lo:hi].to_numpy(), "n_shingles": size, "cid": class_ids(doc, member, size).view(np.int64), "members": None, "counts": None})
+                yield pd.DataFrame({"doc_id": b["doc_id"].iloc[lo:hi].to_numpy(), "row": b["row"].iloc[lo:hi].to_numpy(), "n_shingles": size, "cid": class_ids(doc, member, size).view(np.int64), "members": None, "counts": None})
         m, c = fold()
         often = c >= max(3, FREQUENT * docs_here)
-        yield pd.DataFrame({"doc_id": [None], "n_shingles": [-1], "cid": [0], "members": [m[often].tobytes()], "counts": [c[often].tobytes()]}).astype({"doc_id": "Int64"})
+        yield pd.DataFrame({"doc_id": [None], "row": [0], "n_shingles": [-1], "cid": [0], "members": [m[often].tobytes()], "counts": [c[often].tobytes()]}).astype({"doc_id": "Int64"})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(one, "doc_id long, n_shingles long, cid long, members binary, counts binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_key().alias("row")).mapInPandas(one, "doc_id long, row long, n_shingles long, cid long, members binary, counts binary")
 
 
 def frequent_members(described: DataFrame, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
@@ -196,10 +196,10 @@ def alike_sizes(t: int, a: str = "na", b: str = "nb"):
 
 
 def jaccard_components(docs: DataFrame, n: int = 4, t: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id, cid for docs(doc_id, text); alike: 100 shared >= t in all."""
+    """doc_id, n_shingles, component_id, row, comp for docs(doc_id, text); alike: 100 shared >= t in all."""
     buckets = n_buckets(docs)
     described = written(describe(docs, n), "described")
-    rows = described.filter("n_shingles >= 0").select("doc_id", "n_shingles", "cid")
+    rows = described.filter("n_shingles >= 0").select("doc_id", "row", "n_shingles", "cid")
     frequent, counts = frequent_members(described, max(rows.count(), 1))
     lists = written(postings(docs, n, t, frequent, counts, buckets), "lists")
 
@@ -253,8 +253,18 @@ def jaccard_components(docs: DataFrame, n: int = 4, t: int = 85) -> DataFrame:
     named = per_class.join(comps.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     names = named.groupBy("comp").agg(F.min("least").alias("component_id"))
     out = rows.join(named.select("cid", "comp"), "cid").join(names, "comp")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "cid")
+    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "row", "comp")
+
+
+def keep_one(docs: DataFrame, n: int = 5, t: int = 80) -> DataFrame:
+    """The rows of docs of which each component keeps one, that of its least doc_id; rows without words all stay, but once."""
+    joined = jaccard_components(docs, n, t)
+    group = F.when(F.col("n_shingles") > 0, F.col("comp")).otherwise(F.col("row"))
+    kept = joined.groupBy(group.alias("g"), (F.col("n_shingles") > 0).alias("some")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"))
+    kept = written(kept.select(F.col("first.row").alias("_row")), "kept")
+    rows = docs.withColumn("_row", row_key())
+    return rows.join(kept, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
 
 
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(table(spark, sf_dir, "documents")).drop("cid")
+    return jaccard_components(table(spark, sf_dir, "documents")).drop("row", "comp")

@@ -199,6 +199,18 @@ def score_toxicity(docs: DataFrame, model: Toxicity) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(score, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
 
 
+def drop_toxic(docs: DataFrame, model: Toxicity, least: float = 0.7) -> DataFrame:
+    """The rows of docs, with all their columns, that score below `least`."""
+
+    def keep(batches):
+        for b in batches:
+            texts = as_bytes(b["text"])
+            parts = [model.score(texts[lo:hi]) for lo, hi in grouped(texts)]
+            yield b[np.concatenate(parts) < least] if parts else b
+
+    return docs.mapInPandas(keep, docs.schema)
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
