@@ -7,8 +7,9 @@ neighbours that share `size` bytes are the equal substrings of that size.
 A document is cut so that such a collection fits a task: every window of `size` bytes belongs to its least 20-gram (by
 hash), and windows in a row with the same one form a segment. Equal windows have equal 20-grams, so segments meet by the
 hash of theirs. Segments alike as a whole are settled by the least doc_id alone, before the shuffle and after it; segments
-that share a 20-gram but differ are cut at it into halves, meet again by the 35 or 36 bytes that a half's windows share,
-and go, bucket by bucket, into a column-wise index. Only hashes, places and these differing halves move.
+that share a 20-gram but differ are cut at it into halves, meet again by the 35 or 36 bytes that a half's windows share, are
+cut twice more there in the same way, and what still differs goes, bucket by bucket, into a column-wise index. Only hashes,
+places and the differing halves move.
 
 The index lives in memory, bucket by bucket (a bucket answers to 16 MB of text); what lies between the stages is in files
 of the shared folder, written and read in sequence.
@@ -27,17 +28,34 @@ from pyspark.sql import functions as F
 
 from .common import U64, as_bytes, grouped, mix64, powers, table, written
 from .common import _BYTE as BYTE
-from .packed import HELD, _split, n_buckets, row_key
+from .packed import _split, n_buckets, row_key
 
 SIZE, GRAM = 50, 20
 LEFT = (SIZE - GRAM) // 2
 SPANS = "bucket int, rows binary, who binary, spans binary"
 SEGMENTS = f"{SPANS}, ids binary, grams binary, whole binary"
-HALVES = f"{SPANS}, ids binary, grams binary, data binary, sizes binary"
+HALVES = f"{SPANS}, ids binary, grams binary, heads binary, data binary, sizes binary"
 NO_ID = -(2**63)
+#: Times that halves are cut again within their bucket before they are indexed.
+CUTS = 2
+#: Bytes of text at once, and segments that a task holds before it packs them.
+HALF_GROUP, HELD = 1_000_000, 500_000
 SPAN_COLUMNS = ["bucket", "rows", "who", "spans"]
 
 
+class Prefix:
+    """Hashes of any stretches of bytes."""
+
+    def __init__(self, data: np.ndarray):
+        power, self.inverse = powers(len(data) + 1)
+        self.total = np.empty(len(data) + 1, U64)
+        self.total[0] = 0
+        np.cumsum(BYTE[data] * power[: len(data)], out=self.total[1:])
+
+    def hashes(self, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        return mix64((self.total[start + size] - self.total[start]) * self.inverse[start] + size.astype(U64))
+
+
 class Columns:
     """The index of strings data[begin:end]. After build(): string and left (bytes from there to its end) of each suffix in
     order, and common (bytes shared with the suffix before, the strings' ends being all different)."""
@@ -118,10 +136,8 @@ def segments_of(texts: list[bytes], size: int = SIZE, gram: int = GRAM):
     if n < size:
         return (np.empty(0, np.int64),) * 4 + (np.empty(0, U64),) * 2
     begin = np.cumsum(lengths) - lengths
-    power, inverse = powers(n + 1)
-    total = np.empty(n + 1, U64)
-    total[0] = 0
-    np.cumsum(BYTE[buf] * power[:n], out=total[1:])
+    prefix = Prefix(buf)
+    total, inverse = prefix.total, prefix.inverse
     grams = mix64((total[gram:] - total[:-gram]) * inverse[: n - gram + 1])
     bits = U64(max(24, n.bit_length()))
     key = ((grams >> bits) << bits) | np.arange(len(grams), dtype=U64)
@@ -179,6 +195,11 @@ def by_row(rows: np.ndarray, buckets: int) -> np.ndarray:
     return (rows % U64(buckets)).astype(np.int64)
 
 
+def _span(packed: np.ndarray) -> np.ndarray:
+    """place and windows, without the gram's place between."""
+    return (packed >> U64(16)) << U64(8) | packed & U64(255)
+
+
 def find_segments(docs: DataFrame, buckets: int) -> DataFrame:
     """Packed segments of docs(id, row, text) by gram; those settled in their task by row, without grams."""
 
@@ -188,7 +209,7 @@ def find_segments(docs: DataFrame, buckets: int) -> DataFrame:
         g, w, d = grams[order], whole[order], ids[order]
         start = np.flatnonzero(np.append(True, (g[1:] != g[:-1]) | (w[1:] != w[:-1]))[: len(g)])
         gone = order[d > np.repeat(d[start], np.diff(np.append(start, len(g))))]
-        out = _pack(rows[gone], spans[gone], by_row(rows[gone], buckets), buckets)
+        out = _pack(rows[gone], _span(spans[gone]), by_row(rows[gone], buckets), buckets)
         keep = np.ones(len(rows), bool)
         keep[gone] = False
         out += _pack(rows[keep], spans[keep], _bucket(grams[keep], buckets), buckets, ids=ids[keep], grams=grams[keep], whole=whole[keep])
@@ -198,10 +219,10 @@ def find_segments(docs: DataFrame, buckets: int) -> DataFrame:
         parts, held = [], 0
         for b in batches:
             texts, rows, ids = as_bytes(b["text"]), b["row"].to_numpy(np.int64).view(U64), b["id"].to_numpy(np.int64)
-            for lo, hi in grouped(texts):
-                doc, place, windows, _, grams, whole = segments_of(texts[lo:hi])
+            for lo, hi in grouped(texts, HALF_GROUP):
+                doc, place, windows, gram_at, grams, whole = segments_of(texts[lo:hi])
                 if len(doc):
-                    parts.append((rows[lo:hi][doc], (place << 8 | windows).astype(U64), ids[lo:hi][doc], grams, whole))
+                    parts.append((rows[lo:hi][doc], (place << 16 | gram_at << 8 | windows).astype(U64), ids[lo:hi][doc], grams, whole))
                     held += len(doc)
                 if held >= HELD:
                     yield flush(parts)
@@ -220,7 +241,7 @@ def settle_segments(found: DataFrame, buckets: int) -> DataFrame:
         rows, spans, ids, grams, whole = _unpack(pdf[keyed], spans=U64, ids=np.int64, grams=U64, whole=U64)
         gone, open_ = settle(grams, whole, ids)
         done = _unpack(pdf[~keyed], spans=U64)
-        rows0, spans0 = np.concatenate([done[0], rows[gone]]), np.concatenate([done[1], spans[gone]])
+        rows0, spans0 = np.concatenate([done[0], rows[gone]]), np.concatenate([done[1], _span(spans[gone])])
         out = _pack(rows0, spans0, by_row(rows0, buckets), buckets) + _pack(rows[open_], spans[open_], by_row(rows[open_], buckets), buckets, grams=grams[open_])
         return pd.DataFrame(out, columns=[*SPAN_COLUMNS, "grams"])
 
@@ -240,33 +261,31 @@ def open_halves(docs: DataFrame, open_segments: DataFrame, buckets: int) -> Data
         some = np.flatnonzero(hi > lo)
         raw, ids = as_bytes(texts["text"].iloc[some]), texts["id"].to_numpy(np.int64)[some]
         parts = []
-        for a, z in grouped(raw):
-            doc, place, windows, gram_at, _, _ = segments_of(raw[a:z])
-            key = doc << 40 | place
-            asked = np.concatenate([np.empty(0, np.int64), *(((i << 40) | (spans[lo[k] : hi[k]] >> 8)) for i, k in enumerate(some[a:z]))])
-            pick = np.flatnonzero(np.isin(key, asked))
-            doc, place, windows, gram_at = doc[pick], place[pick], windows[pick], gram_at[pick]
+        for a, z in grouped(raw, HALF_GROUP):
+            mine = [spans[lo[k] : hi[k]] for k in some[a:z]]
+            doc, packed = np.repeat(np.arange(z - a), list(map(len, mine))), np.concatenate(mine)
+            place, gram_at, windows = packed >> 16, packed >> 8 & 255, packed & 255
             data = np.frombuffer(b"".join(raw[a:z]), np.uint8)
             sizes = np.fromiter(map(len, raw[a:z]), np.int64, z - a)
             at = (np.cumsum(sizes) - sizes)[doc] + place
-            power, inverse = powers(len(data) + 1)
-            total = np.concatenate([np.zeros(1, U64), np.cumsum(BYTE[data] * power[: len(data)])])
+            total = Prefix(data)
             # windows that begin LEFT bytes or more before the gram share those and the gram; the others the gram and LEFT + 1 after it
             n_left = np.clip(gram_at - LEFT + 1, 0, windows)
-            for first, n, head, width in ((np.zeros_like(place), n_left, gram_at - LEFT, LEFT + GRAM), (n_left, windows - n_left, gram_at, GRAM + LEFT + 1)):
+            for first, n, head, width in ((np.zeros_like(place), n_left, gram_at - LEFT, LEFT + GRAM), (n_left, windows - n_left, gram_at - n_left, GRAM + LEFT + 1)):
                 i = np.flatnonzero(n > 0)
-                h = at[i] + head[i]
-                shared = mix64((total[h + width] - total[h]) * inverse[h] + U64(width))
-                parts.append((own[some[a:z]][doc[i]], ((place + first)[i] << 8 | n[i]).astype(U64), ids[a:z][doc[i]], shared, [data[s:e].tobytes() for s, e in zip((at + first)[i].tolist(), (at + first + n + SIZE - 1)[i].tolist(), strict=True)]))
+                begin = (at + first)[i]
+                shared = total.hashes(begin + head[i], np.full(len(i), width))
+                whole = data.tobytes()
+                parts.append((own[some[a:z]][doc[i]], ((place + first)[i] << 8 | n[i]).astype(U64), ids[a:z][doc[i]], shared, (head[i] << 1 | (width > LEFT + GRAM)).astype(np.uint8), [whole[s:e] for s, e in zip(begin.tolist(), (begin + n[i] + SIZE - 1).tolist(), strict=True)]))
         if not parts:
-            return pd.DataFrame(columns=[*SPAN_COLUMNS, "ids", "grams", "data", "sizes"])
-        rows, spans, ids, grams = (np.concatenate(x) for x in list(zip(*parts, strict=True))[:4])
-        pieces = [x for p in parts for x in p[4]]
+            return pd.DataFrame(columns=[*SPAN_COLUMNS, "ids", "grams", "heads", "data", "sizes"])
+        rows, spans, ids, grams, heads = (np.concatenate(x) for x in list(zip(*parts, strict=True))[:5])
+        pieces = [x for p in parts for x in p[5]]
         out = []
         for b, i in _split(_bucket(grams, buckets), buckets):
             names, who = np.unique(rows[i], return_inverse=True)
             mine = [pieces[j] for j in i.tolist()]
-            out.append({"bucket": b, "rows": names.tobytes(), "who": who.astype(np.uint32).tobytes(), "spans": spans[i].tobytes(), "ids": ids[i].tobytes(), "grams": grams[i].tobytes(), "data": b"".join(mine), "sizes": np.fromiter(map(len, mine), np.uint8, len(mine)).tobytes()})
+            out.append({"bucket": b, "rows": names.tobytes(), "who": who.astype(np.uint32).tobytes(), "spans": spans[i].tobytes(), "ids": ids[i].tobytes(), "grams": grams[i].tobytes(), "heads": heads[i].tobytes(), "data": b"".join(mine), "sizes": np.fromiter(map(len, mine), np.uint8, len(mine)).tobytes()})
         return pd.DataFrame(out)
 
     return docs.groupBy("bucket").cogroup(open_segments.groupBy("bucket")).applyInPandas(one, HALVES)
@@ -276,21 +295,36 @@ def index_halves(halves: DataFrame, buckets: int) -> DataFrame:
     """Packed spans, by row, of the windows in the halves that a smaller id has too: by a column-wise index for each bucket."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, spans, ids, grams, data, sizes = _unpack(pdf, spans=U64, ids=np.int64, grams=U64, data=np.uint8, sizes=np.uint8)
-        stop = np.cumsum(sizes.astype(np.int64))
-        start = stop - sizes
-        power, inverse = powers(len(data) + 1)
-        total = np.concatenate([np.zeros(1, U64), np.cumsum(BYTE[data] * power[: len(data)])])
-        whole = mix64((total[stop] - total[start]) * inverse[start] + sizes.astype(U64))
-        gone, open_ = settle(grams, whole, ids)
-        got = [(rows[gone], spans[gone])]
-        # halves of one shared key stay together; an index holds about a bucket's share
-        open_ = open_[np.argsort(grams[open_], kind="stable")]
-        for lo, hi in _runs(grams[open_], sizes[open_]):
-            i = open_[lo:hi]
-            index = Columns(data, start[i], stop[i]).build()
-            s, place = index.smaller(ids[i], SIZE)
-            got.append((rows[i][s], ((spans[i][s] >> U64(8)) + place.astype(U64) << U64(8)) | U64(1)))
+        rows, spans, ids, grams, heads, data, sizes = _unpack(pdf, spans=U64, ids=np.int64, grams=U64, heads=np.uint8, data=np.uint8, sizes=np.uint8)
+        total, stop = Prefix(data), np.cumsum(sizes.astype(np.int64))
+        at, place, n = stop - sizes, (spans >> U64(8)).astype(np.int64), (spans & U64(255)).astype(np.int64)
+        head, width = (heads >> 1).astype(np.int64), LEFT + GRAM + (heads & 1).astype(np.int64)
+        got = []
+        for cut in range(CUTS + 1):
+            gone, open_ = settle(grams, total.hashes(at, n + SIZE - 1), ids)
+            got.append((rows[gone], (place[gone] << 8 | n[gone]).astype(U64)))
+            rows, ids, grams, at, place, n, head, width = (x[open_] for x in (rows, ids, grams, at, place, n, head, width))
+            if cut == CUTS:
+                break
+            # what is left of a window beside the shared bytes lies, by half at least, before or after them: cut once more
+            more = SIZE - width
+            before = (more + 1) // 2
+            n_left = np.clip(head - before + 1, 0, n)
+            left, right = np.flatnonzero(n_left > 0), np.flatnonzero(n > n_left)
+            both = np.concatenate([left, right])
+            skip = np.concatenate([np.zeros(len(left), np.int64), n_left[right]])
+            head = np.concatenate([(head - before)[left], (head - n_left)[right]])
+            width = np.concatenate([(width + before)[left], (width + more - before + 1)[right]]).clip(max=SIZE)
+            n = np.concatenate([n_left[left], (n - n_left)[right]])
+            rows, ids, at, place = rows[both], ids[both], at[both] + skip, place[both] + skip
+            grams = total.hashes(at + head, width)
+        # pieces of one shared key stay together; an index holds about a bucket's share
+        order = np.argsort(grams, kind="stable")
+        for lo, hi in _runs(grams[order], (n + SIZE - 1)[order]):
+            i = order[lo:hi]
+            index = Columns(data, at[i], at[i] + n[i] + SIZE - 1).build()
+            s, where = index.smaller(ids[i], SIZE)
+            got.append((rows[i][s], ((place[i][s] + where) << 8 | 1).astype(U64)))
         rows, spans = (np.concatenate(x) for x in zip(*got, strict=True))
         return pd.DataFrame(_pack(rows, spans, by_row(rows, buckets), buckets), columns=SPAN_COLUMNS)
 
