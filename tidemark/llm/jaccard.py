@@ -25,8 +25,8 @@ from .packed import _split, n_buckets, row_key
 #: A member is frequent from this share of the documents on (so at most 1 / FREQUENT times the mean set size are), and in FREQUENT_LEAST documents.
 FREQUENT, FREQUENT_LEAST = 0.001, 50
 MOST_SHARED, VERIFY = 8, 0.05
-#: Pairs of different components that share a list below which all are verified, and rounds of pivots at most.
-FEW_PAIRS, ROUNDS = 400_000, 6
+#: Pairs of different components that share a list, for each place on a list, up to which all are looked at; and rounds of pivots before, at most.
+FEW_PAIRS, ROUNDS = 3, 6
 
 
 def shingle_sets(texts: list[bytes], n: int):
@@ -110,9 +110,11 @@ def prefixes(doc, member, size, t: int, frequent: np.ndarray, counts: np.ndarray
     doc, member, df = doc[order], member[order], df[order]
     first = np.cumsum(size) - size
     base = size - (t * size + 99) // 100
-    level = np.minimum(1, size)
+    ls = np.arange(1, MOST_SHARED + 1)
+    cost = (base[:, None] + ls) * (1 + VERIFY * size[:, None] / ls)
+    level = np.minimum(1 + np.argmin(np.where(ls <= np.maximum(size - base, 1)[:, None], cost, np.inf), axis=1), size)
     nth = np.arange(len(doc)) - first[doc]
-    busy = np.unique(doc[(nth < (base + 1)[doc]) & (df > 1)])
+    busy = np.unique(doc[(nth < (base + level)[doc]) & (df > 1)])
     for i in busy.tolist():
         most = int(min(MOST_SHARED, size[i] - base[i]))
         met = np.cumsum(df[first[i] : first[i] + base[i] + most])
@@ -203,7 +205,12 @@ def jaccard_components(docs: DataFrame, n: int = 4, t: int = 85) -> DataFrame:
     frequent, counts = frequent_members(described, max(rows.count(), 1))
     lists = written(postings(docs, n, t, frequent, counts, buckets), "lists")
 
-    # the sets of classes on any list, from one text each
+    for _ in range(2):  # a class on fewer lists than any partner there asks for has none; lists of one class go
+        asked = lists.groupBy("member").agg(F.min("l").alias("least"), F.count("*").alias("m")).filter("m > 1")
+        able = lists.join(asked, "member").groupBy("cid").agg(F.count("*").alias("on"), F.min("least").alias("need")).filter("on >= need")
+        lists = written(lists.join(able.select("cid"), "cid", "left_semi"), "lists")
+
+    # the sets of classes still on lists, from one text each
     classes = lists.select("cid").distinct()
     rep = rows.join(classes, "cid").groupBy("cid").agg(F.min("doc_id").alias("rep")).groupBy("rep").agg(F.collect_set("cid").alias("cids"))
 
@@ -220,7 +227,7 @@ def jaccard_components(docs: DataFrame, n: int = 4, t: int = 85) -> DataFrame:
     sets = written(with_rep.mapInPandas(make, "cid long, members array<long>").dropDuplicates(["cid"]), "sets")
 
     links = docs.sparkSession.createDataFrame([], "a long, b long")
-    comps = None
+    comps, few = None, FEW_PAIRS * lists.count()
     held = lists.withColumn("comp", F.col("cid"))
     for k in range(ROUNDS + 1):
         if comps is not None:
@@ -232,16 +239,17 @@ def jaccard_components(docs: DataFrame, n: int = 4, t: int = 85) -> DataFrame:
         if not pairs:
             break
         held = held.join(open_lists.select("member"), "member")
-        last = pairs <= FEW_PAIRS or k == ROUNDS
+        last = pairs <= few or k == ROUNDS
         if last:
             a, b = (held.select("member", *[F.col(c).alias(f"{c}_{s}") for c in ("cid", "n", "l", "comp")]) for s in "ab")
             met = a.join(b, "member").filter((F.col("cid_a") < F.col("cid_b")) & (F.col("comp_a") != F.col("comp_b")) & alike_sizes(t, "n_a", "n_b"))
             met = met.groupBy(F.col("cid_a").alias("a"), F.col("cid_b").alias("b")).agg(F.count("*").alias("shared"), F.min(F.least("l_a", "l_b")).alias("need"))
             new = met.filter("shared >= need").select("a", "b")
         else:
-            pivot = held.groupBy("member").agg(F.min(F.struct(F.xxhash64(F.lit(k), F.col("cid")).alias("h"), "cid", "n", "comp")).alias("p"))
-            met = held.join(pivot, "member").filter(F.col("comp") != F.col("p.comp")).select(F.col("p.cid").alias("a"), F.col("cid").alias("b"), F.col("p.n").alias("na"), F.col("n").alias("nb"))
-            new = met.filter(alike_sizes(t)).select("a", "b").distinct()
+            pivot = held.groupBy("member").agg(F.min(F.struct(F.xxhash64(F.lit(k), F.col("cid")).alias("h"), "cid", "n", "l", "comp")).alias("p"))
+            met = held.join(pivot, "member").filter(F.col("comp") != F.col("p.comp")).select(F.col("p.cid").alias("a"), F.col("cid").alias("b"), F.col("p.n").alias("na"), F.col("n").alias("nb"), F.least("p.l", "l").alias("need"))
+            # the pivot's lists alone: a pair that misses some here is looked at again below
+            new = met.filter(alike_sizes(t)).groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("need").alias("need")).filter("shared >= least(need, 3)").select("a", "b")
         links = written(links.union(similar(new, sets, t)), "alike")
         comps = components(links)
         if last:
