@@ -164,7 +164,7 @@ def postings(docs: DataFrame, n: int, t: int, frequent, counts, buckets: int) ->
         new = np.append(True, (member[1:] != member[:-1]) | (cid[1:] != cid[:-1]))[: len(member)]
         member, cid, size, level = member[new], cid[new], size[new], level[new]
         same = member[1:] == member[:-1]
-        shared = np.append(same, False) | np.append(False, same)
+        shared = (np.append(same, False) | np.append(False, same))[: len(member)]
         return pd.DataFrame({"member": member[shared].view(np.int64), "cid": cid[shared].view(np.int64), "n": size[shared].astype(np.int64), "l": level[shared].astype(np.int32)})
 
     packed = docs.select("text").mapInPandas(find, "bucket int, member binary, cid binary, n binary, l binary")

@@ -53,7 +53,7 @@ def pack_keys(keys: np.ndarray, rows: np.ndarray, places: np.ndarray, buckets: i
     order = np.argsort(keys, kind="stable")
     keys, rows, places = keys[order], rows[order], places[order]
     same = keys[1:] == keys[:-1]
-    twice = np.append(same, False) | np.append(False, same)
+    twice = (np.append(same, False) | np.append(False, same))[: len(keys)]
     out = pack_rows(rows[twice], places[twice], buckets)
     known = np.unique(keys[twice])
     by = dict(_split((known >> U64(20)).astype(np.int64) % buckets, buckets))
