@@ -47,7 +47,7 @@ def test_type_cases():
 def test_clean_text(spark):
     raw = "a  b\r\n```\nx   y\n-----\n```\n| a  |  b |\n======\nwait......\nno!!!!\n\n\n\nend  "
     got = textprep.clean_text(spark.createDataFrame([(1, raw), (2, None)], "id long, text string")).orderBy("id").collect()
-    assert got[0].text == "a b\n```\nx   y\n-----\n```\n| a | b |\n----\nwait...\nno!\n\nend"
+    assert got[0].text == "a b\n```\nx   y\n-----\n```\n| a | b |\n----\nwait.\nno!\n\nend"
     assert got[1].text == ""
 
 
