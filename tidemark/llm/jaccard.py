@@ -226,19 +226,17 @@ def jaccard_components(docs: DataFrame, n: int = 4, t: int = 85) -> DataFrame:
     with_rep = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(written(rep, "reps"), F.col("doc_id").eqNullSafe(F.col("rep"))).select("text", "cids")
     sets = written(with_rep.mapInPandas(make, "cid long, members array<long>").dropDuplicates(["cid"]), "sets")
 
-    links = docs.sparkSession.createDataFrame([], "a long, b long")
+    # components only grow: a list whose classes are all in one stays closed, and each round writes what is still open
     comps, few = None, FEW_PAIRS * lists.count()
     held = lists.withColumn("comp", F.col("cid"))
     for k in range(ROUNDS + 1):
-        if comps is not None:
-            held = lists.join(comps.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
         # lists that join different components, and how many pairs of classes they would make
         per = held.groupBy("member", "comp").agg(F.count("*").alias("m")).groupBy("member").agg(F.count("*").alias("comps"), F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("own"))
         open_lists = written(per.filter("comps > 1"), "open")
         pairs = open_lists.agg(F.sum(F.col("all") * F.col("all") - F.col("own"))).first()[0] or 0
         if not pairs:
             break
-        held = held.join(open_lists.select("member"), "member")
+        held = written(held.join(open_lists.select("member"), "member", "left_semi"), "held")
         last = pairs <= few or k == ROUNDS
         if last:
             a, b = (held.select("member", *[F.col(c).alias(f"{c}_{s}") for c in ("cid", "n", "l", "comp")]) for s in "ab")
@@ -250,10 +248,19 @@ def jaccard_components(docs: DataFrame, n: int = 4, t: int = 85) -> DataFrame:
             met = held.join(pivot, "member").filter(F.col("comp") != F.col("p.comp")).select(F.col("p.cid").alias("a"), F.col("cid").alias("b"), F.col("p.n").alias("na"), F.col("n").alias("nb"), F.least("p.l", "l").alias("need"))
             # the pivot's lists alone: a pair that misses some here is looked at again below
             new = met.filter(alike_sizes(t)).groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("need").alias("need")).filter("shared >= least(need, 3)").select("a", "b")
-        links = written(links.union(similar(new, sets, t)), "alike")
-        comps = components(links)
+        alike = written(similar(new, sets, t), "alike")
+        if comps is None:
+            comps = components(alike)
+        else:  # between the components so far, the new links join some; each class takes its component's new name
+            named = comps.withColumnRenamed("node", "_n").withColumnRenamed("comp", "_c")
+            for end in ("a", "b"):
+                alike = alike.join(named, F.col(end) == F.col("_n"), "left").withColumn(end, F.coalesce("_c", end)).drop("_n", "_c")
+            joined = components(alike.filter("a <> b"))
+            renamed = comps.join(joined.select(F.col("node").alias("comp"), F.col("comp").alias("to")), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
+            comps = written(renamed.union(joined.join(comps.select("node"), "node", "left_anti").select("node", "comp")), "comps")
         if last:
             break
+        held = held.drop("comp").join(comps.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
 
     per_class = rows.groupBy("cid").agg(F.min("doc_id").alias("least"))
     if comps is None:
