@@ -39,6 +39,20 @@ def test_token_files_hold_what_the_library_encodes(spark):
     assert got == want
 
 
+def test_added_tokens_are_encoded_as_in_whole_texts(spark):
+    from tokenizers import Tokenizer
+
+    path, end, rng = token_files.vocabulary(), "<|endoftext|>", random.Random(5)
+    lib = Tokenizer.from_file(path)
+    texts = [f"Hello there{end}Next one", end, end * 2, f"a  {end} {end}  b", f"{end} x", "x" + end[:7], end[7:] + "y", f"don't{end}'s {end}\n\n{end[:-1]} é{end}日", "<" + end + ">"]
+    parts = [end, end, end, end[:4], " ", "  ", "\n", "a", "it's", "12", "!", "é", "<", "|", "word"]
+    texts += ["".join(rng.choices(parts, k=rng.randint(0, 12))) for _ in range(400)]
+    rows = list(enumerate(texts))
+    got = sorted((r.doc_id, r.n_tokens, r.ids_crc32) for r in token_files.read_token_files(token_files.write_token_files(docs(spark, rows), new_dir(spark, "t"), path)).collect())
+    ids = [[*lib.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    assert got == [(i, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in enumerate(ids)]
+
+
 def test_token_files_of_an_empty_table(spark):
     assert token_files.read_token_files(token_files.write_token_files(docs(spark, []), new_dir(spark, "t"), token_files.vocabulary())).collect() == []
 

@@ -10,6 +10,7 @@ doc_id are all kept, ordered by text; an empty table gives no shards; other colu
 """
 
 import os
+import re
 import uuid
 import zlib
 from functools import lru_cache
@@ -50,8 +51,9 @@ def encoder(path: str) -> "Encoder":
 
 class Encoder:
     """Whole texts to ids by the tokenizers library. Byte-level BPE never merges over a space before a visible character,
-    nor from a letter to a mark, so texts are cut there and each distinct piece is encoded once in a worker. Pieces are told apart by 64-bit hashes
-    and lengths, among those of one worker only."""
+    nor from a letter to a mark, so texts are cut there and each distinct piece is encoded once in a worker. The library takes the vocabulary's added
+    tokens out of a text before all else, so each of them is a piece of its own. Pieces are told apart by 64-bit hashes and lengths, among those of one
+    worker only."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -62,6 +64,11 @@ class Encoder:
         self.lib.no_truncation()
         self.line = self._ids("\n")[0]
         self.size = self.lib.get_vocab_size(with_added_tokens=True)
+        added = [t for t in self.lib.get_added_tokens_decoder().values() if t.content]
+        self.added = sorted((t.content.encode() for t in added), key=len, reverse=True)
+        # other kinds look at their neighbours, or at changed text: a text that holds one stays whole
+        self.alone = self.lib.normalizer is None and len({t.normalized for t in added}) < 2 and not any(t.lstrip or t.rstrip or t.single_word for t in added)
+        self.find_added = re.compile(b"|".join(map(re.escape, self.added))).finditer
         self._forget()
 
     def _forget(self):
@@ -73,7 +80,7 @@ class Encoder:
     def _learn(self, hashes: np.ndarray, pieces: list[bytes]) -> None:
         """Encodes pieces; those without other white space many at a time, with line ends between."""
         ids: list = [None] * len(pieces)
-        plain = [i for i, p in enumerate(pieces) if p and p[1:].isalpha() and p[:1] in b" abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"]
+        plain = [i for i, p in enumerate(pieces) if p and p[1:].isalpha() and p[:1] in b" abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ" and not any(t in p for t in self.added)]
         for lo in range(0, len(plain), 2000):
             part = plain[lo : lo + 2000]
             got = np.array(self._ids("\n".join(pieces[i].decode() for i in part)), np.uint32)
@@ -100,6 +107,16 @@ class Encoder:
         cut = np.zeros(len(buf) + 1, bool)
         cut[: len(buf) - 1] = (buf[:-1] == 32) & (buf[1:] > 32) & (buf[1:] != 127) & ~_SPACE_LEAD[buf[1:]]
         cut[1 : len(buf)] |= _LETTER[buf[:-1]] & _MARK[buf[1:]]
+        for i in [i for i, t in enumerate(texts) if any(x in t for x in self.added)]:
+            lo, hi = int(begin[i]), int(begin[i] + lengths[i])
+            if not self.alone:
+                cut[lo:hi] = False
+                continue
+            edges = [(lo + m.start(), lo + m.end()) for m in self.find_added(texts[i])]
+            for a, z in edges:
+                # white space before a token is at its part's end, where none is left over for a next word
+                cut[max(a - 1, lo) : z] &= (np.arange(max(a - 1, lo), z) < a) & (buf[max(a - 1, lo)] != 32)
+            cut[[x for a, z in edges for x in (a, z) if x < hi]] = True
         cut[begin[lengths > 0]] = True
         w.starts = np.flatnonzero(cut)
         w.ends = np.append(w.starts[1:], len(buf)) if len(w.starts) else w.starts
