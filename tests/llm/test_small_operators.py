@@ -254,6 +254,27 @@ def test_toxicity_on_held_out_rows(spark):
     assert toxicity.drop_toxic(d, model).count() == sum(s < 0.7 for s in got.values())
 
 
+def test_toxic_terms_keep_their_support():
+    """Texts that share common words count each, near copies once; rare terms and many terms are learned."""
+    rng = random.Random(8)
+    say = lambda n: ["".join(rng.choice("aeioulnrst") for _ in range(7)) for _ in range(n)]
+    texts, labels = [], []
+    for i in range(660):
+        y = int(i % 11 == 0)
+        texts.append(" ".join(["the", "and", "of", *say(20), *(["wretch"] if y and i < 88 else []), *(["vermin"] if y and i >= 88 else [])]).encode())
+        labels.append(y)
+    copied = say(30) + ["oddword"]
+    for _ in range(30):
+        texts.append(" ".join([*copied, *say(1)]).encode())
+        labels.append(1)
+    assert toxicity.Toxicity(texts, np.array(labels)).words == [b"vermin", b"wretch"]
+    many = sorted({f"q{w}" for w in say(320)})
+    for i in range(len(texts)):
+        if labels[i]:
+            texts[i] = " ".join([*say(30), *rng.sample(many, 80)]).encode()
+    assert set(toxicity.Toxicity(texts, np.array(labels)).words) >= {w.encode() for w in many}
+
+
 def test_keep_one(spark):
     base = " ".join(f"w{i}" for i in range(60))
     rows = [(3, base), (2, base), (5, base + " more"), (6, "else entirely " * 4), (7, None), (8, ""), (2, base)]

@@ -1,10 +1,10 @@
 """Toxicity (operator 6): Levenshtein automata intersected with a lexicon trie.
 
 The lexicon is learned: words, and beginnings of words, that stand in training documents labelled toxic far more often than
-in the others (near copies count once). Its trie is intersected with the Levenshtein automaton of one edit; the product is
+in the others, by an exact test and at least 8 times as often (near copies count once). Its trie is intersected with the Levenshtein automaton of one edit; the product is
 made deterministic and run over the bytes of all words side by side. A hit counts as quoted if a quotation mark opens
 within CONTEXT words before it and one closes within as many after it. A logistic model over hits (exact, beginnings, misspelled,
-quoted, the densest window) fitted on other training documents than the lexicon gives the score.
+quoted, the densest window), cross-fitted on all sampled training documents, gives the score.
 
 Defined results: a null text is an empty one; an empty text has no hits and gets the model's score for none; without labels of both
 classes every score is the share of label 1 (0 without any); repeated rows have equal scores; an empty table gives no rows.
@@ -15,53 +15,126 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, as_bytes, grouped, table
+from .common import Words, as_bytes, grouped, mix64, table
 from .labelled import held_out, logistic, sigmoid, training_sample
 
-#: Labelled training documents of each class to learn from, at most, and terms of the lexicon, at most.
-SAMPLE, TERMS = 3000, 300
+#: Labelled training documents of each class to learn from, at most.
+SAMPLE = 3000
+#: Near copies share so much of their words; false terms among those of the lexicon; parts for cross-fitting.
+ALIKE, RATE, FOLDS = 0.8, 0.05, 4
 CONTEXT, WINDOW = 8, 25
 #: Bytes that do not belong to words: ASCII but letters and digits.
 PARTS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 QUOTES = (b'"', "“".encode(), "”".encode(), "«".encode(), "»".encode(), "„".encode())
 
 
-def learn_lexicon(texts: list[bytes], labels: np.ndarray, terms: int = TERMS) -> tuple[list[bytes], list[bytes]]:
-    """Words and beginnings of words (4 to 8 bytes) of toxic texts. Texts that share their least word hash count once."""
-    seen: dict[tuple[bytes, bool], tuple[set, set]] = {}
-    totals = (set(), set())
-    for text, y in zip(texts, labels.tolist(), strict=True):
-        words = set(Words([text], PARTS, lower=True).buf.tobytes().translate(bytes(32 if p else i for i, p in enumerate(PARTS))).split())
-        if not words:
+def leaders(sets: list[np.ndarray]) -> np.ndarray:
+    """For each set of word numbers the first set that is ALIKE (Jaccard) or more like it and is a leader itself; -1 for an
+    empty one. Candidates share a band of a signature of 64 least hashes (at 0.8 one in 5,000 pairs shares none); each is verified."""
+    seeds = mix64(np.arange(1, 65, dtype=np.uint64))[:, None]
+    first: dict[int, tuple[int, ...]] = {}
+    out = np.full(len(sets), -1)
+    for i, ids in enumerate(sets):
+        if not len(ids):
             continue
-        sign = min(Words([b" ".join(sorted(words))], PARTS).hashes().tolist())
-        totals[y].add(sign)
-        for w in words:
-            if len(w) >= 3:
-                seen.setdefault((w, False), (set(), set()))[y].add(sign)
-            for n in range(4, min(9, len(w))):
-                seen.setdefault((w[:n], True), (set(), set()))[y].add(sign)
-    n0, n1 = max(len(totals[0]), 1), max(len(totals[1]), 1)
-    good = {}
-    for (w, begins), (clean, toxic) in seen.items():
-        a, b = len(toxic) / n1, (len(clean) + 0.5) / n0
-        if len(toxic) >= max(8 if begins else 6, 0.01 * n1) and a >= 8 * b:
-            good[w, begins] = len(toxic) * np.log(a / b)
-    words = {w for w, begins in good if not begins}
-    # a beginning stands for at least four words; of nested ones with about the same support the longest counts
-    forms: dict[bytes, int] = {}
-    for (w, begins), (_, toxic) in seen.items():
-        if not begins and toxic:
+        least = np.min([mix64(mix64(part.astype(np.uint64) + np.uint64(1)) ^ seeds).min(axis=1) for part in np.array_split(ids, len(ids) // 4096 + 1)], axis=0)
+        bands = mix64(mix64(least * seeds[:, 0]).reshape(16, 4).sum(axis=1, dtype=np.uint64)).tolist()
+        for j in sorted({j for band in bands for j in first.get(band, ())}):
+            both = len(np.intersect1d(ids, sets[j], assume_unique=True))
+            if both >= ALIKE * (len(ids) + len(sets[j]) - both):
+                out[i] = j
+                break
+        else:
+            out[i] = i
+            for band in bands:
+                first[band] = (*first.get(band, ()), i)
+    return out
+
+
+def significant(clean: np.ndarray, toxic: np.ndarray, n0: int, n1: int) -> np.ndarray:
+    """Which terms, in so many clean and toxic texts of n0 and n1, stand in toxic ones more often than chance allows: Fisher's
+    exact test, one-sided, with a share of RATE false ones among those chosen (Benjamini and Hochberg) of the terms that
+    could be significant at all, being in enough texts (Tarone)."""
+    if not (n0 and n1 and len(toxic)):
+        return np.zeros(len(toxic), bool)
+    fact = np.append(0, np.cumsum(np.log(np.arange(1, n0 + n1 + 1))))
+    choose = lambda n, k: fact[n] - fact[k] - fact[n - k]
+
+    def tail(k: int, n: int) -> float:
+        x = np.arange(k, min(n, n1) + 1)
+        x = x[n - x <= n0]
+        return min(1.0, float(np.exp(choose(n1, x) + choose(n0, n - x) - choose(n0 + n1, n)).sum()))
+
+    size = n0 + n1 + 1
+    kinds, which = np.unique(toxic * size + clean + toxic, return_inverse=True)
+    p = np.array([tail(k // size, k % size) for k in kinds.tolist()])[which]
+    best = {n: tail(min(n, n1), n) for n in np.unique(kinds % size).tolist()}
+    best = np.array([best[n] for n in (kinds % size).tolist()])[which]
+    k = np.arange(1, len(p) + 1)
+    tests = k[np.argmax(np.searchsorted(np.sort(best), RATE / k, side="right") <= k)]
+    able = np.flatnonzero(best <= RATE / tests)
+    held = np.sort(p[able])
+    under = np.flatnonzero(held <= RATE * np.arange(1, len(held) + 1) / max(len(held), 1))
+    out = np.zeros(len(p), bool)
+    out[able] = p[able] <= held[under[-1]] if len(under) else False
+    return out
+
+
+class Terms:
+    """Words, and beginnings of words (4 to 8 bytes), of labelled texts; near copies of a class are one text with the words of all."""
+
+    def __init__(self, texts: list[bytes], labels: np.ndarray):
+        gaps = bytes(32 if p else i for i, p in enumerate(PARTS))
+        number: dict[bytes, int] = {}
+        sets = []
+        for text in texts:
+            words = set(Words([text], PARTS, lower=True).buf.tobytes().translate(gaps).split())
+            sets.append(np.array(sorted(number.setdefault(w, len(number)) for w in words), np.int32))
+        self.words, self.leader = list(number), leaders(sets)
+        del number
+        starts: dict[bytes, int] = {}
+        self.start_of = np.full((len(self.words), 5), -1, np.int32)
+        for i, w in enumerate(self.words):
             for n in range(4, min(9, len(w))):
-                forms[w[:n]] = forms.get(w[:n], 0) + 1
-    starts = {}
-    for w, begins in good:
-        longer = ((w + bytes([c]), True) for c in range(33, 256))
-        if begins and forms.get(w, 0) >= 4 and not any(x in good and len(seen[x][1]) >= 0.9 * len(seen[w, True][1]) for x in longer):
-            starts[w] = good[w, True]
-    words = {w: good[w, False] for w in words if not any(w.startswith(s) for s in starts)}
-    top = sorted([(-v, w, False) for w, v in words.items()] + [(-v, w, True) for w, v in starts.items()])[:terms]
-    return sorted(w for _, w, b in top if not b), sorted(w for _, w, b in top if b)
+                self.start_of[i, n - 4] = starts.setdefault(w[:n], len(starts))
+        self.starts = list(starts)
+        group = np.repeat(2 * self.leader + labels, [len(x) for x in sets])
+        self.group, self.word = self._once(group, np.concatenate([np.empty(0, np.int32), *sets]), len(self.words))
+        del sets, group, starts
+        parts = []
+        for n in range(5):  # beginnings of different lengths are different
+            at = self.start_of[self.word, n]
+            parts.append(self._once(self.group[at >= 0], at[at >= 0], len(self.starts)))
+        self.start_group, self.start = (np.concatenate(x) for x in zip(*parts, strict=True))
+
+    @staticmethod
+    def _once(group: np.ndarray, term: np.ndarray, terms: int) -> tuple[np.ndarray, np.ndarray]:
+        both = np.unique(group.astype(np.int64) * max(terms, 1) + term)
+        return (both // max(terms, 1)).astype(np.int32), (both % max(terms, 1)).astype(np.int32)
+
+    def lexicon(self, taken: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+        """Words and beginnings that mark toxic texts, by the texts whose leaders are taken."""
+        groups = np.unique(self.group[taken[self.group // 2]])
+        n0, n1 = int((groups % 2 == 0).sum()), int((groups % 2 == 1).sum())
+
+        def counts(group, term, terms):
+            use = taken[group // 2]
+            return [np.bincount(term[use & (group % 2 == y)], minlength=terms) for y in (0, 1)]
+
+        per_word, per_start = counts(self.group, self.word, len(self.words)), counts(self.start_group, self.start, len(self.starts))
+        clean, toxic = (np.concatenate([per_word[y], per_start[y]]) for y in (0, 1))
+        long = np.fromiter((len(w) >= 3 for part in (self.words, self.starts) for w in part), bool, len(clean))
+        asked = np.flatnonzero(long & (toxic > 0))
+        good = asked[significant(clean[asked], toxic[asked], n0, n1)]
+        good = good[toxic[good] / max(n1, 1) >= 8 * (clean[good] + 0.5) / max(n0, 1)]
+        # a beginning stands for at least four words; of nested ones with about the same support the longest counts
+        of = self.start_of[per_word[1] > 0].ravel()
+        forms = np.bincount(of[of >= 0], minlength=len(self.starts))
+        begins = {self.starts[i]: i for i in (good[good >= len(self.words)] - len(self.words)).tolist()}
+        nested = {w for w, i in begins.items() if any(per_start[1][begins[x]] >= 0.9 * per_start[1][i] for x in (w + bytes([c]) for c in range(33, 256)) if x in begins)}
+        starts = sorted(w for w, i in begins.items() if forms[i] >= 4 and w not in nested)
+        words = (self.words[i] for i in good[good < len(self.words)].tolist())
+        return sorted(w for w in words if not any(w[:n] in starts for n in range(4, 9))), starts
 
 
 class Automaton:
@@ -163,18 +236,25 @@ def features(texts: list[bytes], automaton: Automaton) -> np.ndarray:
 
 
 class Toxicity:
-    """Lexicon from every other training document, logistic model from the rest."""
+    """Lexicon from all training documents. The logistic model's features of each come from a lexicon of the other FOLDS, so
+    that no document is rated by terms it taught; near copies lie in one fold."""
 
-    def __init__(self, texts: list[bytes], labels: np.ndarray, terms: int = TERMS):
+    def __init__(self, texts: list[bytes], labels: np.ndarray):
         self.constant, self.automaton = float(labels.mean()) if len(labels) else 0.0, None
         if len(set(labels.tolist())) < 2:
             return
-        half = np.arange(len(labels)) % 2 == 0
-        self.words, self.starts = learn_lexicon([t for t, h in zip(texts, half, strict=True) if h], labels[half], terms)
+        terms = Terms(texts, labels)
+        fold = (mix64(np.where(terms.leader < 0, np.arange(len(texts)), terms.leader).astype(np.uint64)) % np.uint64(FOLDS)).astype(np.int64)
+        x = None
+        for k in range(FOLDS):
+            automaton, at = Automaton(*terms.lexicon(fold != k)), np.flatnonzero(fold == k)
+            for lo, hi in grouped([texts[i] for i in at]):
+                part = features([texts[i] for i in at[lo:hi]], automaton)
+                x = np.zeros((len(texts), part.shape[1])) if x is None else x
+                x[at[lo:hi]] = part
+        self.weight = logistic(x, labels.astype(float), ridge=0.3)
+        self.words, self.starts = terms.lexicon(np.ones(len(texts), bool))
         self.automaton = Automaton(self.words, self.starts)
-        rest = ~half if 0 < labels[~half].sum() < (~half).sum() else np.ones(len(labels), bool)
-        x = np.concatenate([features([texts[j] for j in np.flatnonzero(rest)[lo:hi]], self.automaton) for lo, hi in grouped([texts[j] for j in np.flatnonzero(rest)])])
-        self.weight = logistic(x, labels[rest].astype(float), ridge=0.3)
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         if self.automaton is None:
