@@ -143,6 +143,27 @@ def test_mix_follows_targets(spark):
     assert mixing.mix(d.limit(0)).collect() == []
 
 
+def test_mixed_rows_are_drawn_each_for_itself(spark, tmp_path):
+    """Rows without a doc_id, or with that of another source, follow their own source; token files keep the mix's order."""
+    from collections import Counter
+
+    rows = [(None if i % 3 == 0 else i // 2, f"s{i % 2}", f"t{i} " + "w " * 20) for i in range(600)] + [(7, "s0", "same " * 20)] * 200
+    d = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    plan = mixing.mix(d, shards=4, block_words=50).toPandas()
+    for _, of in plan.groupby("source"):
+        assert abs(of["taken"].sum() - of["target"].iloc[0]) <= 21
+    got = [tuple(r) for r in mixing.mixed_rows(d, shards=4).collect()]
+    copies = Counter(got)
+    plan = mixing.mix(d, shards=4)
+    assert Counter({k: n for k, n in plan.groupBy("source").agg({"copies": "sum"}).collect() if n}) == Counter(s for _, s, _ in got)
+    assert set(copies) <= set(rows) and Counter(tuple(r) for r in mixing.mixed_rows(d, shards=4).collect()) == copies
+    at = written(mixing.mixed_rows(d, shards=4), "mixed")
+    ordered, order = token_files.in_file_order(at)
+    want = [r.doc_id for r in ordered.orderBy(*order).collect()]
+    files = token_files.read_token_files(token_files.write_token_files(ordered, new_dir(spark, "t"), token_files.vocabulary(), order=order)).orderBy("start").collect()
+    assert [r.doc_id for r in files] == want == [i for i, _, _ in got] and want != sorted(want, key=lambda i: (i is not None, i or 0))
+
+
 def plain_words(text):
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     return "".join(c if c.isascii() and (c.isdigit() or c.islower()) or ord(c) > 127 else " " for c in low).split(" ")

@@ -9,7 +9,8 @@ hypergeometric distribution. A shard then owns the next so many blocks of each s
 are disjoint, and shuffles them locally by a hash of document and copy.
 
 Defined results: a null text has size 0; the null source comes last; weights repeat 1, 2, 3 in code-point order; a source
-without words has target 0 and takes nothing; rows that repeat a doc_id are drawn alike; an empty table gives no rows.
+without words has target 0 and takes nothing; rows that share a doc_id, or have none, are drawn each for itself, equal rows
+too; an empty table gives no rows.
 """
 
 import numpy as np
@@ -61,11 +62,14 @@ def plan_targets(sizes: DataFrame, most: int = 3) -> DataFrame:
     return per.select("key", "source_size", F.least(F.col("source_size") * F.lit(float(most)), F.col("level") * F.col("w")).alias("target"))
 
 
-def mix(docs: DataFrame, shards: int = 64, block_words: int = 20_000, most: int = 3, seed: int = 7) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken and shards (of each copy) for docs(doc_id, source, text)."""
+def mix(docs: DataFrame, shards: int = 64, block_words: int = 20_000, most: int = 3, seed: int = 7, carry: bool = False) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies, taken and shards (of each copy) for docs(doc_id, source, text); with
+    `carry` also the whole row and the hash h that it was drawn by."""
     size = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    h = F.xxhash64(F.lit(seed), F.col("doc_id"))
-    sizes = docs.select("doc_id", "source", size.alias("size"), h.alias("h"), F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("key"))
+    # a row is drawn by a hash of all its columns and of its number among equal rows, which are interchangeable
+    whole = F.xxhash64(F.lit(seed), *[x for c in docs.columns for x in (F.col(c), F.col(c).isNull())])
+    sizes = docs.select("doc_id", "source", size.alias("size"), whole.alias("whole"), F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("key"), *([F.struct(*docs.columns).alias("row")] if carry else []))
+    sizes = sizes.withColumn("h", F.xxhash64("whole", F.row_number().over(Window.partitionBy("whole").orderBy("size")))).drop("whole")
     sizes = written(sizes.withColumn("sub", F.pmod(F.xxhash64(F.lit(seed + 1), "h"), F.lit(BLOCKS)).cast("int")), "sizes")
     plan = plan_targets(sizes, most)
     n_blocks = F.greatest(F.lit(1), F.least(F.lit(BLOCKS), F.ceil(F.col("source_size") / block_words))).cast("int")
@@ -115,15 +119,15 @@ def mix(docs: DataFrame, shards: int = 64, block_words: int = 20_000, most: int
     in_cut = F.coalesce(F.col("sub") <= F.col("whole_sub"), F.lit(False)) | F.coalesce((F.col("sub") == F.col("cut_sub")) & (F.col("h") <= F.col("cut_h")), F.lit(False))
     copies = F.col("full") + (F.col("whole") | (F.col("cut") & in_cut)).cast("int")
     copies = F.when(F.col("source_size") > 0, copies).otherwise(0)
-    return joined.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), F.transform(F.filter(F.coalesce("draws", F.array().cast("array<struct<epoch:int,shard:int>>")), lambda d: d["epoch"] < copies), lambda d: d["shard"]).alias("shards"))
+    return joined.select(*(["row", "h"] if carry else []), "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), F.transform(F.filter(F.coalesce("draws", F.array().cast("array<struct<epoch:int,shard:int>>")), lambda d: d["epoch"] < copies), lambda d: d["shard"]).alias("shards"))
 
 
 def mixed_rows(docs: DataFrame, shards: int = 64, seed: int = 7) -> DataFrame:
-    """The rows of docs as the mix takes them: each as often as it has copies, together by shard, shuffled within it."""
-    plan = mix(docs, shards=shards, seed=seed).select("doc_id", "shards").dropDuplicates(["doc_id"])
-    with_plan = docs.join(plan.withColumnRenamed("doc_id", "_id"), docs["doc_id"].eqNullSafe(F.col("_id"))).drop("_id")
-    rows = with_plan.select(*[docs[c] for c in docs.columns], F.posexplode("shards").alias("_copy", "_shard"))
-    return rows.repartition("_shard", F.pmod(F.xxhash64("doc_id", "_copy"), F.lit(16))).sortWithinPartitions("_shard", F.xxhash64(F.lit(seed), "doc_id", "_copy")).drop("_copy", "_shard")
+    """The rows of docs as the mix takes them: each as often as it has copies, in the order of the shards, shuffled within each."""
+    rows = mix(docs, shards=shards, seed=seed, carry=True).select("row", "h", F.posexplode("shards").alias("copy", "shard"))
+    order = ["shard", "at", "h", "copy"]
+    rows = rows.withColumn("at", F.xxhash64(F.lit(seed), "h", "copy"))
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order).select("row.*")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,6 +18,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,7 +26,7 @@ from .common import Words, as_bytes, grouped, new_dir, table, written
 
 #: Stands for a null doc_id in the files.
 NO_ID = -(2**63)
-MANIFEST = "stem string, first_id long, n_docs long, n_tokens long, width int"
+MANIFEST = "stem string, part int, first_id long, n_docs long, n_tokens long, width int"
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -159,9 +160,15 @@ def mapped(uri: str, kind) -> np.ndarray:
         return np.frombuffer(f.read(), kind)
 
 
-def write_token_files(docs: DataFrame, out_dir: str, tokenizer: str, end_id: int = 2) -> DataFrame:
-    """Writes the shards of docs(doc_id, text); returns their manifest with each shard's base. A lost task writes its
-    shard again under another name; only names in the manifest count."""
+def in_file_order(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """docs as read from one written table, with columns of where each row stands in it."""
+    at = ["_file", "_row"]
+    return docs.select("*", F.col("_metadata.file_name").alias(at[0]), F.col("_metadata.row_index").alias(at[1])), at
+
+
+def write_token_files(docs: DataFrame, out_dir: str, tokenizer: str, end_id: int = 2, order: list[str] | None = None) -> DataFrame:
+    """Writes the shards of docs(doc_id, text), by doc_id or by the columns of `order`; returns their manifest with each
+    shard's base. A lost task writes its shard again under another name; only names in the manifest count."""
 
     def shard(batches):
         enc, toks, ids, lens = encoder(tokenizer), [], [], []
@@ -183,7 +190,7 @@ def write_token_files(docs: DataFrame, out_dir: str, tokenizer: str, end_id: int
         _put(fs, f"{path}.tok", np.concatenate(toks))
         _put(fs, f"{path}.ids", ids)
         _put(fs, f"{path}.len", lens)
-        yield pd.DataFrame({"stem": [stem], "first_id": [ids[0]], "n_docs": [len(ids)], "n_tokens": [lens.sum()], "width": [width]})
+        yield pd.DataFrame({"stem": [stem], "part": [TaskContext.get().partitionId()], "first_id": [ids[0]], "n_docs": [len(ids)], "n_tokens": [lens.sum()], "width": [width]})
 
     def offsets(batches):
         for b in batches:
@@ -193,9 +200,10 @@ def write_token_files(docs: DataFrame, out_dir: str, tokenizer: str, end_id: int
                 _put(fs, f"{path}.off", r.base + np.concatenate([[0], np.cumsum(lens)]))
             yield b
 
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    shards = written(rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInPandas(shard, MANIFEST), "shards")
-    before = Window.orderBy("first_id").rowsBetween(Window.unboundedPreceding, -1)  # one row a shard
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *[F.col(c).alias(f"order_{c}") for c in order or ()])
+    by = [f"order_{c}" for c in order] if order else ["doc_id"]
+    shards = written(rows.repartitionByRange(*by).sortWithinPartitions(*by, "doc_id", "text").select("doc_id", "text").mapInPandas(shard, MANIFEST), "shards")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a shard
     based = shards.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
     return written(based.repartition("stem").mapInPandas(offsets, f"{MANIFEST}, base long"), "manifest")
 
