@@ -1,10 +1,13 @@
 """What the operators share: reading tables, the shared folder, and vectorised text helpers."""
 
-import gc
+import atexit
+import hashlib
+import shutil
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,33 +27,78 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
+    """The folder that driver and executors share. Where the session names none: the warehouse, or, in local mode only, a
+    temporary folder that goes with the driver."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.tidemark.dir", None)
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="tidemark-")
+    if not where and spark.sparkContext.master.startswith("local["):
+        made = tempfile.mkdtemp(prefix="tidemark-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+        where = f"file://{made}"
         spark.conf.set("spark.tidemark.dir", where)
-    return where.rstrip("/")
+    return (where or f"{spark.conf.get('spark.sql.warehouse.dir')}/tidemark").rstrip("/")
+
+
+def unused(name: str, *tables: DataFrame) -> str:
+    """A column name that no table has (Spark's names do not tell case apart)."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def new_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Spark's own setting: shuffle files go when the query that made them has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: computed once, its lineage cut, safe against lost executors."""
     spark, at = df.sparkSession, new_dir(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(at)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(at)
+    finally:
+        spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(at)
-    del df
-    gc.collect()  # lets Spark's cleaner drop the shuffle files behind what is now a table
-    spark.sparkContext._jvm.System.gc()
+    out.written_at = at
     return out
 
 
+def dropped(*tables: DataFrame | None) -> None:
+    """Deletes written tables that nothing will read any more."""
+    for t in tables:
+        if t is not None:
+            path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.written_at)
+            path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def as_bytes(texts) -> list[bytes]:
+    if isinstance(texts, pa.Array):
+        texts = texts.cast(pa.binary()).to_pylist()
     return [b"" if t is None or t != t else t if isinstance(t, bytes) else t.encode("utf-8", "surrogatepass") for t in texts]
 
 
+def per_text(rows: DataFrame, keep: list[str], compute, added: str, text: str = "text", limit: int | None = None) -> DataFrame:
+    """The columns `keep` of rows, untouched, and those of `added` ("name type, ..."), which compute(texts) gives as a dict of
+    arrays for a list of texts. Batches stay in Arrow, so that ids of any kind, and null ones, come back as they were."""
+    rows = rows.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, text])])
+    names = [x.split()[0] for x in added.split(", ")]
+
+    def run(batches):
+        for b in batches:
+            texts = as_bytes(b.column(text))
+            for lo, hi in grouped(texts, limit or GROUP_BYTES):
+                got = compute(texts[lo:hi])
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(lo, hi - lo) for c in keep), *(pa.array(got[c]) for c in names)], names=[*keep, *names])
+
+    fields = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep]
+    return rows.mapInArrow(run, ", ".join([*fields, added]))
+
+
 def grouped(texts: list[bytes], limit: int = GROUP_BYTES):
     """Index ranges of texts of about limit bytes, one text at least."""
     start, held = 0, 0
@@ -70,6 +118,9 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+#: Words beyond so many bytes are hashed whole, one by one.
+LONG_WORD = 1024
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _M = 0x9E3779B97F4A7C15 | 5  # odd, 5 modulo 8: powers repeat only after 2**62
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * U64(0xD6E8FEB86659FD93))
 _POWERS: list[np.ndarray] = []
@@ -107,13 +158,25 @@ class Words:
         self.doc = np.repeat(np.arange(len(texts)), self.count)
 
     def hashes(self) -> np.ndarray:
-        """64 bits of each word, well mixed; equal words, equal values."""
-        n = len(self.buf)
-        power, inverse = powers(n)
-        total = np.empty(n + 1, np.uint64)
-        total[0] = 0
-        np.cumsum(_BYTE[self.buf] * power, out=total[1:])
-        return mix64((total[self.ends] - total[self.starts]) * inverse[self.starts] + (self.ends - self.starts).astype(np.uint64))
+        """64 bits of each word, well mixed; equal words, equal values. Eight bytes at a time, each mixed into what came before."""
+        size = self.ends - self.starts
+        padded = np.concatenate([self.buf, np.zeros(8, np.uint8)])
+        eight = np.ndarray((len(self.buf) + 1,), "<u8", padded, strides=(1,))
+        out = mix64(size.astype(np.uint64) + U64(0x2545F4914F6CDD1D))
+        live, at, left = np.arange(len(size)), self.starts, size
+        long = np.flatnonzero(size > LONG_WORD)
+        if len(long):
+            data = self.buf.tobytes()
+            for i in long.tolist():
+                out[i] = int.from_bytes(hashlib.blake2b(data[self.starts[i] : self.ends[i]], digest_size=8).digest(), "little")
+            live = np.flatnonzero(size <= LONG_WORD)
+            at, left = at[live], left[live]
+        while len(live):
+            block = eight[at] & _MASKS[np.minimum(left, 8)]
+            out[live] = mix64((out[live] ^ block) * U64(0x9E3779B97F4A7C15) + (block >> U64(32)))
+            go = left > 8
+            live, at, left = live[go], at[go] + 8, left[go] - 8
+        return out
 
     def window_hashes(self, word: np.ndarray, k: int) -> np.ndarray:
         """64 bits of the k words from each word on; meaningless where fewer follow in its text."""

@@ -16,11 +16,10 @@ import zlib
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, grouped, table
+from .common import per_text, table, written
 
 ACROSS, MOST_ROWS = 64, 8191
 #: Our Huffman tables: counts of codes of 1 to 16 bits, and the symbols. DC: sizes 3 to 7 in 3 bits, the others in 4. AC: the end of the block in 1 bit.
@@ -314,39 +313,32 @@ def thumbnail_hash(thumb: np.ndarray) -> str:
 
 
 def with_media(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with n_bytes and media: the text's bytes, padded to rows of 64, as JPEG."""
+    """doc_id, n_bytes and media of docs: the text's bytes, padded to rows of 64, as JPEG."""
 
-    def encode(batches):
-        for b in batches:
-            texts, media = as_bytes(b[text]), []
-            for lo, hi in grouped(texts):
-                part = texts[lo:hi]
-                media += encode_rows([t + bytes(-len(t) % ACROSS if t else ACROSS) for t in part], [str(len(t)).encode() for t in part])
-            yield b.drop(columns=[text]).assign(n_bytes=np.array([len(t) for t in texts], np.int64), media=media)
+    def encode(texts):
+        media = encode_rows([t + bytes(-len(t) % ACROSS if t else ACROSS) for t in texts], [str(len(t)).encode() for t in texts])
+        return {"n_bytes": np.array([len(t) for t in texts], np.int64), "media": media}
 
-    kept = docs.select("doc_id", text)
-    return kept.mapInPandas(encode, "doc_id long, n_bytes long, media binary")
+    return per_text(docs, ["doc_id"], encode, "n_bytes long, media binary", text)
 
 
 def media_features(media: DataFrame) -> DataFrame:
     """What the stored bytes say: payload, dimensions and thumbnail hash."""
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width int, height int, thumb_hash string"
+    added = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width int, height int, thumb_hash string"
 
-    def read(batches):
-        for b in batches:
-            streams = [bytes(x) for x in b["media"]]
-            for lo, hi in grouped(streams):
-                rows = []
-                for i, pictures in zip(range(lo, hi), decode_dc(streams[lo:hi]), strict=True):
-                    thumb = pictures[0][1] if len(pictures) == 1 else np.concatenate([t for _, t in pictures])
-                    payload, p, mark = thumb.tobytes(), pictures[0][0], thumbnail_hash(thumb)
-                    high = sum(q.height for q, _ in pictures)
-                    rows.append((int(p.notes[0]), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(streams[i]), hashlib.sha256(streams[i]).hexdigest(), f"{p.width}x{high}:{mark}", p.width, high, mark))
-                yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")[1:]]).assign(doc_id=b["doc_id"].iloc[lo:hi].to_numpy())[[c.split()[0] for c in schema.split(", ")]]
+    def read(streams):
+        rows = []
+        for stream, pictures in zip(streams, decode_dc(streams), strict=True):
+            thumb = pictures[0][1] if len(pictures) == 1 else np.concatenate([t for _, t in pictures])
+            payload, p, mark = thumb.tobytes(), pictures[0][0], thumbnail_hash(thumb)
+            high = sum(q.height for q, _ in pictures)
+            rows.append((int(p.notes[0]), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(stream), hashlib.sha256(stream).hexdigest(), f"{p.width}x{high}:{mark}", p.width, high, mark))
+        got = dict(zip((x.split()[0] for x in added.split(", ")), zip(*rows, strict=True), strict=True))
+        return got | {k: np.array(got[k], np.int32) for k in ("width", "height")}
 
-    return media.mapInPandas(read, schema)
+    return per_text(media, ["doc_id"], read, added, "media")
 
 
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return media_features(with_media(docs))
+    return media_features(written(with_media(docs), "media"))

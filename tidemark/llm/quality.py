@@ -10,11 +10,10 @@ both classes every score is the share of label 1 (0.5 without any); an empty tab
 """
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, as_bytes, grouped, table
+from .common import Words, as_bytes, per_text, table
 from .labelled import held_out, logistic, sigmoid, training_sample
 
 #: Labelled documents of each class to fit on, at most.
@@ -166,14 +165,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, each: int = SAMPLE) -> Quali
 
 def score_quality(docs: DataFrame, model: Quality) -> DataFrame:
     """doc_id, score for each row of docs(doc_id, text)."""
-
-    def score(batches):
-        for b in batches:
-            texts = as_bytes(b["text"])
-            parts = [model.score(texts[lo:hi]) for lo, hi in grouped(texts)]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "score": np.concatenate(parts) if parts else np.empty(0)})
-
-    return docs.select("doc_id", "text").mapInPandas(score, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
+    return per_text(docs, ["doc_id"], lambda texts: {"score": model.score(texts)}, "score double")
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,8 @@ Documents are dealt into ranges of doc_id, encoded range by range, and each rang
 is the prefix sum of the tokens of all shards before it. Readers map the files into memory.
 
 Defined results: a null text is an empty one and has only the end id; null doc_ids come first; rows that repeat a
-doc_id are all kept, ordered by text; an empty table gives no shards; other columns are ignored.
+doc_id are all kept, ordered by the first 32 characters of the text and then by its hash, and may lie in several shards; a very
+long text is encoded whole and its ids go to the file at once; an empty table gives no shards; other columns are ignored.
 """
 
 import os
@@ -36,7 +37,9 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
 
 
 #: Encoded pieces that a worker keeps, and bytes of text that it encodes at once.
-KEPT_PIECES, ENCODE_BYTES = 3 << 19, 3_000_000
+KEPT_PIECES, ENCODE_BYTES = 1 << 20, 2_000_000
+#: Documents that are read back at once.
+READ_DOCS = 20_000
 #: Bytes that begin white space outside ASCII in UTF-8: no cut before a space that one of them follows.
 _SPACE_LEAD = np.isin(np.arange(256), [0xC2, 0xE1, 0xE2, 0xE3])
 _LETTER = np.isin(np.arange(256), [*range(65, 91), *range(97, 123)])
@@ -53,8 +56,8 @@ def encoder(path: str) -> "Encoder":
 class Encoder:
     """Whole texts to ids by the tokenizers library. Byte-level BPE never merges over a space before a visible character,
     nor from a letter to a mark, so texts are cut there and each distinct piece is encoded once in a worker. The library takes the vocabulary's added
-    tokens out of a text before all else, so each of them is a piece of its own. Pieces are told apart by 64-bit hashes and lengths, among those of one
-    worker only."""
+    tokens out of a text before all else, so each of them is a piece of its own. Pieces are told apart by 64-bit hashes, among those of one
+    worker only (2^20 at most: two of them share a hash once in 30 million workers)."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -171,23 +174,23 @@ def write_token_files(docs: DataFrame, out_dir: str, tokenizer: str, end_id: int
     shard's base. A lost task writes its shard again under another name; only names in the manifest count."""
 
     def shard(batches):
-        enc, toks, ids, lens = encoder(tokenizer), [], [], []
+        enc, ids, lens = encoder(tokenizer), [], []
         width = 2 if max(enc.size, end_id + 1) <= 1 << 16 else 4
-        for b in batches:
-            texts = as_bytes(b["text"])
-            for lo, hi in grouped(texts, ENCODE_BYTES):
-                got, n = enc.encode(texts[lo:hi], end_id)
-                toks.append(got.astype(f"<u{width}"))
-                lens.append(n)
-            ids.append(b["doc_id"].to_numpy(np.int64))
-        if not ids:
-            return
-        lens = np.concatenate(lens)
         stem = f"{out_dir}/shard-{uuid.uuid4().hex}"
         fs, path = pafs.FileSystem.from_uri(stem)
         fs.create_dir(os.path.dirname(path), recursive=True)
-        ids = np.concatenate(ids)
-        _put(fs, f"{path}.tok", np.concatenate(toks))
+        with fs.open_output_stream(f"{path}.tok") as out:  # written as it is encoded: a task holds a few MB of tokens
+            for b in batches:
+                texts = as_bytes(b["text"])
+                for lo, hi in grouped(texts, ENCODE_BYTES):
+                    got, n = enc.encode(texts[lo:hi], end_id)
+                    out.write(got.astype(f"<u{width}").tobytes())
+                    lens.append(n)
+                ids.append(b["doc_id"].to_numpy(np.int64))
+        if not ids:
+            fs.delete_file(f"{path}.tok")
+            return
+        ids, lens = np.concatenate(ids), np.concatenate(lens)
         _put(fs, f"{path}.ids", ids)
         _put(fs, f"{path}.len", lens)
         yield pd.DataFrame({"stem": [stem], "part": [TaskContext.get().partitionId()], "first_id": [ids[0]], "n_docs": [len(ids)], "n_tokens": [lens.sum()], "width": [width]})
@@ -202,10 +205,18 @@ def write_token_files(docs: DataFrame, out_dir: str, tokenizer: str, end_id: int
 
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *[F.col(c).alias(f"order_{c}") for c in order or ()])
     by = [f"order_{c}" for c in order] if order else ["doc_id"]
-    shards = written(rows.repartitionByRange(*by).sortWithinPartitions(*by, "doc_id", "text").select("doc_id", "text").mapInPandas(shard, MANIFEST), "shards")
+    # rows that share a doc_id, or have none, are parted too, by their texts; equal ones by where they were read
+    more = {"head": F.substring("text", 1, 32), "whole": F.xxhash64("text"), "at": F.monotonically_increasing_id()}
+    ranged = rows.withColumns(more).repartitionByRange(*by, *more).sortWithinPartitions(*by, *more)
+    shards = written(ranged.select("doc_id", "text").mapInPandas(shard, MANIFEST), "shards")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a shard
     based = shards.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
-    return written(based.repartition("stem").mapInPandas(offsets, f"{MANIFEST}, base long"), "manifest")
+    return written(one_a_task(based, shards).mapInPandas(offsets, f"{MANIFEST}, base long"), "manifest")
+
+
+def one_a_task(rows: DataFrame, shards: DataFrame) -> DataFrame:
+    """Few rows that stand for much work each, about one a task; a given number of partitions is not folded at run time."""
+    return rows.repartition(max(1, shards.count()), "stem")
 
 
 def read_token_files(manifest: DataFrame) -> DataFrame:
@@ -215,11 +226,13 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
         for b in batches:
             for r in b.itertuples(index=False):
                 tok, ids, off = mapped(f"{r.stem}.tok", f"<u{r.width}"), mapped(f"{r.stem}.ids", np.int64), mapped(f"{r.stem}.off", np.int64)
-                at = off - r.base
-                crc = [zlib.crc32(tok[a:z].astype("<u4").tobytes()) for a, z in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-                yield pd.DataFrame({"doc_id": ids, "start": off[:-1], "n_tokens": np.diff(off), "ids_crc32": crc})
+                for lo in range(0, len(ids), READ_DOCS):
+                    part = off[lo : lo + READ_DOCS + 1]
+                    at = part - r.base
+                    crc = [zlib.crc32(tok[a:z].astype("<u4").tobytes()) for a, z in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                    yield pd.DataFrame({"doc_id": ids[lo : lo + READ_DOCS], "start": part[:-1], "n_tokens": np.diff(part), "ids_crc32": crc})
 
-    out = manifest.repartition("stem").mapInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    out = one_a_task(manifest, manifest).mapInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
     return out.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
 
 

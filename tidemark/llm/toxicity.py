@@ -11,11 +11,10 @@ classes every score is the share of label 1 (0 without any); repeated rows have
 """
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, as_bytes, grouped, mix64, table
+from .common import Words, as_bytes, grouped, mix64, per_text, table, unused
 from .labelled import held_out, logistic, sigmoid, training_sample
 
 #: Labelled training documents of each class to learn from, at most.
@@ -267,28 +266,15 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, each: int = SAMPLE) -> Toxi
     return Toxicity(as_bytes(rows["text"]), rows["label"].to_numpy(np.int64))
 
 
-def score_toxicity(docs: DataFrame, model: Toxicity) -> DataFrame:
-    """docs with a score for each row."""
-
-    def score(batches):
-        for b in batches:
-            texts = as_bytes(b["text"])
-            parts = [model.score(texts[lo:hi]) for lo, hi in grouped(texts)]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "score": np.concatenate(parts) if parts else np.empty(0)})
-
-    return docs.select("doc_id", "text").mapInPandas(score, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
+def score_toxicity(docs: DataFrame, model: Toxicity, keep: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
+    """The columns `keep` of docs with a score for each row."""
+    return per_text(docs, list(keep), lambda texts: {name: model.score(texts)}, f"{name} double")
 
 
 def drop_toxic(docs: DataFrame, model: Toxicity, least: float = 0.7) -> DataFrame:
     """The rows of docs, with all their columns, that score below `least`."""
-
-    def keep(batches):
-        for b in batches:
-            texts = as_bytes(b["text"])
-            parts = [model.score(texts[lo:hi]) for lo, hi in grouped(texts)]
-            yield b[np.concatenate(parts) < least] if parts else b
-
-    return docs.mapInPandas(keep, docs.schema)
+    name = unused("score", docs)
+    return score_toxicity(docs, model, tuple(docs.columns), name).filter(F.col(name) < least).drop(name)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
