@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pytest
 
-from tidemark.llm import jpeg, mixing, substrings, token_files, toxicity
+from tidemark.llm import decontamination, jpeg, mixing, substrings, token_files, toxicity
 from tidemark.llm.common import new_dir, written
 from tidemark.llm.decontamination import contamination, drop_contaminated, proximity_matches
 from tidemark.llm.jaccard import keep_one
@@ -169,14 +169,17 @@ def plain_words(text):
     return "".join(c if c.isascii() and (c.isdigit() or c.islower()) or ord(c) > 127 else " " for c in low).split(" ")
 
 
-def test_contamination(spark):
+@pytest.mark.parametrize("most", [0, 100_000])
+def test_contamination(spark, monkeypatch, most):
+    """Shuffled joins, and broadcast ones."""
+    monkeypatch.setattr(decontamination, "BROADCAST_ROWS", most)
     rng = random.Random(3)
     vocabulary = ["the", "of"] + [f"w{i}" for i in range(40)]
     say = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
     items = [(i, say(rng.randint(0, 25))) for i in range(12)] + [(12, "of the"), (13, None), (14, "..."), (15, "of the")]
     rows = EDGES + [(20 + i, say(30) + " " + (rng.choice(items)[1] or "") + ", " + say(30)) for i in range(25)]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
-    got = sorted(tuple(r) for r in contamination(docs(spark, [(i if i is not None else -1, t) for i, t in rows], True), benchmark).drop("text_key").collect())
+    got = sorted((tuple(r) for r in contamination(docs(spark, rows, True), benchmark).drop("text_key").collect()), key=str)
     want = []
     for i, t in rows:
         w, hit, found = [x for x in plain_words(t) if x], set(), set()
@@ -188,9 +191,11 @@ def test_contamination(spark):
                 if tuple(w[s : s + n]) in windows:
                     hit |= set(range(s, s + n))
                     found.add(str(item))
-        want.append((-1 if i is None else i, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)))
-    assert got == sorted(want)
-    assert drop_contaminated(docs(spark, rows), benchmark).count() == sum(not x[5] for x in want)
+        want.append((i, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)))
+    assert got == sorted(want, key=str)
+    kept = drop_contaminated(docs(spark, rows).selectExpr("*", "1 AS _d", "2 AS _t", "3 AS text_key"), benchmark)
+    assert kept.columns == ["doc_id", "text", "_d", "_t", "text_key"]
+    assert kept.count() == sum(not x[5] for x in want)
     assert contamination(docs(spark, []), benchmark).collect() == []
 
 

@@ -1,23 +1,30 @@
 """Benchmark decontamination (operator 3), with DataFrame functions only.
 
-A positional inverted index over the words of all documents holds (term, document, position). A test window is looked up
-from its rarest terms: their posting lists, each moved back by the term's offset in the window, are intersected, and where
-all meet the document's words are compared one by one. Terms that no window looks up are never asked for, so their lists
-are not kept. `proximity_matches` returns documents
-in which the rarest terms of an item stand close together, in any order.
-
-Defined results: a null text has no words; an item without words has no windows; rows that repeat a doc_id are each
-judged by their own text; equal windows of several items count for each; an empty table gives no rows; other columns are
-ignored.
+A positional inverted index over the words of all documents is stored: (term, document, position), for the terms that test
+windows look up. Each window is looked up by its rarest terms, counted over all documents. A posting is moved back by its
+term's offset in the item: (document, item, shift) says where the item would begin. Where as many lists of an item meet on
+one shift as its windows ask for, the document's words and the item's are compared one by one, so matches are exact.
+Terms that no window looks up are never asked for, so their lists are not kept. `proximity_matches` takes from such an index
+the places where an item's rarest terms stand close together.
+
+Joins on terms and documents are broadcast while the small side is counted at BROADCAST_ROWS rows or fewer; beyond that
+they are shuffled, by term and a salt so that a frequent term is parted.
+
+Defined results: a null text has no words; an item without words has no windows; rows that repeat a doc_id, or have none, are each
+judged by their own text; equal windows of several items count for each; ties of counts go by term, then by place; an empty
+table gives no rows; a very long text is one row of words like any other; other columns are ignored, or kept as they are by
+`drop_contaminated`, whatever their names.
 """
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import dropped, table, unused, written
 
 PARTS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 A_Z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Rows of a table that may be broadcast (about 100 bytes each), and salts of a shuffled join on terms.
+BROADCAST_ROWS, SALTS = 200_000, 32
 
 
 def words(text) -> Column:
@@ -25,94 +32,127 @@ def words(text) -> Column:
     return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), A_Z, A_Z.lower()), PARTS), "")
 
 
-def test_windows(benchmark: DataFrame, n: int = 10) -> DataFrame:
-    """window (its words), item_id: each n words in a row of an item, or the whole of a shorter one."""
-    w = F.col("w")
-    starts = F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1)))
-    items = benchmark.select("item_id", words(F.col("text")).alias("w")).filter(F.size("w") > 0)
-    return items.select("item_id", F.explode(F.transform(starts, lambda s: F.slice(w, s, n))).alias("window")).distinct()
+def text_key() -> Column:
+    """With doc_id it names a row; rows alike in both get the same results."""
+    return F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key")
 
 
-def lookups(docs: DataFrame, windows: DataFrame, rarest: int = 3) -> DataFrame:
-    """For each distinct window its rarest terms with their offsets, rank 1 the rarest by count in the documents."""
-    distinct = windows.select("window").distinct().withColumn("wid", F.xxhash64("window"))
-    terms = distinct.select("wid", "window", F.posexplode("window").alias("offset", "term"))
-    asked = terms.select("term").distinct()
-    counts = docs.select(F.explode(words(F.col("text"))).alias("term")).join(asked, "term").groupBy("term").count()
-    order = Window.partitionBy("wid", "window").orderBy("count", "term", "offset")
-    # a term that no document holds has no list: its windows occur nowhere and drop out here
-    known = terms.join(counts, "term", "left").withColumn("count", F.coalesce("count", F.lit(0))).withColumn("rank", F.row_number().over(order))
-    gone = known.filter("count = 0").select("wid", "window").distinct()
-    return known.filter(F.col("rank") <= rarest).join(gone, ["wid", "window"], "left_anti").select("wid", "window", "offset", "term", "rank")
+def small(rows: DataFrame) -> bool:
+    """Whether a written table is proven small enough to broadcast."""
+    return rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
 
 
-def index(docs: DataFrame, asked: DataFrame) -> DataFrame:
-    """Postings of the asked terms in docs(doc_id, text): term, doc_id, text_key, pos."""
-    at = docs.select("doc_id", text_key(), F.posexplode(words(F.col("text"))).alias("pos", "term"))
-    return at.join(asked, "term")
+def by_term(rows: DataFrame, asked: DataFrame, how: str = "inner") -> DataFrame:
+    """rows (of many documents) joined with asked on term."""
+    if small(asked):
+        return rows.join(F.broadcast(asked), "term", how)
+    salted = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).join(salted, ["term", "salt"], how).drop("salt")
 
 
-def text_key() -> Column:
-    """With doc_id it names a row; rows alike in both get the same results."""
-    return F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key")
+def by_row(rows: DataFrame, part: DataFrame, how: str) -> DataFrame:
+    """rows joined with part on doc_id (null too) and text_key; part's are left out."""
+    d, t = unused("_d", rows, part), unused("_t", rows, part)
+    part = part.withColumnsRenamed({"doc_id": d, "text_key": t})
+    return rows.join(F.broadcast(part) if small(part) else part, rows["doc_id"].eqNullSafe(part[d]) & (rows["text_key"] == part[t]), how).drop(d, t)
+
+
+def test_items(benchmark: DataFrame) -> DataFrame:
+    """item_id, item (a hash of its words), w (its words) for each item that has words."""
+    return benchmark.select("item_id", words(F.col("text")).alias("w")).filter(F.size("w") > 0).select("item_id", F.xxhash64("w").alias("item"), "w").distinct()
+
+
+def term_counts(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """term, count: how often each asked term stands in docs."""
+    every = docs.select(F.explode(words(F.col("text"))).alias("term"))
+    if small(asked):
+        return every.join(F.broadcast(asked), "term", "left_semi").groupBy("term").count()
+    return every.groupBy("term").count().join(asked, "term", "left_semi")
+
+
+def lookups(items: DataFrame, counts: DataFrame, n: int, rarest: int) -> DataFrame:
+    """term, item, place, need: by which of its terms an item is looked up, so that each window holds `rarest` of them (all, if
+    it has fewer); at least `need` of them lie in any window. Windows with a term that no document holds occur nowhere."""
+    places = items.select("item", "w").distinct().select("item", F.size("w").alias("size"), F.posexplode("w").alias("place", "term"))
+    known = places.join(counts, "term", "left").withColumn("count", F.coalesce("count", F.lit(0)))
+    starts = F.sequence(F.greatest(F.col("place") - n + 1, F.lit(0)), F.least("place", F.greatest(F.col("size") - n, F.lit(0))))
+    inside = known.withColumn("start", F.explode(starts))
+    order = Window.partitionBy("item", "start").orderBy("count", "term", "place")
+    rank = inside.withColumn("rank", F.row_number().over(order)).withColumn("least", F.min("count").over(Window.partitionBy("item", "start")))
+    chosen = rank.filter((F.col("least") > 0) & (F.col("rank") <= rarest))
+    need = chosen.groupBy("item", "start").count().groupBy("item").agg(F.min("count").alias("need"))
+    return chosen.select("term", "item", "place").distinct().join(need, "item")
 
 
-def same_row(rows: DataFrame, part: DataFrame, how: str) -> DataFrame:
-    """rows joined to part by doc_id (null too) and text_key."""
-    part = part.withColumnsRenamed({"doc_id": "_d", "text_key": "_t"})
-    return rows.join(part, rows["doc_id"].eqNullSafe(part["_d"]) & (rows["text_key"] == part["_t"]), how).drop("_d", "_t")
+def postings(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """The index of docs(doc_id, text) for the asked terms: term, doc_id, text_key, pos."""
+    return by_term(docs.select("doc_id", text_key(), F.posexplode(words(F.col("text"))).alias("pos", "term")), asked, "left_semi")
 
 
-def phrase_matches(docs: DataFrame, windows: DataFrame, n: int = 10, rarest: int = 3) -> DataFrame:
-    """doc_id, text_key, start, window: every occurrence of a window in a document, exactly."""
-    look = written(lookups(docs, windows, rarest), "lookups")
-    postings = index(docs, look.select("term").distinct())
-    # each list moved back by its offset in the window: where all of a window's lists meet, it may start
-    lists = look.groupBy("wid").agg(F.count("*").alias("lists"))
-    moved = postings.join(look.select("term", "wid", "offset"), "term").withColumn("start", F.col("pos") - F.col("offset")).filter("start >= 0")
-    met = moved.groupBy("wid", "doc_id", "text_key", "start").agg(F.count("*").alias("found")).join(lists, "wid").filter("found >= lists")
-    sizes = look.select("wid", F.size("window").alias("size")).distinct()
-    places = met.join(sizes, "wid").groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "wid", "size")).alias("places"))
+def phrase_matches(docs: DataFrame, items: DataFrame, n: int = 10, rarest: int = 2) -> DataFrame:
+    """doc_id, text_key, item, w, start, windows: for each place where an item would begin (it may lie before the document) the
+    offsets in the item of its windows that the document holds there, exactly; written."""
+    counts = written(term_counts(docs, written(items.select(F.explode("w").alias("term")).distinct(), "terms")), "counts")
+    look = written(lookups(items, counts, n, rarest), "lookups")
+    index = written(postings(docs, written(look.select("term").distinct(), "asked")), "index")
+    # each list moved back by its term's place in the item: where an item's lists meet, it may begin
+    moved = by_term(index, look).select("doc_id", "text_key", "item", "need", (F.col("pos") - F.col("place")).alias("start"))
+    met = moved.groupBy("doc_id", "text_key", "item", "start").agg(F.count("*").alias("found"), F.min("need").alias("need")).filter("found >= need")
+    texts = items.select("item", "w").distinct()
+    met = written(met.select("doc_id", "text_key", "item", "start"), "met")
     # the words there, compared one by one
-    rows = docs.select("doc_id", text_key(), words(F.col("text")).alias("w"))
-    there = F.explode(F.transform("places", lambda p: F.struct(p["start"].alias("start"), p["wid"].alias("wid"), F.slice("w", p["start"] + 1, p["size"]).alias("window"))))
-    seen = same_row(rows, written(places, "places"), "inner").select("doc_id", "text_key", there.alias("m")).select("doc_id", "text_key", "m.*")
-    return seen.join(look.select("wid", "window").distinct(), ["wid", "window"]).select("doc_id", "text_key", "start", "window").distinct()
+    some = by_row(docs.select("doc_id", text_key(), "text"), written(met.select("doc_id", "text_key").distinct(), "some"), "left_semi")
+    there = by_row(some.select("doc_id", "text_key", words(F.col("text")).alias("words")), met, "inner")
+    there = there.join(F.broadcast(texts) if small(texts) else texts, "item")
+    same = F.transform("w", lambda x, i: F.coalesce(F.get("words", F.col("start") + i) == x, F.lit(False)))
+    seen = there.select("doc_id", "text_key", "item", "w", "start", same.alias("same"))
+    starts = F.sequence(F.lit(0), F.greatest(F.size("w") - n, F.lit(0)))
+    windows = F.filter(starts, lambda s: ~F.array_contains(F.slice("same", s + 1, n), False))
+    found = written(seen.select("doc_id", "text_key", "item", "w", "start", windows.alias("windows")).filter(F.size("windows") > 0).distinct(), "matches")
+    dropped(counts, look, index, met)
+    return found
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
     """doc_id, text_key, n_words, n_hit, n_items, items_sha256, contaminated for each row of docs."""
-    windows = written(test_windows(benchmark, n), "windows")
-    matches = written(phrase_matches(docs, windows, n).withColumn("size", F.size("window")), "matches")
-    covered = matches.select("doc_id", "text_key", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("size") - 1)).alias("p")).groupBy("doc_id", "text_key").agg(F.count_distinct("p").alias("n_hit"))
-    items = matches.select("doc_id", "text_key", "window").distinct().join(windows, "window").groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
+    items = written(test_items(benchmark), "items")
+    matches = phrase_matches(docs, items, n)
+    reach = F.least(F.size("w"), F.lit(n))
+    at = F.flatten(F.transform("windows", lambda s: F.sequence(F.col("start") + s, F.col("start") + s + reach - 1)))
+    covered = matches.select("doc_id", "text_key", F.explode(F.array_distinct(at)).alias("p")).groupBy("doc_id", "text_key").agg(F.count_distinct("p").alias("n_hit"))
+    names = items.select("item", "w", F.col("item_id").cast("string").alias("name")).distinct()
+    held = matches.select("doc_id", "text_key", "item", "w").distinct().join(F.broadcast(names) if small(names) else names, ["item", "w"])
+    held = held.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("name")).alias("items"))
     rows = docs.select("doc_id", text_key(), F.size(words(F.col("text"))).cast("long").alias("n_words"))
-    for part in (covered, items):
-        rows = same_row(rows, part, "left")
+    for name, part in (("covered", covered), ("held", held)):
+        rows = by_row(rows, written(part, name), "left")
     n_hit, held = F.coalesce("n_hit", F.lit(0)), F.coalesce("items", F.array().cast("array<string>"))
     return rows.select("doc_id", "text_key", "n_words", n_hit.alias("n_hit"), F.size(held).cast("long").alias("n_items"), F.sha2(F.array_join(held, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
     """The rows of docs, with all their columns, that hold no window of a test item."""
-    hit = written(phrase_matches(docs, written(test_windows(benchmark, n), "windows"), n).select("doc_id", "text_key").distinct(), "hit")
-    p = hit.withColumnsRenamed({"doc_id": "_d", "text_key": "_t"})
-    return docs.join(p, docs["doc_id"].eqNullSafe(p["_d"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == p["_t"]), "left_anti")
+    matches = phrase_matches(docs.select("doc_id", "text"), written(test_items(benchmark), "items"), n)
+    hit = written(matches.select("doc_id", "text_key").distinct(), "hit")
+    d, t = unused("_d", docs), unused("_t", docs)
+    p = hit.withColumnsRenamed({"doc_id": d, "text_key": t})
+    here = docs["doc_id"].eqNullSafe(p[d]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == p[t])
+    return docs.join(F.broadcast(p) if small(p) else p, here, "left_anti")
 
 
 def proximity_matches(docs: DataFrame, benchmark: DataFrame, terms: int = 3, within: int = 20) -> DataFrame:
     """item_id, doc_id, start: places where the item's rarest terms (all that the documents hold, at most so many) stand
-    within so many words, in any order; start is the bucket of `within` words in which the first of them stands."""
+    within so many words, in any order; start is where the first of them stands."""
     w = benchmark.select("item_id", F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
-    counts = docs.select(F.explode(words(F.col("text"))).alias("term")).join(w.select("term").distinct(), "term").groupBy("term").count()
+    counts = term_counts(docs, written(w.select("term").distinct(), "terms"))
     rank = F.row_number().over(Window.partitionBy("item_id").orderBy("count", "term"))
-    look = w.join(counts, "term").withColumn("rank", rank).filter(F.col("rank") <= terms)
+    look = written(w.join(counts, "term").withColumn("rank", rank).filter(F.col("rank") <= terms).select("term", "item_id"), "near")
     need = look.groupBy("item_id").agg(F.count("*").alias("need"))
-    at = docs.select("doc_id", F.posexplode(words(F.col("text"))).alias("pos", "term")).join(look, "term")
+    index = written(postings(docs, written(look.select("term").distinct(), "asked")), "index")
     # a stretch of `within` words lies in a bucket and the next: each posting goes to both
     bucket = F.floor(F.col("pos") / within)
-    spread = at.select("item_id", "doc_id", "pos", "term", F.explode(F.array(bucket, bucket - 1)).alias("bucket"))
-    near = Window.partitionBy("item_id", "doc_id", "bucket").orderBy("pos").rangeBetween(0, within - 1)
+    spread = by_term(index, look).select("item_id", "doc_id", "text_key", "pos", "term", F.explode(F.array(bucket, bucket - 1)).alias("bucket"))
+    near = Window.partitionBy("item_id", "doc_id", "text_key", "bucket").orderBy("pos").rangeBetween(0, within - 1)
     seen = spread.withColumn("terms", F.size(F.collect_set("term").over(near))).join(need, "item_id").filter("terms >= need")
     return seen.groupBy("item_id", "doc_id").agg(F.min("pos").alias("start"))
 
