@@ -3,30 +3,37 @@
 A document's set holds the hashes of its word n-grams. With the sets in one global order, two sets that are alike share l
 of their members in prefixes of n - ceil(t n) + l. Frequent members come last in the order. A document whose prefix still
 holds frequent members may take a longer one: l is where the estimated cost of reading and verifying its candidates is
-least, and a candidate must share as many prefix members as the smaller l of the two.
+least, and a candidate must share as many prefix members as the smaller l of the two before it is verified.
 
-Texts with equal sets form a class, and classes are joined. Components need not every link: rounds of pivots verify each
-class with one class of each of its lists, until the pairs of different components that share a list are few; all of these
-that share enough members are then verified. So no link between different components is lost, and no group is multiplied out.
+Texts with equal sets form a class, and classes are joined. Components need not every link. A list of a prefix member
+with SMALL classes or fewer gives all its pairs at once. A longer one gives in each round the pairs of some of its classes
+(pivots, four times as many as in the round before) with all others; these classes then leave the list, their links there
+being decided. A list whose classes have come into one component is closed. So no link between different components is
+lost, every list ends, and a list of near copies closes after one or two rounds, at a few pairs for each class.
 
 Defined results: a text without words has an empty set, links with nothing and is a component of its own; fewer than n words
 are one n-gram; a null doc_id never names a component that has another; rows that repeat a doc_id are joined by their own
-texts; an empty table gives no rows; other columns are ignored.
+texts; equal texts are one class; a very long text is one set, read whole; an empty table gives no rows; other columns are
+ignored by `jaccard_components` and kept as they are by `keep_one`, whatever their names. Members and classes are told
+apart by 64-bit hashes.
 """
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, Words, as_bytes, grouped, mix64, table, written
+from .common import U64, Words, as_bytes, dropped, grouped, mix64, table, unused, written
 from .packed import _split, n_buckets, row_key
 
 #: A member is frequent from this share of the documents on (so at most 1 / FREQUENT times the mean set size are), and in FREQUENT_LEAST documents.
 FREQUENT, FREQUENT_LEAST = 0.001, 50
 MOST_SHARED, VERIFY = 8, 0.05
-#: Pairs of different components that share a list, for each place on a list, up to which all are looked at; and rounds of pivots before, at most.
-FEW_PAIRS, ROUNDS = 3, 6
+#: Lists up to which all pairs are made; pivots of a longer list in the first round; classes of a list that one task pairs with the pivots.
+SMALL, PIVOTS, SALTED = 8, 2, 1000
+#: Rows of (class, row) that may be broadcast.
+BROADCAST_ROWS = 500_000
 
 
 def shingle_sets(texts: list[bytes], n: int):
@@ -60,6 +67,7 @@ def class_ids(doc: np.ndarray, member: np.ndarray, size: np.ndarray) -> np.ndarr
 
 def describe(docs: DataFrame, n: int) -> DataFrame:
     """doc_id, row (hash of doc_id and text), n_shingles, cid for each row of docs; and for each task a row of its often-met members (many) with counts."""
+    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n_shingles", pa.int64()), ("cid", pa.int64()), ("members", pa.binary()), ("counts", pa.binary())])
 
     def one(batches):
         seen, held, docs_here = [], 0, 0
@@ -70,7 +78,7 @@ def describe(docs: DataFrame, n: int) -> DataFrame:
             return m, np.bincount(c, np.concatenate([counted[1], np.ones(sum(map(len, seen)))]), len(m)).astype(np.int64)
 
         for b in batches:
-            texts = as_bytes(b["text"])
+            texts = as_bytes(b.column("text"))
             for lo, hi in grouped(texts):
                 doc, member, size = shingle_sets(texts[lo:hi], n)
                 seen.append(member)
@@ -79,12 +87,13 @@ def describe(docs: DataFrame, n: int) -> DataFrame:
                 if held > 4_000_000:  # what is rare so far is let go: only the order of members depends on these counts
                     m, c = fold()
                     counted, seen, held = (m[c > 1], c[c > 1]), [], 0
-                yield pd.DataFrame({"doc_id": b["doc_id"].iloc[lo:hi].to_numpy(), "row": b["row"].iloc[lo:hi].to_numpy(), "n_shingles": size, "cid": class_ids(doc, member, size).view(np.int64), "members": None, "counts": None})
+                ids = [b.column(c).slice(lo, hi - lo) for c in ("doc_id", "row")]
+                yield pa.RecordBatch.from_arrays([*ids, pa.array(size.astype(np.int64)), pa.array(class_ids(doc, member, size).view(np.int64)), *[pa.nulls(hi - lo, pa.binary())] * 2], schema=schema)
         m, c = fold()
         often = c >= max(3, FREQUENT * docs_here)
-        yield pd.DataFrame({"doc_id": [None], "row": [0], "n_shingles": [-1], "cid": [0], "members": [m[often].tobytes()], "counts": [c[often].tobytes()]}).astype({"doc_id": "Int64"})
+        yield pa.RecordBatch.from_pylist([{"row": 0, "n_shingles": -1, "cid": 0, "members": m[often].tobytes(), "counts": c[often].tobytes()}], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_key().alias("row")).mapInPandas(one, "doc_id long, row long, n_shingles long, cid long, members binary, counts binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_key().alias("row")).mapInArrow(one, "doc_id long, row long, n_shingles long, cid long, members binary, counts binary")
 
 
 def frequent_members(described: DataFrame, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
@@ -180,8 +189,11 @@ def components(links: DataFrame) -> DataFrame:
         step = labels.join(near, labels["node"] == near["a"]).select("node", F.least("comp", "near").alias("to"), F.col("comp").alias("was"))
         own = labels.select(F.col("node").alias("to"), F.col("comp").alias("further"))
         new = written(step.join(own, "to", "left").select("node", "was", F.least("to", F.coalesce("further", "to")).alias("comp")), "labels")
-        labels = new.select("node", "comp")
+        old, labels = labels, new.select("node", "comp")
+        labels.written_at = new.written_at
+        dropped(old)
         if new.filter("comp <> was").isEmpty():
+            dropped(both)
             return labels
 
 
@@ -197,22 +209,9 @@ def alike_sizes(t: int, a: str = "na", b: str = "nb"):
     return (F.col(a) * 100 >= F.col(b) * t) & (F.col(b) * 100 >= F.col(a) * t)
 
 
-def jaccard_components(docs: DataFrame, n: int = 4, t: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id, row, comp for docs(doc_id, text); alike: 100 shared >= t in all."""
-    buckets = n_buckets(docs)
-    described = written(describe(docs, n), "described")
-    rows = described.filter("n_shingles >= 0").select("doc_id", "row", "n_shingles", "cid")
-    frequent, counts = frequent_members(described, max(rows.count(), 1))
-    lists = written(postings(docs, n, t, frequent, counts, buckets), "lists")
-
-    for _ in range(2):  # a class on fewer lists than any partner there asks for has none; lists of one class go
-        asked = lists.groupBy("member").agg(F.min("l").alias("least"), F.count("*").alias("m")).filter("m > 1")
-        able = lists.join(asked, "member").groupBy("cid").agg(F.count("*").alias("on"), F.min("least").alias("need")).filter("on >= need")
-        lists = written(lists.join(able.select("cid"), "cid", "left_semi"), "lists")
-
-    # the sets of classes still on lists, from one text each
-    classes = lists.select("cid").distinct()
-    rep = rows.join(classes, "cid").groupBy("cid").agg(F.min("doc_id").alias("rep")).groupBy("rep").agg(F.collect_set("cid").alias("cids"))
+def set_of_each(docs: DataFrame, rows: DataFrame, classes: DataFrame, n: int) -> DataFrame:
+    """cid, members of the classes, each read from the text of one of its rows."""
+    rep = written(rows.join(classes, "cid", "left_semi").groupBy("cid").agg(F.min("row").alias("row")), "reps")
 
     def make(batches):
         for b in batches:
@@ -220,65 +219,102 @@ def jaccard_components(docs: DataFrame, n: int = 4, t: int = 85) -> DataFrame:
             for lo, hi in grouped(texts):
                 doc, member, size = shingle_sets(texts[lo:hi], n)
                 cid, ends = class_ids(doc, member, size).view(np.int64), np.cumsum(size)
-                ok = [i for i, want in enumerate(b["cids"].iloc[lo:hi]) if cid[i] in want]
+                ok = np.flatnonzero(cid == b["cid"].iloc[lo:hi].to_numpy(np.int64)).tolist()
                 yield pd.DataFrame({"cid": cid[ok], "members": [member[ends[i] - size[i] : ends[i]].view(np.int64) for i in ok]})
 
-    with_rep = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(written(rep, "reps"), F.col("doc_id").eqNullSafe(F.col("rep"))).select("text", "cids")
-    sets = written(with_rep.mapInPandas(make, "cid long, members array<long>").dropDuplicates(["cid"]), "sets")
-
-    # components only grow: a list whose classes are all in one stays closed, and each round writes what is still open
-    comps, few = None, FEW_PAIRS * lists.count()
-    held = lists.withColumn("comp", F.col("cid"))
-    for k in range(ROUNDS + 1):
-        # lists that join different components, and how many pairs of classes they would make
-        per = held.groupBy("member", "comp").agg(F.count("*").alias("m")).groupBy("member").agg(F.count("*").alias("comps"), F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("own"))
-        open_lists = written(per.filter("comps > 1"), "open")
-        pairs = open_lists.agg(F.sum(F.col("all") * F.col("all") - F.col("own"))).first()[0] or 0
-        if not pairs:
-            break
-        held = written(held.join(open_lists.select("member"), "member", "left_semi"), "held")
-        last = pairs <= few or k == ROUNDS
-        if last:
-            a, b = (held.select("member", *[F.col(c).alias(f"{c}_{s}") for c in ("cid", "n", "l", "comp")]) for s in "ab")
-            met = a.join(b, "member").filter((F.col("cid_a") < F.col("cid_b")) & (F.col("comp_a") != F.col("comp_b")) & alike_sizes(t, "n_a", "n_b"))
-            met = met.groupBy(F.col("cid_a").alias("a"), F.col("cid_b").alias("b")).agg(F.count("*").alias("shared"), F.min(F.least("l_a", "l_b")).alias("need"))
-            new = met.filter("shared >= need").select("a", "b")
-        else:
-            pivot = held.groupBy("member").agg(F.min(F.struct(F.xxhash64(F.lit(k), F.col("cid")).alias("h"), "cid", "n", "l", "comp")).alias("p"))
-            met = held.join(pivot, "member").filter(F.col("comp") != F.col("p.comp")).select(F.col("p.cid").alias("a"), F.col("cid").alias("b"), F.col("p.n").alias("na"), F.col("n").alias("nb"), F.least("p.l", "l").alias("need"))
-            # the pivot's lists alone: a pair that misses some here is looked at again below
-            new = met.filter(alike_sizes(t)).groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("need").alias("need")).filter("shared >= least(need, 3)").select("a", "b")
-        alike = written(similar(new, sets, t), "alike")
-        if comps is None:
-            comps = components(alike)
-        else:  # between the components so far, the new links join some; each class takes its component's new name
-            named = comps.withColumnRenamed("node", "_n").withColumnRenamed("comp", "_c")
-            for end in ("a", "b"):
-                alike = alike.join(named, F.col(end) == F.col("_n"), "left").withColumn(end, F.coalesce("_c", end)).drop("_n", "_c")
-            joined = components(alike.filter("a <> b"))
-            renamed = comps.join(joined.select(F.col("node").alias("comp"), F.col("comp").alias("to")), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
-            comps = written(renamed.union(joined.join(comps.select("node"), "node", "left_anti").select("node", "comp")), "comps")
-        if last:
+    few = rep.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    found = docs.select("text", row_key().alias("row")).join(F.broadcast(rep) if few else rep, "row").select("text", "cid")
+    sets = written(found.mapInPandas(make, "cid long, members array<long>").dropDuplicates(["cid"]), "sets")
+    dropped(rep)
+    return sets
+
+
+def one_round(held: DataFrame, k: int) -> DataFrame:
+    """held(member, cid, n, l, comp) of lists that join different components, with what this round does: pivot (paired with
+    all others of its list), settled (the list ends with this round), salts."""
+    most = PIVOTS * 4**k
+    per = held.groupBy("member", "comp").agg(F.count("*").alias("m")).groupBy("member").agg(F.sum("m").alias("all"), F.max(F.struct("m", "comp")).alias("top"), F.count("*").alias("comps")).filter("comps > 1")
+    per = per.select("member", "all", F.col("top.comp").alias("top"), (F.col("all") - F.col("top.m")).alias("others"))
+    small, drawn = F.col("all") <= SMALL, F.pmod(F.xxhash64(F.lit(k), "cid"), F.lit(1 << 30)) * F.col("others") < most * (1 << 30)
+    pivot = small | ((F.col("comp") != F.col("top")) & ((F.col("others") <= most) | drawn))
+    settled = small | (F.col("others") <= most)
+    return held.join(per, "member").select("member", "cid", "n", "l", "comp", pivot.alias("pivot"), settled.alias("settled"), F.ceil(F.col("all") / SALTED).cast("int").alias("salts"))
+
+
+def candidates(held: DataFrame, t: int) -> DataFrame:
+    """Pairs (a, b) of one_round's classes that may be alike: of different components and like sizes, sharing enough lists, where
+    lists on which neither is a pivot may hold both."""
+    loose = held.filter("NOT settled AND NOT pivot").groupBy("cid").agg(F.count("*").alias("loose"))
+    held = held.join(loose, "cid", "left").withColumn("loose", F.coalesce("loose", F.lit(0)))
+    own = ["cid", "n", "l", "comp", "loose"]
+    a = held.filter("pivot").select("member", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), *[F.col(c).alias(f"{c}_a") for c in own])
+    b = held.select("member", F.pmod(F.xxhash64("cid"), F.col("salts")).cast("int").alias("salt"), "pivot", *[F.col(c).alias(f"{c}_b") for c in own])
+    met = a.join(b, ["member", "salt"]).filter((F.col("comp_a") != F.col("comp_b")) & (~F.col("pivot") | (F.col("cid_a") < F.col("cid_b"))) & alike_sizes(t, "n_a", "n_b"))
+    pair = (F.least("cid_a", "cid_b").alias("a"), F.greatest("cid_a", "cid_b").alias("b"))
+    met = met.groupBy(*pair).agg(F.count("*").alias("shared"), F.min(F.least("l_a", "l_b") - F.least("loose_a", "loose_b")).alias("need"))
+    return met.filter("shared >= need").select("a", "b")
+
+
+def merged(comps: DataFrame | None, alike: DataFrame) -> DataFrame:
+    """node, comp after the links alike(a, b), given those before."""
+    if comps is None:
+        return components(alike)
+    # between the components so far, the new links join some; each class takes its component's new name
+    named = comps.withColumnRenamed("node", "_n").withColumnRenamed("comp", "_c")
+    for end in ("a", "b"):
+        alike = alike.join(named, F.col(end) == F.col("_n"), "left").withColumn(end, F.coalesce("_c", end)).drop("_n", "_c")
+    joined = components(alike.filter("a <> b"))
+    renamed = comps.join(joined.select(F.col("node").alias("comp"), F.col("comp").alias("to")), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
+    out = written(renamed.union(joined.join(comps.select("node"), "node", "left_anti").select("node", "comp")), "comps")
+    dropped(comps, joined)
+    return out
+
+
+def jaccard_components(docs: DataFrame, n: int = 4, t: int = 85) -> DataFrame:
+    """doc_id, n_shingles, component_id, row, comp for docs(doc_id, text); alike: 100 shared >= t in all."""
+    buckets = n_buckets(docs)
+    described = written(describe(docs, n), "described")
+    rows = described.filter("n_shingles >= 0").select("doc_id", "row", "n_shingles", "cid")
+    frequent, counts = frequent_members(described, max(rows.count(), 1))
+    lists = written(postings(docs, n, t, frequent, counts, buckets), "lists")
+
+    comps, held, k = None, lists.withColumn("comp", F.col("cid")), 0
+    while True:
+        now = written(one_round(held, k), "held")
+        pairs = written(candidates(now, t), "pairs")
+        if not pairs.isEmpty():
+            sets = set_of_each(docs, rows, pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct(), n)
+            alike = written(similar(pairs, sets, t), "alike")
+            comps = merged(comps, alike)
+            dropped(sets, alike)
+        rest = now.filter("NOT settled AND NOT pivot").select("member", "cid", "n", "l", "comp")
+        dropped(pairs, lists)
+        if rest.isEmpty():
             break
-        held = held.drop("comp").join(comps.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+        if comps is not None:
+            rest = rest.join(comps.withColumnRenamed("node", "cid").withColumnRenamed("comp", "to"), "cid", "left").select("member", "cid", "n", "l", F.coalesce("to", "comp").alias("comp"))
+        held, lists, k = rest, now, k + 1
+    dropped(now)
 
     per_class = rows.groupBy("cid").agg(F.min("doc_id").alias("least"))
     if comps is None:
         comps = docs.sparkSession.createDataFrame([], "node long, comp long")
     named = per_class.join(comps.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     names = named.groupBy("comp").agg(F.min("least").alias("component_id"))
-    out = rows.join(named.select("cid", "comp"), "cid").join(names, "comp")
+    named = written(named.join(names, "comp").select("cid", "comp", "component_id"), "named")
+    out = rows.join(named, "cid")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "row", "comp")
 
 
 def keep_one(docs: DataFrame, n: int = 5, t: int = 80) -> DataFrame:
     """The rows of docs of which each component keeps one, that of its least doc_id; rows without words all stay, but once."""
-    joined = jaccard_components(docs, n, t)
+    joined = jaccard_components(docs.select("doc_id", "text"), n, t)
     group = F.when(F.col("n_shingles") > 0, F.col("comp")).otherwise(F.col("row"))
     kept = joined.groupBy(group.alias("g"), (F.col("n_shingles") > 0).alias("some")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"))
-    kept = written(kept.select(F.col("first.row").alias("_row")), "kept")
-    rows = docs.withColumn("_row", row_key())
-    return rows.join(kept, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
+    name = unused("_row", docs)
+    kept = written(kept.select(F.col("first.row").alias(name)), "kept")
+    rows = docs.withColumn(name, row_key())
+    return rows.join(kept, name, "left_semi").dropDuplicates([name]).drop(name)
 
 
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
