@@ -35,12 +35,14 @@ def run(spark, rows, schema="doc_id long, text string"):
     return sorted((tuple(r)[:3] for r in jaccard_components(spark.createDataFrame(rows, schema)).collect()), key=str)
 
 
-@pytest.mark.parametrize("few", [0, 400])
-def test_against_brute_force(spark, monkeypatch, few):
-    """With pivots alone first, and with all pairs at once."""
-    monkeypatch.setattr(jaccard, "FEW_PAIRS", few)
+@pytest.mark.parametrize("small", [1, 8])
+def test_against_brute_force(spark, monkeypatch, small):
+    """With pivots from the start, a class a task, sets by shuffled joins; and with short lists at once."""
+    monkeypatch.setattr(jaccard, "SMALL", small)
+    monkeypatch.setattr(jaccard, "PIVOTS", 1)
+    monkeypatch.setattr(jaccard, "SALTED", 2)
+    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", small - 1)
     monkeypatch.setattr(jaccard, "FREQUENT_LEAST", 5)
-    monkeypatch.setattr(jaccard, "ROUNDS", 2)
     rng = random.Random(2)
     words = ["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(300)]
     hot = [rng.choice(words) for _ in range(30)]
@@ -60,3 +62,11 @@ def test_empty_table_and_clashing_columns(spark):
     assert run(spark, []) == []
     rows = [(1, "a b c d e f", 9, 9), (2, "a b c d e f", 9, 9)]
     assert run(spark, rows, "doc_id long, text string, cid long, comp int") == [(1, 3, 1), (2, 3, 1)]
+
+
+def test_words_that_a_polynomial_confuses_and_ids_beside_null(spark):
+    """The word of Thue and Morse and its complement have equal polynomial hashes modulo 2**64, whatever the base."""
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    b = a.translate(str.maketrans("ab", "ba"))
+    rows = [(2**60 + 1, f"x y z {a}"), (2**60 + 3, f"x y z {b}"), (None, f"x y z {b}"), (2**60 + 5, "x y z " + "long" * 5000)]
+    assert run(spark, rows) == sorted([(2**60 + 1, 1, 2**60 + 1), (2**60 + 3, 1, 2**60 + 3), (None, 1, 2**60 + 3), (2**60 + 5, 1, 2**60 + 5)], key=str)
