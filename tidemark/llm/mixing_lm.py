@@ -1,35 +1,43 @@
-"""LM scoring (operator 10): logistic context mixing over the bits of words.
-
-Words are counted over all training documents, and so are, for every distinct word, the bits that follow each hashed context
-(place, one, two and three bytes, whole beginning). A word's probability is its share among the training tokens or, with the
-weight that Good and Turing give to unseen words, the product of its bits: the context predictors' logits are mixed by weights
-that a gate picks by how often the longest contexts were met, learned online, then refined by an adaptive probability map.
-A text adapts the weights of kinds of documents (mixtures of word frequencies, found without labels) as it
-goes: the product of its tokens under this is the kinds' weighted sum. A token's log10 probabilities add up; over the text's bytes they give bits per byte.
-
-Frequent words (HEAD at most, so a bounded broadcast) are scored where their documents are read; the others go, with the
-rows that they stand in, to the bucket that holds their counts. The mixing weights are fitted on at most FIT words; all
-counts cover all training documents. Words are told apart by 64-bit hashes.
+"""LM scoring (operator 10): online logistic context mixing over the bits of a text's words.
+
+Words are counted over all training documents. The HEAD most frequent ones, the end of a text and an escape are the leaves of
+a Huffman tree, and a token is the bits on the way to its leaf. Each bit has three predictors: the node's own counts, and
+hashed contexts of node and word before, and of node and two words before (so contexts cross words). Their logits are added with weights that a gate picks by how often the contexts were met; an adaptive probability
+map refines the sum. All training documents are read in order by their tasks, which predict each block of bits, learn
+weights and map from it, and only then count it; the tasks' counts are added and their weights averaged. When a text is
+scored, its weights start there and go on learning along it. A word behind the escape has its counted share of such words or,
+with the weight that Good and Turing give to unseen ones, is spelled: the bits of its bytes are predicted in the same way from
+hashed contexts (place, one, two and three bytes, whole beginning) counted over all distinct words. A token's log10
+probabilities add up; over the text's bytes they give bits per byte.
+
+What is broadcast is bounded: HEAD words and their codes, SLOTS and BYTE_SLOTS slots for each context. Words behind the
+escape go, with the rows that they stand in, to the bucket that holds their counts, and sums go back to the rows' buckets,
+packed. Tables of counts are added by a tree of groups of FOLD. Words are told apart by 64-bit hashes.
 
 Defined results: a null text is an empty one, of the end token only; a null doc_id is a training one; repeated rows have
-equal scores; without training tokens base is log10(1 / 1.1) for each; an empty table gives no rows.
+equal scores; ties of counts go by the words' hashes; a very long text is scored whole, in blocks; without training tokens
+base is log10(1 / 1.1) for each; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
+import heapq
+
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, Words, as_bytes, crc_mod, grouped, mix64, table, written
+from .common import U64, Words, as_bytes, crc_mod, dropped, grouped, mix64, table, written
 from .packed import _split, n_buckets, row_key
 
-HEAD, FIT = 1 << 17, 20_000
-#: Kinds of documents, found in at most KIND_DOCS training documents by at most KIND_WORDS frequent words; their counts cover all.
-KINDS, KIND_DOCS, KIND_WORDS, PRIOR = 8, 1200, 4096, 3000.0
-SLOTS, CONTEXTS, GATES = 1 << 17, 5, 9
+HEAD = 1 << 17
+SLOTS, BYTE_SLOTS = 1 << 20, 1 << 17
+#: Arrays added at once; text bytes that one task counts contexts of.
+FOLD, COUNTED_BYTES = 32, 100_000_000
 PACKS = "bucket int, h binary, words binary, which binary, rows binary, who binary, docs binary"
 NO_ID = -(2**63)
 _DOC = np.dtype([("row", "<u8"), ("doc_id", "<i8"), ("n_tokens", "<i8"), ("n_known", "<i8"), ("base", "<f8"), ("score", "<f8"), ("n_bytes", "<i8")])
+_SUM = np.dtype([("row", "<u8"), ("n_known", "<i8"), ("base", "<f8"), ("score", "<f8")])
 
 
 def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -70,7 +78,7 @@ def count_words(docs: DataFrame, buckets: int) -> DataFrame:
 
 
 def bit_slots(words: list[bytes]):
-    """For each byte of the words (each with a space at its end) the slots and values of its bits: (8, contexts, bytes), (8, bytes), and the word of each byte."""
+    """For each byte of the words (each with a space at its end) the slots (contexts, bits) and values of its bits, and the word of each bit."""
     data = np.frombuffer(b"".join(w + b" " for w in words), np.uint8)
     sizes = np.fromiter((len(w) + 1 for w in words), np.int64, len(words))
     word = np.repeat(np.arange(len(words)), sizes)
@@ -81,210 +89,315 @@ def bit_slots(words: list[bytes]):
     contexts = [np.minimum(nth, 3).astype(U64), back[0], back[0] | back[1] << U64(8), back[0] | back[1] << U64(8) | back[2] << U64(16), begun]
     contexts = np.stack([mix64(c + (U64(k + 1) << U64(40))) for k, c in enumerate(contexts)])
     bits = np.unpackbits(data.reshape(-1, 1), axis=1).T
-    slots, part = np.empty((8, CONTEXTS, len(data)), np.int32), np.ones(len(data), np.int64)
+    slots, part = np.empty((len(contexts), 8, len(data)), np.int32), np.ones(len(data), np.int64)
     for k in range(8):
-        slots[k] = (mix64(contexts + part.astype(U64)[None, :] * U64(0x9E3779B1)) >> U64(64 - 17)).astype(np.int32)
+        slots[:, k] = (mix64(contexts + part.astype(U64)[None, :] * U64(0x9E3779B1)) >> U64(64 - 17)).astype(np.int32)
         part = part * 2 + bits[k]
-    return slots, bits, word
+    return slots.reshape(len(contexts), -1), bits.ravel(), np.tile(word, 8)
+
+
+class Online:
+    """Hashed-context predictors of bits and how they are mixed: counts of zeros and ones in each slot, weights and a map of
+    refined probabilities for each gate. The gate is how often the last two contexts were met, in four steps each."""
+
+    #: RATE scales Newton's steps by single weights; LEARNED: what a gate's start counts for, in bits; BLOCK: bits that are learned from at once.
+    RATE, GATES, STEPS, LEARNED, BLOCK = 0.15, 16, 33, 500.0, 1 << 16
+
+    def __init__(self, contexts: int, slots: int, fixed: int = 0):
+        self.counts = np.zeros((contexts, slots, 2), np.uint32)
+        inputs = contexts + fixed + 1
+        # a start: the last two contexts as far as they were met, the others for the rest, the longer ones more
+        self.weights = np.zeros((self.GATES, inputs), np.float32)
+        far, last = np.repeat(np.arange(4), 4), np.tile(np.arange(4), 4)
+        self.weights[:, -3], self.weights[:, -2] = 0.13 * far, 0.17 * last
+        share = 2.0 ** np.arange(inputs - 3)
+        self.weights[:, :-3] = (1 - self.weights[:, -3] - self.weights[:, -2])[:, None] * share / share.sum()
+        self.map = np.tile((1 / (1 + np.exp(-(np.arange(self.STEPS) - 16) / 2.0))).astype(np.float32), (self.GATES, 1))
+        self.bend = np.ones((self.GATES, inputs))  # mean of x x p (1 - p)
+        self.seen, self.coded, self.waiting = 0.0, 0.0, []
+        self.code()
+
+    def code(self) -> None:
+        """Each slot's logit (in sixteenths) and how often it was met, in 16 bits."""
+        n = self.counts.astype(np.float32)
+        logit = np.log((n[..., 1] + 0.3) / (n[..., 0] + 0.3))
+        met = n.sum(axis=-1)
+        step = (met > 0).astype(np.uint16) + (met > 3) + (met > 30)
+        self.codes = (np.clip(np.round(logit * 16) + 512, 0, 1023).astype(np.uint16) << np.uint16(2)) | step.astype(np.uint16)
+
+    def inputs(self, slots: np.ndarray, fixed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        codes = [self.codes[c].take(slots[c]) for c in range(len(slots))]
+        x = [((v >> 2).astype(np.float32) - np.float32(512)) * np.float32(1 / 16) for v in codes]
+        gate = ((codes[-2] & 3) << 2 | codes[-1] & 3).astype(np.int64)
+        return np.stack([*([fixed] if fixed is not None else []), *x, np.ones(slots.shape[1], np.float32)]), gate
+
+    def mixed(self, x: np.ndarray, gate: np.ndarray, weights: np.ndarray, at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Probability of a one for each bit: of the mixture, and refined, with the step of the map."""
+        z = np.zeros(len(gate), np.float32)
+        row = gate if at is None else at
+        for i in range(len(x)):
+            z += x[i] * weights[:, i].take(row)
+        z = np.clip(z, -12, 12)
+        p = 1 / (1 + np.exp(-z))
+        step = np.clip(np.round(z * 2) + 16, 0, self.STEPS - 1).astype(np.int64)
+        return p, (p + self.map.ravel().take(gate * self.STEPS + step)) * np.float32(0.5), step
+
+    def learn(self, slots: np.ndarray, bits: np.ndarray, fixed: np.ndarray | None = None) -> None:
+        """Blocks of bits: each is predicted, learned from, and only then counted."""
+        hi = 0
+        while hi < len(bits):
+            lo, hi = hi, hi + int(min(self.BLOCK, max(1024, self.seen / 4)))  # small blocks at first
+            part, b = slots[:, lo:hi], bits[lo:hi]
+            x, gate = self.inputs(part, None if fixed is None else fixed[lo:hi])
+            order = np.argsort(gate.astype(np.uint8), kind="stable")
+            x, value, ends = x[:, order], b[order], np.searchsorted(gate[order], np.arange(self.GATES + 1))
+            for g in np.flatnonzero(np.diff(ends)).tolist():
+                xs, bs = x[:, ends[g] : ends[g + 1]], value[ends[g] : ends[g + 1]]
+                z = np.clip(self.weights[g] @ xs, -12, 12)
+                p = 1 / (1 + np.exp(-z))
+                bend = (xs * xs) @ (p * (1 - p))
+                self.weights[g] = np.clip(self.weights[g] + self.RATE * (xs @ (bs - p)) / (bend + self.LEARNED * self.bend[g]), -0.5, 1.5)
+                self.bend[g] = (self.bend[g] * self.LEARNED + bend) / (self.LEARNED + len(bs))
+                step = np.clip(np.round(z * 2) + 16, 0, self.STEPS - 1).astype(np.int64)
+                n, ones = (np.bincount(step, w, self.STEPS) for w in (None, bs))
+                self.map[g] += ((ones - n * self.map[g]) / (n + 300)).astype(np.float32)
+            self.waiting.append(part.astype(np.int64) * 2 + b)
+            self.seen += len(b)
+            grown = self.seen > (1.25 if self.seen > 1e6 else 1.6) * self.coded
+            if grown or len(self.waiting) > 16:
+                self.count()
+                if grown:
+                    self.coded = self.seen
+                    self.code()
+
+    def count(self) -> None:
+        """Adds the bits that wait to the counts."""
+        if self.waiting:
+            for c, at in enumerate(np.concatenate(self.waiting, axis=1)):
+                self.counts[c] += np.bincount(at, minlength=self.counts[c].size).reshape(-1, 2).astype(np.uint32)
+        self.waiting = []
+
+    def rows(self, task: int, parts: int = 16) -> list[dict]:
+        """What a task found, to be added to what others did."""
+        self.count()
+        flat = np.array_split(self.counts.ravel(), parts)
+        own = np.concatenate([[self.seen], *(x.ravel() * self.seen for x in (self.weights, self.map, self.bend))])
+        return [{"task": task, "part": k, "n": x.tobytes(), "own": own.tobytes() if k == 0 else b""} for k, x in enumerate(flat)]
+
+    def total(self, found: DataFrame, tasks: int) -> "Online":
+        """Adds the rows of all tasks, by a tree, so that no group holds more than FOLD of them."""
 
-
-def bit_counts(counts: DataFrame) -> np.ndarray:
-    """How often a 0 and a 1 followed each context's slot, over all distinct words: (contexts, 2, SLOTS)."""
+        def add(pdf: pd.DataFrame) -> pd.DataFrame:
+            n = np.minimum(np.sum([np.frombuffer(x, np.uint32) for x in pdf["n"]], axis=0, dtype=np.uint64), 2**32 - 1).astype(np.uint32)
+            own = np.sum([np.frombuffer(x, np.float64) for x in pdf["own"]], axis=0)
+            return pd.DataFrame({"task": pdf["task"].iloc[:1], "part": pdf["part"].iloc[:1], "n": [n.tobytes()], "own": [own.tobytes() if pdf["part"].iloc[0] == 0 else b""]})
+
+        schema = "task int, part int, n binary, own binary"
+        while True:
+            tasks = -(-tasks // FOLD)
+            found = found.groupBy("part", F.pmod("task", F.lit(tasks)).cast("int").alias("task")).applyInPandas(add, schema)
+            if tasks == 1:
+                break
+            found = written(found, "folded")
+        got = found.toPandas().sort_values("part")
+        if len(got):
+            own = np.frombuffer(got["own"].iloc[0], np.float64)
+            if own[0]:
+                self.seen, rest = own[0], own[1:] / own[0]
+                w, m = self.weights.size, self.map.size
+                self.weights, self.map = rest[:w].reshape(self.weights.shape).astype(np.float32), rest[w : w + m].reshape(self.map.shape).astype(np.float32)
+                self.bend = rest[w + m :].reshape(self.bend.shape)
+                self.counts = np.concatenate([np.frombuffer(x, np.uint32) for x in got["n"]]).reshape(self.counts.shape)
+        self.code()
+        self.counts = np.zeros((len(self.counts), 0, 2), np.uint32)  # the codes are all that predictions need
+        return self
+
+
+def log10_of(bits: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """log10 of what each bit was given."""
+    return np.log10(np.maximum(np.abs((bits ^ 1) - p), np.float32(1e-6)))
+
+
+def learned_spelling(counts: DataFrame, parts: int) -> Online:
+    """Predictors of the bits of words' bytes, from all distinct words."""
 
     def find(batches):
-        out = np.zeros((CONTEXTS, 2, SLOTS), np.float32)
+        own = Online(5, BYTE_SLOTS)
         for b in batches:
             for blob in b["words"]:
                 words = blob.split(b" ")
-                for lo in range(0, len(words), 20_000):
-                    slots, bits, _ = bit_slots(words[lo : lo + 20_000])
-                    for k in range(8):
-                        for c in range(CONTEXTS):
-                            for v in (0, 1):
-                                out[c, v] += np.bincount(slots[k, c][bits[k] == v], minlength=SLOTS)
-        yield pd.DataFrame([{"part": 2 * c + v, "n": out[c, v].tobytes()} for c in range(CONTEXTS) for v in (0, 1)])
-
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.sum([np.frombuffer(x, np.float32) for x in pdf["n"]], axis=0, dtype=np.float64).astype(np.float32)
-        return pd.DataFrame({"part": pdf["part"].iloc[:1], "n": [total.tobytes()]})
-
-    got = counts.select("words").mapInPandas(find, "part int, n binary").groupBy("part").applyInPandas(add, "part int, n binary").toPandas()
-    out = np.zeros((CONTEXTS, 2, SLOTS), np.float32)
-    for part, n in zip(got["part"], got["n"], strict=True):
-        out[part // 2, part % 2] = np.frombuffer(n, np.float32)
+                for lo in range(0, len(words), 50_000):
+                    slots, bits, _ = bit_slots(words[lo : lo + 50_000])
+                    own.learn(slots, bits)
+        yield pd.DataFrame(own.rows(TaskContext.get().partitionId()))
+
+    return Online(5, BYTE_SLOTS).total(counts.select("words").coalesce(parts).mapInPandas(find, "task int, part int, n binary, own binary"), parts)
+
+
+def spelled(model: Online, words: list[bytes]) -> np.ndarray:
+    """log10 probability of each word's bits, its end among them."""
+    out = np.zeros(len(words))
+    for lo in range(0, len(words), 50_000):
+        slots, bits, word = bit_slots(words[lo : lo + 50_000])
+        x, gate = model.inputs(slots)
+        _, p, _ = model.mixed(x, gate, model.weights)
+        out[lo : lo + 50_000] = np.bincount(word, log10_of(bits, p))
     return out
 
 
-class Mixer:
-    """Bit predictors and how they are mixed."""
-
-    def __init__(self, tables: np.ndarray, sample: list[bytes], rounds: int = 2, rate: float = 0.05):
-        self.tables = tables
-        self.weights = np.full((GATES, CONTEXTS + 1), 0.3)
-        self.weights[:, CONTEXTS] = 0
-        self.refined = np.tile(1 / (1 + np.exp(-(np.arange(33) - 16) / 2.0)), (GATES, 1))
-        for _ in range(rounds):
-            hits = np.zeros((2, GATES, 33)) + 0.02
-            hits[1] = self.refined * 0.04
-            hits[0] = 0.04
-            for lo in range(0, len(sample), 200):  # online, a few words at a time; a word's own bits do not count for it
-                slots, bits, _ = bit_slots(sample[lo : lo + 200])
-                for k in range(8):
-                    x, gate = self._inputs(slots[k], bits[k])
-                    z = (self.weights[gate] * x).sum(axis=1)
-                    p = 1 / (1 + np.exp(-np.clip(z, -12, 12)))
-                    np.add.at(self.weights, gate, rate * ((bits[k] - p) / np.maximum(np.bincount(gate, minlength=GATES)[gate], 20))[:, None] * x * 10)
-                    step = np.clip(np.round(z * 2 + 16), 0, 32).astype(int)
-                    np.add.at(hits[0], (gate, step), 1)
-                    np.add.at(hits[1], (gate, step), bits[k])
-            self.refined = np.clip(hits[1] / hits[0], 1e-4, 1 - 1e-4)
-            rate /= 3
-
-    def _inputs(self, slots: np.ndarray, own=None):
-        n = np.stack([[self.tables[c, v][slots[c]] for v in (0, 1)] for c in range(CONTEXTS)])  # contexts, 2, bytes
-        if own is not None:
-            n[:, 0] = np.maximum(n[:, 0] - (own == 0), 0)
-            n[:, 1] = np.maximum(n[:, 1] - (own == 1), 0)
-        x = np.log((n[:, 1] + 0.2) / (n[:, 0] + 0.2))
-        met = n.sum(axis=1)
-        gate = 3 * ((met[3] > 0).astype(int) + (met[3] > 8)) + (met[4] > 0) + (met[4] > 3)
-        return np.column_stack([*x, np.ones(slots.shape[1])]), gate
-
-    def log10(self, words: list[bytes]) -> np.ndarray:
-        """log10 probability of each word's bits, its end among them."""
-        out = np.zeros(len(words))
-        for lo in range(0, len(words), 20_000):
-            slots, bits, word = bit_slots(words[lo : lo + 20_000])
-            total = np.zeros(len(word))
-            for k in range(8):
-                x, gate = self._inputs(slots[k])
-                z = (self.weights[gate] * x).sum(axis=1)
-                p = 1 / (1 + np.exp(-np.clip(z, -12, 12)))
-                p = (p + self.refined[gate, np.clip(np.round(z * 2 + 16), 0, 32).astype(int)]) / 2
-                total += np.log10(np.where(bits[k] == 1, p, 1 - p))
-            out[lo : lo + 20_000] = np.bincount(word, total)
-        return out
+class Tree:
+    """Huffman's code of symbols by their counts: for each symbol the nodes and bits on the way to it, and each node's logit."""
+
+    def __init__(self, counts: np.ndarray):
+        n = len(counts)
+        heap = [(int(c), i) for i, c in enumerate(counts)]
+        heapq.heapify(heap)
+        up, bit, weight = np.zeros(2 * n, np.int64), np.zeros(2 * n, np.uint8), np.zeros(2 * n)
+        weight[:n] = counts
+        made = n
+        while len(heap) > 1:
+            (a, i), (b, j) = heapq.heappop(heap), heapq.heappop(heap)
+            up[i], up[j], bit[j], weight[made] = made, made, 1, a + b
+            heapq.heappush(heap, (a + b, made))
+            made += 1
+        root = made - 1
+        live, at = np.arange(n), np.arange(n)
+        symbol, node, value = [], [], []
+        while len(live := live[at != root]):
+            at = at[at != root]
+            symbol.append(live)
+            node.append(up[at] - n)
+            value.append(bit[at])
+            at = up[at]
+        if not symbol:
+            symbol, node, value = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.uint8)]
+        symbol, node, value = (np.concatenate(x) for x in (symbol, node, value))
+        order = np.argsort(symbol, kind="stable")
+        self.node, self.bit = node[order].astype(np.int32), value[order]
+        self.size = np.bincount(symbol, minlength=n)
+        self.first = np.cumsum(self.size) - self.size
+        ones = np.zeros(max(made - n, 1))
+        child = np.flatnonzero(bit[:made] == 1)
+        ones[up[child] - n] = weight[child]
+        whole = weight[n:made] if made > n else np.ones(1)
+        self.logit = np.log((ones + 0.05) / (whole - ones + 0.05)).astype(np.float32)
+
+    def bits(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """token, node and value of each bit."""
+        size = self.size[symbols]
+        token = np.repeat(np.arange(len(symbols)), size)
+        at = np.repeat(self.first[symbols] - (np.cumsum(size) - size), size) + np.arange(len(token))
+        return token, self.node[at], self.bit[at]
 
 
 class Model:
-    """What the corpus gave: totals, the mixer, and the frequent words with their two log10 probabilities."""
+    """What the corpus gave: totals, the frequent words with their code, the predictors of the code's bits, and of bytes."""
 
-    def __init__(self, counts: DataFrame, train_docs: int):
+    def __init__(self, counts: DataFrame, train: DataFrame, train_docs: int, train_bytes: int):
         def totals(batches):
             for b in batches:
                 for c in b["c"]:
                     c = np.frombuffer(c, np.int64)
                     level, n = np.unique(np.floor(8 * np.log2(c)).astype(int), return_counts=True)
-                    yield pd.DataFrame({"level": level, "n": n, "tokens": [int(c.sum()), *[0] * (len(level) - 1)], "once": [int((c == 1).sum()), *[0] * (len(level) - 1)]})
+                    per = np.bincount(np.searchsorted(level, np.floor(8 * np.log2(c)).astype(int)), c)
+                    yield pd.DataFrame({"level": level, "n": n, "tokens": per.astype(np.int64), "once": np.where(level == 0, n, 0)})
 
         got = counts.select("c").mapInPandas(totals, "level int, n long, tokens long, once long").groupBy("level").agg(*[F.sum(x).alias(x) for x in ("n", "tokens", "once")]).orderBy(F.desc("level")).toPandas()
         self.tokens = int(got["tokens"].sum()) + train_docs
         self.distinct = int(got["n"].sum()) + (train_docs > 0)
         self.ends = train_docs
-        self.unseen = min(0.5, max(int(got["once"].sum()), 1) / max(self.tokens, 1))
-        fits = got[got["n"].cumsum() <= HEAD]
-        self.least = 2 ** (int(fits["level"].min()) / 8) if len(fits) else np.inf
-        tables = bit_counts(counts)
-
-        def some(batches):
-            for b in batches:
-                for h, words in zip(b["h"], b["words"], strict=True):
-                    h = np.frombuffer(h, U64)
-                    i = np.argsort(mix64(h))[: max(1, FIT // buckets)]
-                    all_words = words.split(b" ")
-                    yield pd.DataFrame({"h": h[i].view(np.int64), "word": [all_words[j] for j in i.tolist()]})
-
-        buckets = max(1, counts.count())
-        sample = counts.select("h", "words").mapInPandas(some, "h long, word binary").toPandas().sort_values("h")
-        self.mixer = Mixer(tables, [bytes(w) for w in sample["word"]])
-        mixer, least, value = self.mixer, self.least, self.value
+        # words met once stand behind the escape, as unseen ones will, so that contexts learn when it is due
+        fits = (got["n"].cumsum() <= HEAD) & (got["level"] > 0)
+        least = int(got["level"][fits].min()) if fits.any() else 64 * 8
 
         def head(batches):
             for b in batches:
-                for h, c, words in zip(b["h"], b["c"], b["words"], strict=True):
+                for h, c in zip(b["h"], b["c"], strict=True):
                     h, c = np.frombuffer(h, U64), np.frombuffer(c, np.int64)
-                    i = np.flatnonzero(c >= least)
-                    all_words = words.split(b" ")
-                    base, score = value(c[i], mixer.log10([all_words[j] for j in i.tolist()]))
-                    yield pd.DataFrame({"h": h[i].view(np.int64), "base": base, "score": score})
+                    i = np.flatnonzero(np.floor(8 * np.log2(c)) >= least)
+                    yield pd.DataFrame({"h": h[i].view(np.int64), "c": c[i]})
 
-        got = counts.select("h", "c", "words").mapInPandas(head, "h long, base double, score double").toPandas()
-        h = got["h"].to_numpy(np.int64).view(U64)
+        known = counts.select("h", "c").mapInPandas(head, "h long, c long").toPandas()
+        h, c = known["h"].to_numpy(np.int64).view(U64), known["c"].to_numpy(np.int64)
         order = np.argsort(h)
-        self.head, self.base, self.score = h[order], got["base"].to_numpy()[order], got["score"].to_numpy()[order]
-
-    def value(self, c: np.ndarray, spelled: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """log10 probabilities, base and mixed, of words with counts c."""
-        base = (c + 0.1) / (self.tokens + 0.1 * (self.distinct + 1))
-        share = np.where(c > 0, c / max(self.tokens, 1), 0)
-        return np.log10(base), np.log10((1 - self.unseen) * share + self.unseen * 10.0**spelled + 1e-300)
-
-    def value_of_end(self) -> tuple[float, float]:
-        base, _ = self.value(np.array([self.ends]), np.array([-300.0]))
-        return float(base[0]), float(np.log10(max((1 - self.unseen) * self.ends / max(self.tokens, 1), 1e-9)))
-
-
-class Kinds:
-    """Mixtures of frequent words (the last place stands for all others): ratio[k, word] is log10 of how much likelier in kind k."""
-
-    def __init__(self, model: Model, train: DataFrame):
-        head = model.head
-        texts = as_bytes(train.select("doc_id", "text").orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(KIND_DOCS).toPandas()["text"])
-        self.prior, self.ratio, self.pick = np.ones(1), np.zeros((1, len(head) + 1), np.float32), np.zeros(len(head) + 1, np.int64)
-        if not len(head) or len(texts) < 4 * KINDS:
-            return
-        often = np.argsort(-model.base, kind="stable")[:KIND_WORDS]
-        self.pick = np.full(len(head) + 1, len(often))
-        self.pick[often] = np.arange(len(often))
-        n = np.zeros((len(texts), len(often) + 1), np.float32)
-        for lo, hi in grouped(texts):
-            w = Words(texts[lo:hi], lower=True)
-            np.add.at(n, (lo + w.doc, self.pick[lookup(head, w.hashes())]), 1)
-        n = n[:, :-1]
-        unit = n / np.maximum(np.linalg.norm(n, axis=1, keepdims=True), 1)
-        centre = [int(np.argmax(n.sum(axis=1)))]
-        for _ in range(KINDS - 1):  # the document least like those chosen
-            centre.append(int(np.argmin(np.where(n.sum(axis=1) < 50, 2, (unit @ unit[centre].T).max(axis=1)))))
-        soft = np.eye(KINDS)[np.argmax(unit @ unit[centre].T, axis=1)]
-        overall = (n.sum(axis=0) + 0.5) / (n.sum() + 0.5 * n.shape[1])
-        for _ in range(12):
-            share = soft.mean(axis=0) + 1e-3
-            mean = soft.T @ n + 200 * overall
-            score = n @ np.log(mean / mean.sum(axis=1, keepdims=True)).T + np.log(share)
-            soft = np.exp(score - score.max(axis=1, keepdims=True))
-            soft /= soft.sum(axis=1, keepdims=True)
-        rough = np.zeros((KINDS, len(often) + 1))
-        rough[:, :-1] = np.log(mean / mean.sum(axis=1, keepdims=True))
-        pick, size = self.pick, len(head) + 1
-
-        def count(batches):
-            out, docs = np.zeros((KINDS, size), np.int64), np.zeros(KINDS, np.int64)
+        self.head, self.c = h[order], c[order]
+        # words behind the escape: their tokens, and the share of unseen ones among them
+        self.behind = max(self.tokens - train_docs - int(self.c.sum()), 0)
+        self.unseen = min(0.9, max(int(got["once"].sum()), 1) / max(self.behind, 2))
+        self.end, self.escape = len(self.head), len(self.head) + 1
+        self.tree = Tree(np.concatenate([self.c, [max(train_docs, 1), max(self.behind, 1)]]))
+        parts = max(12, -(-train_bytes // COUNTED_BYTES))
+        self.spelling = learned_spelling(counts, parts)
+
+        def learn(batches):
+            own = Online(2, SLOTS, fixed=1)
             for b in batches:
                 texts = as_bytes(b["text"])
                 for lo, hi in grouped(texts):
-                    w = Words(texts[lo:hi], lower=True)
-                    at = lookup(head, w.hashes())
-                    kind = np.argmax([np.bincount(w.doc, rough[k, pick[at]], hi - lo) + np.log(share[k]) for k in range(KINDS)], axis=0)
-                    docs += np.bincount(kind, minlength=KINDS)
-                    out += np.bincount(kind[w.doc] * size + np.where(at < 0, size - 1, at), minlength=KINDS * size).reshape(KINDS, size)
-            yield pd.DataFrame([{"kind": k, "docs": docs[k], "n": np.minimum(out[k], 2**31 - 1).astype(np.int32).tobytes()} for k in range(KINDS)])
-
-        def add(pdf: pd.DataFrame) -> pd.DataFrame:
-            total = np.sum([np.frombuffer(x, np.int32) for x in pdf["n"]], axis=0, dtype=np.int64)
-            return pd.DataFrame({"kind": pdf["kind"].iloc[:1], "docs": [pdf["docs"].sum()], "n": [total.tobytes()]})
+                    _, _, node, bit, slots, _ = self.slots(Words(texts[lo:hi], lower=True))
+                    own.learn(slots, bit, self.tree.logit.take(node))
+            yield pd.DataFrame(own.rows(TaskContext.get().partitionId()))
+
+        found = train.select("text").coalesce(parts).mapInPandas(learn, "task int, part int, n binary, own binary")
+        self.mix = Online(2, SLOTS, fixed=1).total(found, parts)
+
+    def slots(self, w: Words, at: np.ndarray | None = None, blocks: bool = False):
+        """For texts' words and ends: the text of each token, the token of each bit, its node, value and slots, and where the
+        bits of each block end. Blocks: each text's first 32 tokens, its next 64, and so on; else all is one."""
+        h = w.hashes()
+        at = lookup(self.head, h) if at is None else at
+        n, per = len(w.count), w.count + 1
+        ends = np.cumsum(per) - 1  # where each text's end stands among all tokens
+        total = len(h) + n
+        inside = np.ones(total, bool)
+        inside[ends] = False
+        symbol, value = np.full(total, self.end), np.zeros(total, U64)
+        symbol[inside], value[inside] = np.where(at < 0, self.escape, at), h
+        doc, first = np.repeat(np.arange(n), per), ends + 1 - per
+        one = np.append(U64(0), value[:-1])[:total]
+        one[first] = U64(1)
+        two = np.append(U64(0), one[:-1])[:total]
+        two[first] = U64(2)
+        contexts = [(mix64(v + U64(c << 60)) >> U64(32)).astype(np.uint32) for c, v in enumerate((one, one * U64(3) + two), 1)]
+        upto = [total]
+        if blocks:
+            place = np.arange(total) - np.repeat(first, per)
+            block = (np.frexp((place // 32 + 1).astype(np.float32))[1] - 1).astype(np.uint8)
+            order = np.argsort(block, kind="stable")
+            symbol, doc, contexts = symbol[order], doc[order], [v[order] for v in contexts]
+            upto = np.cumsum(np.bincount(block))
+        token, node, bit = self.tree.bits(symbol)
+        spread = node.view(np.uint32) * np.uint32(0x9E3779B1)
+        shift = np.uint32(32 - (SLOTS.bit_length() - 1))
+        slots = np.stack([(((v.take(token) ^ spread) * np.uint32(0x85EBCA6B)) >> shift).view(np.int32) for v in contexts])
+        return doc, token, node, bit, slots, np.searchsorted(token, upto)
+
+    def score(self, w: Words, at: np.ndarray) -> np.ndarray:
+        """log10 probability of each text's tokens up to what lies behind an escape; the weights go on learning along each text,
+        block by block."""
+        doc, token, node, bit, slots, upto = self.slots(w, at, blocks=True)
+        n, mix, out, lo = len(w.count), self.mix, np.zeros(len(w.count)), 0
+        weights, bend = np.tile(mix.weights, (n, 1)), np.tile(mix.bend + 1e-6, (n, 1))
+        for hi in upto.tolist():
+            of, b = doc.take(token[lo:hi]), bit[lo:hi]
+            x, gate = mix.inputs(slots[:, lo:hi], self.tree.logit.take(node[lo:hi]))
+            row = of * mix.GATES + gate
+            p, refined, _ = mix.mixed(x, gate, weights, row)
+            out += np.bincount(of, log10_of(b, refined), n)
+            if hi < len(token):
+                err, most = b - p, int(of.max(initial=0)) + 1
+                met = np.bincount(row, minlength=most * mix.GATES) + mix.LEARNED
+                for c in range(len(x)):
+                    weights[: len(met), c] += (mix.RATE * np.bincount(row, err * x[c], len(met)) / (met * bend[: len(met), c])).astype(np.float32)
+            lo = hi
+        return out
 
-        got = train.select("text").mapInPandas(count, "kind int, docs long, n binary").groupBy("kind").applyInPandas(add, "kind int, docs long, n binary").toPandas().sort_values("kind")
-        n = np.stack([np.frombuffer(x, np.int64) for x in got["n"]]).astype(float)
-        p = n.sum(axis=0) / max(n.sum(), 1)
-        self.prior = (got["docs"].to_numpy() + 1.0) / (got["docs"].sum() + KINDS)
-        some = np.where(p > 0, p, 1)  # a word never met is as likely in every kind
-        self.ratio = np.where(p > 0, np.log10((n + PRIOR * some) / (n.sum(axis=1, keepdims=True) + PRIOR) / some), 0).astype(np.float32)
+    def base(self, c: np.ndarray) -> np.ndarray:
+        return np.log10((c + 0.1) / (self.tokens + 0.1 * (self.distinct + 1)))
 
-    def gain(self, at: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
-        """log10 of how much likelier each document is under its kinds than under all words alike."""
-        z = np.stack([np.bincount(doc, self.ratio[k, at], n) + np.log10(self.prior[k]) for k in range(len(self.prior))])
-        top = z.max(axis=0)
-        return top + np.log10((10.0 ** (z - top)).sum(axis=0))
+    def behind_escape(self, c: np.ndarray, words: list[bytes]) -> np.ndarray:
+        """log10 probabilities of words with counts c among those behind the escape."""
+        return np.log10((1 - self.unseen) * c / max(self.behind, 1) + self.unseen * 10.0 ** spelled(self.spelling, words) + 1e-300)
 
 
 def lookup(head: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -300,9 +413,10 @@ def lookup(head: np.ndarray, h: np.ndarray) -> np.ndarray:
     return out
 
 
-def score_texts(docs: DataFrame, counts: DataFrame, model: Model, kinds: Kinds, buckets: int) -> DataFrame:
+def score_texts(docs: DataFrame, counts: DataFrame, model: Model, buckets: int) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score, score, n_bytes for each row of docs(doc_id, text)."""
-    head, head_base, head_score, ends, end_value, value, mixer = model.head, model.base, model.score, model.ends, model.value_of_end(), model.value, model.mixer
+    head, head_base, ends = model.head, model.base(model.c), model.ends
+    end_base = float(model.base(np.array([ends]))[0])
 
     def read(batches):
         parts, held = [], 0
@@ -330,8 +444,8 @@ def score_texts(docs: DataFrame, counts: DataFrame, model: Model, kinds: Kinds,
                 doc = np.zeros(hi - lo, _DOC)
                 doc["row"], doc["doc_id"], doc["n_bytes"], doc["n_tokens"] = keys[lo:hi], ids[lo:hi], w.lengths, w.count + 1
                 doc["n_known"] = np.bincount(w.doc[there], minlength=hi - lo) + (ends > 0)
-                doc["base"] = np.bincount(w.doc[there], head_base[at[there]], hi - lo) + end_value[0]
-                doc["score"] = np.bincount(w.doc[there], head_score[at[there]], hi - lo) + end_value[1] + kinds.gain(at, w.doc, hi - lo)
+                doc["base"] = np.bincount(w.doc[there], head_base[at[there]], hi - lo) + end_base
+                doc["score"] = model.score(w, at)
                 yield pd.DataFrame({"bucket": [int(keys[lo] % U64(buckets))], "h": b"", "words": b"", "which": b"", "rows": b"", "who": b"", "docs": [doc.tobytes()]})
                 i = np.flatnonzero(~there)
                 names, first = np.unique(h[i], return_index=True)
@@ -345,44 +459,56 @@ def score_texts(docs: DataFrame, counts: DataFrame, model: Model, kinds: Kinds,
             yield flush()
 
     def meet(packs: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        docs = np.frombuffer(b"".join(packs["docs"]), _DOC)
-        out = [pd.DataFrame({k: docs[k] for k in _DOC.names}).assign(m=1)]
+        """Sums over each row's words behind the escape, packed for the rows' buckets; and what is known of the rows, passed on."""
+        own = np.frombuffer(b"".join(packs["docs"]), _DOC)
+        out = [{"bucket": k, "docs": own[i].tobytes(), "sums": b""} for k, i in _split((own["row"] % U64(buckets)).astype(np.int64), buckets)]
         packs = packs[packs["which"].map(len) > 0]
         if len(packs):
             names = [np.frombuffer(x, U64) for x in packs["h"]]
             words = [w for x in packs["words"] for w in x.split(b" ")]
             every, first, at = np.unique(np.concatenate(names), return_index=True, return_inverse=True)
-            spelled = mixer.log10([words[i] for i in first.tolist()])
             c = np.zeros(len(every), np.int64)
             for h, n in zip(known["h"], known["c"], strict=True):
                 h, n = np.frombuffer(h, U64), np.frombuffer(n, np.int64)
                 place = np.minimum(np.searchsorted(h, every), len(h) - 1)
                 c = np.where(h[place] == every, n[place], c)
-            base, score = value(c, spelled)
+            base, score = model.base(c), model.behind_escape(c, [words[i] for i in first.tolist()])
             start = np.cumsum([0, *map(len, names)])
             row = np.concatenate([np.frombuffer(r, U64)[np.frombuffer(w, np.uint32)] for r, w in zip(packs["rows"], packs["who"], strict=True)])
             kind = at[np.concatenate([s + np.frombuffer(w, np.uint32) for s, w in zip(start, packs["which"], strict=False)])]
             rows, which = np.unique(row, return_inverse=True)
-            out.append(pd.DataFrame({"row": rows, "doc_id": NO_ID, "n_tokens": 0, "n_known": np.bincount(which, c[kind] > 0, len(rows)).astype(np.int64), "base": np.bincount(which, base[kind], len(rows)), "score": np.bincount(which, score[kind], len(rows)), "n_bytes": 0, "m": 0}))
-        both = pd.concat(out, ignore_index=True)
-        return both.assign(row=both["row"].to_numpy(np.uint64).view(np.int64))
+            sums = np.zeros(len(rows), _SUM)
+            sums["row"], sums["n_known"] = rows, np.bincount(which, c[kind] > 0, len(rows))
+            sums["base"], sums["score"] = np.bincount(which, base[kind], len(rows)), np.bincount(which, score[kind], len(rows))
+            out += [{"bucket": k, "docs": b"", "sums": sums[i].tobytes()} for k, i in _split((rows % U64(buckets)).astype(np.int64), buckets)]
+        return pd.DataFrame(out, columns=["bucket", "docs", "sums"])
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        """One row for each row of documents. Rows alike in doc_id and text came m times, and so did their words."""
+        docs, sums = np.frombuffer(b"".join(pdf["docs"]), _DOC), np.frombuffer(b"".join(pdf["sums"]), _SUM)
+        rows, which = np.unique(docs["row"], return_inverse=True)
+        m, at = np.bincount(which, minlength=len(rows)), np.searchsorted(rows, sums["row"])
+        more = {k: np.bincount(at, sums[k], len(rows)) / np.maximum(m, 1) for k in ("n_known", "base", "score")} if len(rows) else {}
+        out = {k: docs[k] for k in ("doc_id", "n_tokens", "n_bytes")}
+        out |= {"n_known": docs["n_known"] + np.round(more["n_known"][which]).astype(np.int64), "base_score": docs["base"] + more["base"][which], "score": docs["score"] + more["score"][which]} if len(rows) else {"n_known": docs["n_known"], "base_score": docs["base"], "score": docs["score"]}
+        return pd.DataFrame(out)[["doc_id", "n_tokens", "n_known", "base_score", "score", "n_bytes"]]
 
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), "text", row_key().alias("row"))
     packs = rows.mapInPandas(read, PACKS)
-    sums = packs.groupBy("bucket").cogroup(counts.groupBy("bucket")).applyInPandas(meet, "row long, doc_id long, n_tokens long, n_known long, base double, score double, n_bytes long, m long")
-    # rows alike in doc_id and text came m times and are given m times
-    per = sums.groupBy("row").agg(F.max("doc_id").alias("doc_id"), *[F.sum(x).alias(x) for x in ("n_tokens", "n_known", "base", "score", "n_bytes", "m")]).filter("m > 0")
-    each = per.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m"))).alias("nth"))
-    whole = lambda x: F.round(F.col(x) / F.col("m")).cast("long").alias(x)
-    return each.select(F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), whole("n_tokens"), whole("n_known"), (F.col("base") / F.col("m")).alias("base_score"), (F.col("score") / F.col("m")).alias("score"), whole("n_bytes"))
+    sums = written(packs.groupBy("bucket").cogroup(counts.groupBy("bucket")).applyInPandas(meet, "bucket int, docs binary, sums binary"), "sums")
+    out = sums.groupBy("bucket").applyInPandas(add, "doc_id long, n_tokens long, n_known long, base_score double, score double, n_bytes long")
+    return out.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
 
 
 def lm_scores(docs: DataFrame) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte for each row of docs(doc_id, text)."""
+    docs = docs.select("doc_id", "text")
     buckets = n_buckets(docs)
     train = docs.filter(F.coalesce(crc_mod("doc_id", 10) != 0, F.lit(True)))
     counts = written(count_words(train, buckets), "words")
-    model = Model(counts, train.count())
-    scored = score_texts(docs, counts, model, Kinds(model, train), buckets).withColumn("train_tokens", F.lit(model.tokens).cast("long"))
+    n, size = train.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    model = Model(counts, train, n, size)
+    scored = score_texts(docs, counts, model, buckets).withColumn("train_tokens", F.lit(model.tokens).cast("long"))
     bits = -F.col("score") * F.lit(float(np.log2(10))) / F.greatest("n_bytes", F.lit(1))
     return scored.withColumn("held_out", F.coalesce(crc_mod("doc_id", 10) == 0, F.lit(False))).withColumn("bits_per_byte", bits)
 
