@@ -129,7 +129,7 @@ _POWERS: list[np.ndarray] = []
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers modulo 2**64 of an odd base and of its inverse."""
     if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, 2 * GROUP_BYTES)
+        size = max(n + n // 4, 1 << 19)
         _POWERS[:] = []
         for base in (_M, pow(_M, -1, 1 << 64)):
             with np.errstate(over="ignore"):

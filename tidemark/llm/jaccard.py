@@ -32,6 +32,8 @@ FREQUENT, FREQUENT_LEAST = 0.001, 50
 MOST_SHARED, VERIFY = 8, 0.05
 #: Lists up to which all pairs are made; pivots of a longer list in the first round; classes of a list that one task pairs with the pivots.
 SMALL, PIVOTS, SALTED = 8, 2, 1000
+#: Bytes of text handled at once in a task.
+AT_ONCE = 1_000_000
 #: Rows of (class, row) that may be broadcast.
 BROADCAST_ROWS = 500_000
 
@@ -74,17 +76,18 @@ def describe(docs: DataFrame, n: int) -> DataFrame:
         counted: tuple = (np.empty(0, U64), np.empty(0, np.int64))
 
         def fold():
-            m, c = np.unique(np.concatenate([counted[0], *seen]), return_inverse=True)
-            return m, np.bincount(c, np.concatenate([counted[1], np.ones(sum(map(len, seen)))]), len(m)).astype(np.int64)
+            new, c = np.unique(np.concatenate([counted[0][:0], *seen]), return_counts=True)
+            m, which = np.unique(np.concatenate([counted[0], new]), return_inverse=True)
+            return m, np.bincount(which, np.concatenate([counted[1], c]), len(m)).astype(np.int64)
 
         for b in batches:
             texts = as_bytes(b.column("text"))
-            for lo, hi in grouped(texts):
+            for lo, hi in grouped(texts, AT_ONCE):
                 doc, member, size = shingle_sets(texts[lo:hi], n)
                 seen.append(member)
                 held += len(member)
                 docs_here += hi - lo
-                if held > 4_000_000:  # what is rare so far is let go: only the order of members depends on these counts
+                if held > 2_000_000:  # what is rare so far is let go: only the order of members depends on these counts
                     m, c = fold()
                     counted, seen, held = (m[c > 1], c[c > 1]), [], 0
                 ids = [b.column(c).slice(lo, hi - lo) for c in ("doc_id", "row")]
@@ -147,7 +150,7 @@ def postings(docs: DataFrame, n: int, t: int, frequent, counts, buckets: int) ->
 
         for b in batches:
             texts = as_bytes(b["text"])
-            for lo, hi in grouped(texts):
+            for lo, hi in grouped(texts, AT_ONCE):
                 doc, member, size = shingle_sets(texts[lo:hi], n)
                 cid = class_ids(doc, member, size)
                 new = np.zeros(hi - lo, bool)
@@ -160,7 +163,7 @@ def postings(docs: DataFrame, n: int, t: int, frequent, counts, buckets: int) ->
                 doc, member = doc[keep], member[keep]
                 parts.append((member, cid[doc], size[doc], level[doc]))
                 held += len(doc)
-                if held > 2_000_000:
+                if held > 1_000_000:
                     yield flush()
                     parts, held = [], 0
         if parts:
@@ -216,7 +219,7 @@ def set_of_each(docs: DataFrame, rows: DataFrame, classes: DataFrame, n: int) ->
     def make(batches):
         for b in batches:
             texts = as_bytes(b["text"])
-            for lo, hi in grouped(texts):
+            for lo, hi in grouped(texts, AT_ONCE):
                 doc, member, size = shingle_sets(texts[lo:hi], n)
                 cid, ends = class_ids(doc, member, size).view(np.int64), np.cumsum(size)
                 ok = np.flatnonzero(cid == b["cid"].iloc[lo:hi].to_numpy(np.int64)).tolist()
