@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, as_bytes, grouped, mix64, powers, table, written
+from .common import U64, as_bytes, dropped, grouped, mix64, powers, table, written
 from .common import _BYTE as BYTE
 from .packed import _split, n_buckets, row_key
 
@@ -350,7 +350,10 @@ def remove_substrings(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("bucket", F.expr(f"cast(cast(row as decimal(20,0)) + if(row < 0, 18446744073709551616, 0) as decimal(20,0)) % {buckets}").cast("int"))
     settled = written(settle_segments(find_segments(rows.select("id", "row", "text"), buckets), buckets), "settled")
     halves = open_halves(rows.select("id", "row", "text", "bucket"), settled.filter("grams IS NOT NULL").select(*SPAN_COLUMNS), buckets)
-    gone = settled.filter("grams IS NULL").select(*SPAN_COLUMNS).unionByName(written(index_halves(written(halves, "halves"), buckets), "indexed"))
+    halves = written(halves, "halves")
+    indexed = written(index_halves(halves, buckets), "indexed")
+    dropped(halves)
+    gone = settled.filter("grams IS NULL").select(*SPAN_COLUMNS).unionByName(indexed)
 
     def cut(texts: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         names, spans = _unpack(found, spans=U64)
