@@ -13,7 +13,7 @@ from tidemark.functions import text as T
 from tidemark.operators import dml, retrieval, sections, textprep
 from tidemark.plans.answer import by_rules, overall_confidence
 from tidemark.sources.library import library_files, numbered, outline, read_records, read_texts
-from tidemark.streaming.sync import conversation_turns, sync, watch_files
+from tidemark.streaming.sync import conversation_turns, current, sync, watch_files
 
 SF = "/root/testdata/sf0.001"
 
@@ -129,11 +129,34 @@ def test_records_last_line_wins(spark, tmp_path):
 
 
 def test_streaming_sync(spark, tmp_path):
-    src, schema = str(tmp_path / "in"), "node_id long, text string"
-    for rows in ([(1, "a"), (2, "b")], [(2, "c"), (3, "d")]):
-        spark.createDataFrame(rows, schema).write.mode("append").parquet(src)
-        sync(watch_files(spark, src, schema), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out" / "v=1")).collect())) == [(1, "a"), (2, "c"), (3, "d")]
+    src, schema, out = str(tmp_path / "in"), "node_id long, text string, at int, gone boolean", str(tmp_path / "out")
+    for k, rows in enumerate(([(1, "a", 1, False), (2, "old", 1, False), (2, "b", 2, False)], [(2, "c", 3, False), (3, "d", 3, False), (1, "a", 4, True)])):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        sync(watch_files(spark, src, schema), out, str(tmp_path / "cp"), "node_id", "at").awaitTermination()
+        assert spark.read.parquet(f"{out}/batch={k}").count() == (2, 3)[k]
+    assert sorted((r.node_id, r.text) for r in current(spark, out, "node_id", "gone").collect()) == [(2, "c"), (3, "d")]
+
+
+def test_rescoring_keeps_all_rows(spark):
+    rows = spark.range(1500).selectExpr("id AS node_id", "CAST(id AS DOUBLE) AS score", "CAST(id + 1 AS INT) AS rank")
+    assert retrieval.rescored(rows, F.lit(2.0)).count() == 1500
+
+
+def test_clean_text_keeps_rows_apart_and_sees_tabs(spark):
+    rows = [(1, "a\nb"), (1, "c\nd"), (2, "\t```\nx   y!!!!\n\t```\nz   z"), (3, "\t| a   ....... |")]
+    got = sorted((r.id, r.text) for r in textprep.clean_text(spark.createDataFrame(rows, "id int, text string")).collect())
+    assert got == [(1, "a\nb"), (1, "c\nd"), (2, "```\nx   y!!!!\n\t```\nz z"), (3, "| a ....... |")]
+
+
+def test_sizes_round_ties_to_even(spark):
+    rows = spark.createDataFrame([(512,), (1024 + 256,), (1024 + 768,), (3 * 2**30,)], "n long")
+    assert [r[0] for r in rows.select(T.human_size(F.col("n"))).collect()] == ["512B", "1.2KB", "1.8KB", "3.0GB"]
+
+
+def test_sentence_chunks_are_packed_with_overlap(spark):
+    text = "One two three. Four five! Six seven eight nine? Ten."
+    got = [r.text for r in textprep.chunk(spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string"), 5, 2).orderBy("doc_id", "chunk").collect()]
+    assert got == ["One two three. Four five!", "Six seven eight nine? Ten."] or got == ["One two three. Four five!", "Four five! Six seven eight nine?", "Ten."], got
 
 
 def test_conversation_state(spark, tmp_path):

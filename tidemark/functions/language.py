@@ -3,15 +3,23 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: A keyword counts wherever it stands in the question, even inside another word; the first rule that has one wins.
 SCOPES = {
-    "company": ["company", "our policy", "internal"],
-    "regulatory": ["regulation", "solas", "marpol", "convention"],
-    "safety": ["safety", "emergency", "hazard"],
-    "operational": ["operation", "procedure", "checklist"],
+    "company": ["our company", "our policy", "our procedure", "company policy"],
+    "regulatory": ["marpol", "solas", "imo", "mlc", "stcw", "regulation", "annex", "chapter"],
+    "safety": ["emergency", "drill", "fire", "abandon", "lifeboat", "evacuation", "alarm"],
+    "operational": ["operation", "procedure", "checklist", "maintenance", "inspection"],
 }
-PREFERENCES = {"Form": ["form"], "Checklist": ["checklist"], "Procedure": ["procedure"], "Policy": ["policy"], "Manual": ["manual"], "Regulation": ["regulation"]}
-GREETINGS = ["hi", "hello", "hey", "thanks", "thank you", "bye"]
-GOODBYES = ["goodbye", "bye", "see you"]
+PREFERENCES = {
+    "Form": ["form", "forms"],
+    "Checklist": ["checklist", "checklists", "check list"],
+    "Procedure": ["procedure", "procedures", "how to", "steps"],
+    "Policy": ["policy", "policies"],
+    "Manual": ["manual", "manuals", "guide"],
+    "Regulation": ["regulation", "regulations", "requirement"],
+}
+GREETINGS = ["hi", "hello", "hey", "good morning", "good afternoon", "good evening", "howdy", "hey there"]
+GOODBYES = ["bye", "goodbye", "see you", "take care"]
 
 
 def first_match(text, rules: dict, default) -> Column:
@@ -46,3 +54,31 @@ def confidence_level(pct) -> Column:
 
 def answer_tone(pct) -> Column:
     return F.when(pct >= 80, "direct").when(pct >= 60, "hedged").otherwise("cautious")
+
+
+#: Values that a model's plan may have, with the default first (fixed values).
+INTENTS = ["new_query", "greeting", "goodbye", "follow_up", "clarification", "off_topic", "action_on_previous"]
+ALIASES = {"chitchat": "off_topic"}
+PLAN_SCOPES = ["focused", "broad", "too_broad"]
+DECOMPOSED = ["multi_part", "compliance", "content_generation"]
+
+
+def one_of(value, allowed: list[str], aliases: dict | None = None) -> Column:
+    """A model's value in lower case, by its alias; the default (the first) if it is none of those allowed."""
+    x = F.lower(F.trim(value))
+    for k, v in (aliases or {}).items():
+        x = F.when(x == k, v).otherwise(x)
+    return F.when(x.isin(*allowed), x).otherwise(allowed[0])
+
+
+def needs_parts(query_type, plan_scope) -> Column:
+    """Whether a question is taken apart: some types are, unless the scope is too broad."""
+    return F.coalesce(query_type.isin(*DECOMPOSED) & (plan_scope != "too_broad"), F.lit(False))
+
+
+def valid_parts(raw, types: list[str]) -> Column:
+    """The sub-queries in a model's JSON list: those with text, their types cut to known ones (null if none is), a label for each."""
+    got = F.from_json(raw, "array<struct<text:string,label:string,types:array<string>>>")
+    known = lambda s: F.filter(F.coalesce(s["types"], F.array().cast("array<string>")), lambda t: F.upper(t).isin(*types))
+    kept = F.filter(F.coalesce(got, F.array().cast("array<struct<text:string,label:string,types:array<string>>>")), lambda s: F.trim(F.coalesce(s["text"], F.lit(""))) != "")
+    return F.transform(kept, lambda s: F.struct(F.trim(s["text"]).alias("text"), F.coalesce(F.nullif(s["label"], F.lit("")), F.lit("library")).alias("label"), F.when(F.size(known(s)) > 0, known(s)).alias("types")))

@@ -65,12 +65,9 @@ def extension(name) -> Column:
 
 
 def human_size(n) -> Column:
-    one = lambda x: F.format_string("%.1f", x)
-    return (
-        F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B")))
-        .when(n < 1024 * 1024, F.concat(one(n / 1024), F.lit(" KB")))
-        .otherwise(F.concat(one(n / (1024 * 1024)), F.lit(" MB")))
-    )
+    """512B, 1.5KB, 2.0MB, 3.4GB: one digit after the point, ties to even."""
+    one = lambda k, unit: F.concat(F.format_string("%.1f", F.bround(n / (1024**k), 1)), F.lit(unit))
+    return F.when(n < 1024, F.concat(n.cast("long").cast("string"), F.lit("B"))).when(n < 1024**2, one(1, "KB")).when(n < 1024**3, one(2, "MB")).otherwise(one(3, "GB"))
 
 
 def short_title(text, most: int = 40) -> Column:
@@ -78,17 +75,61 @@ def short_title(text, most: int = 40) -> Column:
     return F.when(F.length(x) > most, F.concat(F.substring(x, 1, most), F.lit("..."))).otherwise(x)
 
 
-def chunk_header(title, doc_type, section) -> Column:
-    return F.concat_ws("\n", F.concat(F.lit("Document: "), title), F.concat(F.lit("Type: "), doc_type), F.concat(F.lit("Section: "), section), F.lit("---"))
+def chunk_header(title, doc_type, section, form=None, hierarchy=None, document=None) -> Column:
+    """One line for each part that is there, then `---`."""
+    parts = {"Document": document, "Title": title, "Type": doc_type, "Form": form, "Hierarchy": hierarchy, "Section": section}
+    line = lambda name, x: F.when(F.coalesce(x, F.lit("")) != "", F.concat(F.lit(f"{name}: "), x))
+    return F.concat_ws("\n", *[line(k, x) for k, x in parts.items() if x is not None], F.lit("---"))
 
 
-def references_line(forms, regulations, sections) -> Column:
-    """`FORMS: a, b | REGS: c`: at most five forms, three regulations and five sections."""
+def references_line(forms, procedures, regulations) -> Column:
+    """`FORMS: a, b | PROCS: c | REGS: d`: at most five forms, five procedures and three regulations."""
 
     def part(name, items, n):
         return F.when(F.size(items) > 0, F.concat(F.lit(f"{name}: "), F.array_join(F.slice(items, 1, n), ", ")))
 
-    return F.concat_ws(" | ", part("FORMS", forms, 5), part("REGS", regulations, 3), part("SECTIONS", sections, 5))
+    return F.concat_ws(" | ", part("FORMS", forms, 5), part("PROCS", procedures, 5), part("REGS", regulations, 3))
+
+
+def section_prefix(name) -> Column:
+    """The number or letter that a section's name begins with (3, 3.1.2, `A.` before a word); null without one."""
+    x = F.regexp_extract(F.trim(name), r"^([0-9]+(?:\.[0-9]+)*|[A-Z]\.)\b", 1)
+    return F.when(x != "", x)
+
+
+def anchor(first_sentence, summary, title) -> Column:
+    """What shows that a section begins here: its first sentence, or its summary up to 200 characters, or its title without
+    the number if that has two words at least."""
+    bare = F.trim(F.regexp_replace(title, r"^\s*(?:[0-9]+(?:\.[0-9]+)*|[A-Z])\.?\s+", ""))
+    there = lambda x: F.when(F.trim(F.coalesce(x, F.lit(""))) != "", F.trim(x))
+    return F.coalesce(there(first_sentence), F.substring(there(summary), 1, 200), F.when(F.size(split_words(bare)) >= 2, bare))
+
+
+def limit_repeats(lines: Column, most: int = 3) -> Column:
+    """An array of lines in which a run of equal ones keeps `most`."""
+    return F.filter(lines, lambda x, i: (i < most) | (F.get(lines, i - most) != x) | F.exists(F.slice(lines, F.greatest(i - most + 1, F.lit(1)), most), lambda y: y != x))
+
+
+def markdown_rows(text) -> Column:
+    """Table separators of four hyphens or more become three (colons stay); a row's runs of over 50 equal characters become three."""
+    sep = F.regexp_replace(text, r"(?m)(?<=[|:\s])-{4,}(?=[|:\s])", "---")
+    return F.regexp_replace(sep, r"([^\n])\1{50,}", "$1$1$1")
+
+
+def form_title(code, title) -> Column:
+    """`code - title`, unless the title begins with the code, whatever its spaces and case."""
+    bare = lambda x: F.upper(F.replace(x, F.lit(" ")))
+    return F.when(F.coalesce(code, F.lit("")) == "", title).when(F.startswith(bare(title), bare(code)), title).otherwise(F.concat(code, F.lit(" - "), title))
+
+
+def safe_name(name) -> Column:
+    """A path's last part; null for none and for names that begin with a dot."""
+    base = F.regexp_extract(F.replace(name, F.lit("\\"), F.lit("/")), r"([^/]*)$", 1)
+    return F.when((base != "") & ~F.startswith(base, F.lit(".")), base)
+
+
+def iso_time(seconds) -> Column:
+    return F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss")
 
 
 def cosine(a, b) -> Column:
@@ -104,3 +145,46 @@ def parse_json_reply(text) -> Column:
     x = F.regexp_extract(F.regexp_replace(text, r"```(json)?", ""), r"(?s)(\{.*\})", 1)
     x = F.regexp_replace(F.regexp_replace(x, r"[\x00-\x1F]+", " "), r",\s*([}\]])", "$1")
     return F.when(F.try_parse_json(x).isNotNull(), x)
+
+
+#: Keys of a stored payload that are the engine's own (fixed values).
+INTERNAL = ["_node_content", "_node_type", "document_id", "doc_id", "ref_doc_id"]
+
+
+def own_metadata(payload) -> Column:
+    """A payload map without the engine's own keys."""
+    return F.map_filter(payload, lambda k, _: ~k.isin(*INTERNAL))
+
+
+def payload_text(payload) -> Column:
+    """The text in a payload's JSON content, else its text, else its document, else nothing."""
+    there = lambda x: F.nullif(x, F.lit(""))
+    at = lambda k: F.try_element_at(payload, F.lit(k))
+    return F.coalesce(there(F.get_json_object(at("_node_content"), "$.text")), there(at("text")), there(at("document")), F.lit(""))
+
+
+def node_metadata(raw, doc_id, section_id) -> Column:
+    """A stored JSON text as a map of texts; source and section_id are filled in where it lacks them."""
+    got = F.coalesce(F.from_json(raw, "map<string,string>"), F.create_map().cast("map<string,string>"))
+    for key, value in (("source", doc_id), ("section_id", section_id)):
+        missing = ~F.map_contains_key(got, F.lit(key))
+        got = F.when(missing, F.map_concat(got, F.create_map(F.lit(key), value))).otherwise(got)
+    return got
+
+
+def kept_sections(sections) -> Column:
+    """Of an array of (name, content) those with a name and some content."""
+    return F.filter(sections, lambda s: s["name"].isNotNull() & (F.trim(F.coalesce(s["content"], F.lit(""))) != ""))
+
+
+def base_metadata(topic, title, hierarchy, sections) -> Column:
+    """topic (the title without one), hierarchy joined by ` > `, names of the sections."""
+    return F.struct(
+        F.coalesce(F.nullif(topic, F.lit("")), title).alias("topic"),
+        F.array_join(hierarchy, " > ").alias("hierarchy"),
+        F.array_join(F.transform(sections, lambda s: s["name"]), ", ").alias("sections"),
+    )
+
+
+def upload_title(name) -> Column:
+    return F.initcap(F.replace(stem(name), F.lit("_"), F.lit(" ")))

@@ -38,3 +38,64 @@ def turn_counts(messages: DataFrame, most: int = 6) -> DataFrame:
 def owned(messages: DataFrame, sessions: DataFrame) -> DataFrame:
     """Messages of sessions that the tenant owns."""
     return messages.join(sessions.select("session_id", "tenant_id"), ["session_id", "tenant_id"], "left_semi")
+
+
+def added(messages: DataFrame, new: DataFrame) -> DataFrame:
+    """messages and those of new whose session belongs to their tenant."""
+    own = messages.select("session_id", "tenant_id").distinct()
+    return messages.unionByName(new.join(own, ["session_id", "tenant_id"], "left_semi").select(*messages.columns))
+
+
+def counters(messages: DataFrame) -> DataFrame:
+    """session_id, message_count, last_active: what a session's row says of its messages."""
+    return messages.groupBy("session_id").agg(F.count("*").alias("message_count"), F.max("id").alias("last_active"))
+
+
+def flattened(messages: DataFrame, keys: list[str]) -> DataFrame:
+    """messages(metadata map) in order with the metadata's keys as columns, over columns of that name."""
+    kept = [c for c in messages.columns if c not in ("metadata", *keys)]
+    return messages.select(*kept, *[F.try_element_at("metadata", F.lit(k)).alias(k) for k in keys]).orderBy("session_id", "id")
+
+
+def latest_context(messages: DataFrame) -> DataFrame:
+    """session_id, id, context: of each session the last message of the assistant that has a context."""
+    own = messages.filter((F.col("role") == "assistant") & F.col("context").isNotNull())
+    return own.groupBy("session_id").agg(F.max("id").alias("id"), F.max_by("context", "id").alias("context"))
+
+
+def restored(wanted: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node_id, found, score: chunks named by a saved context; those still there count 0.8."""
+    there = wanted.join(nodes.select("node_id", F.lit(True).alias("there")), "node_id", "left")
+    found = F.coalesce("there", F.lit(False))
+    return there.select("node_id", found.alias("found"), F.when(found, F.lit(0.8)).alias("score"))
+
+
+def feedback_list(feedback: DataFrame, n: int) -> DataFrame:
+    """The latest n, with defaults for what is not there."""
+    rows = feedback.orderBy(F.desc("created_at"), "id").limit(n)
+    nth = F.row_number().over(Window.orderBy(F.desc("created_at"), "id"))  # n rows
+    return rows.select("id", F.coalesce("feedback", F.lit("none")).alias("feedback"), F.coalesce("confidence_pct", F.lit(0)).alias("confidence_pct"), nth.alias("nth"))
+
+
+def with_top_sources(answers: DataFrame, n: int = 3) -> DataFrame:
+    """answers(sources) with the names of the first n (source, else title, else unknown) and how many there are."""
+    name = lambda s: F.coalesce(s["source"], s["title"], F.lit("unknown"))
+    return answers.withColumn("top_sources", F.slice(F.transform("sources", name), 1, n)).withColumn("num_sources", F.size("sources"))
+
+
+def add_uploads(uploads: DataFrame, most: int = 50) -> DataFrame:
+    """uploads(session_id, name, ord, digest) as they are kept: of equal name and digest the first, `most` a session, later ones of a
+    name shown as `name (2).txt` and so on."""
+    fresh = uploads.groupBy("session_id", "name", "digest").agg(F.min("ord").alias("ord"))
+    capped = fresh.withColumn("_n", F.row_number().over(Window.partitionBy("session_id").orderBy("ord"))).filter(F.col("_n") <= most)
+    again = F.row_number().over(Window.partitionBy("session_id", "name").orderBy("ord"))
+    stem, ext = F.regexp_replace("name", r"\.[^.]*$", ""), F.regexp_extract("name", r"(\.[^.]*)$", 1)
+    named = capped.withColumn("_k", again)
+    return named.withColumn("display_name", F.when(F.col("_k") == 1, F.col("name")).otherwise(F.concat(stem, F.lit(" ("), F.col("_k").cast("string"), F.lit(")"), ext))).drop("_n", "_k")
+
+
+def numbered_chunks(uploads: DataFrame) -> DataFrame:
+    """uploads(digest, chunks) by chunk: chunk_id is `digest:nth`."""
+    rest = [c for c in uploads.columns if c != "chunks"]
+    rows = uploads.select(*rest, F.posexplode("chunks").alias("nth", "chunk"))
+    return rows.withColumn("chunk_id", F.concat_ws(":", "digest", F.col("nth").cast("string")))

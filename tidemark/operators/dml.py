@@ -36,5 +36,50 @@ def transfer(old: DataFrame, owner: str, where) -> DataFrame:
     return old.withColumn("tenant_id", F.when(where, owner).otherwise(F.col("tenant_id")))
 
 
+def last_of_each(rows: DataFrame, key, order: str) -> DataFrame:
+    """Of rows with the same key the last in order."""
+    keys = [key] if isinstance(key, str) else key
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rows.columns), order).alias("_r")).select("_r.*")
+
+
+def bulk_upsert(old: DataFrame, new: DataFrame, key: str, tenant: str, update: list[str], touched) -> DataFrame:
+    """new(metadata map) into old: the tenant of a new row is the one in its metadata, else `tenant`; of known rows only `update`
+    and the column `touched` change."""
+    owner = F.coalesce(F.try_element_at("metadata", F.lit("tenant_id")), F.lit(tenant))
+    rows = new.withColumn("tenant_id", owner).withColumn("touched", touched).drop("metadata")
+    return upsert(old, rows.select(*old.columns), key, [*update, "touched"])
+
+
+def replace_one(old: DataFrame, where, values: dict) -> DataFrame:
+    """Columns of the rows that `where` picks."""
+    return old.withColumns({c: F.when(where, v).otherwise(F.col(c)) for c, v in values.items()})
+
+
+def delete_where(old: DataFrame, where) -> DataFrame:
+    """The rows that `where` does not pick; those it does not know stay."""
+    return old.filter(~F.coalesce(where, F.lit(False)))
+
+
+def delete_documents(tables: dict[str, DataFrame], gone: DataFrame, key: str) -> dict[str, DataFrame]:
+    """Each table without the rows of the documents in gone(key)."""
+    return {name: delete(t, gone, key) for name, t in tables.items()}
+
+
+def replaced(rows: DataFrame, document: str, chunk_size: int, overlap: int) -> tuple[DataFrame, DataFrame]:
+    """The new content of a cleared table, and its one-row description."""
+    info = rows.agg(F.count("*").alias("num_nodes"), F.count_distinct(document).alias("num_documents"))
+    return rows, info.withColumn("chunk_size", F.lit(chunk_size)).withColumn("chunk_overlap", F.lit(overlap))
+
+
+def corrections_of(records: DataFrame) -> DataFrame:
+    """Records(fields map) with the corrections that are set; none: no row."""
+    return records.withColumn("fields", F.map_filter("fields", lambda _, v: v.isNotNull())).filter(F.size("fields") > 0)
+
+
+def merged_by_tenant(old: DataFrame, new: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Rows of both, of equal keys the last: what is written with a partition for each tenant."""
+    return last_of_each(old.unionByName(new), keys, order)
+
+
 def write_by_tenant(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").partitionBy("tenant_id").parquet(path)

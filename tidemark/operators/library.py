@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import extension, stem
+from ..functions.text import extension, safe_name, stem
 
 
 def listing(files: DataFrame, nodes: DataFrame, extracted: DataFrame) -> DataFrame:
@@ -60,24 +60,97 @@ def duplicate_stems(files: DataFrame) -> DataFrame:
     return per.filter("n > 1")
 
 
+def at_ranks(rows: DataFrame, key: str, value: str, ranks: DataFrame, cuts: int = 1000) -> DataFrame:
+    """key, name, value: of each key's values in order the one at each of ranks(key, name, rank, lo, hi). The range of a key
+    (lo to hi) is cut in parts of equal width; only the parts that hold a rank are put in order."""
+    width = F.greatest((F.col("hi") - F.col("lo")) / cuts, F.lit(1e-300))
+    spans = F.broadcast(ranks.select(key, "lo", "hi").distinct())
+    parted = rows.join(spans, key).withColumn("part", F.least(F.floor((F.col(value) - F.col("lo")) / width), F.lit(cuts)).cast("int"))
+    per = parted.groupBy(key, "part").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy(key).orderBy("part"))  # cuts + 1 rows a key
+    held = per.withColumn("before", upto - F.col("n")).join(ranks.select(key, "name", "rank"), key).filter((F.col("before") < F.col("rank")) & (F.col("rank") <= F.col("before") + F.col("n")))
+    asked = held.select(key, "part", "name", (F.col("rank") - F.col("before")).alias("nth"))
+    inside = parted.join(F.broadcast(asked.select(key, "part").distinct()), [key, "part"])
+    counts = inside.groupBy(key, "part", value).agg(F.count("*").alias("m"))
+    order = Window.partitionBy(key, "part").orderBy(value)
+    placed = counts.withColumn("upto", F.sum("m").over(order))
+    found = placed.join(F.broadcast(asked), [key, "part"]).filter((F.col("upto") >= F.col("nth")) & (F.col("upto") - F.col("m") < F.col("nth")))
+    return found.select(key, "name", value)
+
+
 def latency(times: DataFrame) -> DataFrame:
-    """Statistics of times(stage, seconds) and each stage's share of all."""
+    """Statistics of times(stage, seconds) and each stage's share of all; median and p95 exactly, by counts of values."""
     per = times.groupBy("stage").agg(
         F.count("*").alias("n"),
         F.round(F.avg("seconds"), 6).alias("mean"),
-        F.round(F.median("seconds"), 6).alias("median"),
-        F.round(F.element_at(F.array_sort(F.collect_list("seconds")), F.least((F.floor(F.count("*") * 0.95) + 1), F.count("*")).cast("int")), 6).alias("p95"),
-        F.round(F.min("seconds"), 6).alias("least"),
-        F.round(F.max("seconds"), 6).alias("most"),
+        F.round(F.stddev_samp("seconds"), 6).alias("deviation"),
+        F.min("seconds").alias("lo"),
+        F.max("seconds").alias("hi"),
         F.sum("seconds").alias("total"),
     )
-    return per.withColumn("share", F.round(100 * F.col("total") / F.sum("total").over(Window.partitionBy(F.lit(0))), 4)).drop("total")
+    n = F.col("n")
+    places = {"below": F.floor((n + 1) / 2), "above": F.floor(n / 2) + 1, "p95": F.least(F.floor(n * 0.95) + 1, n)}
+    ranks = per.select("stage", "lo", "hi", F.explode(F.array(*[F.struct(F.lit(k).alias("name"), v.cast("long").alias("rank")) for k, v in places.items()])).alias("r")).select("stage", "lo", "hi", "r.*")
+    found = at_ranks(times, "stage", "seconds", ranks).groupBy("stage").agg(*[F.max(F.when(F.col("name") == k, F.col("seconds"))).alias(k) for k in places])
+    share = F.round(100 * F.col("total") / F.sum("total").over(Window.partitionBy(F.lit(0))), 4)  # one row a stage
+    out = per.withColumn("share", share).join(found, "stage")
+    return out.select("stage", "n", "mean", F.round((F.col("below") + F.col("above")) / 2, 6).alias("median"), F.round("p95", 6).alias("p95"), "deviation", F.round("lo", 6).alias("least"), F.round("hi", 6).alias("most"), "share")
 
 
 def grouped_by_type(nodes: DataFrame) -> DataFrame:
-    """Each type's documents, once each, with the title of their first node."""
-    first = nodes.groupBy("doc_type", "doc_id").agg(F.min_by("title", "node_id").alias("title"))
-    return first.groupBy("doc_type").agg(F.count("*").alias("docs"), F.array_join(F.array_sort(F.collect_list("title")), "|").alias("titles"))
+    """doc_type, doc_id, title: each type's documents, once each, with the title of their first node."""
+    return nodes.groupBy("doc_type", "doc_id").agg(F.min_by("title", "node_id").alias("title"))
+
+
+def recommendations(report: DataFrame) -> DataFrame:
+    """Of feedback_report's row what it calls for, in order."""
+    said = F.array_compact(F.array(
+        F.when(F.col("satisfaction") < 70, "raise_satisfaction"),
+        F.when(F.col("overconfident") > 20, "lower_confidence"),
+        F.when(F.col("underconfident") > 40, "raise_confidence"),
+        F.when(F.col("refined_helpful") < 50, "review_refinement"),
+    ))
+    return report.select(F.posexplode(said).alias("nth", "recommendation"))
+
+
+def extraction_summary(results: DataFrame) -> DataFrame:
+    """succeeded, failed, total, rate of results(name, error); the reasons are rows of `extraction_failures`."""
+    bad = F.col("error").isNotNull()
+    return results.agg(F.count_if(~bad).alias("succeeded"), F.count_if(bad).alias("failed"), F.count("*").alias("total"), F.round(100 * F.count_if(~bad) / F.greatest(F.count("*"), F.lit(1)), 2).alias("rate"))
+
+
+def extraction_failures(results: DataFrame) -> DataFrame:
+    return results.filter("error IS NOT NULL").groupBy("error").agg(F.count("*").alias("n"))
+
+
+def document_metrics(texts: DataFrame, sections: DataFrame, chunks: DataFrame) -> DataFrame:
+    """doc_id, length, sections (top level), chunks, status for texts(doc_id, text)."""
+    tops = sections.filter(~F.contains("section_id", F.lit("."))).groupBy("doc_id").agg(F.count_distinct("section_id").alias("sections"))
+    own = texts.groupBy("doc_id").agg(F.sum(F.length("text")).alias("length")).join(tops, "doc_id", "left").join(chunks.groupBy("doc_id").agg(F.count("*").alias("chunks")), "doc_id", "left")
+    n = lambda c: F.coalesce(c, F.lit(0))
+    return own.select("doc_id", "length", n("sections").alias("sections"), n("chunks").alias("chunks"), F.when(n("chunks") == 0, "no_chunks").when(n("sections") == 0, "no_sections").otherwise("ok").alias("status"))
+
+
+def extension_kinds(files: DataFrame) -> DataFrame:
+    """How many stems have which set of extensions."""
+    per = files.groupBy(stem(F.col("name")).alias("stem")).agg(F.array_join(F.array_sort(F.collect_set(extension(F.col("name")))), ",").alias("extensions"))
+    return per.groupBy("extensions").agg(F.count("*").alias("stems"))
+
+
+def listed(files: DataFrame, needle: str, doc_type: str | None, by: str, descending: bool = False) -> DataFrame:
+    """Files whose name holds needle, of the type (case aside; files without one drop out), in order of a column: numbers as
+    such, texts in lower case."""
+    rows = files.filter(F.contains(F.lower("name"), F.lit(needle.lower())))
+    if doc_type is not None:
+        rows = rows.filter(F.upper("doc_type") == doc_type.upper())
+    key = F.lower(by) if dict(files.dtypes)[by] == "string" else F.col(by)
+    return rows.orderBy(key.desc() if descending else key.asc(), "name")
+
+
+def cache_state(files: DataFrame, cached: DataFrame) -> DataFrame:
+    """name, valid: a cached record counts while the time differs by less than a second and no error is in it."""
+    both = files.join(cached.select("name", F.col("mtime").alias("then"), "error"), "name", "left")
+    return both.select("name", F.coalesce((F.abs(F.col("mtime") - F.col("then")) < 1) & F.col("error").isNull(), F.lit(False)).alias("valid"))
 
 
 #: Stages of processing (fixed values).
@@ -102,3 +175,34 @@ def problem_documents(docs: DataFrame, most_tokens: int = 15_000, least_coverage
     """docs(name, tokens, chunks, coverage) with what is wrong with them."""
     wrong = F.array_compact(F.array(F.when(F.col("tokens") > most_tokens, "mega_section"), F.when(F.col("chunks") == 0, "no_chunks"), F.when(F.col("coverage") < least_coverage, "low_coverage")))
     return docs.withColumn("problems", F.array_join(wrong, ",")).filter(F.size(wrong) > 0)
+
+
+def checked_uploads(uploads: DataFrame, existing: DataFrame, allowed: list[str]) -> DataFrame:
+    """uploads(raw) with name (the path's last part) and outcome: rejected, unsupported, duplicate of existing(name), accepted."""
+    rows = uploads.withColumn("name", safe_name(F.col("raw"))).join(existing.select("name", F.lit(True).alias("_there")).distinct(), "name", "left")
+    outcome = F.when(F.col("name").isNull(), "rejected").when(~extension(F.col("name")).isin(*allowed), "unsupported").when(F.col("_there"), "duplicate").otherwise("accepted")
+    return rows.withColumn("outcome", outcome).drop("_there")
+
+
+def to_process(changes: DataFrame, succeeded: DataFrame) -> DataFrame:
+    """name: new and modified files, of those that succeeded."""
+    wanted = changes.filter("change = 'new'").select("name").union(changes.filter("change = 'modified'").select("name")).distinct()
+    return wanted.intersect(succeeded.select("name"))
+
+
+def document_rows(nodes: DataFrame) -> DataFrame:
+    """doc_id, nodes, title (of the last node), sections, mode for each document that has nodes."""
+    per = nodes.groupBy("doc_id").agg(F.count("*").alias("nodes"), F.max_by("title", "node_id").alias("title"), F.count_distinct("section_id").alias("sections"))
+    return per.withColumn("mode", F.when(F.col("nodes") > 0, "sync").otherwise("rebuild"))
+
+
+def with_owner(rows: DataFrame, owners: DataFrame, key: str = "doc_id") -> DataFrame:
+    """node_id, owner: the tenant of the row's file, shared if it has none."""
+    return rows.join(owners.select(key, "tenant_id"), key, "left").select("node_id", F.coalesce("tenant_id", F.lit("shared")).alias("owner"))
+
+
+def reconciled(a: DataFrame, b: DataFrame, most: int) -> DataFrame:
+    """left_rows, right_rows and whether two stores differ by more than `most`."""
+    sides = a.select(F.lit(0).alias("side")).unionByName(b.select(F.lit(1).alias("side")))
+    both = sides.agg(F.count_if(F.col("side") == 0).alias("left_rows"), F.count_if(F.col("side") == 1).alias("right_rows"))
+    return both.withColumn("differs", F.abs(F.col("left_rows") - F.col("right_rows")) > most)

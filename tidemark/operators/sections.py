@@ -14,9 +14,9 @@ def build_tree(sections: DataFrame) -> DataFrame:
 
 
 def chunks_of_sections(chunks: DataFrame, sections: DataFrame) -> DataFrame:
-    """doc_id, section_id, chunk_ids (joined, in order) for sections with chunks."""
-    own = chunks.join(sections.select("doc_id", "section_id").distinct(), ["doc_id", "section_id"])
-    return own.groupBy("doc_id", "section_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("node_id")), lambda x: x.cast("string")), ",").alias("chunk_ids"))
+    """doc_id, section_id, node_id, nth: the chunks of sections, numbered within them."""
+    own = chunks.join(sections.select("doc_id", "section_id").distinct(), ["doc_id", "section_id"], "left_semi")
+    return own.select("doc_id", "section_id", "node_id", F.row_number().over(Window.partitionBy("doc_id", "section_id").orderBy("node_id")).alias("nth"))
 
 
 def rolled_up(sections: DataFrame) -> DataFrame:
@@ -51,3 +51,64 @@ def merge_empty(sections: DataFrame, least: int = 80) -> DataFrame:
     joined = (F.size("short") > 0) & F.startswith(F.col("s.section_id"), F.col("short")[0]["section_id"])
     name = F.when(joined, F.concat_ws(": ", F.transform("short", lambda x: x["name"]), F.col("s.name"))).otherwise(F.col("s.name"))
     return kept.select("doc_id", F.col("s.ord").alias("ord"), F.col("s.section_id").alias("section_id"), F.coalesce(name, F.col("s.name")).alias("name"), F.col("s.content").alias("content"))
+
+
+def numbered_lines(texts: DataFrame) -> DataFrame:
+    """doc_id, n, line, start of the lines of texts(doc_id, text); start counts characters from 1."""
+    lines = texts.select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    upto = Window.partitionBy("doc_id").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)  # the lines of one text
+    return lines.withColumn("start", F.coalesce(F.sum(F.length("line") + 1).over(upto), F.lit(0)) + 1)
+
+
+def positions(texts: DataFrame, sections: DataFrame) -> DataFrame:
+    """doc_id, ord, prefix, start: the lines that begin with the prefix of sections(doc_id, ord, prefix)."""
+    head = F.regexp_extract(F.trim("line"), r"^([0-9]+(?:\.[0-9]+)*|[A-Z]\.)", 1)
+    lines = numbered_lines(texts).withColumn("prefix", head).filter("prefix <> ''")
+    return lines.join(sections.select("doc_id", "ord", "prefix"), ["doc_id", "prefix"]).select("doc_id", "ord", "prefix", "start")
+
+
+#: What heads a table of contents, in order of precedence (fixed values).
+CONTENTS = [r"table\s+of\s+contents", r"\bcontents\b", r"\bindex\b"]
+
+
+def contents_end(texts: DataFrame, gap: int = 500, reach: int = 5000) -> DataFrame:
+    """doc_id, toc_start, toc_end for texts with such a head: the table of contents ends before the first numbered line after it
+    that has over `gap` characters to the next one; without such a line `reach` characters on, or with the text."""
+    lines, low = numbered_lines(texts), F.lower("line")
+    rank = F.coalesce(*[F.when(F.regexp_like(low, F.lit(p)), i) for i, p in enumerate(CONTENTS)])
+    at = F.coalesce(*[F.when(rank == i, F.regexp_instr(low, F.lit(p))) for i, p in enumerate(CONTENTS)])
+    heads = lines.withColumn("rank", rank).filter("rank IS NOT NULL").withColumn("at", F.col("start") + at - 1).groupBy("doc_id").agg(F.min(F.struct("rank", "at")).alias("h"))
+    heads = heads.select("doc_id", F.col("h.at").cast("long").alias("toc_start"))
+    own = lines.filter(F.regexp_like("line", F.lit(r"^\s*\d+\.?\d*\s+[A-Z]"))).join(heads, "doc_id").filter(F.col("start") >= F.col("toc_start"))
+    own = own.withColumn("next", F.lead("start").over(Window.partitionBy("doc_id").orderBy("start")))
+    ends = own.groupBy("doc_id").agg(F.min(F.when(F.col("next") - F.col("start") > gap, F.col("start"))).alias("end"))
+    whole = texts.select("doc_id", (F.length("text") + 1).cast("long").alias("after"))
+    return heads.join(ends, "doc_id", "left").join(whole, "doc_id").select("doc_id", "toc_start", F.coalesce("end", F.least(F.col("toc_start") + reach, F.col("after"))).alias("toc_end"))
+
+
+def located(texts: DataFrame, sections: DataFrame, toc: DataFrame | None = None, reach: int = 800) -> DataFrame:
+    """doc_id, ord, start for sections(doc_id, ord, prefix, anchor): the first line outside the table of contents that begins
+    with the prefix and has the anchor within `reach` characters; if none has, the first of them."""
+    found = positions(texts, sections)
+    if toc is not None:
+        found = found.join(toc, "doc_id", "left").filter(~F.coalesce((F.col("start") >= F.col("toc_start")) & (F.col("start") < F.col("toc_end")), F.lit(False)))
+    seen = found.select("doc_id", "ord", "start").join(sections.select("doc_id", "ord", "anchor"), ["doc_id", "ord"]).join(texts, "doc_id")
+    near = F.lower(F.regexp_replace(F.substring("text", F.col("start"), F.lit(reach)), r"\s+", " "))
+    sure = F.coalesce(F.contains(near, F.lower(F.regexp_replace("anchor", r"\s+", " "))), F.lit(False))
+    return seen.groupBy("doc_id", "ord").agg(F.coalesce(F.min(F.when(sure, F.col("start"))), F.min("start")).alias("start"))
+
+
+def by_boundaries(texts: DataFrame, sections: DataFrame, toc: DataFrame | None = None, least: int = 80) -> DataFrame:
+    """The sections' contents: located, cut from start to start, sections that are nearly empty merged into the next."""
+    starts = located(texts, sections, toc)
+    cut = slices(texts, starts.select("doc_id", "start"))
+    named = starts.join(sections.select("doc_id", "ord", F.col("prefix").alias("section_id"), "name"), ["doc_id", "ord"])
+    return merge_empty(named.join(cut, ["doc_id", "start"]), least)
+
+
+def as_markdown(sections: DataFrame) -> DataFrame:
+    """doc_id, ord, text: a heading as deep as the section's level, then its content, indented by two spaces a level."""
+    level = F.size(F.split("section_id", r"\."))
+    indent = F.repeat(F.lit("  "), level - 1)
+    body = F.array_join(F.transform(F.split("content", "\n"), lambda x: F.concat(indent, x)), "\n")
+    return sections.select("doc_id", "ord", F.concat(F.repeat(F.lit("#"), level + 1), F.lit(" "), "name", F.lit("\n"), body).alias("text"))

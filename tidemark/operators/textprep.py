@@ -2,29 +2,40 @@
 
 import re
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import ngrams, normalise_for_validation, split_words
 
 
+#: White space but line ends, as Unicode has it.
+BLANK = r"(?U)[^\S\n]"
+
+
+def clean_lines(text):
+    """Lines outside fences: table rows with single spaces, others with rulers, dot leaders and repeated marks cut short."""
+
+    def one(line):
+        single = F.regexp_replace(line, r"[ \t]+", " ")
+        short = F.regexp_replace(F.regexp_replace(single, r"[\-_=]{4,}", "----"), r"\.{4,}", "...")
+        short = F.regexp_replace(short, r"([,.;:!?])\1{2,}", "$1")
+        return F.regexp_replace(F.when(F.regexp_like(line, F.lit(r"(?U)^\s*\|(.*\|)?\s*$")), single).otherwise(short), r"(?U)\s+$", "")
+
+    return F.array_join(F.transform(F.split(text, "\n"), one), "\n")
+
+
 def clean_text(docs: DataFrame) -> DataFrame:
-    """docs(id, text) cleaned: line ends alike, fenced code left alone but for its ends, table rows with single spaces, other
-    lines with rulers, dot leaders and repeated marks cut short; at most one empty line in a row; trimmed."""
+    """docs(id, text) cleaned: line ends alike, fenced code left alone but for its ends, other lines by `clean_lines`; at most
+    one empty line in a row; trimmed. Row by row, without a shuffle: rows that share an id stay apart."""
     unix = F.regexp_replace(F.coalesce("text", F.lit("")), r"\r\n?", "\n")
-    lines = docs.select("id", F.posexplode(F.split(unix, "\n")).alias("n", "line"))
-    fence = F.startswith(F.trim("line"), F.lit("```"))
-    inside = F.sum(fence.cast("int")).over(Window.partitionBy("id").orderBy("n")) % 2 == 1
-    single = F.regexp_replace("line", r"[ \t]+", " ")
-    short = F.regexp_replace(F.regexp_replace(single, r"[\-_=]{4,}", "----"), r"\.{4,}", "...")
-    for mark in ",.;:!?":
-        short = F.regexp_replace(short, f"[{mark}]{{3,}}", mark)
-    trimmed = F.trim("line")
-    row = F.startswith(trimmed, F.lit("|")) & F.endswith(trimmed, F.lit("|"))
-    cleaned = F.when(fence | inside, F.col("line")).when(row, single).otherwise(short)
-    out = lines.withColumn("line", F.regexp_replace(cleaned, r"\s+$", "")).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "line"))).alias("lines"))
-    text = F.regexp_replace(F.array_join(F.transform("lines", lambda x: x["line"]), "\n"), r"\n\s*\n\s*\n+", "\n\n")
-    return out.select("id", F.regexp_replace(text, r"^\s+|\s+$", "").alias("text"))
+    # each part but the first begins with a fence, which opens code in the odd ones and closes it in the even ones
+    parts = F.split(F.concat(F.lit("\n"), unix), rf"\n(?={BLANK}*```)")
+    ends = lambda x: F.regexp_replace(x, rf"(?m){BLANK}+$", "")
+    head = lambda x: F.substring_index(x, "\n", 1)
+    rest = lambda x: F.substring(x, F.length(head(x)) + 1, F.length(x))
+    done = F.transform(parts, lambda x, i: F.when(i == 0, clean_lines(x)).when(i % 2 == 1, ends(x)).otherwise(F.concat(ends(head(x)), clean_lines(rest(x)))))
+    text = F.regexp_replace(F.array_join(done, "\n"), r"(?U)\n\s*\n\s*\n+", "\n\n")
+    return docs.select("id", F.regexp_replace(text, r"(?U)^\s+|\s+$", "").alias("text"))
 
 
 def validate_extraction(pairs: DataFrame, n: int = 3) -> DataFrame:

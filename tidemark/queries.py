@@ -76,12 +76,12 @@ def hybrid_confidence(spark, sf):
 
 
 @query(f"""WITH {LISTS}, adj AS (SELECT f.node_id, f.rank AS was, round(f.score * CASE WHEN regexp_matches(text, '^[A-Z]\\.\\s+[A-Z]') THEN 1.5 WHEN regexp_matches(text, '^[A-Z]+:\\s*\\|') THEN 0.5 ELSE 1.0 END
-  * CASE WHEN upper(doc_type) = 'FORM' THEN 1.3 ELSE 1.0 END, 9) AS score FROM fused f JOIN nodes USING (node_id))
+  * CASE WHEN doc_type = 'Form' THEN 1.3 ELSE 1.0 END, 9) AS score FROM fused f JOIN nodes USING (node_id))
 SELECT node_id, score, CAST(row_number() OVER (ORDER BY score DESC, was) AS INT) AS rank FROM adj""")
 def boosted(spark, sf):
     n = nodes(spark, sf).select("node_id", "text", "doc_type")
     rows = _fused(spark, sf).join(n, "node_id")
-    factor = R.section_factor(F.col("text")) * F.when(F.upper("doc_type") == "FORM", 1.3).otherwise(1.0)
+    factor = R.section_factor(F.col("text")) * R.type_boost(F.col("doc_type"), "Form")
     return R.rescored(rows, factor).select("node_id", "score", "rank")
 
 
@@ -97,12 +97,12 @@ def keyword_by_type_and_title(spark, sf):
     return R.keyword_top(R.filtered(nodes(spark, sf), None, ["Form", "POLICY"]), TERMS, 10, title="th")
 
 
-@query(f"""WITH {MAP['nodes']}, q AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS term FROM benchmark WHERE item_id < 5),
+@query(f"""WITH {MAP['nodes']}, q AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS term FROM benchmark),
 p AS (SELECT node_id, term, count(*) AS tf FROM (SELECT node_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS term FROM nodes) GROUP BY ALL),
 s AS (SELECT query_id, node_id, round(sum(tf) * 0.1, 6) AS score FROM p JOIN q USING (term) GROUP BY ALL)
 SELECT query_id, node_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS INT) AS rank FROM s QUALIFY rank <= 10""")
 def keyword_many_queries(spark, sf):
-    q = table(spark, sf, "benchmark").filter("item_id < 5").select(F.col("item_id").alias("query_id"), F.explode(T.tokens(F.col("text"))).alias("term"))
+    q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(T.tokens(F.col("text"))).alias("term"))
     return R.keyword_top_each(nodes(spark, sf), q)
 
 
@@ -157,14 +157,13 @@ def duplicate_stems(spark, sf):
 
 
 @query("""WITH t AS (SELECT event_type AS stage, value AS seconds FROM events WHERE value IS NOT NULL),
-g AS (SELECT stage, count(*) AS n, avg(seconds) AS a, median(seconds) AS m, list_sort(list(seconds)) AS l, min(seconds) AS lo, max(seconds) AS hi, sum(seconds) AS t FROM t GROUP BY 1)
-SELECT stage, n, round(a, 6) AS mean, round(m, 6) AS median, round(l[least(CAST(floor(n * 0.95) AS INT) + 1, n)], 6) AS p95, round(lo, 6) AS least, round(hi, 6) AS most, round(100 * t / sum(t) OVER (), 4) AS share FROM g""")
+g AS (SELECT stage, count(*) AS n, avg(seconds) AS a, median(seconds) AS m, stddev_samp(seconds) AS d, list_sort(list(seconds)) AS l, min(seconds) AS lo, max(seconds) AS hi, sum(seconds) AS t FROM t GROUP BY 1)
+SELECT stage, n, round(a, 6) AS mean, round(m, 6) AS median, round(l[least(CAST(floor(n * 0.95) AS INT) + 1, n)], 6) AS p95, round(d, 6) AS deviation, round(lo, 6) AS least, round(hi, 6) AS most, round(100 * t / sum(t) OVER (), 4) AS share FROM g""")
 def latency_statistics(spark, sf):
     return B.latency(table(spark, sf, "events").filter("value IS NOT NULL").select(F.col("event_type").alias("stage"), F.col("value").alias("seconds")))
 
 
-@query(f"""WITH {MAP['nodes']}, f AS (SELECT doc_type, doc_id, arg_min(title, node_id) AS title FROM nodes GROUP BY ALL)
-SELECT doc_type, count(*) AS docs, array_to_string(list_sort(list(title)), '|') AS titles FROM f GROUP BY 1""")
+@query(f"WITH {MAP['nodes']} SELECT doc_type, doc_id, arg_min(title, node_id) AS title FROM nodes GROUP BY ALL")
 def documents_by_type(spark, sf):
     return B.grouped_by_type(nodes(spark, sf))
 
@@ -222,12 +221,17 @@ def section_identifiers(spark, sf):
     return table(spark, sf, "documents").select("doc_id", i.alias("section_id"), T.section_level(heading).cast("int").alias("level"), T.parent_id(i).alias("parent"))
 
 
-@query(r"""WITH d AS (SELECT doc_id AS id, string_split(replace(replace(text, ' the ', ' ---------  the '), '. ', ' ....... !!!! '), chr(10)) AS l FROM documents),
-x AS (SELECT id, unnest(list_transform(l, lambda s: rtrim(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(s, '[ \t]+', ' ', 'g'), '[\-_=]{4,}', '----', 'g'), '\.{4,}', '...', 'g'),
- ',{3,}', ',', 'g'), '\.{3,}', '.', 'g'), ';{3,}', ';', 'g'), ':{3,}', ':', 'g'), '!{3,}', '!', 'g'), '\?{3,}', '?', 'g'), chr(9), ' '), chr(13), ''), ' '))) AS line, generate_subscripts(l, 1) AS n FROM d)
-SELECT id, regexp_replace(regexp_replace(string_agg(line, chr(10) ORDER BY n), '\n\s*\n\s*\n+', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS text FROM x GROUP BY 1""")
+@query(r"""WITH d AS (SELECT doc_id AS id, string_split(replace(replace(replace(text, ' the ', ' ---------  the '), '. ', ' ....... !!!! '), ' of ', chr(10) || chr(9) || '| a  b ....  | ' || chr(10) || chr(9) || '``` ' || chr(10) || 'x   y!!!!  ' || chr(10) || '```' || chr(10)), chr(10)) AS l FROM documents),
+y AS (SELECT id, unnest(l) AS s, generate_subscripts(l, 1) AS n FROM d),
+z AS (SELECT *, starts_with(trim(s, chr(9) || ' '), '```') AS fence FROM y),
+f AS (SELECT *, sum(CAST(fence AS INT)) OVER (PARTITION BY id ORDER BY n) % 2 = 1 AS code FROM z),
+x AS (SELECT id, n, CASE WHEN fence OR code THEN s WHEN regexp_matches(trim(s, chr(9) || chr(13) || ' '), '^\|(.*\|)?$') THEN regexp_replace(s, '[ \t]+', ' ', 'g') ELSE
+ regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(s, '[ \t]+', ' ', 'g'), '[\-_=]{4,}', '----', 'g'), '\.{4,}', '...', 'g'),
+ ',{3,}', ',', 'g'), '\.{3,}', '.', 'g'), ';{3,}', ';', 'g'), ':{3,}', ':', 'g'), '!{3,}', '!', 'g'), '\?{3,}', '?', 'g') END AS line FROM f)
+SELECT id, regexp_replace(regexp_replace(string_agg(regexp_replace(line, '\s+$', ''), chr(10) ORDER BY n), '\n\s*\n\s*\n+', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS text FROM x GROUP BY 1""")
 def text_cleaning(spark, sf):
     text = F.replace(F.replace("text", F.lit(" the "), F.lit(" ---------  the ")), F.lit(". "), F.lit(" ....... !!!! "))
+    text = F.replace(text, F.lit(" of "), F.lit("\n\t| a  b ....  | \n\t``` \nx   y!!!!  \n```\n"))
     return P.clean_text(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), text.alias("text")))
 
 
@@ -253,7 +257,7 @@ def section_sizes(spark, sf):
 
 
 @query(f"""WITH {_SEC}, {MAP['nodes']}, s AS (SELECT DISTINCT doc_id, section_id FROM sec)
-SELECT n.doc_id, n.section_id, array_to_string(list_transform(list_sort(list(node_id)), lambda x: CAST(x AS VARCHAR)), ',') AS chunk_ids FROM nodes n JOIN s ON n.doc_id = s.doc_id AND n.section_id = s.section_id GROUP BY ALL""")
+SELECT n.doc_id, n.section_id, node_id, CAST(row_number() OVER (PARTITION BY n.doc_id, n.section_id ORDER BY node_id) AS INT) AS nth FROM nodes n JOIN s ON n.doc_id = s.doc_id AND n.section_id = s.section_id""")
 def chunk_mapping(spark, sf):
     return S.chunks_of_sections(nodes(spark, sf), _sections(spark, sf))
 
@@ -327,21 +331,30 @@ def ownership_transfer(spark, sf):
     return D.transfer(nodes(spark, sf), "t9", F.col("doc_id") == "src3").groupBy("tenant_id").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT item_id, CASE WHEN contains(t, 'company') OR contains(t, 'our policy') OR contains(t, 'internal') THEN 'company' WHEN contains(t, 'regulation') OR contains(t, 'solas') OR contains(t, 'marpol') OR contains(t, 'convention') THEN 'regulatory'
- WHEN contains(t, 'safety') OR contains(t, 'emergency') OR contains(t, 'hazard') THEN 'safety' WHEN contains(t, 'operation') OR contains(t, 'procedure') OR contains(t, 'checklist') THEN 'operational' ELSE 'general' END AS scope,
- CASE WHEN contains(t, 'form') THEN 'Form' WHEN contains(t, 'checklist') THEN 'Checklist' WHEN contains(t, 'procedure') THEN 'Procedure' WHEN contains(t, 'policy') THEN 'Policy' WHEN contains(t, 'manual') THEN 'Manual' WHEN contains(t, 'regulation') THEN 'Regulation' END AS preference,
- CASE WHEN len(string_split(t, ' ')) <= 2 AND NOT contains(t, '?') THEN 'greeting' ELSE 'new_query' END AS intent
-FROM (SELECT item_id, (['hello there', 'which form is it?', 'what does the safety manual say about hazards', 'our policy on procedure', 'information?'])[CAST(item_id % 5 AS INT) + 1] AS t FROM benchmark)""")
+QUESTIONS = [
+    "hello there", "Good morning", "howdy", "see you", "take care", "which form is it?", "is this information current", "show me the check list for departure",
+    "how to launch a lifeboat in an emergency", "what does chapter 4 say about drills?", "is there a user guide for the gyro compass", "our policy on visitors in port areas",
+    "which requirement covers maintenance of alarms", "when is the next inspection of the pump room due", "company rules for shore leave", "what are hazards of cargo", "internal audit dates please now", "the convention on load lines says what",
+]
+_CASES = lambda rules: " ".join("WHEN " + " OR ".join(f"contains(t, '{k}')" for k in keys) + f" THEN '{name}'" for name, keys in rules)
+_Q = ", ".join(f"'{q}'" for q in QUESTIONS)
+
+
+@query(f"""SELECT item_id, CASE {_CASES([
+    ('company', ['our company', 'our policy', 'our procedure', 'company policy']), ('regulatory', ['marpol', 'solas', 'imo', 'mlc', 'stcw', 'regulation', 'annex', 'chapter']),
+    ('safety', ['emergency', 'drill', 'fire', 'abandon', 'lifeboat', 'evacuation', 'alarm']), ('operational', ['operation', 'procedure', 'checklist', 'maintenance', 'inspection'])])} ELSE 'general' END AS scope,
+ CASE {_CASES([('Form', ['form']), ('Checklist', ['checklist', 'check list']), ('Procedure', ['procedure', 'how to', 'steps']), ('Policy', ['policy', 'policies']), ('Manual', ['manual', 'guide']), ('Regulation', ['regulation', 'requirement'])])} END AS preference,
+ CASE WHEN t IN ('hi', 'hello', 'hey', 'good morning', 'good afternoon', 'good evening', 'howdy', 'hey there') OR (len(string_split(t, ' ')) <= 2 AND NOT contains(t, '?')) THEN 'greeting' WHEN t IN ('bye', 'goodbye', 'see you', 'take care') THEN 'goodbye' ELSE 'new_query' END AS intent
+FROM (SELECT item_id, lower(([{_Q}])[CAST(item_id % {len(QUESTIONS)} AS INT) + 1]) AS t FROM benchmark)""")
 def question_rules(spark, sf):
-    texts = ["hello there", "which form is it?", "what does the safety manual say about hazards", "our policy on procedure", "information?"]
-    t = F.element_at(F.array(*[F.lit(x) for x in texts]), (F.col("item_id") % 5 + 1).cast("int"))
+    t = F.element_at(F.array(*[F.lit(x) for x in QUESTIONS]), (F.col("item_id") % len(QUESTIONS) + 1).cast("int"))
     return table(spark, sf, "benchmark").select("item_id", L.scope(t).alias("scope"), L.type_preference(t).alias("preference"), L.intent(t).alias("intent"))
 
 
-@query(r"""SELECT doc_id, md5(text) AS digest, CASE WHEN n_chars < 1024 THEN CAST(n_chars AS VARCHAR) || ' B' ELSE format('{:.1f} KB', n_chars / 1024) END AS size,
- CASE WHEN len(t) > 40 THEN substr(t, 1, 40) || '...' ELSE t END AS title FROM (SELECT doc_id, text, n_chars, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents)""")
+@query(r"""SELECT doc_id, md5(text) AS digest, CASE WHEN n < 1024 THEN CAST(n AS VARCHAR) || 'B' WHEN n < 1048576 THEN format('{:.1f}KB', n / 1024) WHEN n < 1073741824 THEN format('{:.1f}MB', n / 1048576) ELSE format('{:.1f}GB', n / 1073741824) END AS size,
+ CASE WHEN len(t) > 40 THEN substr(t, 1, 40) || '...' ELSE t END AS title FROM (SELECT doc_id, text, n_chars * (doc_id % 3 * 499 + 1) * (doc_id % 7 * 101 + 1) AS n, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents)""")
 def document_labels(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"), T.human_size(F.col("n_chars")).alias("size"), T.short_title(F.col("text")).alias("title"))
+    return table(spark, sf, "documents").select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"), T.human_size(F.col("n_chars") * (F.col("doc_id") % 3 * 499 + 1) * (F.col("doc_id") % 7 * 101 + 1)).alias("size"), T.short_title(F.col("text")).alias("title"))
 
 
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
@@ -357,3 +370,10 @@ def page_texts(spark, sf):
 @query()
 def sentence_chunks(spark, sf):
     return P.chunk(table(spark, sf, "documents"), 200, 40)
+
+
+from . import queries_data, queries_text  # noqa: E402  (they add to the queries above)
+
+for _part in (queries_data, queries_text):
+    QUERIES |= _part.QUERIES
+    ORACLE_SQL |= _part.ORACLE_SQL

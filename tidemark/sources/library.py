@@ -142,7 +142,7 @@ def read_texts(spark: SparkSession, root: str, most: int | None = None) -> DataF
 def read_records(spark: SparkSession, path: str, schema: StructType | str, key: str) -> DataFrame:
     """JSON lines with a schema: lines that do not parse or lack the key are skipped, of equal keys the last line counts."""
     rows = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path).filter(F.col(key).isNotNull())
-    rows = rows.withColumn("_at", F.struct(F.col("_metadata.file_path"), F.monotonically_increasing_id()))
+    rows = rows.withColumn("_at", F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()))
     last = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("_at")))
     return rows.withColumn("_n", last).filter("_n = 1").drop("_n", "_at")
 

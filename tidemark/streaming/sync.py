@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 from pyspark.sql.types import StructType
 
-from ..operators.dml import upsert
+from ..operators.dml import last_of_each
 
 TURNS = "session_id long, id long, turn int, topic string"
 
@@ -14,19 +14,27 @@ def watch_files(spark: SparkSession, root: str, schema: StructType | str) -> Dat
     return spark.readStream.schema(schema).parquet(root)
 
 
-def sync(stream: DataFrame, target: str, checkpoint: str, key: str = "node_id"):
-    """Upserts each micro-batch into a Parquet table of versions: batch n becomes target/v=n, from the version before."""
+def sync(stream: DataFrame, target: str, checkpoint: str, key: str, order: str):
+    """A log of changes: micro-batch n writes its own rows only, of each key the last by `order`, to target/batch=n. A batch that
+    comes again after a failure writes the same place again; a new checkpoint goes on after the log's last batch."""
     spark = stream.sparkSession
+    fs = spark._jvm.org.apache.hadoop.fs.Path(target).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    own = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    known = [int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(own(target)) if s.getPath().getName().startswith("batch=")] if fs.exists(own(target)) else []
+    first = 0 if fs.exists(own(f"{checkpoint}/offsets")) else max(known, default=-1) + 1
 
     def apply(batch: DataFrame, n: int) -> None:
-        batch = batch.dropDuplicates([key])
-        if n > 0:
-            batch = upsert(spark.read.parquet(f"{target}/v={n - 1}"), batch, key)
-        batch.write.mode("overwrite").parquet(f"{target}/v={n}")  # the same batch again writes the same version
+        last_of_each(batch, key, order).write.mode("overwrite").parquet(f"{target}/batch={first + n}")
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def current(spark: SparkSession, target: str, key: str, deleted: str | None = None) -> DataFrame:
+    """The table that the log stands for: of each key the row of its last batch, without those whose `deleted` is true."""
+    rows = last_of_each(spark.read.parquet(target), key, "batch")
+    return (rows if deleted is None else rows.filter(~F.coalesce(deleted, F.lit(False))).drop(deleted)).drop("batch")
+
+
 class TurnCounter(StatefulProcessor):
     """Counts a session's turns from 1, anew after `most` or when the topic changes."""
 
