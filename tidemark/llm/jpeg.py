@@ -7,7 +7,8 @@ a row, one restart interval a row; the quantiser 8 makes each block a square of
 than 8,191 rows goes to several pictures, one after the other.
 
 Defined results: a null text is an empty one; an empty text is one row of 64 zero bytes; equal texts have equal media;
-rows are kept as they are, repeated ones too; an empty table gives no rows; other columns are ignored.
+rows are kept as they are, repeated ones too, with any doc_id or none; a very long text is one picture after the other, all
+of them in memory for that text alone; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 import hashlib

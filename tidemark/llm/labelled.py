@@ -9,13 +9,15 @@ from .common import crc_mod
 
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, each: int) -> DataFrame:
     """doc_id, text, label of at most `each` rows of each class, the first by a hash of their ids among rows whose
-    crc32(doc_id as text) mod 3 is not 1. `each` bounds what is broadcast and fitted; scores cover all rows."""
-    rows = labels.filter(crc_mod("doc_id", 3) != 1).select("doc_id", F.col(label).alias("label")).dropDuplicates(["doc_id"])
+    crc32(doc_id as text) mod 3 is not 1. `each` bounds what is broadcast and fitted; scores cover all rows. Of several labels
+    of a doc_id the greatest counts, of several texts that of the least hash, so that reruns fit the same."""
+    rows = labels.filter(crc_mod("doc_id", 3) != 1).groupBy("doc_id").agg(F.max(label).alias("label"))
     picked = None
     for y in (0, 1):
         some = rows.filter(F.col("label") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(each)
         picked = some if picked is None else picked.unionByName(some)
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])
+    found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    return found.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")).select("doc_id", "t.text", "label")
 
 
 def held_out() -> "F.Column":

@@ -10,7 +10,8 @@ are disjoint, and shuffles them locally by a hash of document and copy.
 
 Defined results: a null text has size 0; the null source comes last; weights repeat 1, 2, 3 in code-point order; a source
 without words has target 0 and takes nothing; rows that share a doc_id, or have none, are drawn each for itself, equal rows
-too; an empty table gives no rows.
+too; a null doc_id is a row like any other; a very long text is one size that no cut divides; an empty table gives no rows; other
+columns are ignored by `mix` (but each row is drawn by all it holds) and kept as they are by `mixed_rows`, whatever their names.
 """
 
 import numpy as np

@@ -6,7 +6,9 @@ the score. Fitted on at most SAMPLE labelled training documents of each class; e
 label, and lines of bad documents that the first fit finds clearly good are taken as good in the second.
 
 Defined results: a null text is an empty one, of a single empty line; repeated rows have equal scores; without labels of
-both classes every score is the share of label 1 (0.5 without any); an empty table gives no rows.
+both classes every score is the share of label 1 (0.5 without any); of several labels of a doc_id the greatest counts, of
+several texts that of the least hash; a null doc_id is a row like any other and is not held out; a very long text is scored
+whole, at some 300 bytes a line; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 import numpy as np
@@ -33,7 +35,7 @@ N_OWN = 22
 
 
 def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features of all lines, own and neighbours', with a constant; their lengths; and the lines of each text."""
+    """Own features of all lines; their lengths; and the lines of each text."""
     w = Words(texts)
     stop = w.begin[1:] - 1
     ends = w.buf == 10
@@ -63,11 +65,28 @@ def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
         letters / some / 10, size == 0, words == 1, kinds[:, 0] / chars,
     ])
     per = np.bincount(np.searchsorted(w.begin[1:], at, side="right"), minlength=len(texts))
-    first_line = np.concatenate([[0], np.cumsum(per)])
+    return own.astype(np.float32), chars.astype(np.float32), per
+
+
+def neighbours(own: np.ndarray, per: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What stands before and after each row of own in its text, nothing at its ends."""
+    first = np.concatenate([[0], np.cumsum(per)])
     before, after = np.roll(own, 1, axis=0), np.roll(own, -1, axis=0)
-    before[first_line[:-1]] = 0
-    after[first_line[1:] - 1] = 0
-    return np.column_stack([own, before, after, np.ones(n)]).astype(np.float32), chars.astype(float), per
+    before[first[:-1]] = 0
+    after[first[1:] - 1] = 0
+    return before, after
+
+
+def with_neighbours(own: np.ndarray, per: np.ndarray) -> np.ndarray:
+    """Features of all lines, own and neighbours', with a constant."""
+    return np.column_stack([own, *neighbours(own, per), np.ones(len(own))]).astype(np.float32)
+
+
+def line_scores(own: np.ndarray, per: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """with_neighbours(own, per) @ weight, without making it: a text of very many lines takes three numbers a line more."""
+    n = own.shape[1]
+    shares = own @ np.stack([weight[:n], weight[n : 2 * n], weight[2 * n : 3 * n]], axis=1)
+    return shares[:, 0] + neighbours(shares[:, 1], per)[0] + neighbours(shares[:, 2], per)[1] + weight[-1]
 
 
 class Chain:
@@ -76,10 +95,11 @@ class Chain:
     def __init__(self, weight: np.ndarray, move: np.ndarray):
         self.weight, self.move = weight, move
 
-    def marginals(self, x: np.ndarray, per: np.ndarray, pairs: bool = False):
-        """Probability of good for each line; with pairs also the expected moves. Documents go side by side, the longest first."""
+    def marginals(self, lines: np.ndarray, per: np.ndarray, pairs: bool = False):
+        """For lines' scores: probability of good for each line; with pairs also the expected moves. Documents go side by side, the longest first."""
+        x = lines
         score = np.zeros((len(x), 2))
-        score[:, 1] = x @ self.weight
+        score[:, 1] = lines
         order = np.argsort(-per, kind="stable")
         first = (np.cumsum(per) - per)[order]
         length = per[order]
@@ -108,10 +128,10 @@ class Chain:
         v = np.exp(v - v.max(axis=(1, 2), keepdims=True))
         return good, (v / v.sum(axis=(1, 2), keepdims=True)).sum(axis=0), i
 
-    def shares(self, x, chars, per) -> np.ndarray:
+    def shares(self, own, chars, per) -> np.ndarray:
         """Length-weighted share of good text of each document."""
         doc = np.repeat(np.arange(len(per)), per)
-        return np.bincount(doc, self.marginals(x, per) * chars, len(per)) / np.bincount(doc, chars, len(per))
+        return np.bincount(doc, self.marginals(line_scores(own, per, self.weight), per) * chars, len(per)) / np.bincount(doc, chars, len(per))
 
 
 def fit_chain(x: np.ndarray, per: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 15, rate: float = 0.5) -> Chain:
@@ -119,7 +139,7 @@ def fit_chain(x: np.ndarray, per: np.ndarray, y: np.ndarray, weight: np.ndarray,
     chain = Chain(logistic(x, y, weight), np.zeros((2, 2)))
     norm_w, norm_m = np.zeros(x.shape[1]), np.zeros((2, 2))
     for k in range(steps):
-        good, moves, i = chain.marginals(x, per, pairs=True)
+        good, moves, i = chain.marginals(x @ chain.weight, per, pairs=True)
         seen = np.zeros((2, 2))
         np.add.at(seen, ((y[i] > 0.5).astype(int), (y[i + 1] > 0.5).astype(int)), 1)
         gw = (x.T @ (y - good) - 0.5 * chain.weight) / len(x)
@@ -138,7 +158,8 @@ class Quality:
         self.chain = None
         if len(set(labels.tolist())) < 2:
             return
-        x, chars, per = line_features(texts)
+        own, chars, per = line_features(texts)
+        x = with_neighbours(own, per)
         doc = np.repeat(np.arange(len(per)), per)
         even = np.where(labels == 1, 0.5 / labels.sum(), 0.5 / (len(labels) - labels.sum())) * len(labels)
         weight = (chars / np.bincount(doc, chars)[doc]) * per[doc] * even[doc]
@@ -146,10 +167,10 @@ class Quality:
         first = sigmoid(x @ logistic(x, y, weight))
         y = np.where((y == 0) & (first > 0.8), 1.0, y)
         self.chain = fit_chain(x, per, y, weight)
-        self.curve = logistic(self._inputs(x, chars, per), labels.astype(float), ridge=0.1)
+        self.curve = logistic(self._inputs(own, chars, per), labels.astype(float), ridge=0.1)
 
-    def _inputs(self, x, chars, per):
-        share = self.chain.shares(x, chars, per)
+    def _inputs(self, own, chars, per):
+        share = self.chain.shares(own, chars, per)
         return np.column_stack([np.ones(len(per)), np.clip(np.log(share + 1e-3) - np.log(1 - share + 1e-3), -6, 6), share])
 
     def score(self, texts: list[bytes]) -> np.ndarray:

@@ -8,8 +8,8 @@ every window of n words that holds one is hashed, and windows that occur more th
 Only hashes, rows and places move; texts are joined to them by bucket. Windows are told apart by 64-bit hashes.
 
 Defined results: a null text has no words; a text of fewer than n words keeps all; rows that repeat a doc_id are
-documents of their own, so that a repeated row of n words or more loses its words; an empty table gives no rows; other
-columns are ignored.
+documents of their own, so that a repeated row of n words or more loses its words; a null doc_id is a document like any
+other; a very long text is read whole; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 import hashlib

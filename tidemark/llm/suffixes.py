@@ -15,8 +15,8 @@ The index lives in memory, bucket by bucket (a bucket answers to 16 MB of text);
 of the shared folder, written and read in sequence.
 
 Defined results: a null text is an empty one; a text of fewer than `size` bytes keeps all; a byte goes if a smaller doc_id
-has the substring, so that rows that repeat a doc_id do not remove each other, and a null doc_id is the least; an empty
-table gives no rows; other columns are ignored.
+has the substring, so that rows that repeat a doc_id do not remove each other, and a null doc_id is the least; a very long
+text is cut like any other; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 import hashlib
@@ -380,3 +380,16 @@ def remove_substrings(docs: DataFrame) -> DataFrame:
 
 def op1_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_substrings(table(spark, sf_dir, "documents")).drop("kept")
+
+
+OP1_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+win AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS k FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS i FROM d)),
+least_ AS (SELECT k, min(doc_id) AS m FROM win GROUP BY 1),
+hit AS (SELECT doc_id, i FROM win JOIN least_ USING (k) WHERE m < doc_id),
+b AS (SELECT doc_id, p, substr(h, 2 * p + 1, 2) AS x FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2)) AS p FROM d)),
+c AS (SELECT b.doc_id, p, x, max(i) OVER (PARTITION BY b.doc_id ORDER BY p ROWS 49 PRECEDING) IS NOT NULL AS gone FROM b LEFT JOIN hit ON hit.doc_id = b.doc_id AND hit.i = b.p),
+e AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), false) AS begins FROM c),
+r AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (begins) AS n_spans, string_agg(x, '' ORDER BY p) FILTER (NOT gone) AS kept FROM e GROUP BY 1)
+SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN r USING (doc_id)
+"""

@@ -7,7 +7,10 @@ within CONTEXT words before it and one closes within as many after it. A logisti
 quoted, the densest window), cross-fitted on all sampled training documents, gives the score.
 
 Defined results: a null text is an empty one; an empty text has no hits and gets the model's score for none; without labels of both
-classes every score is the share of label 1 (0 without any); repeated rows have equal scores; an empty table gives no rows.
+classes every score is the share of label 1 (0 without any); repeated rows have equal scores; of several labels of a doc_id the
+greatest counts, of several texts that of the least hash; a null doc_id is a row like any other and is not held out; a very long
+text is scored whole; an empty table gives no rows; other columns are ignored by the scores, and kept as they are, whatever
+their names, by `drop_toxic`.
 """
 
 import numpy as np
