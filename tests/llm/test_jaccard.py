@@ -35,13 +35,15 @@ def run(spark, rows, schema="doc_id long, text string"):
     return sorted((tuple(r)[:3] for r in jaccard_components(spark.createDataFrame(rows, schema)).collect()), key=str)
 
 
-@pytest.mark.parametrize("small", [1, 8])
-def test_against_brute_force(spark, monkeypatch, small):
-    """With pivots from the start, a class a task, sets by shuffled joins; and with short lists at once."""
+@pytest.mark.parametrize("small,rounds", [(1, 9), (8, 3), (0, 0), (1, 1)])
+def test_against_brute_force(spark, monkeypatch, small, rounds):
+    """With pivots from the start, a class a task, sets by shuffled joins; with short lists at once; by blocks only, and after a round."""
+    monkeypatch.setattr(jaccard, "ROUNDS", rounds)
+    monkeypatch.setattr(jaccard, "BLOCK", 200)
     monkeypatch.setattr(jaccard, "SMALL", small)
     monkeypatch.setattr(jaccard, "PIVOTS", 1)
     monkeypatch.setattr(jaccard, "SALTED", 2)
-    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", small - 1)
+    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", max(small - 1, 0))
     monkeypatch.setattr(jaccard, "FREQUENT_LEAST", 5)
     rng = random.Random(2)
     words = ["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(300)]

@@ -8,8 +8,10 @@ least, and a candidate must share as many prefix members as the smaller l of the
 Texts with equal sets form a class, and classes are joined. Components need not every link. A list of a prefix member
 with SMALL classes or fewer gives all its pairs at once. A longer one gives in each round the pairs of some of its classes
 (pivots, four times as many as in the round before) with all others; these classes then leave the list, their links there
-being decided. A list whose classes have come into one component is closed. So no link between different components is
-lost, every list ends, and a list of near copies closes after one or two rounds, at a few pairs for each class.
+being decided. A list whose classes have come into one component is closed. What is open after ROUNDS rounds (classes that
+share frequent members but are not alike) is cut in blocks of sets: each block of classes outside a list's largest component
+meets each block of the list in a task, which compares their sets and returns links that span what it found. So no link
+between different components is lost, and a list of near copies closes after one or two rounds, at a few pairs for each class.
 
 Defined results: a text without words has an empty set, links with nothing and is a component of its own; fewer than n words
 are one n-gram; a null doc_id never names a component that has another; rows that repeat a doc_id are joined by their own
@@ -32,6 +34,8 @@ FREQUENT, FREQUENT_LEAST = 0.001, 50
 MOST_SHARED, VERIFY = 8, 0.05
 #: Lists up to which all pairs are made; pivots of a longer list in the first round; classes of a list that one task pairs with the pivots.
 SMALL, PIVOTS, SALTED = 8, 2, 1000
+#: Rounds of pivots; set members in a block of classes that are compared in one task after that.
+ROUNDS, BLOCK = 3, 500_000
 #: Bytes of text handled at once in a task.
 AT_ONCE = 1_000_000
 #: Rows of (class, row) that may be broadcast.
@@ -258,6 +262,56 @@ def candidates(held: DataFrame, t: int) -> DataFrame:
     return met.filter("shared >= need").select("a", "b")
 
 
+def spanning(left: pd.DataFrame, right: pd.DataFrame, t: int) -> list[tuple[int, int]]:
+    """Links between classes of two blocks (cid, comp, members) whose sets are alike, but those that would join what others join already."""
+    members = np.concatenate([np.empty(0, np.int64), *right["members"]])
+    owner = np.repeat(np.arange(len(right)), right["members"].map(len))
+    order = np.argsort(members, kind="stable")
+    members, owner = members[order], owner[order]
+    size, comp, cid = right["members"].map(len).to_numpy(), right["comp"].to_numpy(), right["cid"].to_numpy()
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = x = root[up]
+        return x
+
+    out = []
+    for a, group, own in zip(left["cid"].tolist(), left["comp"].tolist(), left["members"], strict=True):
+        lo, hi = np.searchsorted(members, own), np.searchsorted(members, own, side="right")
+        n = hi - lo
+        at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        shared = np.bincount(owner[at], minlength=len(right))
+        for j in np.flatnonzero((comp != group) & (100 * shared >= t * (len(own) + size - shared))).tolist():
+            x, y = find(group), find(int(comp[j]))
+            if x != y:
+                root[x] = y
+                out.append((a, int(cid[j])))
+    return out
+
+
+def blockwise(held: DataFrame, docs: DataFrame, rows: DataFrame, n: int, t: int) -> DataFrame:
+    """Links (a, b) of the lists in held(member, cid, n, comp) that join different components, by blocks; written."""
+    per = held.groupBy("member", "comp").agg(F.sum("n").alias("n"), F.count("*").alias("m")).groupBy("member").agg(F.sum("n").alias("all"), F.max(F.struct("m", "comp", "n")).alias("top"), F.count("*").alias("comps")).filter("comps > 1")
+    blocks = lambda x: F.ceil(x / BLOCK).cast("int")
+    per = per.select("member", F.col("top.comp").alias("top"), blocks(F.col("all")).alias("rights"), blocks(F.col("all") - F.col("top.n")).alias("lefts"))
+    open_ = written(held.join(per, "member").select("member", "cid", "comp", "top", "rights", "lefts"), "open")
+    sets = set_of_each(docs, rows, open_.select("cid").distinct(), n)
+    nth = lambda salt, k: F.pmod(F.xxhash64(F.lit(salt), "cid"), F.col(k)).cast("int")
+    each = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+    left = open_.filter("comp <> top").select("member", "cid", "comp", nth(1, "lefts").alias("i"), each("rights").alias("j"), F.lit(True).alias("is_left"))
+    right = open_.select("member", "cid", "comp", nth(2, "rights").alias("j"), each("lefts").alias("i"), F.lit(False).alias("is_left"))
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        mine = pdf["is_left"].to_numpy(bool)
+        return pd.DataFrame(spanning(pdf[mine], pdf[~mine], t), columns=["a", "b"])
+
+    out = left.unionByName(right).join(sets, "cid").groupBy("member", "i", "j").applyInPandas(compare, "a long, b long")
+    out = written(out.distinct(), "alike")
+    dropped(open_, sets)
+    return out
+
+
 def merged(comps: DataFrame | None, alike: DataFrame) -> DataFrame:
     """node, comp after the links alike(a, b), given those before."""
     if comps is None:
@@ -281,8 +335,8 @@ def jaccard_components(docs: DataFrame, n: int = 4, t: int = 85) -> DataFrame:
     frequent, counts = frequent_members(described, max(rows.count(), 1))
     lists = written(postings(docs, n, t, frequent, counts, buckets), "lists")
 
-    comps, held, k = None, lists.withColumn("comp", F.col("cid")), 0
-    while True:
+    comps, held, before = None, lists.withColumn("comp", F.col("cid")), lists
+    for k in range(ROUNDS):
         now = written(one_round(held, k), "held")
         pairs = written(candidates(now, t), "pairs")
         if not pairs.isEmpty():
@@ -290,14 +344,18 @@ def jaccard_components(docs: DataFrame, n: int = 4, t: int = 85) -> DataFrame:
             alike = written(similar(pairs, sets, t), "alike")
             comps = merged(comps, alike)
             dropped(sets, alike)
-        rest = now.filter("NOT settled AND NOT pivot").select("member", "cid", "n", "l", "comp")
-        dropped(pairs, lists)
-        if rest.isEmpty():
+        held = now.filter("NOT settled AND NOT pivot").select("member", "cid", "n", "l", "comp")
+        dropped(pairs, before)
+        before = now
+        if held.isEmpty():
             break
         if comps is not None:
-            rest = rest.join(comps.withColumnRenamed("node", "cid").withColumnRenamed("comp", "to"), "cid", "left").select("member", "cid", "n", "l", F.coalesce("to", "comp").alias("comp"))
-        held, lists, k = rest, now, k + 1
-    dropped(now)
+            held = held.join(comps.withColumnRenamed("node", "cid").withColumnRenamed("comp", "to"), "cid", "left").select("member", "cid", "n", "l", F.coalesce("to", "comp").alias("comp"))
+    else:
+        alike = blockwise(held, docs, rows, n, t)
+        comps = merged(comps, alike)
+        dropped(alike)
+    dropped(before)
 
     per_class = rows.groupBy("cid").agg(F.min("doc_id").alias("least"))
     if comps is None:
