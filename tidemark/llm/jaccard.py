@@ -30,8 +30,8 @@ from .common import U64, Words, as_bytes, dropped, grouped, mix64, table, unused
 from .packed import _split, n_buckets, row_key
 
 #: A member is frequent from this share of the documents on (so at most 1 / FREQUENT times the mean set size are), and in FREQUENT_LEAST documents.
-FREQUENT, FREQUENT_LEAST = 0.001, 50
-MOST_SHARED, VERIFY = 8, 0.05
+FREQUENT, FREQUENT_LEAST = 0.0002, 50
+MOST_SHARED, VERIFY = 16, 0.05
 #: Lists up to which all pairs are made; pivots of a longer list in the first round; classes of a list that one task pairs with the pivots.
 SMALL, PIVOTS, SALTED = 8, 2, 1000
 #: Rounds of pivots; set members in a block of classes that are compared in one task after that.
@@ -248,9 +248,10 @@ def one_round(held: DataFrame, k: int) -> DataFrame:
     return held.join(per, "member").select("member", "cid", "n", "l", "comp", pivot.alias("pivot"), settled.alias("settled"), F.ceil(F.col("all") / SALTED).cast("int").alias("salts"))
 
 
-def candidates(held: DataFrame, t: int) -> DataFrame:
-    """Pairs (a, b) of one_round's classes that may be alike: of different components and like sizes, sharing enough lists, where
-    lists on which neither is a pivot may hold both."""
+def candidates(held: DataFrame, prefix: DataFrame, t: int) -> DataFrame:
+    """Pairs (a, b) of one_round's classes that may be alike: of different components and like sizes, sharing enough lists. Lists
+    on which neither is a pivot may hold both, so pairs that fall short by no more are counted by prefix(cid, on), all lists of
+    a class."""
     loose = held.filter("NOT settled AND NOT pivot").groupBy("cid").agg(F.count("*").alias("loose"))
     held = held.join(loose, "cid", "left").withColumn("loose", F.coalesce("loose", F.lit(0)))
     own = ["cid", "n", "l", "comp", "loose"]
@@ -258,8 +259,13 @@ def candidates(held: DataFrame, t: int) -> DataFrame:
     b = held.select("member", F.pmod(F.xxhash64("cid"), F.col("salts")).cast("int").alias("salt"), "pivot", *[F.col(c).alias(f"{c}_b") for c in own])
     met = a.join(b, ["member", "salt"]).filter((F.col("comp_a") != F.col("comp_b")) & (~F.col("pivot") | (F.col("cid_a") < F.col("cid_b"))) & alike_sizes(t, "n_a", "n_b"))
     pair = (F.least("cid_a", "cid_b").alias("a"), F.greatest("cid_a", "cid_b").alias("b"))
-    met = met.groupBy(*pair).agg(F.count("*").alias("shared"), F.min(F.least("l_a", "l_b") - F.least("loose_a", "loose_b")).alias("need"))
-    return met.filter("shared >= need").select("a", "b")
+    met = met.groupBy(*pair).agg(F.count("*").alias("shared"), F.min(F.least("l_a", "l_b")).alias("need"), F.min(F.least("loose_a", "loose_b")).alias("loose"))
+    met = written(met.filter("shared + loose >= need"), "met")
+    on = lambda x: prefix.select(F.col("cid").alias(x), F.col("on").alias(f"on_{x}"))
+    short = met.filter("shared < need").join(on("a"), "a").join(on("b"), "b").filter(F.size(F.array_intersect("on_a", "on_b")) >= F.col("need"))
+    pairs = written(met.filter("shared >= need").select("a", "b").unionByName(short.select("a", "b")), "pairs")
+    dropped(met)
+    return pairs
 
 
 def spanning(left: pd.DataFrame, right: pd.DataFrame, t: int) -> list[tuple[int, int]]:
@@ -335,10 +341,11 @@ def jaccard_components(docs: DataFrame, n: int = 4, t: int = 85) -> DataFrame:
     frequent, counts = frequent_members(described, max(rows.count(), 1))
     lists = written(postings(docs, n, t, frequent, counts, buckets), "lists")
 
+    prefix = written(lists.groupBy("cid").agg(F.collect_list("member").alias("on")), "prefix")  # a class's own list members
     comps, held, before = None, lists.withColumn("comp", F.col("cid")), lists
     for k in range(ROUNDS):
         now = written(one_round(held, k), "held")
-        pairs = written(candidates(now, t), "pairs")
+        pairs = candidates(now, prefix, t)
         if not pairs.isEmpty():
             sets = set_of_each(docs, rows, pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct(), n)
             alike = written(similar(pairs, sets, t), "alike")
@@ -355,7 +362,7 @@ def jaccard_components(docs: DataFrame, n: int = 4, t: int = 85) -> DataFrame:
         alike = blockwise(held, docs, rows, n, t)
         comps = merged(comps, alike)
         dropped(alike)
-    dropped(before)
+    dropped(before, prefix)
 
     per_class = rows.groupBy("cid").agg(F.min("doc_id").alias("least"))
     if comps is None:
