@@ -34,6 +34,8 @@ HEAD = 1 << 17
 SLOTS, BYTE_SLOTS = 1 << 20, 1 << 17
 #: Arrays added at once; text bytes that one task counts contexts of.
 FOLD, COUNTED_BYTES = 32, 100_000_000
+#: Words that are spelled, and bytes of text whose bits are predicted, at once in a task.
+SPELLED, AT_ONCE = 10_000, 800_000
 PACKS = "bucket int, h binary, words binary, which binary, rows binary, who binary, docs binary"
 NO_ID = -(2**63)
 _DOC = np.dtype([("row", "<u8"), ("doc_id", "<i8"), ("n_tokens", "<i8"), ("n_known", "<i8"), ("base", "<f8"), ("score", "<f8"), ("n_bytes", "<i8")])
@@ -226,8 +228,8 @@ def learned_spelling(counts: DataFrame, parts: int) -> Online:
         for b in batches:
             for blob in b["words"]:
                 words = blob.split(b" ")
-                for lo in range(0, len(words), 50_000):
-                    slots, bits, _ = bit_slots(words[lo : lo + 50_000])
+                for lo in range(0, len(words), SPELLED):
+                    slots, bits, _ = bit_slots(words[lo : lo + SPELLED])
                     own.learn(slots, bits)
         yield pd.DataFrame(own.rows(TaskContext.get().partitionId()))
 
@@ -237,11 +239,11 @@ def learned_spelling(counts: DataFrame, parts: int) -> Online:
 def spelled(model: Online, words: list[bytes]) -> np.ndarray:
     """log10 probability of each word's bits, its end among them."""
     out = np.zeros(len(words))
-    for lo in range(0, len(words), 50_000):
-        slots, bits, word = bit_slots(words[lo : lo + 50_000])
+    for lo in range(0, len(words), SPELLED):
+        slots, bits, word = bit_slots(words[lo : lo + SPELLED])
         x, gate = model.inputs(slots)
         _, p, _ = model.mixed(x, gate, model.weights)
-        out[lo : lo + 50_000] = np.bincount(word, log10_of(bits, p))
+        out[lo : lo + SPELLED] = np.bincount(word, log10_of(bits, p))
     return out
 
 
@@ -333,7 +335,7 @@ class Model:
             own = Online(2, SLOTS, fixed=1)
             for b in batches:
                 texts = as_bytes(b["text"])
-                for lo, hi in grouped(texts):
+                for lo, hi in grouped(texts, AT_ONCE):
                     _, _, node, bit, slots, _ = self.slots(Words(texts[lo:hi], lower=True))
                     own.learn(slots, bit, self.tree.logit.take(node))
             yield pd.DataFrame(own.rows(TaskContext.get().partitionId()))
@@ -436,7 +438,7 @@ def score_texts(docs: DataFrame, counts: DataFrame, model: Model, buckets: int)
         for b in batches:
             texts, keys = as_bytes(b["text"]), b["row"].to_numpy(np.int64).view(U64)
             ids = b["id"].to_numpy(np.int64)
-            for lo, hi in grouped(texts):
+            for lo, hi in grouped(texts, AT_ONCE):
                 w = Words(texts[lo:hi], lower=True)
                 h = w.hashes()
                 at = lookup(head, h)
@@ -452,7 +454,7 @@ def score_texts(docs: DataFrame, counts: DataFrame, model: Model, buckets: int)
                 data = w.buf.tobytes()
                 parts.append((h[i], keys[lo:hi][w.doc[i]], [data[s:e] for s, e in zip(w.starts[i[first]].tolist(), w.ends[i[first]].tolist(), strict=True)], names))
                 held += len(i)
-                if held > 1_000_000:
+                if held > 500_000:
                     yield flush()
                     parts, held = [], 0
         if held:
