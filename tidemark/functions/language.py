@@ -56,11 +56,45 @@ def answer_tone(pct) -> Column:
     return F.when(pct >= 80, "direct").when(pct >= 60, "hedged").otherwise("cautious")
 
 
-#: Values that a model's plan may have, with the default first (fixed values).
-INTENTS = ["new_query", "greeting", "goodbye", "follow_up", "clarification", "off_topic", "action_on_previous"]
-ALIASES = {"chitchat": "off_topic"}
+#: Values that a model's plan may have, the default first, and other names for them (fixed values).
+INTENTS = ["new_query", "greeting", "goodbye", "thank_you", "off_topic", "incomplete", "follow_up_same", "follow_up_new", "action_on_previous"]
+INTENT_ALIASES = {"chitchat": "off_topic", "follow_up": "follow_up_same", "clarification": "follow_up_same"}
+NEED_CONTEXT = ["follow_up_same", "follow_up_new", "action_on_previous"]
+QUERY_TYPES = ["simple_factual", "procedural", "multi_part", "compliance", "content_generation"]
 PLAN_SCOPES = ["focused", "broad", "too_broad"]
+STRATEGIES = ["chunk", "section", "filtered_parallel"]
+STRATEGY_ALIASES = {"chunk_level": "chunk", "section_level": "section"}
 DECOMPOSED = ["multi_part", "compliance", "content_generation"]
+MERGES = {"compliance": "compliance", "multi_part": "synthesize", "content_generation": "generative"}
+REGULATORY = ["REGULATION", "VETTING"]
+#: What the first rules look at (fixed values).
+SMALL_TALK = [
+    "hi", "hello", "hey", "good morning", "good afternoon", "good evening", "howdy", "yo", "hey there", "what's going on", "good day", "gday",
+    "hi there", "what's up?", "what's up", "how are you", "whats up", "how's it going", "what's new",
+]
+UNCLEAR = ["what do you mean", "can you explain", "i don't understand", "unclear", "elaborate", "more details"]
+MARITIME = [
+    "ship", "vessel", "cargo", "ballast", "marpol", "solas", "imo", "procedure", "form", "checklist", "regulation", "policy", "drill", "manual", "chief engineer",
+    "safety", "navigation", "engine", "crew", "master", "officer", "ppe", "supply", "logbook", "maintenance", "inspection", "emergency", "lifeboat", "fire",
+    "pollution", "incident", "reporting", "deck", "engineer", "pilot", "mooring", "anchoring", "cargo handling", "stcw", "mlc", "ism code", "psc", "flag",
+    "port state", "ship management", "seafarer", "nautical", "chart", "ice navigation", "hull", "machinery", "equipment",
+]
+
+
+def has_any(text, keys: list[str]) -> Column:
+    """Whether one of the keys stands anywhere in the text."""
+    hit = F.lit(False)
+    for k in keys:
+        hit = hit | F.contains(text, F.lit(k))
+    return hit
+
+
+def heuristic_intent(text) -> Column:
+    """greeting for small talk or up to three words, clarification for words that ask back, new_query for terms of the trade, a
+    question mark or more than five words, else chitchat."""
+    x = F.lower(F.trim(text))
+    n = F.size(F.filter(F.split(x, r"\s+"), lambda w: w != ""))
+    return F.when(x.isin(*SMALL_TALK) | (n <= 3), "greeting").when(has_any(x, UNCLEAR), "clarification").when(has_any(x, MARITIME) | F.contains(x, F.lit("?")) | (n > 5), "new_query").otherwise("chitchat")
 
 
 def one_of(value, allowed: list[str], aliases: dict | None = None) -> Column:
@@ -71,11 +105,29 @@ def one_of(value, allowed: list[str], aliases: dict | None = None) -> Column:
     return F.when(x.isin(*allowed), x).otherwise(allowed[0])
 
 
+def plan_intent(value, has_context) -> Column:
+    """A plan's intent; those that go on with a conversation are new queries without one."""
+    x = one_of(value, INTENTS, INTENT_ALIASES)
+    return F.when(x.isin(*NEED_CONTEXT) & ~has_context, "new_query").otherwise(x)
+
+
 def needs_parts(query_type, plan_scope) -> Column:
     """Whether a question is taken apart: some types are, unless the scope is too broad."""
     return F.coalesce(query_type.isin(*DECOMPOSED) & (plan_scope != "too_broad"), F.lit(False))
 
 
+def merge_strategy(query_type) -> Column:
+    out = F.lit("direct")
+    for k, v in MERGES.items():
+        out = F.when(query_type == k, v).otherwise(out)
+    return out
+
+
+def is_regulatory(types) -> Column:
+    """Whether one of an array of document types is a standard's."""
+    return F.exists(types, lambda t: F.upper(t).isin(*REGULATORY))
+
+
 def valid_parts(raw, types: list[str]) -> Column:
     """The sub-queries in a model's JSON list: those with text, their types cut to known ones (null if none is), a label for each."""
     got = F.from_json(raw, "array<struct<text:string,label:string,types:array<string>>>")

@@ -188,3 +188,15 @@ def base_metadata(topic, title, hierarchy, sections) -> Column:
 
 def upload_title(name) -> Column:
     return F.initcap(F.replace(stem(name), F.lit("_"), F.lit(" ")))
+
+
+def has_table(text) -> Column:
+    """Whether a text holds a Markdown table: two lines or more that begin with a bar, one of them a separator."""
+    rows = F.filter(F.split(text, "\n"), lambda x: F.startswith(F.trim(x), F.lit("|")))
+    return (F.size(rows) >= 2) & F.exists(rows, lambda x: F.regexp_like(x, F.lit(r"^\s*\|[\s:|-]*-{3,}[\s:|-]*$")))
+
+
+def answer_block(nth, question, text, regulatory) -> Column:
+    """A part of an answer for the prompt that joins them: numbered, marked if it comes from a standard."""
+    tag = F.when(regulatory, " (REGULATORY STANDARD)").otherwise("")
+    return F.concat(F.lit("### "), nth.cast("string"), F.lit(". "), question, tag, F.lit("\n"), text)

@@ -224,14 +224,49 @@ def extraction_metadata(spark, sf):
     return table(spark, sf, "documents").select("doc_id", base.alias("b")).select("doc_id", "b.sections", "b.hierarchy", "b.topic")
 
 
-@query("""WITH p AS (SELECT doc_id, (['Greeting', ' chitchat', 'nonsense', 'follow_up', NULL])[CAST(doc_id % 5 AS INT) + 1] AS i, (['broad', 'TOO_BROAD', 'x'])[CAST(doc_id % 3 AS INT) + 1] AS s, (['multi_part', 'compliance', 'simple', NULL])[CAST(doc_id % 4 AS INT) + 1] AS t FROM documents)
-SELECT doc_id, CASE WHEN i = 'Greeting' THEN 'greeting' WHEN i = ' chitchat' THEN 'off_topic' WHEN i = 'follow_up' THEN 'follow_up' ELSE 'new_query' END AS intent, CASE s WHEN 'broad' THEN 'broad' WHEN 'TOO_BROAD' THEN 'too_broad' ELSE 'focused' END AS scope, coalesce(t IN ('multi_part', 'compliance') AND s <> 'TOO_BROAD', false) AS parts,
+@query("""WITH p AS (SELECT doc_id, (['Greeting', ' chitchat', 'nonsense', 'follow_up', NULL, 'action_on_previous', 'clarification'])[CAST(doc_id % 7 AS INT) + 1] AS i, (['broad', 'TOO_BROAD', 'x'])[CAST(doc_id % 3 AS INT) + 1] AS s, (['multi_part', 'Compliance', 'simple', NULL, 'content_generation'])[CAST(doc_id % 5 AS INT) + 1] AS t FROM documents)
+SELECT doc_id, CASE WHEN i = 'Greeting' THEN 'greeting' WHEN i = ' chitchat' THEN 'off_topic' WHEN doc_id % 2 = 0 AND i IN ('follow_up', 'clarification') THEN 'follow_up_same' WHEN doc_id % 2 = 0 AND i = 'action_on_previous' THEN i ELSE 'new_query' END AS intent,
+CASE s WHEN 'broad' THEN 'broad' WHEN 'TOO_BROAD' THEN 'too_broad' ELSE 'focused' END AS scope, coalesce(t IN ('multi_part', 'Compliance', 'content_generation') AND s <> 'TOO_BROAD', false) AS parts,
+CASE t WHEN 'multi_part' THEN 'synthesize' WHEN 'Compliance' THEN 'compliance' WHEN 'content_generation' THEN 'generative' ELSE 'direct' END AS merge,
+CASE WHEN doc_id % 4 = 0 THEN 'chunk' WHEN doc_id % 4 = 1 THEN 'section' WHEN doc_id % 4 = 2 THEN 'filtered_parallel' ELSE 'chunk' END AS strategy, doc_id % 6 IN (1, 5) AS regulatory,
 CASE WHEN doc_id % 100 >= 80 THEN 'direct' WHEN doc_id % 100 >= 60 THEN 'hedged' ELSE 'cautious' END AS tone FROM p""")
 def plan_values(spark, sf):
     d = F.col("doc_id")
     pick = lambda xs: F.element_at(F.array(*[F.lit(x).cast("string") for x in xs]), (d % len(xs) + 1).cast("int"))
     scope = L.one_of(pick(["broad", "TOO_BROAD", "x"]), L.PLAN_SCOPES)
-    return table(spark, sf, "documents").select("doc_id", L.one_of(pick(["Greeting", " chitchat", "nonsense", "follow_up", None]), L.INTENTS, L.ALIASES).alias("intent"), scope.alias("scope"), L.needs_parts(pick(["multi_part", "compliance", "simple", None]), scope).alias("parts"), L.answer_tone(d % 100).alias("tone"))
+    kind = L.one_of(pick(["multi_part", "Compliance", "simple", None, "content_generation"]), L.QUERY_TYPES)
+    strategy = L.one_of(pick(["chunk_level", "Section_Level", "filtered_parallel", "x"]), L.STRATEGIES, L.STRATEGY_ALIASES)
+    types = F.array(F.lit("FORM"), pick(["Form", "regulation", "POLICY", "Manual", "x", "vetting"]))
+    return table(spark, sf, "documents").select(
+        "doc_id", L.plan_intent(pick(["Greeting", " chitchat", "nonsense", "follow_up", None, "action_on_previous", "clarification"]), d % 2 == 0).alias("intent"), scope.alias("scope"),
+        L.needs_parts(kind, scope).alias("parts"), L.merge_strategy(kind).alias("merge"), strategy.alias("strategy"), L.is_regulatory(types).alias("regulatory"), L.answer_tone(d % 100).alias("tone"),
+    )
+
+
+ASKED = ["how are you", "yo", "what's going on", "tell me more details about that", "please elaborate on the second point", "my favourite colour is blue", "where is the chief engineer today", "can you explain the second answer again", "could you sing a song?", "it rained all day long and everyone stayed in", "the port state asked us"]
+
+
+@query(f"""SELECT item_id, CASE WHEN t IN ('how are you', 'yo', 'what''s going on') OR len(string_split(t, ' ')) <= 3 THEN 'greeting' WHEN contains(t, 'can you explain') OR contains(t, 'elaborate') OR contains(t, 'more details') THEN 'clarification'
+ WHEN contains(t, 'chief engineer') OR contains(t, 'port state') OR contains(t, '?') OR len(string_split(t, ' ')) > 5 THEN 'new_query' ELSE 'chitchat' END AS intent
+FROM (SELECT item_id, ([{", ".join("'" + q.replace("'", "''") + "'" for q in ASKED)}])[CAST(item_id % {len(ASKED)} AS INT) + 1] AS t FROM benchmark)""")
+def question_intents(spark, sf):
+    t = F.element_at(F.array(*[F.lit(x) for x in ASKED]), (F.col("item_id") % len(ASKED) + 1).cast("int"))
+    return table(spark, sf, "benchmark").select("item_id", L.heuristic_intent(t).alias("intent"))
+
+
+@query("""SELECT doc_id, doc_id % 3 = 0 AS has_table, CASE WHEN doc_id % 2 = 0 THEN 'REGULATORY STANDARD' ELSE '' END AS tag FROM documents""")
+def answer_blocks(spark, sf):
+    d = F.col("doc_id")
+    text = F.when(d % 3 == 0, "x\n| a | b |\n|---|:--:|\n| 1 | 2 |").when(d % 3 == 1, "| a | b |\ntext").otherwise("a | b\n| c |\n| d |")
+    block = T.answer_block(F.lit(1), F.col("lang"), text, d % 2 == 0)
+    return table(spark, sf, "documents").select("doc_id", T.has_table(text).alias("has_table"), F.regexp_extract(block, r"\(([A-Z ]+)\)", 1).alias("tag"))
+
+
+@query(f"""WITH {_N}, r AS (SELECT node_id AS rank, 'FORMS: ' || doc_id || ', x' || CAST(node_id % 5 AS VARCHAR) || ' | REGS: ' || doc_type AS refs FROM nodes WHERE node_id < 10), p AS (SELECT DISTINCT trim(regexp_extract(trim(y), '([^:]*)$', 1)) AS ref FROM (SELECT unnest(string_split(x, ',')) AS y FROM (SELECT unnest(string_split(refs, '|')) AS x FROM r WHERE rank <= 3))) SELECT ref FROM p WHERE ref <> ''""")
+def referenced_documents(spark, sf):
+    n = nodes(spark, sf).filter("node_id < 10")
+    refs = F.concat(F.lit("FORMS: "), "doc_id", F.lit(", x"), (F.col("node_id") % 5).cast("string"), F.lit(" | REGS: "), "doc_type")
+    return R.references_of(n.select(F.col("node_id").alias("rank"), refs.alias("references")))
 
 
 @query("""SELECT doc_id, 'a' || lang AS text, CASE WHEN doc_id % 2 = 0 THEN 'library' ELSE 'own' END AS label, CASE WHEN doc_id % 3 = 0 THEN 'form,POLICY' END AS types FROM documents WHERE doc_id % 5 > 0""")
