@@ -206,3 +206,8 @@ def reconciled(a: DataFrame, b: DataFrame, most: int) -> DataFrame:
     sides = a.select(F.lit(0).alias("side")).unionByName(b.select(F.lit(1).alias("side")))
     both = sides.agg(F.count_if(F.col("side") == 0).alias("left_rows"), F.count_if(F.col("side") == 1).alias("right_rows"))
     return both.withColumn("differs", F.abs(F.col("left_rows") - F.col("right_rows")) > most)
+
+
+def first_owner(files: DataFrame) -> DataFrame:
+    """name, tenant_id: under which tenant a file is found first."""
+    return files.groupBy("name").agg(F.min("tenant_id").alias("tenant_id"))

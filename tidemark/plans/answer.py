@@ -12,6 +12,14 @@ from ..operators import retrieval as R
 TOP_K = {"focused": 20, "broad": 25, "too_broad": 20}
 
 
+def top_k(scope) -> F.Column:
+    """How many nodes a question of this scope asks for; null for an unknown one."""
+    out = F.lit(None).cast("int")
+    for name, n in TOP_K.items():
+        out = F.when(scope == name, n).otherwise(out)
+    return out
+
+
 @dataclass
 class Analysis:
     text: str

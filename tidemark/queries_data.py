@@ -6,6 +6,8 @@ from .functions import text as T
 from .operators import conversations as C
 from .operators import dml as D
 from .operators import library as B
+from .operators import retrieval as R
+from .plans import answer as A
 from .session import SQL as MAP
 from .session import feedback, files, messages, nodes, table
 
@@ -260,3 +262,36 @@ def token_index(spark, sf):
 @query(f"WITH {MAP['feedback']}, r AS (SELECT 100 * count(*) FILTER (feedback = 'helpful') / CAST(count(*) AS DOUBLE) AS s, 100 * count(*) FILTER (confidence_pct >= 75 AND feedback = 'incorrect') / CAST(greatest(count(*) FILTER (confidence_pct >= 75), 1) AS DOUBLE) AS o, 100 * count(*) FILTER (confidence_pct < 60 AND feedback = 'helpful') / CAST(greatest(count(*) FILTER (confidence_pct < 60), 1) AS DOUBLE) AS u, 100 * count(*) FILTER (was_refined AND feedback = 'helpful') / CAST(greatest(count(*) FILTER (was_refined), 1) AS DOUBLE) AS h FROM feedback), l AS (SELECT list_filter([CASE WHEN s < 70 THEN 'raise_satisfaction' END, CASE WHEN o > 20 THEN 'lower_confidence' END, CASE WHEN u > 40 THEN 'raise_confidence' END, CASE WHEN h < 50 THEN 'review_refinement' END], lambda x: x IS NOT NULL) AS x FROM r) SELECT CAST(generate_subscripts(x, 1) - 1 AS INT) AS nth, unnest(x) AS recommendation FROM l")
 def feedback_recommendations(spark, sf):
     return B.recommendations(B.feedback_report(feedback(spark, sf)))
+
+
+@query(f"WITH {_N} SELECT node_id, doc_id FROM nodes WHERE doc_id IN ('src4', 'src5') AND tenant_id IN ('t1', 'shared') UNION ALL SELECT node_id, doc_id FROM nodes WHERE node_id IN (5, 17, 100000)")
+def node_scans(spark, sf):
+    n = nodes(spark, sf)
+    return R.scanned(n, docs=["src4", "src5"], tenant="t1").select("node_id", "doc_id").unionByName(R.scanned(n, ids=[5, 17, 100_000]).select("node_id", "doc_id"))
+
+
+@query(f"WITH {MAP['messages']}, s AS (SELECT DISTINCT session_id FROM messages) SELECT 'sessions' AS part, session_id, CAST(NULL AS BIGINT) AS ord FROM s WHERE session_id % 4 <> 1 UNION ALL SELECT 'uploads', doc_id % 30, doc_id FROM documents WHERE doc_id % 30 % 4 <> 1 OR doc_id % 30 NOT IN (SELECT session_id FROM s)")
+def session_deletion(spark, sf):
+    s = messages(spark, sf).select("session_id").distinct()
+    uploads = table(spark, sf, "documents").select((F.col("doc_id") % 30).alias("session_id"), F.col("doc_id").alias("ord"))
+    left = D.delete_documents({"sessions": s, "uploads": uploads}, s.filter("session_id % 4 = 1"), "session_id")
+    return left["sessions"].select(F.lit("sessions").alias("part"), "session_id", F.lit(None).cast("long").alias("ord")).unionByName(left["uploads"].select(F.lit("uploads").alias("part"), "session_id", "ord"))
+
+
+@query(f"WITH {_N} SELECT doc_id AS name, min(tenant_id) AS tenant_id FROM nodes WHERE tenant_id <> 'shared' GROUP BY 1")
+def first_owners(spark, sf):
+    return B.first_owner(nodes(spark, sf).filter("tenant_id <> 'shared'").select(F.col("doc_id").alias("name"), "tenant_id"))
+
+
+@query(f"WITH {_N}, r AS (SELECT node_id, node_id + 1 AS rank FROM nodes WHERE node_id < 40 AND node_id % 2 = 0 ORDER BY 1), f AS (SELECT rank, text, doc_id FROM r JOIN nodes USING (node_id) WHERE rank <= 15) SELECT string_agg(text, chr(10) || chr(10) ORDER BY rank) AS context, (SELECT string_agg(doc_id, '|' ORDER BY first) FROM (SELECT doc_id, min(rank) AS first FROM f GROUP BY 1)) AS sources FROM f")
+def answer_context(spark, sf):
+    n = nodes(spark, sf)
+    ranked = n.filter("node_id < 40 AND node_id % 2 = 0").select("node_id", (F.col("node_id") + 1).alias("rank"))
+    return A.context(ranked, n, 15).select("context", F.array_join("sources", "|").alias("sources"))
+
+
+@query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 25 WHEN 3 THEN NULL ELSE 20 END AS top_k FROM documents")
+def nodes_by_scope(spark, sf):
+    d = F.col("doc_id")
+    scope = F.when(d % 4 == 0, "broad").when(d % 4 == 1, "focused").when(d % 4 == 2, "too_broad")
+    return table(spark, sf, "documents").select("doc_id", A.top_k(scope).alias("top_k"))
