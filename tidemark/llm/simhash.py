@@ -172,23 +172,27 @@ def local_links(members: DataFrame, radius: int) -> DataFrame:
 def near_links(prints: DataFrame, radius: int = 2) -> list[DataFrame]:
     """Tables of links (a, b) that join all of prints(fp), each there once, that differ in at most `radius` bits into components."""
     spark = prints.sparkSession
-    open_, links, masks = prints.withColumn("mask", F.lit(0).cast("long")), [], [0]
+    links, masks, rest = [], [], None
     while True:
-        steps = [(signed(m), [signed(p) for p in parts_of(m, radius + 1)]) for m in masks]
-        parts = F.broadcast(spark.createDataFrame(steps, "mask long, parts array<long>"))  # (radius + 1)^k rows in step k
-        keyed = open_.join(parts, "mask").select(F.explode("parts").alias("mask"), "fp").withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
+        if links:
+            steps = [(signed(m), [signed(p) for p in parts_of(m, radius + 1)]) for m in masks]
+            parts = F.broadcast(spark.createDataFrame(steps, "mask long, parts array<long>"))  # (radius + 1)^k rows in step k
+            open_ = rest.join(parts, "mask")
+        else:
+            open_ = prints.withColumn("parts", F.lit([signed(p) for p in parts_of(0, radius + 1)]).cast("array<long>"))
+        keyed = open_.select(F.explode("parts").alias("mask"), "fp").withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
         keyed = written(keyed, "keyed")
         large = written(keyed.groupBy("mask", "key").agg(F.count("*").alias("n")).filter(F.col("n") > GROUP).select("mask", "key"), "large")
         n = large.limit(BROADCAST_ROWS + 1).count()
         hint = F.broadcast(large) if n <= BROADCAST_ROWS else large
         small = keyed.join(hint, ["mask", "key"], "left_anti") if n else keyed
         links.append(written(local_links(small, radius), "links"))
+        before = rest
         rest = written(keyed.join(hint, ["mask", "key"], "left_semi").select("fp", "mask"), "open") if n else None
         masks = [r["mask"] & (1 << 64) - 1 for r in large.select("mask").distinct().collect()]  # of those known above
-        dropped(keyed, large, open_ if len(links) > 1 else None)
+        dropped(keyed, large, before)
         if rest is None:
             return links
-        open_ = rest
 
 
 def simhash_components(docs: DataFrame, n: int = 3, radius: int = 2) -> DataFrame:
