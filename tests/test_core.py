@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from tidemark import queries
 from tidemark.functions import text as T
 from tidemark.operators import dml, retrieval, sections, textprep
-from tidemark.plans.answer import by_rules, overall_confidence
+from tidemark.plans.answer import by_rules
 from tidemark.sources.library import library_files, numbered, outline, read_records, read_texts
-from tidemark.streaming.sync import conversation_turns, current, sync, watch_files
+from tidemark.sources.logged import LoggedTable
+from tidemark.streaming.sync import conversation_turns, sync, watch_files
 
 SF = "/root/testdata/sf0.001"
 
@@ -77,12 +78,6 @@ def test_reply_parsing(spark):
     assert all((r.got or "").replace(" ", "") == (r.want or "").replace(" ", "") for r in d.collect())
 
 
-@given(st.lists(st.integers(0, 100)))
-def test_overall_confidence_stays_in_range(parts):
-    pct, level = overall_confidence(parts)
-    assert 0 <= pct <= 100 and level in ("HIGH", "MEDIUM", "LOW")
-
-
 @given(st.integers(1, 3000))
 def test_letters_and_romans(n):
     letters = numbered("lowerLetter", n)
@@ -129,12 +124,13 @@ def test_records_last_line_wins(spark, tmp_path):
 
 
 def test_streaming_sync(spark, tmp_path):
-    src, schema, out = str(tmp_path / "in"), "node_id long, text string, at int, gone boolean", str(tmp_path / "out")
-    for k, rows in enumerate(([(1, "a", 1, False), (2, "old", 1, False), (2, "b", 2, False)], [(2, "c", 3, False), (3, "d", 3, False), (1, "a", 4, True)])):
+    src, schema = str(tmp_path / "in"), "node_id long, text string, at int, gone boolean"
+    table = LoggedTable(spark, str(tmp_path / "out"), schema, "node_id", buckets=4)
+    for k, rows in enumerate(([(1, "a", 1, False), (2, "old", 1, False), (2, "b", 2, False)], [(2, "c", 3, False), (3, "d", 3, False), (1, "a", 4, True)], [(3, "e", 5, None)])):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
-        sync(watch_files(spark, src, schema), out, str(tmp_path / "cp"), "node_id", "at").awaitTermination()
-        assert spark.read.parquet(f"{out}/batch={k}").count() == (2, 3)[k]
-    assert sorted((r.node_id, r.text) for r in current(spark, out, "node_id", "gone").collect()) == [(2, "c"), (3, "d")]
+        sync(watch_files(spark, src, schema), table, str(tmp_path / "cp"), "at", "gone", compact_every=2).awaitTermination()
+        assert table.batches() == list(range(k + 1)) and table.compacted() == (-1, 1, 1)[k]
+    assert sorted((r.node_id, r.text) for r in table.read().collect()) == [(2, "c"), (3, "e")]
 
 
 def test_rescoring_keeps_all_rows(spark):

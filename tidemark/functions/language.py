@@ -129,8 +129,41 @@ def is_regulatory(types) -> Column:
 
 
 def valid_parts(raw, types: list[str]) -> Column:
-    """The sub-queries in a model's JSON list: those with text, their types cut to known ones (null if none is), a label for each."""
-    got = F.from_json(raw, "array<struct<text:string,label:string,types:array<string>>>")
-    known = lambda s: F.filter(F.coalesce(s["types"], F.array().cast("array<string>")), lambda t: F.upper(t).isin(*types))
-    kept = F.filter(F.coalesce(got, F.array().cast("array<struct<text:string,label:string,types:array<string>>>")), lambda s: F.trim(F.coalesce(s["text"], F.lit(""))) != "")
-    return F.transform(kept, lambda s: F.struct(F.trim(s["text"]).alias("text"), F.coalesce(F.nullif(s["label"], F.lit("")), F.lit("library")).alias("label"), F.when(F.size(known(s)) > 0, known(s)).alias("types")))
+    """The sub-queries in a model's JSON list: those with text, a label for each, their types in capitals and cut to known ones (null
+    if none is), whether they ask for a standard."""
+    kind = "array<struct<text:string,source_label:string,doc_type_filter:array<string>,is_standard:boolean>>"
+    got = F.coalesce(F.from_json(raw, kind), F.array().cast(kind))
+    kept = F.filter(got, lambda s: F.trim(F.coalesce(s["text"], F.lit(""))) != "")
+    known = lambda s: F.filter(F.transform(F.coalesce(s["doc_type_filter"], F.array().cast("array<string>")), F.upper), lambda t: t.isin(*types))
+    return F.transform(
+        kept,
+        lambda s: F.struct(
+            F.trim(s["text"]).alias("text"),
+            F.trim(F.coalesce(F.nullif(s["source_label"], F.lit("")), F.lit("sub-query"))).alias("label"),
+            F.when(F.size(known(s)) > 0, known(s)).alias("types"),
+            F.coalesce(s["is_standard"], F.lit(False)).alias("is_standard"),
+        ),
+    )
+
+
+def strategy_of(strategy, query_type, parts) -> Column:
+    """A plan's strategy: questions of compliance or generation that are taken apart go by filtered searches in parallel."""
+    return F.when(query_type.isin("compliance", "content_generation") & parts, "filtered_parallel").otherwise(strategy)
+
+
+def topic_of(topic, intent, has_context, last_topic) -> Column:
+    """A plan's topic; a question that goes on with a conversation and names none inherits the last one."""
+    own = F.nullif(topic, F.lit(""))
+    return F.when(own.isNull() & has_context & intent.isin(*NEED_CONTEXT), last_topic).otherwise(own)
+
+
+#: Prompts by merge strategy (fixed values).
+PROMPTS = {"generative": "generative", "synthesize": "multi_part", "compliance": "comparison"}
+
+
+def prompt_kind(merge, has_standard) -> Column:
+    """Which prompt joins the parts of an answer: a comparison with a standard is a gap analysis."""
+    out = F.lit("multi_part")
+    for k, v in PROMPTS.items():
+        out = F.when(merge == k, v).otherwise(out)
+    return F.when((merge == "compliance") & has_standard, "gap_analysis").otherwise(out)

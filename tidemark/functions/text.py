@@ -82,13 +82,14 @@ def chunk_header(title, doc_type, section, form=None, hierarchy=None, document=N
     return F.concat_ws("\n", *[line(k, x) for k, x in parts.items() if x is not None], F.lit("---"))
 
 
-def references_line(forms, procedures, regulations) -> Column:
-    """`FORMS: a, b | PROCS: c | REGS: d`: at most five forms, five procedures and three regulations."""
+#: Kinds of references in order, their labels, and how many of each are named (fixed values).
+REFERENCES = {"forms": ("FORMS", 5), "regulations": ("REGS", 3), "procedures": ("PROCS", 3), "policies": ("POLICIES", 3), "reports": ("REPORTS", 3), "chapters": ("CHAPTERS", 3), "sections": ("SECTIONS", 5)}
 
-    def part(name, items, n):
-        return F.when(F.size(items) > 0, F.concat(F.lit(f"{name}: "), F.array_join(F.slice(items, 1, n), ", ")))
 
-    return F.concat_ws(" | ", part("FORMS", forms, 5), part("PROCS", procedures, 5), part("REGS", regulations, 3))
+def references_line(**kinds) -> Column:
+    """`FORMS: a, b| REGS: c| PROCS: d` and so on, of arrays of names for some of REFERENCES."""
+    parts = [F.when(F.size(kinds[k]) > 0, F.concat(F.lit(f"{label}: "), F.array_join(F.slice(kinds[k], 1, n), ", "))) for k, (label, n) in REFERENCES.items() if k in kinds]
+    return F.concat_ws("| ", *parts)
 
 
 def section_prefix(name) -> Column:
@@ -98,28 +99,52 @@ def section_prefix(name) -> Column:
 
 
 def anchor(first_sentence, summary, title) -> Column:
-    """What shows that a section begins here: its first sentence, or its summary up to 200 characters, or its title without
-    the number if that has two words at least."""
-    bare = F.trim(F.regexp_replace(title, r"^\s*(?:[0-9]+(?:\.[0-9]+)*|[A-Z])\.?\s+", ""))
-    there = lambda x: F.when(F.trim(F.coalesce(x, F.lit(""))) != "", F.trim(x))
-    return F.coalesce(there(first_sentence), F.substring(there(summary), 1, 200), F.when(F.size(split_words(bare)) >= 2, bare))
+    """What shows that a section begins here: its first sentence, else its summary, else its title without the number or the
+    letter and dot before it, if that leaves two words at least; up to 200 characters."""
+    rest = F.trim(F.regexp_extract(title, r"^\s*(?:[0-9]+(?:\.[0-9]+)*|[A-Z]\.)\s*(.*)$", 1))
+    bare = F.coalesce(F.nullif(rest, F.lit("")), F.trim(title))
+    said = F.coalesce(F.nullif(first_sentence, F.lit("")), F.nullif(summary, F.lit("")))
+    named = F.when(F.size(split_words(bare)) >= 2, F.substring(bare, 1, 200))
+    return F.when(said.isNotNull(), F.nullif(F.substring(F.trim(said), 1, 200), F.lit(""))).otherwise(named)
 
 
-def limit_repeats(lines: Column, most: int = 3) -> Column:
-    """An array of lines in which a run of equal ones keeps `most`."""
-    return F.filter(lines, lambda x, i: (i < most) | (F.get(lines, i - most) != x) | F.exists(F.slice(lines, F.greatest(i - most + 1, F.lit(1)), most), lambda y: y != x))
+def limit_repeats(lines: Column, most: int = 3, intended: bool = True) -> Column:
+    """An array of lines in which a run of equal ones keeps `most`. The rule that documents were prepared by counts anew from the line
+    at which it would cut, and so keeps all: `intended` False does that."""
+    if not intended:
+        return lines
+
+    before = [F.concat(F.array_repeat(F.lit(None).cast("string"), k), lines).alias(f"b{k}") for k in range(1, most + 1)]
+
+    def keep(r):
+        other = F.lit(False)
+        for k in range(1, most + 1):
+            other = other | ~r["x"].eqNullSafe(r[f"b{k}"])
+        return r["x"].isNotNull() & other
+
+    return F.transform(F.filter(F.arrays_zip(lines.alias("x"), *before), keep), lambda r: r["x"])
 
 
 def markdown_rows(text) -> Column:
-    """Table separators of four hyphens or more become three (colons stay); a row's runs of over 50 equal characters become three."""
-    sep = F.regexp_replace(text, r"(?m)(?<=[|:\s])-{4,}(?=[|:\s])", "---")
-    return F.regexp_replace(sep, r"([^\n])\1{50,}", "$1$1$1")
+    """Tables repaired: in lines that begin with a bar, a cell that is a separator of four hyphens or more becomes three (colons
+    stay), and in a cell of over 200 characters runs of over 50 equal ones become three. Other lines stay as they are."""
+
+    def cell(x):
+        bare = F.regexp_replace(x, r"^\s+|\s+$", "")
+        sep = F.concat(F.lit(" "), F.regexp_replace(bare, r"^(:?)-{4,}(:?)$", "$1---$2"), F.lit(" "))
+        short = F.regexp_replace(bare, r"(.)\1{50,}", "$1$1$1")
+        long = (F.length(bare) > 200) & (F.length(short) < F.length(bare))
+        return F.when(F.regexp_like(bare, F.lit(r"^:?-{4,}:?$")), sep).when(long, F.concat(F.lit(" "), short, F.lit(" "))).otherwise(x)
+
+    line = lambda x: F.when(F.regexp_like(x, F.lit(r"^\s*\|")), F.array_join(F.transform(F.split(x, r"\|", -1), cell), "|")).otherwise(x)
+    return F.array_join(F.transform(F.split(text, "\n", -1), line), "\n")
 
 
 def form_title(code, title) -> Column:
-    """`code - title`, unless the title begins with the code, whatever its spaces and case."""
+    """`code - title`, unless the title's part before a hyphen begins with the code, spaces and case aside."""
     bare = lambda x: F.upper(F.replace(x, F.lit(" ")))
-    return F.when(F.coalesce(code, F.lit("")) == "", title).when(F.startswith(bare(title), bare(code)), title).otherwise(F.concat(code, F.lit(" - "), title))
+    head = bare(F.trim(F.substring_index(title, "-", 1)))
+    return F.when(F.coalesce(code, F.lit("")) == "", title).when(F.startswith(head, bare(code)), title).otherwise(F.concat(code, F.lit(" - "), title))
 
 
 def safe_name(name) -> Column:
@@ -132,19 +157,21 @@ def iso_time(seconds) -> Column:
     return F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss")
 
 
-def cosine(a, b) -> Column:
-    """Cosine of two arrays, 0 where one has no length."""
+def cosine(a, b, none: bool = False) -> Column:
+    """Cosine of two arrays, 0 where one has no length, or null with `none`."""
     total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
     dot = total(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")))
     norm = lambda v: F.sqrt(total(F.transform(v, lambda x: x.cast("double") * x.cast("double"))))
-    return F.coalesce(dot / F.nullif(norm(a) * norm(b), F.lit(0.0)), F.lit(0.0))
+    out = dot / F.nullif(norm(a) * norm(b), F.lit(0.0))
+    return out if none else F.coalesce(out, F.lit(0.0))
 
 
 def parse_json_reply(text) -> Column:
-    """The object in a model's reply: without fences, from the first to the last brace, control characters as spaces, no trailing commas; null if it still does not parse."""
+    """The object in a model's reply, without fences, from the first to the last brace; only if that does not parse, with control
+    characters as spaces and without commas before a closing bracket; null if it still does not parse."""
     x = F.regexp_extract(F.regexp_replace(text, r"```(json)?", ""), r"(?s)(\{.*\})", 1)
-    x = F.regexp_replace(F.regexp_replace(x, r"[\x00-\x1F]+", " "), r",\s*([}\]])", "$1")
-    return F.when(F.try_parse_json(x).isNotNull(), x)
+    mended = F.regexp_replace(F.regexp_replace(x, r"[\x00-\x1F]+", " "), r",\s*([}\]])", "$1")
+    return F.when(F.try_parse_json(x).isNotNull(), x).when(F.try_parse_json(mended).isNotNull(), mended)
 
 
 #: Keys of a stored payload that are the engine's own (fixed values).
@@ -196,7 +223,12 @@ def has_table(text) -> Column:
     return (F.size(rows) >= 2) & F.exists(rows, lambda x: F.regexp_like(x, F.lit(r"^\s*\|[\s:|-]*-{3,}[\s:|-]*$")))
 
 
-def answer_block(nth, question, text, regulatory) -> Column:
-    """A part of an answer for the prompt that joins them: numbered, marked if it comes from a standard."""
+def answer_block(label, text, regulatory) -> Column:
+    """A part of an answer for the prompt that joins them, marked if it comes from a standard."""
     tag = F.when(regulatory, " (REGULATORY STANDARD)").otherwise("")
-    return F.concat(F.lit("### "), nth.cast("string"), F.lit(". "), question, tag, F.lit("\n"), text)
+    return F.concat(F.lit("--- "), label, tag, F.lit(" ---\n"), text)
+
+
+def without_header(text) -> Column:
+    """A chunk's text after the header that ends in `---`, if it has one."""
+    return F.when(F.contains(text, F.lit("\n---\n")), F.regexp_replace(text, r"(?s)^.*?\n---\n", "")).otherwise(text)

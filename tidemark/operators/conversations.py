@@ -10,23 +10,36 @@ def session_list(messages: DataFrame, tenant: str, n: int) -> DataFrame:
     return per.orderBy(F.desc("last"), F.desc("session_id")).limit(n)
 
 
-def history(messages: DataFrame, turns: int = 5, preview: int = 1000, last_preview: int = 2000) -> DataFrame:
-    """The last messages of each session, numbered, cut to a preview that is longer for the last."""
+def history(messages: DataFrame, turns: int = 5, preview: int = 1000, last_preview: int = 2000, whole_last=None) -> DataFrame:
+    """The last messages of each session, numbered, cut to a preview that is longer for the last. Where `whole_last` holds (a question
+    that acts on the last answer) the last message is whole."""
     back = F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("id")))
     rows = messages.withColumn("back", back).filter(F.col("back") <= turns)
     nth = F.row_number().over(Window.partitionBy("session_id").orderBy("id"))
-    cut = F.when(F.col("back") == 1, F.substring("content", 1, last_preview)).otherwise(F.substring("content", 1, preview))
+    last = F.col("back") == 1
+    whole = F.lit(False) if whole_last is None else last & F.coalesce(whole_last, F.lit(False))
+    cut = F.when(whole, F.col("content")).when(last, F.substring("content", 1, last_preview)).otherwise(F.substring("content", 1, preview))
     return rows.select("session_id", nth.alias("nth"), "role", cut.alias("content"))
 
 
-def first_sight(*parts: DataFrame, key: str) -> DataFrame:
-    """The union of parts, of equal keys the row of the earliest part."""
+def first_sight(*parts: DataFrame, keys: list[str]) -> DataFrame:
+    """The union of parts, of equal keys the row of the earliest part. A row's key is the first of `keys` that it has (neither null
+    nor empty); a row that has none is like no other."""
     rows = None
     for i, p in enumerate(parts):
         p = p.withColumn("_part", F.lit(i))
-        rows = p if rows is None else rows.unionByName(p)
-    first = F.row_number().over(Window.partitionBy(key).orderBy("_part"))
-    return rows.withColumn("_n", first).filter("_n = 1").drop("_n", "_part")
+        rows = p if rows is None else rows.unionByName(p, allowMissingColumns=True)
+    key = F.coalesce(*[F.nullif(F.col(k).cast("string"), F.lit("")) for k in keys])
+    rows = rows.withColumn("_key", key)
+    first = F.row_number().over(Window.partitionBy("_key").orderBy("_part"))
+    own = rows.filter("_key IS NOT NULL").withColumn("_n", first).filter("_n = 1").drop("_n")
+    return own.unionByName(rows.filter("_key IS NULL")).drop("_part", "_key")
+
+
+def numbered_questions(messages: DataFrame) -> DataFrame:
+    """messages with the number of the question that each belongs to: two messages a question."""
+    nth = F.row_number().over(Window.partitionBy("session_id").orderBy("id"))
+    return messages.withColumn("question", (F.floor((nth - 1) / 2) + 1).cast("int"))
 
 
 def turn_counts(messages: DataFrame, most: int = 6) -> DataFrame:
@@ -70,28 +83,44 @@ def restored(wanted: DataFrame, nodes: DataFrame) -> DataFrame:
     return there.select("node_id", found.alias("found"), F.when(found, F.lit(0.8)).alias("score"))
 
 
-def feedback_list(feedback: DataFrame, n: int) -> DataFrame:
-    """The latest n, with defaults for what is not there."""
-    rows = feedback.orderBy(F.desc("created_at"), "id").limit(n)
-    nth = F.row_number().over(Window.orderBy(F.desc("created_at"), "id"))  # n rows
-    return rows.select("id", F.coalesce("feedback", F.lit("none")).alias("feedback"), F.coalesce("confidence_pct", F.lit(0)).alias("confidence_pct"), nth.alias("nth"))
+#: What stands for absent values of a feedback record (fixed values); false, zero and empty count as absent.
+FEEDBACK = {"confidence_pct": 0, "confidence_level": "", "num_sources": 0, "retriever_type": "unknown", "correction": "", "attempts": 1, "was_refined": False}
+
+
+def feedback_list(feedback: DataFrame, n: int, tenant: str | None = None) -> DataFrame:
+    """A tenant's latest n records (of all tenants without one), with defaults for what is not there."""
+    rows = feedback if tenant is None else feedback.filter(F.col("tenant_id") == tenant)
+    order = [F.desc("created_at"), F.asc("id")]
+    nth = F.row_number().over(Window.orderBy(*order))  # n rows
+    rows = rows.orderBy(*order).limit(n).withColumn("nth", nth)
+    one = lambda c, v: F.when(F.col(c).isNull() | (F.col(c) == type(v)()), F.lit(v)).otherwise(F.col(c))
+    out = rows.withColumns({c: one(c, v) for c, v in FEEDBACK.items() if c in rows.columns})
+    return out.withColumn("top_sources", F.coalesce("top_sources", F.array().cast("array<string>"))) if "top_sources" in rows.columns else out
 
 
 def with_top_sources(answers: DataFrame, n: int = 3) -> DataFrame:
-    """answers(sources) with the names of the first n (source, else title, else unknown) and how many there are."""
+    """answers(sources) with the names of the first n (source, else title, else unknown; an empty one is a name) and how many there are."""
     name = lambda s: F.coalesce(s["source"], s["title"], F.lit("unknown"))
     return answers.withColumn("top_sources", F.slice(F.transform("sources", name), 1, n)).withColumn("num_sources", F.size("sources"))
 
 
 def add_uploads(uploads: DataFrame, most: int = 50) -> DataFrame:
-    """uploads(session_id, name, ord, digest) as they are kept: of equal name and digest the first, `most` a session, later ones of a
-    name shown as `name (2).txt` and so on."""
-    fresh = uploads.groupBy("session_id", "name", "digest").agg(F.min("ord").alias("ord"))
-    capped = fresh.withColumn("_n", F.row_number().over(Window.partitionBy("session_id").orderBy("ord"))).filter(F.col("_n") <= most)
-    again = F.row_number().over(Window.partitionBy("session_id", "name").orderBy("ord"))
-    stem, ext = F.regexp_replace("name", r"\.[^.]*$", ""), F.regexp_extract("name", r"(\.[^.]*)$", 1)
-    named = capped.withColumn("_k", again)
-    return named.withColumn("display_name", F.when(F.col("_k") == 1, F.col("name")).otherwise(F.concat(stem, F.lit(" ("), F.col("_k").cast("string"), F.lit(")"), ext))).drop("_n", "_k")
+    """uploads(session_id, name, size, digest, ord) as they are kept: of equal name, size and digest the first, `most` a session, each
+    shown under its name or, where that is shown already, the first free of `name (1).txt`, `name (2).txt` and so on."""
+    fresh = uploads.groupBy("session_id", "name", "size", "digest").agg(F.min("ord").alias("ord"))
+    capped = fresh.withColumn("_n", F.row_number().over(Window.partitionBy("session_id").orderBy("ord"))).filter(F.col("_n") <= most).drop("_n")
+    rows = F.array_sort(F.collect_list(F.struct("ord", "name", "size", "digest")))  # `most` of a session
+    ext = lambda x: F.regexp_extract(x, r"^\.*[^.].*(\.[^.]*)$", 1)
+    numbered = lambda x, i: F.concat(F.substring(x, F.lit(1), F.length(x) - F.length(ext(x))), F.lit(" ("), i.cast("string"), F.lit(")"), ext(x))
+
+    def show(shown, r):
+        more = F.transform(F.sequence(F.lit(1), F.lit(most)), lambda i: numbered(r["name"], i))
+        free = F.get(F.filter(F.concat(F.array(r["name"]), more), lambda x: ~F.array_contains(shown, x)), F.lit(0))
+        return F.concat(shown, F.array(free))
+
+    per = capped.groupBy("session_id").agg(rows.alias("rows")).withColumn("shown", F.aggregate("rows", F.array().cast("array<string>"), show))
+    out = per.select("session_id", F.explode(F.arrays_zip("rows", "shown")).alias("r"))
+    return out.select("session_id", "r.rows.name", "r.rows.size", "r.rows.digest", "r.rows.ord", F.col("r.shown").alias("display_name"))
 
 
 def numbered_chunks(uploads: DataFrame) -> DataFrame:

@@ -13,11 +13,13 @@ def insert_absent(old: DataFrame, new: DataFrame, key: str, order: str) -> DataF
     return old.unionByName(first_of_each(new, key, order).join(old.select(key), key, "left_anti").select(*old.columns))
 
 
-def upsert(old: DataFrame, new: DataFrame, key: str, update: list[str] | None = None) -> DataFrame:
-    """old with the rows of new; where the key is in both, the columns in update (all if None) are the new ones."""
+def upsert(old: DataFrame, new: DataFrame, key: str, update: list[str] | None = None, order: str | None = None) -> DataFrame:
+    """old with the rows of new; where the key is in both, the columns in update (all if None) are the new ones. Of rows of new with
+    the same key the last by `order` counts, without one the greatest."""
     update = [c for c in old.columns if c != key] if update is None else update
-    o, n = old.select(key, F.struct(*old.columns).alias("o")), new.select(key, F.struct(*old.columns).alias("n"))
-    both = o.join(n, key, "full")
+    row = F.struct(*old.columns)
+    n = new.groupBy(key).agg((F.max(row) if order is None else F.max_by(row, order)).alias("n"))
+    both = old.select(key, row.alias("o")).join(n, key, "full")
     pick = lambda c: F.when(F.col("n").isNull(), F.col(f"o.{c}")).when(F.col("o").isNull(), F.col(f"n.{c}")).otherwise(F.col(f"n.{c}" if c in update else f"o.{c}"))
     return both.select(key, *[pick(c).alias(c) for c in old.columns if c != key])
 
@@ -27,8 +29,9 @@ def delete(old: DataFrame, keys: DataFrame, key: str) -> DataFrame:
 
 
 def merge_metadata(old: DataFrame, changes: DataFrame, key: str) -> DataFrame:
-    """old(metadata map) with the entries of changes(key, changes map) over its own."""
-    merged = F.map_from_entries(F.concat(F.map_entries(F.map_filter("metadata", lambda k, _: ~F.map_contains_key("changes", k))), F.map_entries("changes")))
+    """old(metadata map) with the entries of changes(key, changes map) over its own; a null map is an empty one."""
+    own = F.coalesce("metadata", F.create_map().cast(old.schema["metadata"].dataType))
+    merged = F.map_from_entries(F.concat(F.map_entries(F.map_filter(own, lambda k, _: ~F.map_contains_key("changes", k))), F.map_entries("changes")))
     return old.join(changes, key, "left").withColumn("metadata", F.when(F.col("changes").isNull(), F.col("metadata")).otherwise(merged)).drop("changes")
 
 
@@ -42,12 +45,12 @@ def last_of_each(rows: DataFrame, key, order: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rows.columns), order).alias("_r")).select("_r.*")
 
 
-def bulk_upsert(old: DataFrame, new: DataFrame, key: str, tenant: str, update: list[str], touched) -> DataFrame:
+def bulk_upsert(old: DataFrame, new: DataFrame, key: str, tenant: str, update: list[str], touched, order: str | None = None) -> DataFrame:
     """new(metadata map) into old: the tenant of a new row is the one in its metadata, else `tenant`; of known rows only `update`
-    and the column `touched` change."""
+    and the column `touched` change; of equal keys in new the last by `order`."""
     owner = F.coalesce(F.try_element_at("metadata", F.lit("tenant_id")), F.lit(tenant))
     rows = new.withColumn("tenant_id", owner).withColumn("touched", touched).drop("metadata")
-    return upsert(old, rows.select(*old.columns), key, [*update, "touched"])
+    return upsert(old, rows.select(*dict.fromkeys([*old.columns, *([order] if order else [])])), key, [*update, "touched"], order)
 
 
 def replace_one(old: DataFrame, where, values: dict) -> DataFrame:

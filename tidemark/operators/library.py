@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import extension, safe_name, stem
+from ..functions.text import extension, form_title, safe_name, stem
 
 
 def listing(files: DataFrame, nodes: DataFrame, extracted: DataFrame) -> DataFrame:
@@ -30,7 +30,8 @@ def system_status(nodes: DataFrame, tenant: str) -> DataFrame:
 
 
 def feedback_report(feedback: DataFrame) -> DataFrame:
-    """Satisfaction, calibration of confidence (75 and above, below 60) and refinement, per cent, in one pass."""
+    """Satisfaction, calibration of confidence (of answers judged helpful or incorrect, at 75 and above, and below 60) and
+    refinement, per cent, in one pass."""
     good, bad = F.col("feedback") == "helpful", F.col("feedback") == "incorrect"
     high, low = F.col("confidence_pct") >= 75, F.col("confidence_pct") < 60
     share = lambda a, b: F.round(100 * F.count_if(a) / F.greatest(F.count_if(b), F.lit(1)), 4)
@@ -43,8 +44,9 @@ def feedback_report(feedback: DataFrame) -> DataFrame:
         F.count_if(high & bad).alias("high_incorrect"),
         F.count_if(low & good).alias("low_helpful"),
         F.count_if(low & bad).alias("low_incorrect"),
-        share(high & bad, high).alias("overconfident"),
-        share(low & good, low).alias("underconfident"),
+        share(high & bad, high & (good | bad)).alias("overconfident"),
+        share(low & good, low & (good | bad)).alias("underconfident"),
+        F.count_if("was_refined").alias("refined"),
         share(F.col("was_refined") & good, F.col("was_refined")).alias("refined_helpful"),
     )
 
@@ -98,17 +100,22 @@ def latency(times: DataFrame) -> DataFrame:
 
 
 def grouped_by_type(nodes: DataFrame) -> DataFrame:
-    """doc_type, doc_id, title: each type's documents, once each, with the title of their first node."""
-    return nodes.groupBy("doc_type", "doc_id").agg(F.min_by("title", "node_id").alias("title"))
+    """doc_type, doc_id, title, nth: each type's documents (types in capitals), once each, in order of their titles: that of the first
+    node, or the document's name; a form's title begins with its number. nodes(node_id, doc_id, doc_type, title, form_number)."""
+    kind = F.upper(F.coalesce("doc_type", F.lit("UNCATEGORIZED")))
+    one = nodes.filter("doc_id <> ''").groupBy(kind.alias("doc_type"), "doc_id").agg(F.min_by(F.struct("title", "form_number"), "node_id").alias("n"))
+    title = F.coalesce(F.nullif(F.col("n.title"), F.lit("")), F.col("doc_id"))
+    rows = one.select("doc_type", "doc_id", F.when(F.col("doc_type") == "FORM", form_title(F.col("n.form_number"), title)).otherwise(title).alias("title"))
+    return rows.withColumn("nth", F.row_number().over(Window.partitionBy("doc_type").orderBy("title", "doc_id")))
 
 
 def recommendations(report: DataFrame) -> DataFrame:
     """Of feedback_report's row what it calls for, in order."""
     said = F.array_compact(F.array(
-        F.when(F.col("satisfaction") < 70, "raise_satisfaction"),
-        F.when(F.col("overconfident") > 20, "lower_confidence"),
-        F.when(F.col("underconfident") > 40, "raise_confidence"),
-        F.when(F.col("refined_helpful") < 50, "review_refinement"),
+        F.when(F.col("overconfident") > 20, "raise_high_threshold"),
+        F.when(F.col("underconfident") > 30, "lower_high_threshold"),
+        F.when((F.col("refined_helpful") < 50) & (F.col("refined") > 5), "disable_refinement"),
+        F.when(F.col("incorrect") > 15, "review_errors"),
     ))
     return report.select(F.posexplode(said).alias("nth", "recommendation"))
 
@@ -123,12 +130,28 @@ def extraction_failures(results: DataFrame) -> DataFrame:
     return results.filter("error IS NOT NULL").groupBy("error").agg(F.count("*").alias("n"))
 
 
-def document_metrics(texts: DataFrame, sections: DataFrame, chunks: DataFrame) -> DataFrame:
-    """doc_id, length, sections (top level), chunks, status for texts(doc_id, text)."""
-    tops = sections.filter(~F.contains("section_id", F.lit("."))).groupBy("doc_id").agg(F.count_distinct("section_id").alias("sections"))
-    own = texts.groupBy("doc_id").agg(F.sum(F.length("text")).alias("length")).join(tops, "doc_id", "left").join(chunks.groupBy("doc_id").agg(F.count("*").alias("chunks")), "doc_id", "left")
+#: Document types that need no coverage (fixed values).
+EXEMPT = ["FORM", "CHECKLIST"]
+
+
+def exempt(doc_type) -> F.Column:
+    """Whether a document's coverage is not looked at: forms and checklists consist of empty fields."""
+    return F.coalesce(F.upper(doc_type).isin(*EXEMPT), F.lit(False))
+
+
+def document_metrics(files: DataFrame, texts: DataFrame, sections: DataFrame, chunks: DataFrame, extracted: DataFrame) -> DataFrame:
+    """name, size, length, sections (top level), chunks, coverage (by n-grams, else by words, else 0), status for files(name, size):
+    failed without a text, a tree or an extraction, low for a coverage under 0.85 that matters, else ok. texts(name, text),
+    sections(name, section_id), chunks(name), extracted(name, doc_type, ngram_coverage, word_coverage)."""
+    tops = sections.groupBy("name").agg(F.count_distinct(F.when(~F.contains("section_id", F.lit(".")), F.col("section_id"))).alias("sections"))
+    length = texts.groupBy("name").agg(F.sum(F.length("text")).alias("length"))
+    own = files.join(length, "name", "left").join(tops, "name", "left").join(chunks.groupBy("name").agg(F.count("*").alias("chunks")), "name", "left")
+    own = own.join(extracted.withColumn("there", F.lit(True)), "name", "left")
     n = lambda c: F.coalesce(c, F.lit(0))
-    return own.select("doc_id", "length", n("sections").alias("sections"), n("chunks").alias("chunks"), F.when(n("chunks") == 0, "no_chunks").when(n("sections") == 0, "no_sections").otherwise("ok").alias("status"))
+    coverage = F.coalesce("ngram_coverage", "word_coverage", F.lit(0.0))
+    failed = F.col("there").isNull() | F.col("sections").isNull() | (n("length") == 0)
+    status = F.when(failed, "failed").when(~exempt(F.col("doc_type")) & (coverage < 0.85), "low").otherwise("ok")
+    return own.select("name", "size", n("length").alias("length"), n("sections").alias("sections"), n("chunks").alias("chunks"), coverage.alias("coverage"), status.alias("status"))
 
 
 def extension_kinds(files: DataFrame) -> DataFrame:
@@ -171,10 +194,26 @@ def overlay(records: DataFrame, corrections: DataFrame, key: str, columns: list[
     return records.join(c, key, "left").select(*rest, *fixed, F.col("fields").isNotNull().alias("has_corrections"))
 
 
-def problem_documents(docs: DataFrame, most_tokens: int = 15_000, least_coverage: float = 0.85) -> DataFrame:
-    """docs(name, tokens, chunks, coverage) with what is wrong with them."""
-    wrong = F.array_compact(F.array(F.when(F.col("tokens") > most_tokens, "mega_section"), F.when(F.col("chunks") == 0, "no_chunks"), F.when(F.col("coverage") < least_coverage, "low_coverage")))
-    return docs.withColumn("problems", F.array_join(wrong, ",")).filter(F.size(wrong) > 0)
+def problem_documents(docs: DataFrame, sections: DataFrame, extracted: DataFrame, texts: DataFrame, most_tokens: int = 15_000, least_coverage: float = 0.85) -> DataFrame:
+    """name, problems of docs(name): sections(name, section_id, tokens) over a size, each by its id, or none at all; extracted(name,
+    doc_type, coverage, validation_error): none, low coverage, a validation error (what is said of coverage does not count for
+    forms and checklists); no texts(name, text)."""
+    large = F.array_sort(F.collect_list(F.when(F.col("tokens") > most_tokens, F.concat(F.lit("mega_section "), "section_id"))))
+    trees = sections.groupBy("name").agg(large.alias("large"))
+    own = docs.select("name").distinct().join(trees, "name", "left").join(extracted.withColumn("there", F.lit(True)), "name", "left")
+    own = own.join(texts.filter("text <> ''").select("name").distinct().withColumn("read", F.lit(True)), "name", "left")
+    free, none = exempt(F.col("doc_type")), F.array().cast("array<string>")
+    about = F.contains(F.lower("validation_error"), F.lit("coverage"))
+    there = F.col("there").isNotNull()
+    found = F.array(
+        F.when(F.col("large").isNull(), "no_tree"),
+        F.when(~there, "no_extraction"),
+        F.when(there & ~free & (F.coalesce("coverage", F.lit(0.0)) < least_coverage), "low_coverage"),
+        F.when(there & (F.coalesce("validation_error", F.lit("")) != "") & ~(free & about), "validation_error"),
+        F.when(F.col("read").isNull(), "no_text"),
+    )
+    problems = F.concat(F.coalesce("large", none), F.array_compact(found))
+    return own.select("name", F.array_join(problems, ",").alias("problems")).filter("problems <> ''")
 
 
 def checked_uploads(uploads: DataFrame, existing: DataFrame, allowed: list[str]) -> DataFrame:
@@ -191,9 +230,29 @@ def to_process(changes: DataFrame, succeeded: DataFrame) -> DataFrame:
 
 
 def document_rows(nodes: DataFrame) -> DataFrame:
-    """doc_id, nodes, title (of the last node), sections, mode for each document that has nodes."""
-    per = nodes.groupBy("doc_id").agg(F.count("*").alias("nodes"), F.max_by("title", "node_id").alias("title"), F.count_distinct("section_id").alias("sections"))
-    return per.withColumn("mode", F.when(F.col("nodes") > 0, "sync").otherwise("rebuild"))
+    """doc_id, nodes, title (of the last node), sections for each document that has nodes."""
+    return nodes.groupBy("doc_id").agg(F.count("*").alias("nodes"), F.max_by("title", "node_id").alias("title"), F.count_distinct("section_id").alias("sections"))
+
+
+def processing_mode(tenants: DataFrame, nodes: DataFrame, force: bool = False) -> DataFrame:
+    """tenant_id, mode for tenants(tenant_id): sync where the tenant has rows of its own, else, or if forced, rebuild."""
+    held = nodes.select("tenant_id").distinct().withColumn("held", F.lit(not force))
+    return tenants.join(held, "tenant_id", "left").select("tenant_id", F.when(F.coalesce("held", F.lit(False)), "sync").otherwise("rebuild").alias("mode"))
+
+
+def status_counts(rows: DataFrame, states) -> DataFrame:
+    """status, n of rows by the overall status of their stages."""
+    return rows.groupBy(overall_status(states).alias("status")).agg(F.count("*").alias("n"))
+
+
+def effective_metadata(records: DataFrame, tenant: str) -> DataFrame:
+    """What is shown of records(name, tenant_id, corrections map, sections array, and the fields): corrections over fields, the raw
+    corrections, whether there are any, the owner (else the caller) and the number of sections."""
+    fields = ["title", "doc_type", "form_number", "form_category_name", "category"]
+    own = F.coalesce("corrections", F.create_map().cast("map<string,string>"))
+    pick = {c: F.when(F.map_contains_key(own, F.lit(c)), own[c]).otherwise(F.col(c)) for c in fields}
+    name = F.coalesce(F.nullif(pick["form_category_name"], F.lit("")), pick["category"])
+    return records.select("name", *[pick[c].alias(c) for c in fields[:3]], name.alias("form_category_name"), own.alias("corrections"), (F.size(own) > 0).alias("has_corrections"), F.coalesce("tenant_id", F.lit(tenant)).alias("owner"), F.coalesce(F.size("sections"), F.lit(0)).alias("section_count"))
 
 
 def with_owner(rows: DataFrame, owners: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -1,9 +1,14 @@
 """Section trees of documents: ids, parents, sizes, slices, and what to do with empty sections."""
 
+import math
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import parent_id, split_words
+from ..functions.fuzzy import alike, any_anchor
+from ..functions.text import parent_id, split_words, without_header
+from ..session import stored
 
 
 def build_tree(sections: DataFrame) -> DataFrame:
@@ -30,10 +35,12 @@ def rolled_up(sections: DataFrame) -> DataFrame:
 
 
 def slices(text: DataFrame, starts: DataFrame) -> DataFrame:
-    """doc_id, start, content: the text from each start to the next, the last to its end."""
-    upto = F.lead("start").over(Window.partitionBy("doc_id").orderBy("start"))
-    cut = starts.withColumn("upto", upto).join(text, "doc_id")
-    return cut.select("doc_id", "start", F.substring("text", F.col("start"), F.coalesce("upto", F.length("text") + 1) - F.col("start")).alias("content"))
+    """doc_id, start, content: the text from each of starts(doc_id, start) to the next, the last to its end. A text meets the sorted
+    array of its starts once."""
+    per = starts.groupBy("doc_id").agg(F.array_sort(F.collect_list("start")).alias("at"))
+    upto = F.concat(F.slice("at", F.lit(2), F.size("at")), F.array(F.length("text") + 1))
+    cut = text.join(per, "doc_id").select("doc_id", "text", F.explode(F.arrays_zip(F.col("at").alias("start"), upto.alias("upto"))).alias("c"))
+    return cut.select("doc_id", F.col("c.start").alias("start"), F.substring("text", F.col("c.start"), F.greatest(F.col("c.upto") - F.col("c.start"), F.lit(0))).alias("content"))
 
 
 def merge_empty(sections: DataFrame, least: int = 80) -> DataFrame:
@@ -53,62 +60,163 @@ def merge_empty(sections: DataFrame, least: int = 80) -> DataFrame:
     return kept.select("doc_id", F.col("s.ord").alias("ord"), F.col("s.section_id").alias("section_id"), F.coalesce(name, F.col("s.name")).alias("name"), F.col("s.content").alias("content"))
 
 
-def numbered_lines(texts: DataFrame) -> DataFrame:
-    """doc_id, n, line, start of the lines of texts(doc_id, text); start counts characters from 1."""
-    lines = texts.select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
-    upto = Window.partitionBy("doc_id").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)  # the lines of one text
-    return lines.withColumn("start", F.coalesce(F.sum(F.length("line") + 1).over(upto), F.lit(0)) + 1)
-
-
-def positions(texts: DataFrame, sections: DataFrame) -> DataFrame:
-    """doc_id, ord, prefix, start: the lines that begin with the prefix of sections(doc_id, ord, prefix)."""
-    head = F.regexp_extract(F.trim("line"), r"^([0-9]+(?:\.[0-9]+)*|[A-Z]\.)", 1)
-    lines = numbered_lines(texts).withColumn("prefix", head).filter("prefix <> ''")
-    return lines.join(sections.select("doc_id", "ord", "prefix"), ["doc_id", "prefix"]).select("doc_id", "ord", "prefix", "start")
-
-
-#: What heads a table of contents, in order of precedence (fixed values).
+#: What heads a table of contents, in order of precedence; what its entries and the first heading after it look like; what a line
+#: begins with when it is numbered or lettered (fixed values).
 CONTENTS = [r"table\s+of\s+contents", r"\bcontents\b", r"\bindex\b"]
-
-
-def contents_end(texts: DataFrame, gap: int = 500, reach: int = 5000) -> DataFrame:
-    """doc_id, toc_start, toc_end for texts with such a head: the table of contents ends before the first numbered line after it
-    that has over `gap` characters to the next one; without such a line `reach` characters on, or with the text."""
-    lines, low = numbered_lines(texts), F.lower("line")
-    rank = F.coalesce(*[F.when(F.regexp_like(low, F.lit(p)), i) for i, p in enumerate(CONTENTS)])
-    at = F.coalesce(*[F.when(rank == i, F.regexp_instr(low, F.lit(p))) for i, p in enumerate(CONTENTS)])
-    heads = lines.withColumn("rank", rank).filter("rank IS NOT NULL").withColumn("at", F.col("start") + at - 1).groupBy("doc_id").agg(F.min(F.struct("rank", "at")).alias("h"))
-    heads = heads.select("doc_id", F.col("h.at").cast("long").alias("toc_start"))
-    own = lines.filter(F.regexp_like("line", F.lit(r"^\s*\d+\.?\d*\s+[A-Z]"))).join(heads, "doc_id").filter(F.col("start") >= F.col("toc_start"))
-    own = own.withColumn("next", F.lead("start").over(Window.partitionBy("doc_id").orderBy("start")))
+ENTRY = r"\s*\d+\.?\d*\s+[A-Z]"
+HEAD = r"\s*([0-9][0-9.]*|[A-Z]\.)"
+#: Characters of a line, and of a section's name, that are looked at for a name; a heading is no longer.
+LINE, NAME = 2000, 1000
+
+
+def lines_of(texts: DataFrame) -> DataFrame:
+    """doc_id, start, line, head, entry, contents, at of the lines of texts(doc_id, text) that are not empty, stored once for the
+    searches below. start counts characters from 1; line is the first LINE of them; head the number or letter that it
+    begins with; entry whether it looks like one of a table of contents; contents which of CONTENTS it holds first, at where."""
+
+    def cut(batches):
+        import pandas as pd
+
+        marks, entry, head = [re.compile(p) for p in CONTENTS], re.compile(ENTRY), re.compile(HEAD)
+        any_mark = re.compile("contents|index")
+        for b in batches:
+            out = []
+            for doc, text in zip(b["doc_id"], b["text"], strict=True):
+                start = 1
+                for line in (text or "").split("\n"):
+                    if line and not line.isspace():
+                        rank = at = None
+                        low = line.lower()
+                        if any_mark.search(low):
+                            got = next(((i, m) for i, m in enumerate(x.search(low) for x in marks) if m), None)
+                            rank, at = (got[0], start + got[1].start()) if got else (None, None)
+                        h = head.match(line)
+                        out.append((doc, start, line[:LINE], h.group(1) if h else None, bool(entry.match(line)), rank, at))
+                    start += len(line) + 1
+            yield pd.DataFrame(out, columns=["doc_id", "start", "line", "head", "entry", "contents", "at"]).astype({"contents": "Int32", "at": "Int64"})
+
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    rows = texts.select("doc_id", "text").mapInPandas(cut, f"doc_id {kind}, start long, line string, head string, entry boolean, contents int, at long")
+    return stored(rows, "lines")
+
+
+def positions(lines: DataFrame, sections: DataFrame) -> DataFrame:
+    """doc_id, ord, start: the numbered lines that begin with the prefix of sections(doc_id, ord, prefix), whatever follows it."""
+    heads = lines.filter("head IS NOT NULL")
+    begins = F.transform(F.sequence(F.lit(1), F.length("head")), lambda i: F.substring("head", F.lit(1), i))
+    begun = heads.select("doc_id", "start", F.explode(begins).alias("prefix"))
+    return begun.join(sections.select("doc_id", "ord", "prefix"), ["doc_id", "prefix"]).select("doc_id", "ord", "start")
+
+
+#: From this likeness on a line is taken for a name (fixed value).
+LEAST = 85
+
+
+def named_lines(lines: DataFrame, sections: DataFrame, least: float = LEAST) -> DataFrame:
+    """doc_id, ord, start: the numbered lines that begin with the name of sections(doc_id, ord, name), case aside; for a name without
+    such a line those that are alike to it, at least `least` of 100 by insertions and deletions. Lines and names meet by
+    document and length band: of the lengths of two strings that are alike, neither is more than (200 - least) / least times the other."""
+    flat = lambda x: F.trim(F.regexp_replace(F.lower(x), r"\s+", " "))
+    names = sections.select("doc_id", "ord", F.substring(F.trim(F.lower("name")), 1, NAME).alias("begin"), F.substring(flat(F.col("name")), 1, NAME).alias("name")).filter("name <> ''")
+    lines = lines.select("doc_id", "start", F.ltrim(F.lower("line")).alias("begin"), flat(F.col("line")).alias("line")).filter("line <> ''")
+    keys = F.array_distinct(F.array(*[F.substring("begin", 1, i) for i in (1, 2, 3)]))
+    keyed = lines.select("doc_id", "start", F.col("begin").alias("text"), F.explode(keys).alias("key"))
+    begun = keyed.join(names.withColumn("key", F.substring("begin", 1, 3)), ["doc_id", "key"]).filter(F.startswith(F.col("text"), F.col("begin")))
+    begun = stored(begun.select("doc_id", "ord", "start"), "begun")
+
+    step = math.log((200 - least) / least)
+    band = lambda x: F.floor(F.log(F.length(x)) / step).cast("int")
+    left = names.join(begun.select("doc_id", "ord").distinct(), ["doc_id", "ord"], "left_anti")
+    near = left.withColumn("band", F.explode(F.transform(F.array(*[F.lit(i) for i in (-1, 0, 1)]), lambda i: band("name") + i)))
+    held = near.groupBy("doc_id", "band").agg(F.collect_list(F.struct("ord", "name")).alias("names"))  # of one document and length
+
+    def matches(batches):
+        import pandas as pd
+
+        for b in batches:
+            out = []
+            for doc, start, line, asked in zip(b["doc_id"], b["start"], b["line"], b["names"], strict=True):
+                ok = alike(line, [x["name"] for x in asked], least)
+                out += [(doc, x["ord"], start) for x, yes in zip(asked, ok, strict=True) if yes]
+            yield pd.DataFrame(out, columns=["doc_id", "ord", "start"])
+
+    kind = lambda t, c: t.schema[c].dataType.simpleString()
+    met = lines.withColumn("band", band("line")).join(held, ["doc_id", "band"]).select("doc_id", "start", "line", "names")
+    return begun.unionByName(met.mapInPandas(matches, f"doc_id {kind(lines, 'doc_id')}, ord {kind(names, 'ord')}, start {kind(lines, 'start')}"))
+
+
+def contents_end(texts: DataFrame, lines: DataFrame, gap: int = 500, reach: int = 5000) -> DataFrame:
+    """doc_id, toc_start, toc_end for texts whose lines hold such a head: the table of contents ends before the first numbered line
+    after it that has over `gap` characters to the next one; without such a line `reach` characters on, or with the text."""
+    heads = lines.filter("contents IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("contents", "at")).alias("h")).select("doc_id", F.col("h.at").alias("toc_start"))
+    own = lines.filter("entry").select("doc_id", "start").join(heads, "doc_id").filter(F.col("start") >= F.col("toc_start"))
+    own = own.withColumn("next", F.lead("start").over(Window.partitionBy("doc_id").orderBy("start")))  # the numbered lines of one text
     ends = own.groupBy("doc_id").agg(F.min(F.when(F.col("next") - F.col("start") > gap, F.col("start"))).alias("end"))
     whole = texts.select("doc_id", (F.length("text") + 1).cast("long").alias("after"))
     return heads.join(ends, "doc_id", "left").join(whole, "doc_id").select("doc_id", "toc_start", F.coalesce("end", F.least(F.col("toc_start") + reach, F.col("after"))).alias("toc_end"))
 
 
-def located(texts: DataFrame, sections: DataFrame, toc: DataFrame | None = None, reach: int = 800) -> DataFrame:
-    """doc_id, ord, start for sections(doc_id, ord, prefix, anchor): the first line outside the table of contents that begins
-    with the prefix and has the anchor within `reach` characters; if none has, the first of them."""
-    found = positions(texts, sections)
-    if toc is not None:
-        found = found.join(toc, "doc_id", "left").filter(~F.coalesce((F.col("start") >= F.col("toc_start")) & (F.col("start") < F.col("toc_end")), F.lit(False)))
-    seen = found.select("doc_id", "ord", "start").join(sections.select("doc_id", "ord", "anchor"), ["doc_id", "ord"]).join(texts, "doc_id")
-    near = F.lower(F.regexp_replace(F.substring("text", F.col("start"), F.lit(reach)), r"\s+", " "))
-    sure = F.coalesce(F.contains(near, F.lower(F.regexp_replace("anchor", r"\s+", " "))), F.lit(False))
-    return seen.groupBy("doc_id", "ord").agg(F.coalesce(F.min(F.when(sure, F.col("start"))), F.min("start")).alias("start"))
-
-
-def by_boundaries(texts: DataFrame, sections: DataFrame, toc: DataFrame | None = None, least: int = 80) -> DataFrame:
-    """The sections' contents: located, cut from start to start, sections that are nearly empty merged into the next."""
-    starts = located(texts, sections, toc)
-    cut = slices(texts, starts.select("doc_id", "start"))
-    named = starts.join(sections.select("doc_id", "ord", F.col("prefix").alias("section_id"), "name"), ["doc_id", "ord"])
-    return merge_empty(named.join(cut, ["doc_id", "start"]), least)
-
-
-def as_markdown(sections: DataFrame) -> DataFrame:
-    """doc_id, ord, text: a heading as deep as the section's level, then its content, indented by two spaces a level."""
-    level = F.size(F.split("section_id", r"\."))
-    indent = F.repeat(F.lit("  "), level - 1)
-    body = F.array_join(F.transform(F.split("content", "\n"), lambda x: F.concat(indent, x)), "\n")
-    return sections.select("doc_id", "ord", F.concat(F.repeat(F.lit("#"), level + 1), F.lit(" "), "name", F.lit("\n"), body).alias("text"))
+def outside(found: DataFrame, toc: DataFrame | None) -> DataFrame:
+    """found(doc_id, start) without what lies in its document's table of contents."""
+    if toc is None:
+        return found
+    inside = (F.col("start") >= F.col("toc_start")) & (F.col("start") < F.col("toc_end"))
+    return found.join(toc, "doc_id", "left").filter(~F.coalesce(inside, F.lit(False))).drop("toc_start", "toc_end")
+
+
+def proven(texts: DataFrame, found: DataFrame, anchors: DataFrame, reach: int = 800) -> DataFrame:
+    """doc_id, ord, start: of found(doc_id, ord, start) the first with one of anchors(doc_id, ord, anchors) in the `reach` characters from
+    it on, exactly or approximately; if none has, the first. A text meets the array of its candidates once."""
+    per = found.groupBy("doc_id").agg(F.collect_list(F.struct("ord", "start")).alias("c"))
+    windows = texts.join(per, "doc_id").select("doc_id", "text", F.explode("c").alias("c"))
+    windows = windows.select("doc_id", "c.ord", "c.start", F.substring("text", F.col("c.start"), F.lit(reach)).alias("window"))
+    sure = windows.join(anchors.select("doc_id", "ord", "anchors"), ["doc_id", "ord"]).withColumn("sure", any_anchor(F.col("window"), F.col("anchors")))
+    return sure.groupBy("doc_id", "ord").agg(F.coalesce(F.min(F.when(F.col("sure"), F.col("start"))), F.min("start")).alias("start"))
+
+
+def located(texts: DataFrame, sections: DataFrame, toc: DataFrame | None = None, reach: int = 800, lines: DataFrame | None = None) -> DataFrame:
+    """doc_id, ord, start for sections(doc_id, ord, name, prefix, anchor): where they begin, outside the table of contents. A section
+    with a prefix begins at a line that begins with it; without one, or without such a line, at a line with its name
+    or much like it. What proves a line is the section's own anchor or the next section's."""
+    following = F.lead("anchor").over(Window.partitionBy("doc_id").orderBy("ord"))
+    anchors = sections.select("doc_id", "ord", F.array_compact(F.array("anchor", following)).alias("anchors"))
+    lines = lines_of(texts) if lines is None else lines
+    by_id = stored(outside(positions(lines, sections.filter("prefix IS NOT NULL")), toc), "by_id")
+    rest = sections.join(by_id.select("doc_id", "ord").distinct(), ["doc_id", "ord"], "left_anti")
+    by_name = outside(named_lines(lines, rest), toc)  # few sections have no number
+    return proven(texts, by_id.unionByName(by_name), anchors, reach)
+
+
+def by_boundaries(texts: DataFrame, sections: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Contents and failures of texts(doc_id, text) cut by sections(doc_id, ord, name, prefix, anchor), tables of contents left out.
+
+    Contents: doc_id, ord, section_id, name, content: located, cut from start to start, without the line of the heading and
+    the space around; sections that are nearly empty are merged into the next. Failures: doc_id, expected, missing and error
+    (over half of the names were not found) of every document with sections."""
+    lines = lines_of(texts)
+    starts = stored(located(texts, sections, stored(contents_end(texts, lines), "contents"), lines=lines), "starts")
+    named = starts.join(sections.select("doc_id", "ord", F.coalesce("prefix", "name").alias("section_id"), "name"), ["doc_id", "ord"])
+    last = named.groupBy("doc_id", "start").agg(F.max(F.struct("ord", "section_id", "name")).alias("s")).select("doc_id", "start", "s.*")  # of equal starts the others are empty
+    cut = slices(texts, last.select("doc_id", "start"))
+    flat = lambda x: F.trim(F.regexp_replace(F.lower(x), r"\s+", " "))
+    whole = F.regexp_replace("content", r"^\s+|\s+$", "")
+    headed = F.startswith(flat(F.substring_index("content", "\n", 1)), flat(F.col("name")))
+    rest = F.when(F.contains("content", F.lit("\n")), F.substring("content", F.length(F.substring_index("content", "\n", 1)) + 2, F.length("content"))).otherwise("")
+    own = last.join(cut, ["doc_id", "start"]).withColumn("content", whole).filter("content <> ''").withColumn("content", F.when(headed, rest).otherwise(F.col("content")))
+    own = own.withColumn("ord", F.row_number().over(Window.partitionBy("doc_id").orderBy("start")) - 1)
+    wanted = sections.filter("name <> ''").select("doc_id", "name").distinct().join(own.select("doc_id", "name", F.lit(1).alias("there")).distinct(), ["doc_id", "name"], "left")
+    n, gone = F.count("*"), F.count_if(F.col("there").isNull())
+    failures = wanted.groupBy("doc_id").agg(n.alias("expected"), gone.alias("missing"))
+    error = F.when(F.col("missing") / F.col("expected") > 0.5, F.concat(F.lit("Failed to extract "), F.col("missing").cast("string"), F.lit("/"), F.col("expected").cast("string"), F.lit(" sections")))
+    return merge_empty(own.drop("start")), failures.withColumn("error", error)
+
+
+def as_markdown(chunks: DataFrame) -> DataFrame:
+    """doc_id, section_id, text for chunks(doc_id, section_id, title, level, nth, text): a heading as deep as the section's level, its
+    source, then its chunks without their headers, in order; all indented by two spaces a level below the first."""
+    indent = F.repeat(F.lit("  "), F.col("level") - 1)
+    per = chunks.groupBy("doc_id", "section_id", "title", "level").agg(F.array_sort(F.collect_list(F.struct("nth", "text"))).alias("c"))
+    body = F.transform("c", lambda x: F.concat(indent, without_header(x["text"]), F.lit("\n")))
+    heading = F.concat(F.lit("\n"), indent, F.repeat(F.lit("#"), F.col("level") + 1), F.lit(" "), "section_id", F.lit(". "), "title")
+    source = F.concat(indent, F.lit("[Source: "), "doc_id", F.lit(", Section "), "section_id", F.lit("]\n"))
+    return per.select("doc_id", "section_id", F.array_join(F.concat(F.array(heading, source), body), "\n").alias("text"))

@@ -6,7 +6,9 @@ from typing import Protocol
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import answer_block
 from ..operators import retrieval as R
+from ..operators.keyword_index import KeywordIndex
 
 #: Nodes asked for by scope (fixed values).
 TOP_K = {"focused": 20, "broad": 25, "too_broad": 20}
@@ -38,22 +40,25 @@ def by_rules(text: str) -> Analysis:
     return Analysis(text, "broad" if len(text.split()) > 25 else "focused", [], parts or [text])
 
 
-def retrieve(nodes: DataFrame, vectors: DataFrame, terms: list[str], vector: list[float], tenant: str | None = None, types: list[str] | None = None, k: int = 20) -> DataFrame:
+def retrieve(nodes: DataFrame, vectors: DataFrame, question: str, vector: list[float], index: KeywordIndex, tenant: str | None = None, types: list[str] | None = None, k: int = 20) -> DataFrame:
     """Keyword and vector lists of what the tenant sees, fused: node_id, score, rank."""
     seen = R.filtered(nodes, tenant, types)
-    return R.fuse(R.vector_top(seen, vectors, vector, k), R.keyword_top(seen, terms, k), n=k)
+    return R.fuse(R.vector_top(seen, vectors, vector, k), index.top(question, k, tenant, types), n=k)
 
 
-def context(ranked: DataFrame, nodes: DataFrame, n: int = 15) -> DataFrame:
-    """The first n nodes' texts in one, and their sources in order."""
-    rows = ranked.filter(F.col("rank") <= n).join(nodes.select("node_id", "text", "doc_id"), "node_id")
-    parts = F.array_sort(F.collect_list(F.struct("rank", "text", "doc_id")))
-    return rows.agg(parts.alias("p")).select(F.array_join(F.transform("p", lambda x: x["text"]), "\n\n").alias("context"), F.array_distinct(F.transform("p", lambda x: x["doc_id"])).alias("sources"))
+def context(ranked: DataFrame, nodes: DataFrame, n: int = 15, sources: int = 10) -> DataFrame:
+    """query_id, context, sources for ranked(query_id, node_id, rank): the first n nodes' texts in one, and the documents of the first
+    so many nodes, each once, in order."""
+    rows = ranked.filter(F.col("rank") <= max(n, sources)).join(nodes.select("node_id", "text", "doc_id"), "node_id")
+    parts = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "text", "doc_id"))).alias("p"))  # of n nodes
+    texts = F.transform(F.filter("p", lambda x: x["rank"] <= n), lambda x: x["text"])
+    docs = F.transform(F.filter("p", lambda x: x["rank"] <= sources), lambda x: x["doc_id"])
+    return parts.select("query_id", F.array_join(texts, "\n\n").alias("context"), F.array_distinct(docs).alias("sources"))
 
 
-def overall_confidence(parts: list[int]) -> tuple[int, str]:
-    """Whole-number mean of the parts' confidences; high from 80 without parts under 60, medium from 60."""
-    if not parts:
-        return 0, "LOW"
-    pct = sum(parts) // len(parts)
-    return pct, "HIGH" if pct >= 80 and min(parts) >= 60 else "MEDIUM" if pct >= 60 else "LOW"
+def joined_answers(parts: DataFrame) -> DataFrame:
+    """query_id, answers, has_standard for the few parts(query_id, nth, label, text, is_standard) of each question: labelled blocks in
+    order, with an empty line between."""
+    block = answer_block(F.col("label"), F.col("text"), F.col("is_standard"))
+    rows = parts.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("nth", block.alias("block")))).alias("p"), F.max("is_standard").alias("has_standard"))
+    return rows.select("query_id", F.array_join(F.transform("p", lambda x: x["block"]), "\n\n").alias("answers"), "has_standard")

@@ -10,15 +10,16 @@ from .operators import library as B
 from .operators import retrieval as R
 from .operators import sections as S
 from .operators import textprep as P
+from .operators.keyword_index import KeywordIndex
 from .plans import answer as A
 from .session import SQL as MAP
-from .session import feedback, files, messages, nodes, table, vectors
+from .session import feedback, files, messages, nodes, scratch, table, vectors
 from .sources import library as files_source
 from .streaming.sync import event_windows
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-TERMS = ["the", "and", "of"]
+QUESTION = "The (and) of?"
 QUERY_VEC = 7
 #: A tenant's keyword and vector lists, and their fusion.
 LISTS = f"""{MAP['nodes']},
@@ -46,13 +47,26 @@ def _vector(spark, sf):
     return table(spark, sf, "embeddings").filter(F.col("vec_id") == QUERY_VEC).first()["embedding"]
 
 
+_INDEXES: dict = {}
+
+
+def index_of(spark, sf):
+    """The stored keyword index of a folder's nodes, built once in an application, as an ingestion does."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _INDEXES:
+        index = KeywordIndex(spark, scratch(spark, "keyword"))
+        index.rebuild(nodes(spark, sf))
+        _INDEXES[key] = index
+    return _INDEXES[key]
+
+
 def _fused(spark, sf):
-    return A.retrieve(nodes(spark, sf), vectors(spark, sf), TERMS, _vector(spark, sf), "t1")
+    return A.retrieve(nodes(spark, sf), vectors(spark, sf), QUESTION, _vector(spark, sf), index_of(spark, sf), "t1")
 
 
 @query(f"WITH {LISTS} SELECT node_id, score, CAST(rank AS INT) AS rank FROM kw")
 def keyword_topk(spark, sf):
-    return R.keyword_top(R.filtered(nodes(spark, sf), "t1"), TERMS)
+    return index_of(spark, sf).top(QUESTION, tenant="t1")
 
 
 @query(f"WITH {LISTS} SELECT node_id, score, CAST(rank AS INT) AS rank FROM vec")
@@ -94,16 +108,35 @@ def diverse_topk(spark, sf):
 t AS (SELECT *, row_number() OVER (ORDER BY score DESC, node_id) AS r FROM s WHERE score > 0 QUALIFY r <= 20)
 SELECT node_id, score, CAST(row_number() OVER (ORDER BY score DESC, node_id) AS INT) AS rank FROM t WHERE contains(upper(title), 'TH') QUALIFY rank <= 10""")
 def keyword_by_type_and_title(spark, sf):
-    return R.keyword_top(R.filtered(nodes(spark, sf), None, ["Form", "POLICY"]), TERMS, 10, title="th")
+    return index_of(spark, sf).top(QUESTION, 10, types=["Form", "POLICY"], title="th", titles=nodes(spark, sf))
 
 
-@query(f"""WITH {MAP['nodes']}, q AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS term FROM benchmark),
+#: Terms of a text of a question in SQL: what is kept of each word, cut into tokens.
+TERMS_SQL = """list_distinct(regexp_extract_all(lower(array_to_string(list_transform(regexp_split_to_array({}, '\\s+'), lambda w: regexp_replace(w, '[^\\p{{L}}\\p{{N}}.\\-]', '', 'g')), ' ')), '[\\p{{L}}\\p{{N}}]+'))"""
+
+
+@query(f"""WITH {MAP['nodes']}, q AS (SELECT item_id AS query_id, unnest({TERMS_SQL.format('text')}) AS term FROM benchmark),
 p AS (SELECT node_id, term, count(*) AS tf FROM (SELECT node_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS term FROM nodes) GROUP BY ALL),
 s AS (SELECT query_id, node_id, round(sum(tf) * 0.1, 6) AS score FROM p JOIN q USING (term) GROUP BY ALL)
 SELECT query_id, node_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS INT) AS rank FROM s QUALIFY rank <= 10""")
 def keyword_many_queries(spark, sf):
-    q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(T.tokens(F.col("text"))).alias("term"))
-    return R.keyword_top_each(nodes(spark, sf), q)
+    return index_of(spark, sf).top_each(table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text"), 10)
+
+
+@query(f"""WITH {MAP['nodes']}, now AS (SELECT node_id, CASE WHEN node_id % 5 = 0 THEN title ELSE text END AS text FROM nodes WHERE node_id % 7 <> 0),
+q AS (SELECT item_id AS query_id, unnest({TERMS_SQL.format('text')}) AS term FROM benchmark),
+p AS (SELECT node_id, term, count(*) AS tf FROM (SELECT node_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS term FROM now) GROUP BY ALL),
+s AS (SELECT query_id, node_id, round(sum(tf) * 0.1, 6) AS score FROM p JOIN q USING (term) GROUP BY ALL)
+SELECT query_id, node_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS INT) AS rank FROM s QUALIFY rank <= 10""")
+def keyword_index_upkeep(spark, sf):
+    """An index after additions, changed texts and deletions, one part of them compacted and one in the log."""
+    n, index = nodes(spark, sf), KeywordIndex(spark, scratch(spark, "keyword"), buckets=8)
+    index.update(n.filter("node_id % 3 <> 0"))
+    index.update(n.filter("node_id % 3 = 0"), n.filter("node_id % 14 = 0"))
+    index.table.compact()
+    index.update(n.filter("node_id % 5 = 0").withColumn("text", F.col("title")))
+    index.update(None, n.filter("node_id % 7 = 0"))
+    return index.top_each(table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text"), 10)
 
 
 _SYNC = f"""WITH {MAP['files']} SELECT coalesce(cur.name, snap.name) AS name, CASE WHEN snap.name IS NULL THEN 'new' WHEN cur.name IS NULL THEN 'deleted' ELSE 'modified' END AS change FROM cur FULL JOIN snap ON cur.name = snap.name
@@ -132,17 +165,6 @@ def system_status(spark, sf):
     return B.system_status(nodes(spark, sf), "t2")
 
 
-_C = lambda a: f"count(*) FILTER ({a})"
-_SH = lambda a, b: f"round(100 * {_C(a)} / CAST(greatest({_C(b)}, 1) AS DOUBLE), 4)"
-_H, _I, _HI, _LO = "feedback = 'helpful'", "feedback = 'incorrect'", "confidence_pct >= 75", "confidence_pct < 60"
-
-
-@query(f"""WITH {MAP['feedback']} SELECT count(*) AS total, {_SH(_H, 'true')} AS satisfaction, {_SH(_I, 'true')} AS incorrect, {_C(f'{_HI} AND {_H}')} AS high_helpful, {_C(f'{_HI} AND {_I}')} AS high_incorrect,
-{_C(f'{_LO} AND {_H}')} AS low_helpful, {_C(f'{_LO} AND {_I}')} AS low_incorrect, {_SH(f'{_HI} AND {_I}', _HI)} AS overconfident, {_SH(f'{_LO} AND {_H}', _LO)} AS underconfident, {_SH(f'was_refined AND {_H}', 'was_refined')} AS refined_helpful FROM feedback""")
-def feedback_analytics(spark, sf):
-    return B.feedback_report(feedback(spark, sf))
-
-
 @query(f"WITH {MAP['feedback']} SELECT id, confidence_pct FROM feedback WHERE feedback = 'incorrect' ORDER BY confidence_pct DESC, created_at DESC, id LIMIT 10")
 def problem_queries(spark, sf):
     return B.problem_queries(feedback(spark, sf)).select("id", "confidence_pct")
@@ -163,20 +185,6 @@ def latency_statistics(spark, sf):
     return B.latency(table(spark, sf, "events").filter("value IS NOT NULL").select(F.col("event_type").alias("stage"), F.col("value").alias("seconds")))
 
 
-@query(f"WITH {MAP['nodes']} SELECT doc_type, doc_id, arg_min(title, node_id) AS title FROM nodes GROUP BY ALL")
-def documents_by_type(spark, sf):
-    return B.grouped_by_type(nodes(spark, sf))
-
-
-@query("""WITH s AS (SELECT doc_id, (['success','warning','failed','pending','success'])[CAST(doc_id % 5 AS INT) + 1] AS a, CASE WHEN doc_id % 4 = 1 THEN 'warning' ELSE 'success' END AS b FROM documents)
-SELECT CASE WHEN 'failed' IN (a, b) THEN 'failed' WHEN 'warning' IN (a, b) THEN 'warning' WHEN a = 'success' AND b = 'success' THEN 'success' ELSE 'pending' END AS status, count(*) AS n FROM s GROUP BY 1""")
-def processing_report(spark, sf):
-    d = F.col("doc_id")
-    a = F.element_at(F.array(*[F.lit(x) for x in ("success", "warning", "failed", "pending", "success")]), (d % 5 + 1).cast("int"))
-    states = F.array(a, F.when(d % 4 == 1, "warning").otherwise("success"))
-    return table(spark, sf, "documents").groupBy(B.overall_status(states).alias("status")).agg(F.count("*").alias("n"))
-
-
 @query("""WITH r AS (SELECT doc_id, lang AS title, source AS category FROM documents)
 SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN 'fixed' WHEN doc_id % 6 = 1 THEN NULL ELSE title END AS title, CASE WHEN doc_id % 6 = 2 THEN 'moved' ELSE category END AS category, doc_id % 6 < 3 AS has_corrections FROM r""")
 def corrections_overlay(spark, sf):
@@ -186,14 +194,6 @@ def corrections_overlay(spark, sf):
     return B.overlay(docs.select("doc_id", F.col("lang").alias("title"), F.col("source").alias("category")), docs.select("doc_id", fields.alias("fields")).filter("fields IS NOT NULL"), "doc_id", ["title", "category"])
 
 
-@query("""WITH d AS (SELECT doc_id AS name, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) AS tokens, doc_id % 9 AS chunks, (doc_id % 21) / 20.0 AS coverage FROM documents)
-SELECT name, tokens, concat_ws(',', CASE WHEN tokens > 1000 THEN 'mega_section' END, CASE WHEN chunks = 0 THEN 'no_chunks' END, CASE WHEN coverage < 0.25 THEN 'low_coverage' END) AS problems FROM d WHERE tokens > 1000 OR chunks = 0 OR coverage < 0.25""")
-def problem_documents(spark, sf):
-    d = F.col("doc_id")
-    docs = table(spark, sf, "documents").select(d.alias("name"), F.size(T.split_words(F.col("text"))).alias("tokens"), (d % 9).alias("chunks"), ((d % 21) / 20).alias("coverage"))
-    return B.problem_documents(docs, 1000, 0.25).select("name", F.col("tokens").cast("long").alias("tokens"), "problems")
-
-
 @query("""WITH g AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(trim(regexp_replace(regexp_replace(regexp_replace(text, '\\s+', ' ', 'g'), '[^\\p{L}\\p{N}_ ]', '', 'g'), ' +', ' ', 'g'))), '\\s+'), lambda w: w <> '') AS rw FROM documents),
 x AS (SELECT id, rw, list_filter(rw, lambda w, i: i % 10 <> 0) AS gw FROM g),
 y AS (SELECT id, rw, gw, CASE WHEN len(rw) < 3 THEN CASE WHEN len(rw) > 0 THEN [array_to_string(rw, ' ')] ELSE [] END ELSE list_distinct(list_transform(generate_series(1, len(rw) - 2), lambda i: array_to_string(rw[i:i + 2], ' '))) END AS r,
@@ -275,24 +275,11 @@ def recent_sessions(spark, sf):
     return C.session_list(messages(spark, sf), "t1", 15)
 
 
-@query(f"""WITH {MAP['messages']}, b AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY id DESC) AS back FROM messages QUALIFY back <= 3)
-SELECT session_id, CAST(row_number() OVER (PARTITION BY session_id ORDER BY id) AS INT) AS nth, role, CASE WHEN back = 1 THEN substr(content, 1, 60) ELSE substr(content, 1, 30) END AS content FROM b""")
-def conversation_history(spark, sf):
-    return C.history(messages(spark, sf), 3, 30, 60)
-
-
 @query(f"WITH {MAP['messages']} SELECT session_id, id, CAST((row_number() OVER (PARTITION BY session_id ORDER BY id) - 1) % 2 + 1 AS INT) AS turn FROM messages WHERE role = 'user'")
 def conversation_turns(spark, sf):
     return C.turn_counts(messages(spark, sf), 2)
 
 
-@query(f"""WITH {MAP['nodes']}, a AS (SELECT node_id, 'upload' AS origin FROM nodes WHERE node_id % 3 = 0), b AS (SELECT node_id, 'library' AS origin FROM nodes WHERE node_id % 2 = 0)
-SELECT * FROM a UNION ALL SELECT * FROM b WHERE node_id NOT IN (SELECT node_id FROM a)""")
-def uploads_first(spark, sf):
-    n = nodes(spark, sf).select("node_id")
-    return C.first_sight(n.filter("node_id % 3 = 0").withColumn("origin", F.lit("upload")), n.filter("node_id % 2 = 0").withColumn("origin", F.lit("library")), key="node_id")
-
-
 _KEYED = "SELECT doc_id, lang, source FROM documents"
 
 
@@ -317,40 +304,11 @@ def delete_keys(spark, sf):
     return D.delete(old, new, "doc_id")
 
 
-@query("SELECT doc_id, lang AS a, CASE WHEN doc_id % 2 = 0 THEN 'changed' ELSE source END AS b, CASE WHEN doc_id % 2 = 0 THEN 'added' END AS c FROM documents")
-def metadata_merge(spark, sf):
-    d = table(spark, sf, "documents")
-    old = d.select("doc_id", F.create_map(F.lit("a"), "lang", F.lit("b"), "source").alias("metadata"))
-    changes = d.filter("doc_id % 2 = 0").select("doc_id", F.create_map(F.lit("b"), F.lit("changed"), F.lit("c"), F.lit("added")).alias("changes"))
-    m = D.merge_metadata(old, changes, "doc_id")
-    return m.select("doc_id", *[F.try_element_at("metadata", F.lit(k)).alias(k) for k in "abc"])
-
-
 @query(f"WITH {MAP['nodes']}, t AS (SELECT CASE WHEN doc_id = 'src3' THEN 't9' ELSE tenant_id END AS tenant_id FROM nodes) SELECT tenant_id, count(*) AS n FROM t GROUP BY 1")
 def ownership_transfer(spark, sf):
     return D.transfer(nodes(spark, sf), "t9", F.col("doc_id") == "src3").groupBy("tenant_id").agg(F.count("*").alias("n"))
 
 
-QUESTIONS = [
-    "hello there", "Good morning", "howdy", "see you", "take care", "which form is it?", "is this information current", "show me the check list for departure",
-    "how to launch a lifeboat in an emergency", "what does chapter 4 say about drills?", "is there a user guide for the gyro compass", "our policy on visitors in port areas",
-    "which requirement covers maintenance of alarms", "when is the next inspection of the pump room due", "company rules for shore leave", "what are hazards of cargo", "internal audit dates please now", "the convention on load lines says what",
-]
-_CASES = lambda rules: " ".join("WHEN " + " OR ".join(f"contains(t, '{k}')" for k in keys) + f" THEN '{name}'" for name, keys in rules)
-_Q = ", ".join(f"'{q}'" for q in QUESTIONS)
-
-
-@query(f"""SELECT item_id, CASE {_CASES([
-    ('company', ['our company', 'our policy', 'our procedure', 'company policy']), ('regulatory', ['marpol', 'solas', 'imo', 'mlc', 'stcw', 'regulation', 'annex', 'chapter']),
-    ('safety', ['emergency', 'drill', 'fire', 'abandon', 'lifeboat', 'evacuation', 'alarm']), ('operational', ['operation', 'procedure', 'checklist', 'maintenance', 'inspection'])])} ELSE 'general' END AS scope,
- CASE {_CASES([('Form', ['form']), ('Checklist', ['checklist', 'check list']), ('Procedure', ['procedure', 'how to', 'steps']), ('Policy', ['policy', 'policies']), ('Manual', ['manual', 'guide']), ('Regulation', ['regulation', 'requirement'])])} END AS preference,
- CASE WHEN t IN ('hi', 'hello', 'hey', 'good morning', 'good afternoon', 'good evening', 'howdy', 'hey there') OR (len(string_split(t, ' ')) <= 2 AND NOT contains(t, '?')) THEN 'greeting' WHEN t IN ('bye', 'goodbye', 'see you', 'take care') THEN 'goodbye' ELSE 'new_query' END AS intent
-FROM (SELECT item_id, lower(([{_Q}])[CAST(item_id % {len(QUESTIONS)} AS INT) + 1]) AS t FROM benchmark)""")
-def question_rules(spark, sf):
-    t = F.element_at(F.array(*[F.lit(x) for x in QUESTIONS]), (F.col("item_id") % len(QUESTIONS) + 1).cast("int"))
-    return table(spark, sf, "benchmark").select("item_id", L.scope(t).alias("scope"), L.type_preference(t).alias("preference"), L.intent(t).alias("intent"))
-
-
 @query(r"""SELECT doc_id, md5(text) AS digest, CASE WHEN n < 1024 THEN CAST(n AS VARCHAR) || 'B' WHEN n < 1048576 THEN format('{:.1f}KB', n / 1024) WHEN n < 1073741824 THEN format('{:.1f}MB', n / 1048576) ELSE format('{:.1f}GB', n / 1073741824) END AS size,
  CASE WHEN len(t) > 40 THEN substr(t, 1, 40) || '...' ELSE t END AS title FROM (SELECT doc_id, text, n_chars * (doc_id % 3 * 499 + 1) * (doc_id % 7 * 101 + 1) AS n, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents)""")
 def document_labels(spark, sf):
@@ -372,8 +330,8 @@ def sentence_chunks(spark, sf):
     return P.chunk(table(spark, sf, "documents"), 200, 40)
 
 
-from . import queries_data, queries_text  # noqa: E402  (they add to the queries above)
+from . import queries_data, queries_more, queries_text  # noqa: E402  (they add to the queries above)
 
-for _part in (queries_data, queries_text):
+for _part in (queries_data, queries_more, queries_text):
     QUERIES |= _part.QUERIES
     ORACLE_SQL |= _part.ORACLE_SQL

@@ -1,5 +1,6 @@
 """Registered queries: changes to keyed tables, sessions, uploads, listings and reports, each with the same computation in SQL."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .functions import text as T
@@ -7,9 +8,10 @@ from .operators import conversations as C
 from .operators import dml as D
 from .operators import library as B
 from .operators import retrieval as R
+from .operators.keyword_index import KeywordIndex
 from .plans import answer as A
 from .session import SQL as MAP
-from .session import feedback, files, messages, nodes, table
+from .session import feedback, files, messages, nodes, scratch, table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -117,11 +119,6 @@ def restored_context(spark, sf):
     return rows.agg(F.count_if("found").alias("found"), F.count_if(~F.col("found")).alias("missing"), F.max("score").alias("score"))
 
 
-@query(f"""WITH {MAP['feedback']} SELECT id, coalesce(feedback, 'none') AS feedback, coalesce(confidence_pct, 0) AS confidence_pct, CAST(row_number() OVER (ORDER BY created_at DESC, id) AS INT) AS nth FROM feedback QUALIFY nth <= 100""")
-def feedback_listing(spark, sf):
-    return C.feedback_list(feedback(spark, sf), 100)
-
-
 @query("""WITH d AS (SELECT doc_id, list_transform(range(0, doc_id % 6), lambda i: CASE WHEN (doc_id + i) % 3 = 0 THEN source WHEN (doc_id + i) % 3 = 1 THEN lang ELSE 'unknown' END) AS s FROM documents) SELECT doc_id, array_to_string(s[1:3], '|') AS top_sources, CAST(len(s) AS INT) AS num_sources FROM d""")
 def feedback_insertion(spark, sf):
     at = lambda i: (F.col("doc_id") + i) % 3
@@ -132,27 +129,6 @@ def feedback_insertion(spark, sf):
     return rows.select("doc_id", F.array_join("top_sources", "|").alias("top_sources"), "num_sources")
 
 
-_UP = """up AS (SELECT 's' || CAST(doc_id % 9 AS VARCHAR) AS session_id, 'n' || CAST(doc_id % 20 AS VARCHAR) || '.txt' AS name, doc_id AS ord, md5(CASE WHEN doc_id % 4 = 0 THEN 'same' ELSE text END) AS digest FROM documents),
-fresh AS (SELECT session_id, name, digest, min(ord) AS ord FROM up GROUP BY ALL), capped AS (SELECT * FROM fresh QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY ord) <= 50)"""
-
-
-@query(f"""WITH {_UP}, k AS (SELECT *, row_number() OVER (PARTITION BY session_id, name ORDER BY ord) AS n FROM capped) SELECT session_id, ord, CASE WHEN n = 1 THEN name ELSE replace(name, '.txt', '') || ' (' || CAST(n AS VARCHAR) || ').txt' END AS display_name FROM k""")
-def upload_addition(spark, sf):
-    return C.add_uploads(_uploads(spark, sf)).select("session_id", "ord", "display_name")
-
-
-def _uploads(spark, sf):
-    d = F.col("doc_id")
-    return table(spark, sf, "documents").select(F.concat(F.lit("s"), (d % 9).cast("string")).alias("session_id"), F.concat(F.lit("n"), (d % 20).cast("string"), F.lit(".txt")).alias("name"), d.alias("ord"), F.md5(F.when(d % 4 == 0, "same").otherwise(F.col("text")).cast("binary")).alias("digest"))
-
-
-@query(f"WITH {_UP} SELECT session_id, ord FROM capped WHERE session_id <> 's3' AND NOT (session_id = 's5' AND name = 'n5.txt')")
-def upload_deletion(spark, sf):
-    rows = C.add_uploads(_uploads(spark, sf))
-    rows = D.delete_where(rows, (F.col("session_id") == "s5") & (F.col("name") == "n5.txt"))
-    return D.delete_where(rows, F.col("session_id") == "s3").select("session_id", "ord")
-
-
 @query("""SELECT doc_id, md5(text) || ':' || CAST(i AS VARCHAR) AS chunk_id, CAST(i AS INT) AS nth FROM (SELECT doc_id, text, unnest(range(0, doc_id % 4 + 1)) AS i FROM documents)""")
 def upload_chunks(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"), F.array_repeat(F.lit("x"), (F.col("doc_id") % 4 + 1).cast("int")).alias("chunks"))
@@ -205,13 +181,6 @@ def extraction_failures(spark, sf):
     return B.extraction_failures(_results(spark, sf))
 
 
-@query(f"""WITH {_N}, t AS (SELECT doc_id, CAST(sum(length(text)) AS BIGINT) AS length, count(DISTINCT CASE WHEN NOT contains(section_id, '.') THEN section_id END) AS sections, count(*) FILTER (node_id % 9 = 0 AND doc_id <> 'src2') AS chunks FROM nodes GROUP BY 1)
-SELECT doc_id, length, sections, CAST(chunks AS BIGINT) AS chunks, CASE WHEN chunks = 0 THEN 'no_chunks' WHEN sections = 0 THEN 'no_sections' ELSE 'ok' END AS status FROM t""")
-def document_metrics(spark, sf):
-    n = nodes(spark, sf)
-    return B.document_metrics(n.select("doc_id", "text"), n.select("doc_id", "section_id"), n.filter("node_id % 9 = 0 AND doc_id <> 'src2'"))
-
-
 @query("""WITH f AS (SELECT 'doc' || CAST(doc_id // 2 AS VARCHAR) || CASE WHEN doc_id % 3 = 0 THEN '.PDF' ELSE '.txt' END AS name FROM documents),
 s AS (SELECT regexp_replace(name, '\\.[^.]*$', '') AS stem, array_to_string(list_sort(list(DISTINCT lower(regexp_extract(name, '\\.([^.]*)$', 1)))), ',') AS extensions FROM f GROUP BY 1) SELECT extensions, count(*) AS stems FROM s GROUP BY 1""")
 def extension_combinations(spark, sf):
@@ -220,11 +189,6 @@ def extension_combinations(spark, sf):
     return B.extension_kinds(table(spark, sf, "documents").select(name.alias("name")))
 
 
-@query(f"WITH {_N} SELECT doc_id, count(*) AS nodes, arg_max(title, node_id) AS title, count(DISTINCT section_id) AS sections, CASE WHEN count(*) > 0 THEN 'sync' ELSE 'rebuild' END AS mode FROM nodes WHERE tenant_id IN ('t3', 'shared') GROUP BY 1")
-def documents_of_tenant(spark, sf):
-    return B.document_rows(nodes(spark, sf).filter(F.col("tenant_id").isin("t3", "shared")))
-
-
 @query(f"WITH {_N}, o AS (SELECT doc_id, min(tenant_id) AS tenant_id FROM nodes WHERE doc_id <> 'src1' GROUP BY 1) SELECT n.node_id, coalesce(o.tenant_id, 'shared') AS owner FROM nodes n LEFT JOIN o USING (doc_id)")
 def file_owners(spark, sf):
     n = nodes(spark, sf)
@@ -251,17 +215,14 @@ def per_tenant_files(spark, sf):
     return D.merged_by_tenant(rows.filter("n % 2 = 0"), rows.filter("n % 2 = 1"), ["tenant_id", "name"], "n").drop("n")
 
 
-@query("SELECT doc_id, CAST(len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS INT) AS tokens, count(*) OVER () AS rebuilt FROM documents")
+@query("SELECT doc_id, CAST(len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS INT) AS tokens, (SELECT count(*) FROM documents) AS rebuilt FROM documents")
 def token_index(spark, sf):
-    from pyspark.sql import Window
-
-    d = table(spark, sf, "documents").select("doc_id", F.size(T.tokens(F.col("text"))).alias("tokens"))
-    return d.withColumn("rebuilt", F.count("*").over(Window.partitionBy(F.lit(0))))
-
-
-@query(f"WITH {MAP['feedback']}, r AS (SELECT 100 * count(*) FILTER (feedback = 'helpful') / CAST(count(*) AS DOUBLE) AS s, 100 * count(*) FILTER (confidence_pct >= 75 AND feedback = 'incorrect') / CAST(greatest(count(*) FILTER (confidence_pct >= 75), 1) AS DOUBLE) AS o, 100 * count(*) FILTER (confidence_pct < 60 AND feedback = 'helpful') / CAST(greatest(count(*) FILTER (confidence_pct < 60), 1) AS DOUBLE) AS u, 100 * count(*) FILTER (was_refined AND feedback = 'helpful') / CAST(greatest(count(*) FILTER (was_refined), 1) AS DOUBLE) AS h FROM feedback), l AS (SELECT list_filter([CASE WHEN s < 70 THEN 'raise_satisfaction' END, CASE WHEN o > 20 THEN 'lower_confidence' END, CASE WHEN u > 40 THEN 'raise_confidence' END, CASE WHEN h < 50 THEN 'review_refinement' END], lambda x: x IS NOT NULL) AS x FROM r) SELECT CAST(generate_subscripts(x, 1) - 1 AS INT) AS nth, unnest(x) AS recommendation FROM l")
-def feedback_recommendations(spark, sf):
-    return B.recommendations(B.feedback_report(feedback(spark, sf)))
+    """How many tokens each node has in the stored index, and what its rebuilding returns."""
+    n = nodes(spark, sf)
+    index = KeywordIndex(spark, scratch(spark, "keyword"))
+    rebuilt = index.rebuild(n)
+    held = index.table.read().groupBy("node_id").agg(F.sum("tf").cast("int").alias("tokens"))
+    return n.select("node_id").join(held, "node_id", "left").select(F.col("node_id").alias("doc_id"), F.coalesce("tokens", F.lit(0)).alias("tokens"), F.lit(rebuilt).alias("rebuilt"))
 
 
 @query(f"WITH {_N} SELECT node_id, doc_id FROM nodes WHERE doc_id IN ('src4', 'src5') AND tenant_id IN ('t1', 'shared') UNION ALL SELECT node_id, doc_id FROM nodes WHERE node_id IN (5, 17, 100000)")
@@ -283,11 +244,12 @@ def first_owners(spark, sf):
     return B.first_owner(nodes(spark, sf).filter("tenant_id <> 'shared'").select(F.col("doc_id").alias("name"), "tenant_id"))
 
 
-@query(f"WITH {_N}, r AS (SELECT node_id, node_id + 1 AS rank FROM nodes WHERE node_id < 40 AND node_id % 2 = 0 ORDER BY 1), f AS (SELECT rank, text, doc_id FROM r JOIN nodes USING (node_id) WHERE rank <= 15) SELECT string_agg(text, chr(10) || chr(10) ORDER BY rank) AS context, (SELECT string_agg(doc_id, '|' ORDER BY first) FROM (SELECT doc_id, min(rank) AS first FROM f GROUP BY 1)) AS sources FROM f")
+@query(f"""WITH {_N}, r AS (SELECT node_id % 50 AS query_id, row_number() OVER (PARTITION BY node_id % 50 ORDER BY node_id) AS rank, text, doc_id FROM nodes)
+SELECT query_id, string_agg(text, chr(10) || chr(10) ORDER BY rank) FILTER (rank <= 15) AS context, (SELECT string_agg(doc_id, '|' ORDER BY first) FROM (SELECT doc_id, min(rank) AS first FROM r s WHERE s.query_id = r.query_id AND rank <= 10 GROUP BY 1)) AS sources FROM r GROUP BY 1""")
 def answer_context(spark, sf):
     n = nodes(spark, sf)
-    ranked = n.filter("node_id < 40 AND node_id % 2 = 0").select("node_id", (F.col("node_id") + 1).alias("rank"))
-    return A.context(ranked, n, 15).select("context", F.array_join("sources", "|").alias("sources"))
+    nth = F.row_number().over(Window.partitionBy(F.col("node_id") % 50).orderBy("node_id"))
+    return A.context(n.select("node_id", (F.col("node_id") % 50).alias("query_id"), nth.alias("rank")), n).select("query_id", "context", F.array_join("sources", "|").alias("sources"))
 
 
 @query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 25 WHEN 3 THEN NULL ELSE 20 END AS top_k FROM documents")

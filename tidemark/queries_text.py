@@ -1,12 +1,14 @@
 """Registered queries: texts and sections, payloads, plans, and retrieval for many questions, each with the same computation in SQL."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .functions import language as L
 from .functions import text as T
 from .operators import retrieval as R
 from .operators import sections as S
-from .session import DOC_TYPES, nodes, table, vectors
+from .queries import QUESTION, TERMS_SQL, index_of
+from .session import QUERY_TYPES, nodes, table, vectors
 from .session import SQL as MAP
 
 QUERIES: dict = {}
@@ -31,7 +33,7 @@ def _tok(x):
 
 # many questions at once: embeddings whose id is divisible by 50, with the words of that node's title
 _MANY = f"""{_N}, q AS (SELECT vec_id AS query_id, embedding AS e, CASE WHEN vec_id % 100 = 0 THEN 't1' END AS tenant FROM embeddings WHERE vec_id % 50 = 0),
-t AS (SELECT DISTINCT query_id, unnest({_tok("title")}) AS term FROM q JOIN nodes ON node_id = query_id),
+t AS (SELECT query_id, unnest({TERMS_SQL.format("title")}) AS term FROM q JOIN nodes ON node_id = query_id),
 post AS (SELECT node_id, tenant_id, term, count(*) AS tf FROM (SELECT node_id, tenant_id, unnest({_tok("text")}) AS term FROM nodes) GROUP BY ALL),
 kw AS (SELECT query_id, node_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, node_id) AS w FROM (SELECT query_id, node_id, round(sum(tf) * 0.1, 6) AS s FROM post JOIN t USING (term) JOIN q USING (query_id) WHERE tenant IS NULL OR tenant_id IN (tenant, 'shared') GROUP BY ALL) QUALIFY w <= 20),
 vec AS (SELECT query_id, vec_id AS node_id, row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(e AS DOUBLE[])), 6) DESC, vec_id) AS v FROM embeddings JOIN nodes ON node_id = vec_id, q WHERE tenant IS NULL OR tenant_id IN (tenant, 'shared') QUALIFY v <= 20),
@@ -40,12 +42,11 @@ fused AS (SELECT query_id, node_id, score, CAST(row_number() OVER (PARTITION BY
 
 
 def _many(spark, sf):
-    n = nodes(spark, sf)
-    asked = table(spark, sf, "embeddings").filter("vec_id % 50 = 0").select("vec_id", "embedding").collect()  # the stated set of questions
-    queries = [(r["vec_id"], r["embedding"], "t1" if r["vec_id"] % 100 == 0 else None) for r in asked]
-    own = table(spark, sf, "embeddings").filter("vec_id % 50 = 0").select(F.col("vec_id").alias("node_id"))
-    terms = n.join(F.broadcast(own), "node_id").select(F.col("node_id").alias("query_id"), F.explode(T.tokens(F.col("title"))).alias("term"))
-    return n, vectors(spark, sf), queries, terms
+    """Nodes, vectors, and the stated set of questions: embeddings whose id is divisible by 50, with the title of that node."""
+    n, own = nodes(spark, sf), table(spark, sf, "embeddings").filter("vec_id % 50 = 0")
+    tenant = F.when(F.col("vec_id") % 100 == 0, "t1").alias("tenant")
+    asked = own.join(n.select(F.col("node_id").alias("vec_id"), F.col("title").alias("text")), "vec_id").select(F.col("vec_id").alias("query_id"), "text", F.col("embedding").alias("vector"), tenant)
+    return n, vectors(spark, sf), asked, 20, index_of(spark, sf).table.read()
 
 
 @query(f"WITH {_MANY} SELECT * FROM fused")
@@ -63,8 +64,8 @@ def confidence_many_queries(spark, sf):
 @query(f"""WITH {_MANY}, a AS (SELECT query_id, list(node_id) AS x FROM vec GROUP BY 1), b AS (SELECT query_id, list(node_id) AS y FROM fused GROUP BY 1)
 SELECT query_id, CASE WHEN len(coalesce(x, [])) > 0 THEN len(list_intersect(x, coalesce(y, []))) / len(x) ELSE 1.0 END AS recall, CASE WHEN len(list_distinct(list_concat(coalesce(x, []), coalesce(y, [])))) > 0 THEN len(list_intersect(coalesce(x, []), coalesce(y, []))) / len(list_distinct(list_concat(coalesce(x, []), coalesce(y, [])))) ELSE 1.0 END AS jaccard FROM a FULL JOIN b USING (query_id)""")
 def recall_many_queries(spark, sf):
-    n, v, queries, terms = _many(spark, sf)
-    return R.recall(R.hybrid_each(n, v, queries, terms), R.vector_top_each(n, v, queries))
+    n, v, asked, k, counted = _many(spark, sf)
+    return R.recall(R.hybrid_each(n, v, asked, k, counted), R.vector_top_each(n, v, asked, k))
 
 
 _SEC = """sec AS (SELECT source AS doc_id, CASE WHEN doc_id % 10 = 0 THEN '1' ELSE '1.' || CAST(doc_id % 10 AS VARCHAR) END AS section_id, text FROM documents),
@@ -77,19 +78,22 @@ refs AS (SELECT doc_id, section_id, min(rank) AS first FROM kw JOIN nodes USING
 @query(f"WITH {_FIRST} SELECT doc_id, section_id, first FROM refs")
 def section_references(spark, sf):
     n = nodes(spark, sf)
-    return R.section_refs(R.keyword_top(n, ["the", "and", "of"], 10), n)
+    return R.section_refs(index_of(spark, sf).top(QUESTION, 10), n)
 
 
 @query(f"""WITH {_FIRST}, k AS (SELECT doc_id, section_id, first, row_number() OVER (ORDER BY first) AS nth, sum(total) OVER (ORDER BY first) AS upto FROM refs JOIN tot USING (doc_id, section_id)),
 kept AS (SELECT * FROM k WHERE nth <= 10 AND upto <= 50000) SELECT n.node_id, n.section_id, min(first) AS first FROM nodes n JOIN kept k ON n.doc_id = k.doc_id AND (n.section_id = k.section_id OR starts_with(n.section_id, k.section_id || '.')) GROUP BY ALL""")
 def hierarchical_retrieval(spark, sf):
     n = nodes(spark, sf)
-    return R.hierarchical(R.keyword_top(n, ["the", "and", "of"], 10), n, S.rolled_up(n.select("doc_id", "section_id", "text")).select("doc_id", "section_id", "total"))
+    return R.hierarchical(index_of(spark, sf).top(QUESTION, 10), n, S.rolled_up(n.select("doc_id", "section_id", "text")).select("doc_id", "section_id", "total"))
 
 
-@query("WITH s AS (SELECT doc_id AS rank, n_chars AS size FROM documents WHERE doc_id < 100), u AS (SELECT *, sum(size) OVER (ORDER BY rank) AS upto FROM s WHERE rank <= 40) SELECT rank, size, CAST(upto AS BIGINT) AS upto FROM u WHERE upto <= 50000")
+@query("""WITH s AS (SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INT) AS rank, length(text) AS size FROM conversations), u AS (SELECT *, sum(size) OVER (PARTITION BY conv_id ORDER BY rank) AS upto FROM s WHERE rank <= 4)
+SELECT conv_id, rank, CAST(size AS INT) AS size, CAST(upto AS BIGINT) AS upto FROM u WHERE upto <= 500""")
 def budget_cut(spark, sf):
-    return R.within_budget(table(spark, sf, "documents").filter("doc_id < 100").select(F.col("doc_id").alias("rank"), F.col("n_chars").alias("size")), 50_000, 40)
+    nth = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
+    sizes = table(spark, sf, "conversations").select("conv_id", nth.alias("rank"), F.length("text").alias("size"))
+    return R.within_budget(sizes, 500, 4, "conv_id")
 
 
 _Q7 = "q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 7), sim AS (SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(e AS DOUBLE[])), 6) AS s FROM embeddings, q)"
@@ -99,16 +103,19 @@ def _seven(spark, sf):
     return table(spark, sf, "embeddings").filter("vec_id = 7").first()["embedding"]
 
 
-@query(f"WITH {_Q7}, r AS (SELECT vec_id AS node_id, vec_id + 1 AS was, round(0.7 * s + 0.3 * (vec_id % 10) / 10, 6) AS score FROM sim WHERE vec_id < 60) SELECT node_id, score, CAST(row_number() OVER (ORDER BY score DESC, was) AS INT) AS rank FROM r")
+@query("""WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id < 50), r AS (SELECT query_id, vec_id AS node_id, vec_id AS was, round(0.7 * round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(e AS DOUBLE[])), 6) + 0.3 * ((vec_id % 10) / 10), 6) AS score FROM embeddings JOIN q ON query_id = vec_id % 50)
+SELECT query_id, node_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, was) AS INT) AS rank FROM r""")
 def cached_rescoring(spark, sf):
-    old = table(spark, sf, "embeddings").filter("vec_id < 60").select(F.col("vec_id").alias("node_id"), (F.col("vec_id") % 10 / 10).alias("score"), (F.col("vec_id") + 1).alias("rank"))
-    return R.blended(old, vectors(spark, sf), _seven(spark, sf))
+    """Fifty cached lists, each against a vector of its own."""
+    e, i = table(spark, sf, "embeddings"), F.col("vec_id")
+    old = e.select((i % 50).alias("query_id"), i.alias("node_id"), (i % 10 / 10).alias("score"), i.alias("rank"))
+    return R.blended(old, vectors(spark, sf), e.filter("vec_id < 50").select(i.alias("query_id"), F.col("embedding").alias("vector")))
 
 
 @query(f"WITH {_Q7}, u AS (SELECT vec_id AS node_id, round(s * 1.5, 6) AS score, CAST(row_number() OVER (ORDER BY s DESC, vec_id) AS INT) AS rank FROM sim WHERE vec_id % 3 = 0 QUALIFY rank <= 10) SELECT * FROM u")
 def upload_search(spark, sf):
     own = table(spark, sf, "embeddings").filter("vec_id % 3 = 0").select(F.col("vec_id").alias("node_id"), F.lit("shared").alias("tenant_id"))
-    return R.vector_top(own, vectors(spark, sf), _seven(spark, sf), 10).withColumn("score", F.round(F.col("score") * 1.5, 6))
+    return R.vector_top(own, vectors(spark, sf), _seven(spark, sf), 10, factor=1.5)
 
 
 @query(f"""WITH {_N}, c AS (SELECT node_id AS cid, md5(trim(regexp_replace(substr(text, 1, 500), '\\s+', ' ', 'g'))) AS h, doc_id, section_id FROM nodes WHERE node_id % 2 = 0), byh AS (SELECT h, min(cid) AS c1 FROM c GROUP BY 1), bys AS (SELECT doc_id, section_id, min(cid) AS c2 FROM c GROUP BY ALL)
@@ -118,86 +125,6 @@ def cached_embeddings(spark, sf):
     return R.attached(n, n.filter("node_id % 2 = 0"))
 
 
-@query("""WITH d AS (SELECT doc_id, (['3.1 Use of', '12. Scope', 'A. Parts', 'Annex', '4x', 'B.'])[CAST(doc_id % 6 AS INT) + 1] AS name, CASE WHEN doc_id % 3 = 0 THEN ' First words. ' END AS fs, CASE WHEN doc_id % 5 = 0 THEN text END AS su FROM documents)
-SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN '3.1' WHEN 1 THEN '12' END AS prefix, coalesce(trim(fs), CASE WHEN trim(su) <> '' THEN substr(trim(su), 1, 200) END, CASE doc_id % 6 WHEN 0 THEN 'Use of' END) AS anchor FROM d""")
-def section_anchors(spark, sf):
-    d = F.col("doc_id")
-    name = F.element_at(F.array(*[F.lit(x) for x in ("3.1 Use of", "12. Scope", "A. Parts", "Annex", "4x", "B.")]), (d % 6 + 1).cast("int"))
-    first, summary = F.when(d % 3 == 0, " First words. "), F.when(d % 5 == 0, F.col("text"))
-    return table(spark, sf, "documents").select("doc_id", T.section_prefix(name).alias("prefix"), T.anchor(first, summary, name).alias("anchor"))
-
-
-# three sections with a table of contents before them, made of each document
-_BODY = """b AS (SELECT doc_id, left(regexp_replace(text, '[0-9A-Z\\n.]', 'x', 'g'), 3000) AS body FROM documents), t AS (SELECT doc_id, 'Contents' || chr(10) || '1 One' || chr(10) || '2 Two' || chr(10) || '2.1 Sub' || chr(10) AS toc, '1 One' || chr(10) || body || repeat('y', 600) || chr(10) AS s1, '2 Two' || chr(10) || 'ab' || chr(10) AS s2, '2.1 Sub' || chr(10) || 'The anchor here ' || body AS s3 FROM b)"""
-
-
-def _texts(spark, sf):
-    body = F.substring(F.regexp_replace("text", r"[0-9A-Z\n.]", "x"), 1, 3000)
-    text = F.concat(F.lit("Contents\n1 One\n2 Two\n2.1 Sub\n1 One\n"), body, F.lit("y" * 600), F.lit("\n2 Two\nab\n2.1 Sub\nThe anchor here "), body)
-    return table(spark, sf, "documents").select("doc_id", text.alias("text"))
-
-
-def _three(spark, sf):
-    rows = [(0, "1", "One", None), (1, "2", "Two", None), (2, "2.1", "Sub", "the  anchor here")]
-    known = F.array(*[F.struct(F.lit(o).alias("ord"), F.lit(p).alias("prefix"), F.lit(n).alias("name"), F.lit(a).cast("string").alias("anchor")) for o, p, n, a in rows])
-    return table(spark, sf, "documents").select("doc_id", F.explode(known).alias("s")).select("doc_id", "s.*")
-
-
-@query(f"WITH {_BODY} SELECT doc_id, CAST(1 AS BIGINT) AS toc_start, CAST(length(toc) + 1 AS BIGINT) AS toc_end FROM t")
-def contents_range(spark, sf):
-    return S.contents_end(_texts(spark, sf))
-
-
-@query(f"WITH {_BODY}, s AS (SELECT doc_id, 0 AS ord, length(toc) + 1 AS start FROM t UNION ALL SELECT doc_id, 1, length(toc) + length(s1) + 1 FROM t UNION ALL SELECT doc_id, 2, length(toc) + length(s1) + length(s2) + 1 FROM t) SELECT doc_id, ord, start FROM s")
-def section_positions(spark, sf):
-    texts = _texts(spark, sf)
-    return S.located(texts, _three(spark, sf), S.contents_end(texts))
-
-
-@query(f"WITH {_BODY} SELECT doc_id, 0 AS ord, '1' AS section_id, 'One' AS name, s1 AS content FROM t UNION ALL SELECT doc_id, 2, '2.1', CASE WHEN length(trim(s3)) >= 80 THEN 'Two: Sub' END, s3 FROM t WHERE length(trim(s3)) >= 80")
-def boundary_sections(spark, sf):
-    texts = _texts(spark, sf)
-    return S.by_boundaries(texts, _three(spark, sf), S.contents_end(texts))
-
-
-@query("""SELECT doc_id, CAST(doc_id % 3 AS INT) AS ord, repeat('#', CAST(doc_id % 3 + 2 AS INT)) || ' ' || lang || chr(10) || array_to_string(list_transform(string_split(text, chr(10)), lambda x: repeat('  ', CAST(doc_id % 3 AS INT)) || x), chr(10)) AS text FROM documents""")
-def sections_as_markdown(spark, sf):
-    d = F.col("doc_id")
-    ids = F.element_at(F.array(F.lit("1"), F.lit("1.2"), F.lit("1.2.3")), (d % 3 + 1).cast("int"))
-    return S.as_markdown(table(spark, sf, "documents").select("doc_id", (d % 3).cast("int").alias("ord"), ids.alias("section_id"), F.col("lang").alias("name"), F.col("text").alias("content")))
-
-
-@query(r"""WITH l AS (SELECT doc_id, unnest(x) AS line, generate_subscripts(x, 1) AS n FROM (SELECT doc_id, list_transform(range(0, 40), lambda i: CAST(i // (doc_id % 7 + 1) AS VARCHAR)) AS x FROM documents)),
-r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, line ORDER BY n) AS k FROM l) SELECT doc_id, string_agg(line, ',' ORDER BY n) AS lines FROM r WHERE k <= 3 GROUP BY 1""")
-def repeated_lines(spark, sf):
-    lines = F.transform(F.sequence(F.lit(0), F.lit(39)), lambda i: F.floor(i / (F.col("doc_id") % 7 + 1)).cast("string"))
-    return table(spark, sf, "documents").select("doc_id", F.array_join(T.limit_repeats(lines), ",").alias("lines"))
-
-
-@query("""SELECT doc_id, concat_ws(' | ', CASE WHEN doc_id % 8 > 0 THEN 'FORMS: ' || array_to_string(list_transform(range(0, least(doc_id % 8, 5)), lambda i: 'F' || CAST(i AS VARCHAR)), ', ') END, CASE WHEN doc_id % 3 > 0 THEN 'PROCS: ' || array_to_string(list_transform(range(0, doc_id % 3), lambda i: 'P' || CAST(i AS VARCHAR)), ', ') END, CASE WHEN doc_id % 5 > 0 THEN 'REGS: ' || array_to_string(list_transform(range(0, least(doc_id % 5, 3)), lambda i: 'R' || CAST(i AS VARCHAR)), ', ') END) AS refs,
-'Title: ' || lang || chr(10) || 'Type: FORM' || chr(10) || CASE WHEN doc_id % 2 = 0 THEN 'Form: F' || CAST(doc_id AS VARCHAR) || chr(10) ELSE '' END || 'Hierarchy: A > ' || source || chr(10) || 'Section: s' || chr(10) || '---' AS header FROM documents""")
-def chunk_headers(spark, sf):
-    d = F.col("doc_id")
-    many = lambda letter, n: F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)).cast("int")), lambda i: F.concat(F.lit(letter), i.cast("string")))).otherwise(F.array().cast("array<string>"))
-    refs = T.references_line(many("F", d % 8), many("P", d % 3), many("R", d % 5))
-    header = T.chunk_header(F.col("lang"), F.lit("FORM"), F.lit("s"), F.when(d % 2 == 0, F.concat(F.lit("F"), d.cast("string"))), F.array_join(F.array(F.lit("A"), F.col("source")), " > "))
-    return table(spark, sf, "documents").select("doc_id", refs.alias("refs"), header.alias("header"))
-
-
-@query("""SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN lang ELSE CASE doc_id % 4 WHEN 1 THEN 'ab 1 - ' || lang WHEN 2 THEN 'AB 12 - Ab1 ' || lang ELSE 'AB1 ' || lang END END AS title, strftime(make_timestamp(CAST(doc_id * 86461000000 AS BIGINT)), '%Y-%m-%dT%H:%M:%S') AS at, upper(substr(lang, 1, 1)) || lower(substr(lang, 2)) || ' Of It' AS upload FROM documents""")
-def titles_and_times(spark, sf):
-    d, lang = F.col("doc_id"), F.col("lang")
-    code = F.when(d % 4 == 0, "").when(d % 4 == 1, "ab 1").when(d % 4 == 2, "AB 12").otherwise("ab 1")
-    title = F.when(d % 4 == 0, lang).when(d % 4 == 1, lang).when(d % 4 == 2, F.concat(F.lit("Ab1 "), lang)).otherwise(F.concat(F.lit("AB1 "), lang))
-    return table(spark, sf, "documents").select("doc_id", T.form_title(code, title).alias("title"), T.iso_time(d * 86461).alias("at"), T.upload_title(F.concat("lang", F.lit("_of_it.txt"))).alias("upload"))
-
-
-@query("""SELECT doc_id, '|:---|---:|' || chr(10) || '| ' || CASE WHEN doc_id % 60 + 1 > 50 THEN 'xxx' ELSE repeat('x', CAST(doc_id % 60 + 1 AS INT)) END || ' |' AS rows FROM documents""")
-def table_rows(spark, sf):
-    text = F.concat(F.lit("|:-------|----:|\n| "), F.repeat(F.lit("x"), (F.col("doc_id") % 60 + 1).cast("int")), F.lit(" |"))
-    return table(spark, sf, "documents").select("doc_id", T.markdown_rows(text).alias("rows"))
-
-
 @query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN lang WHEN 1 THEN source WHEN 2 THEN 'doc' ELSE '' END AS text, CASE WHEN doc_id % 4 = 1 THEN 'source,text' WHEN doc_id % 4 = 2 THEN 'document,source,text' ELSE 'source' END AS keys FROM documents""")
 def payloads(spark, sf):
     d = F.col("doc_id")
@@ -224,59 +151,13 @@ def extraction_metadata(spark, sf):
     return table(spark, sf, "documents").select("doc_id", base.alias("b")).select("doc_id", "b.sections", "b.hierarchy", "b.topic")
 
 
-@query("""WITH p AS (SELECT doc_id, (['Greeting', ' chitchat', 'nonsense', 'follow_up', NULL, 'action_on_previous', 'clarification'])[CAST(doc_id % 7 AS INT) + 1] AS i, (['broad', 'TOO_BROAD', 'x'])[CAST(doc_id % 3 AS INT) + 1] AS s, (['multi_part', 'Compliance', 'simple', NULL, 'content_generation'])[CAST(doc_id % 5 AS INT) + 1] AS t FROM documents)
-SELECT doc_id, CASE WHEN i = 'Greeting' THEN 'greeting' WHEN i = ' chitchat' THEN 'off_topic' WHEN doc_id % 2 = 0 AND i IN ('follow_up', 'clarification') THEN 'follow_up_same' WHEN doc_id % 2 = 0 AND i = 'action_on_previous' THEN i ELSE 'new_query' END AS intent,
-CASE s WHEN 'broad' THEN 'broad' WHEN 'TOO_BROAD' THEN 'too_broad' ELSE 'focused' END AS scope, coalesce(t IN ('multi_part', 'Compliance', 'content_generation') AND s <> 'TOO_BROAD', false) AS parts,
-CASE t WHEN 'multi_part' THEN 'synthesize' WHEN 'Compliance' THEN 'compliance' WHEN 'content_generation' THEN 'generative' ELSE 'direct' END AS merge,
-CASE WHEN doc_id % 4 = 0 THEN 'chunk' WHEN doc_id % 4 = 1 THEN 'section' WHEN doc_id % 4 = 2 THEN 'filtered_parallel' ELSE 'chunk' END AS strategy, doc_id % 6 IN (1, 5) AS regulatory,
-CASE WHEN doc_id % 100 >= 80 THEN 'direct' WHEN doc_id % 100 >= 60 THEN 'hedged' ELSE 'cautious' END AS tone FROM p""")
-def plan_values(spark, sf):
-    d = F.col("doc_id")
-    pick = lambda xs: F.element_at(F.array(*[F.lit(x).cast("string") for x in xs]), (d % len(xs) + 1).cast("int"))
-    scope = L.one_of(pick(["broad", "TOO_BROAD", "x"]), L.PLAN_SCOPES)
-    kind = L.one_of(pick(["multi_part", "Compliance", "simple", None, "content_generation"]), L.QUERY_TYPES)
-    strategy = L.one_of(pick(["chunk_level", "Section_Level", "filtered_parallel", "x"]), L.STRATEGIES, L.STRATEGY_ALIASES)
-    types = F.array(F.lit("FORM"), pick(["Form", "regulation", "POLICY", "Manual", "x", "vetting"]))
-    return table(spark, sf, "documents").select(
-        "doc_id", L.plan_intent(pick(["Greeting", " chitchat", "nonsense", "follow_up", None, "action_on_previous", "clarification"]), d % 2 == 0).alias("intent"), scope.alias("scope"),
-        L.needs_parts(kind, scope).alias("parts"), L.merge_strategy(kind).alias("merge"), strategy.alias("strategy"), L.is_regulatory(types).alias("regulatory"), L.answer_tone(d % 100).alias("tone"),
-    )
-
-
-ASKED = ["how are you", "yo", "what's going on", "tell me more details about that", "please elaborate on the second point", "my favourite colour is blue", "where is the chief engineer today", "can you explain the second answer again", "could you sing a song?", "it rained all day long and everyone stayed in", "the port state asked us"]
-
-
-@query(f"""SELECT item_id, CASE WHEN t IN ('how are you', 'yo', 'what''s going on') OR len(string_split(t, ' ')) <= 3 THEN 'greeting' WHEN contains(t, 'can you explain') OR contains(t, 'elaborate') OR contains(t, 'more details') THEN 'clarification'
- WHEN contains(t, 'chief engineer') OR contains(t, 'port state') OR contains(t, '?') OR len(string_split(t, ' ')) > 5 THEN 'new_query' ELSE 'chitchat' END AS intent
-FROM (SELECT item_id, ([{", ".join("'" + q.replace("'", "''") + "'" for q in ASKED)}])[CAST(item_id % {len(ASKED)} AS INT) + 1] AS t FROM benchmark)""")
-def question_intents(spark, sf):
-    t = F.element_at(F.array(*[F.lit(x) for x in ASKED]), (F.col("item_id") % len(ASKED) + 1).cast("int"))
-    return table(spark, sf, "benchmark").select("item_id", L.heuristic_intent(t).alias("intent"))
-
-
-@query("""SELECT doc_id, doc_id % 3 = 0 AS has_table, CASE WHEN doc_id % 2 = 0 THEN 'REGULATORY STANDARD' ELSE '' END AS tag FROM documents""")
-def answer_blocks(spark, sf):
-    d = F.col("doc_id")
-    text = F.when(d % 3 == 0, "x\n| a | b |\n|---|:--:|\n| 1 | 2 |").when(d % 3 == 1, "| a | b |\ntext").otherwise("a | b\n| c |\n| d |")
-    block = T.answer_block(F.lit(1), F.col("lang"), text, d % 2 == 0)
-    return table(spark, sf, "documents").select("doc_id", T.has_table(text).alias("has_table"), F.regexp_extract(block, r"\(([A-Z ]+)\)", 1).alias("tag"))
-
-
-@query(f"""WITH {_N}, r AS (SELECT node_id AS rank, 'FORMS: ' || doc_id || ', x' || CAST(node_id % 5 AS VARCHAR) || ' | REGS: ' || doc_type AS refs FROM nodes WHERE node_id < 10), p AS (SELECT DISTINCT trim(regexp_extract(trim(y), '([^:]*)$', 1)) AS ref FROM (SELECT unnest(string_split(x, ',')) AS y FROM (SELECT unnest(string_split(refs, '|')) AS x FROM r WHERE rank <= 3))) SELECT ref FROM p WHERE ref <> ''""")
+@query(f"""WITH {_N}, r AS (SELECT node_id % 40 AS query_id, row_number() OVER (PARTITION BY node_id % 40 ORDER BY node_id) AS rank, 'FORMS: ' || doc_id || ', x' || CAST(node_id % 5 AS VARCHAR) || '| REGS: ' || doc_type AS refs FROM nodes),
+p AS (SELECT query_id, rank, unnest(string_split(refs, '|')) AS x, generate_subscripts(string_split(refs, '|'), 1) AS i FROM r WHERE rank <= 3), y AS (SELECT query_id, rank, i, unnest(string_split(x, ',')) AS y, generate_subscripts(string_split(x, ','), 1) AS j FROM p),
+z AS (SELECT query_id, trim(regexp_extract(y, '([^:]*)$', 1)) AS ref, min(rank * 100 + i * 10 + j) AS met FROM y GROUP BY ALL) SELECT query_id, ref, CAST(row_number() OVER (PARTITION BY query_id ORDER BY met) AS INT) AS place FROM z WHERE ref <> '' QUALIFY place <= 7""")
 def referenced_documents(spark, sf):
-    n = nodes(spark, sf).filter("node_id < 10")
-    refs = F.concat(F.lit("FORMS: "), "doc_id", F.lit(", x"), (F.col("node_id") % 5).cast("string"), F.lit(" | REGS: "), "doc_type")
-    return R.references_of(n.select(F.col("node_id").alias("rank"), refs.alias("references")))
-
-
-@query("""SELECT doc_id, 'a' || lang AS text, CASE WHEN doc_id % 2 = 0 THEN 'library' ELSE 'own' END AS label, CASE WHEN doc_id % 3 = 0 THEN 'form,POLICY' END AS types FROM documents WHERE doc_id % 5 > 0""")
-def sub_queries(spark, sf):
-    d = F.col("doc_id")
-    types = F.when(d % 3 == 0, '["form", "poem", "POLICY"]').otherwise('["poem"]')
-    one = F.concat(F.lit('{"text": " a'), "lang", F.lit(' ", "label": "'), F.when(d % 2 == 0, "").otherwise("own"), F.lit('", "types": '), types, F.lit("}"))
-    raw = F.when(d % 5 == 0, "broken").otherwise(F.concat(F.lit("["), one, F.lit(', {"text": "  "}]')))
-    rows = table(spark, sf, "documents").select("doc_id", F.explode(L.valid_parts(raw, DOC_TYPES)).alias("p"))
-    return rows.select("doc_id", "p.text", "p.label", F.array_join("p.types", ",").alias("types"))
+    refs = F.concat(F.lit("FORMS: "), "doc_id", F.lit(", x"), (F.col("node_id") % 5).cast("string"), F.lit("| REGS: "), "doc_type")
+    nth = F.row_number().over(Window.partitionBy(F.col("node_id") % 40).orderBy("node_id"))
+    return R.references_of(nodes(spark, sf).select((F.col("node_id") % 40).alias("query_id"), nth.alias("rank"), refs.alias("references")), most=7)
 
 
 @query("""WITH p AS (SELECT conv_id, turn, CAST((turn * 37 + conv_id * 11) % 101 AS INT) AS pct FROM conversations), a AS (SELECT conv_id, CAST(sum(pct) // count(*) AS INT) AS confidence_pct, min(pct) AS lo, string_agg(CASE WHEN pct < 60 THEN CAST(turn AS VARCHAR) END, ',' ORDER BY turn) AS weak FROM p GROUP BY 1)
@@ -285,10 +166,3 @@ def answer_confidence(spark, sf):
     parts = table(spark, sf, "conversations").select("conv_id", "turn", ((F.col("turn") * 37 + F.col("conv_id") * 11) % 101).cast("int").alias("pct"))
     return R.overall_confidence(parts, "conv_id", "turn")
 
-
-@query("""SELECT conv_id, turn, CAST((row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // 2 + 1 AS INT) AS question FROM conversations""")
-def question_numbers(spark, sf):
-    from pyspark.sql import Window
-
-    nth = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
-    return table(spark, sf, "conversations").select("conv_id", "turn", (F.floor((nth - 1) / 2) + 1).cast("int").alias("question"))

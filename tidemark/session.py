@@ -1,9 +1,16 @@
 """Sessions, tables, and the engine's tables derived from the test tables."""
 
+import atexit
+import shutil
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Document types that the engine knows (fixed values).
+#: Document types that sub-queries may ask for (fixed values).
+QUERY_TYPES = ["REGULATION", "VETTING", "PROCEDURE", "POLICY", "FORM", "CHECKLIST", "MANUAL", "CIRCULAR"]
+#: Document types of the nodes made from the test tables.
 DOC_TYPES = ["FORM", "CHECKLIST", "PROCEDURE", "POLICY", "MANUAL", "REGULATION"]
 
 
@@ -18,6 +25,26 @@ def session(name: str = "tidemark") -> SparkSession:
     )
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share, under spark.checkpoint.dir. Where that is not set: in local mode a temporary
+    folder that goes with the driver; on a cluster it is an error, since no folder is known to be shared."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        made = tempfile.mkdtemp(prefix="tidemark-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+        where = f"file://{made}"
+    return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(rows: DataFrame, name: str) -> DataFrame:
+    """rows, computed once and read back from a table in a folder of their own."""
+    at = scratch(rows.sparkSession, name)
+    rows.write.parquet(at)
+    return rows.sparkSession.read.schema(rows.schema).parquet(at)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

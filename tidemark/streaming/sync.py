@@ -1,11 +1,16 @@
 """Streams: the library's incremental sync, and conversation state by session."""
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 from pyspark.sql.types import StructType
 
 from ..operators.dml import last_of_each
+from ..operators.library import sync_diff
+from ..session import stored
+from ..sources.logged import LoggedTable
 
 TURNS = "session_id long, id long, turn int, topic string"
 
@@ -14,25 +19,37 @@ def watch_files(spark: SparkSession, root: str, schema: StructType | str) -> Dat
     return spark.readStream.schema(schema).parquet(root)
 
 
-def sync(stream: DataFrame, target: str, checkpoint: str, key: str, order: str):
-    """A log of changes: micro-batch n writes its own rows only, of each key the last by `order`, to target/batch=n. A batch that
-    comes again after a failure writes the same place again; a new checkpoint goes on after the log's last batch."""
-    spark = stream.sparkSession
-    fs = spark._jvm.org.apache.hadoop.fs.Path(target).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    own = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
-    known = [int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(own(target)) if s.getPath().getName().startswith("batch=")] if fs.exists(own(target)) else []
-    first = 0 if fs.exists(own(f"{checkpoint}/offsets")) else max(known, default=-1) + 1
+def sync(stream: DataFrame, table: LoggedTable, checkpoint: str, order: str, deleted: str | None = None, compact_every: int = 10):
+    """Each micro-batch goes to the table's log: of each key the last row by `order`; rows whose `deleted` is true take theirs out.
+    A batch that comes again after a failure says the same again. The log is compacted after every so many batches."""
 
     def apply(batch: DataFrame, n: int) -> None:
-        last_of_each(batch, key, order).write.mode("overwrite").parquet(f"{target}/batch={first + n}")
+        last = last_of_each(batch, table.key, order)
+        out = F.lit(False) if deleted is None else F.coalesce(F.col(deleted), F.lit(False))
+        table.append(last.filter(~out), last.filter(out))
+        if n % compact_every == compact_every - 1:
+            table.compact()
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def current(spark: SparkSession, target: str, key: str, deleted: str | None = None) -> DataFrame:
-    """The table that the log stands for: of each key the row of its last batch, without those whose `deleted` is true."""
-    rows = last_of_each(spark.read.parquet(target), key, "batch")
-    return (rows if deleted is None else rows.filter(~F.coalesce(deleted, F.lit(False))).drop(deleted)).drop("batch")
+def sync_library(current: DataFrame, snapshot: LoggedTable, tables: dict[str, LoggedTable], make: Callable[[DataFrame], dict[str, DataFrame]]) -> dict[str, int]:
+    """Brings tables, all keyed by file name, up to the files current(name, size, mtime, ...): how many were added, modified and
+    deleted. `make` turns new and modified files into each table's rows; a file for which the first table gets none has
+    failed: what is there of it stays, and the next run takes it up again, since only files that are done enter the snapshot.
+    A run that is lost midway is repeated by the next: its batches say the same again."""
+    changes = stored(sync_diff(current, snapshot.read()), "changes")
+    wanted = changes.filter("change <> 'deleted'").select("name")
+    made = {t: stored(rows, t) for t, rows in make(current.join(wanted, "name", "left_semi")).items()}
+    done = made[next(iter(tables))].select("name").distinct()
+    deleted = changes.filter("change = 'deleted'").select("name")
+    for name, t in tables.items():
+        t.append(made[name], deleted.unionByName(done))
+    snapshot.append(current.join(done, "name", "left_semi"), deleted)
+    n = changes.join(done.withColumn("done", F.lit(True)), "name", "left")
+    ok = F.coalesce("done", F.lit(False))
+    row = n.agg(F.count_if((F.col("change") == "new") & ok).alias("added"), F.count_if((F.col("change") == "modified") & ok).alias("modified"), F.count_if(F.col("change") == "deleted").alias("deleted"), F.count_if((F.col("change") != "deleted") & ~ok).alias("failed"))
+    return row.first().asDict()
 
 
 class TurnCounter(StatefulProcessor):
