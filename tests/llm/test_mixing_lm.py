@@ -1,9 +1,11 @@
 import math
+import random
 import zlib
 from collections import Counter
 
 import pytest
 
+from tidemark.llm import mixing_lm
 from tidemark.llm.mixing_lm import lm_scores
 
 
@@ -62,3 +64,13 @@ def test_beats_base_on_held_out_texts(spark):
 
 def test_empty_table(spark):
     assert lm_scores(spark.createDataFrame([], "doc_id long, text string, row int, h int")).collect() == []
+
+
+def test_scores_do_not_depend_on_partitions(spark):
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join(rng.choice(words[: 20 + i % 180]) for _ in range(rng.randint(1, 150)))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    one, two = ({r.doc_id: (r.score, r.base_score) for r in mixing_lm.lm_scores(docs.repartition(n)).collect()} for n in (2, 7))
+    assert one.keys() == two.keys()
+    assert all(abs(a - b) <= 1e-9 * abs(a) for i in one for a, b in zip(one[i], two[i], strict=True))

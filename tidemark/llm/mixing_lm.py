@@ -190,14 +190,16 @@ class Online:
         """Adds the rows of all tasks, by a tree, so that no group holds more than FOLD of them."""
 
         def add(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("order")  # sums of fractions depend on it
             n = np.minimum(np.sum([np.frombuffer(x, np.uint32) for x in pdf["n"]], axis=0, dtype=np.uint64), 2**32 - 1).astype(np.uint32)
             own = np.sum([np.frombuffer(x, np.float64) for x in pdf["own"]], axis=0)
-            return pd.DataFrame({"task": pdf["task"].iloc[:1], "part": pdf["part"].iloc[:1], "n": [n.tobytes()], "own": [own.tobytes() if pdf["part"].iloc[0] == 0 else b""]})
+            return pd.DataFrame({"task": pdf["to"].iloc[:1].astype(np.int32), "part": pdf["part"].iloc[:1], "n": [n.tobytes()], "own": [own.tobytes() if pdf["part"].iloc[0] == 0 else b""]})
 
         schema = "task int, part int, n binary, own binary"
         while True:
             tasks = -(-tasks // FOLD)
-            found = found.groupBy("part", F.pmod("task", F.lit(tasks)).cast("int").alias("task")).applyInPandas(add, schema)
+            to = found.select("part", F.pmod("task", F.lit(tasks)).cast("int").alias("to"), F.col("task").alias("order"), "n", "own")
+            found = to.groupBy("part", "to").applyInPandas(add, schema)
             if tasks == 1:
                 break
             found = written(found, "folded")
@@ -220,6 +222,11 @@ def log10_of(bits: np.ndarray, p: np.ndarray) -> np.ndarray:
     return np.log10(np.maximum(np.abs((bits ^ 1) - p), np.float32(1e-6)))
 
 
+def dealt(rows: DataFrame, parts: int, by: str) -> DataFrame:
+    """rows in so many partitions and in an order that do not depend on how they were read, so that what is learned along them does not."""
+    return rows.repartition(parts, by).sortWithinPartitions(by)
+
+
 def learned_spelling(counts: DataFrame, parts: int) -> Online:
     """Predictors of the bits of words' bytes, from all distinct words."""
 
@@ -233,7 +240,7 @@ def learned_spelling(counts: DataFrame, parts: int) -> Online:
                     own.learn(slots, bits)
         yield pd.DataFrame(own.rows(TaskContext.get().partitionId()))
 
-    return Online(5, BYTE_SLOTS).total(counts.select("words").coalesce(parts).mapInPandas(find, "task int, part int, n binary, own binary"), parts)
+    return Online(5, BYTE_SLOTS).total(dealt(counts.select("bucket", "words"), parts, "bucket").mapInPandas(find, "task int, part int, n binary, own binary"), parts)
 
 
 def spelled(model: Online, words: list[bytes]) -> np.ndarray:
@@ -340,7 +347,7 @@ class Model:
                     own.learn(slots, bit, self.tree.logit.take(node))
             yield pd.DataFrame(own.rows(TaskContext.get().partitionId()))
 
-        found = train.select("text").coalesce(parts).mapInPandas(learn, "task int, part int, n binary, own binary")
+        found = dealt(train.select(row_key().alias("row"), "text"), parts, "row").mapInPandas(learn, "task int, part int, n binary, own binary")
         self.mix = Online(2, SLOTS, fixed=1).total(found, parts)
 
     def slots(self, w: Words, at: np.ndarray | None = None, blocks: bool = False):
