@@ -128,3 +128,37 @@ def numbered_chunks(uploads: DataFrame) -> DataFrame:
     rest = [c for c in uploads.columns if c != "chunks"]
     rows = uploads.select(*rest, F.posexplode("chunks").alias("nth", "chunk"))
     return rows.withColumn("chunk_id", F.concat_ws(":", "digest", F.col("nth").cast("string")))
+
+
+def with_snapshot(messages: DataFrame, kept: int = 40) -> DataFrame:
+    """messages(role, topic, scope, turn, chunks) with what an answer of the assistant saves for going on later: topic, scope, turn and
+    the first chunk ids; null for other messages."""
+    state = F.struct("topic", "scope", F.col("turn").alias("turn_count"), F.slice("chunks", 1, kept).alias("cached_chunk_ids"))
+    return messages.withColumn("context", F.when(F.col("role") == "assistant", state))
+
+
+def switched(messages: DataFrame, nodes: DataFrame) -> DataFrame:
+    """session_id, topic, scope, turn_count, node_ids, found, missing: what sessions go on with, from the last saved context of each; its
+    chunks as far as nodes still has them."""
+    last = latest_context(messages).select("session_id", "context.*")
+    rows = last.select("session_id", F.explode("cached_chunk_ids").alias("node_id"))
+    held = rows.join(nodes.select("node_id", F.lit(True).alias("there")), "node_id", "left")
+    per = held.groupBy("session_id").agg(F.array_sort(F.collect_list(F.when(F.col("there"), F.col("node_id")))).alias("node_ids"), F.count_if("there").alias("found"), F.count_if(F.col("there").isNull()).alias("missing"))
+    none = F.array().cast(per.schema["node_ids"].dataType)
+    out = last.drop("cached_chunk_ids").join(per, "session_id", "left")
+    return out.withColumns({"node_ids": F.coalesce("node_ids", none), "found": F.coalesce("found", F.lit(0)), "missing": F.coalesce("missing", F.lit(0))})
+
+
+def saved_extractions(sections: DataFrame) -> DataFrame:
+    """hash, line: the sections(hash, file_name, nth, name, content) of each uploaded file as one line of JSON with their number."""
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("nth", "name", "content"))), lambda x: F.struct(x["name"].alias("name"), x["content"].alias("content")))  # of one file
+    per = sections.groupBy("hash").agg(F.min("file_name").alias("file_name"), parts.alias("sections"))
+    return per.select("hash", F.to_json(F.struct("hash", "file_name", F.size("sections").alias("doc_count"), "sections")).alias("line"))
+
+
+def restored_uploads(lines: DataFrame, uploads: DataFrame) -> DataFrame:
+    """session_id, file_id, nth, name, content of the sections that saved lines(hash, line) hold of uploads(session_id, file_id, hash); one row
+    without a section for an upload that has no line, or a broken one: it has failed."""
+    kind = "struct<sections:array<struct<name:string,content:string>>>"
+    both = uploads.join(lines.select("hash", F.from_json("line", kind).alias("r")), "hash", "left")
+    return both.select("session_id", "file_id", F.posexplode_outer("r.sections").alias("nth", "s")).select("session_id", "file_id", "nth", "s.name", "s.content")

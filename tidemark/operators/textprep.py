@@ -2,11 +2,14 @@
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import ngrams, normalise_for_validation, split_words
+from ..functions.text import normalise_for_validation
 
+#: What an extraction is measured by.
+MEASURES = ["coverage", "hallucination", "word_coverage", "length_ratio"]
 
 #: White space but line ends, as Unicode has it.
 BLANK = r"(?U)[^\S\n]"
@@ -38,19 +41,29 @@ def clean_text(docs: DataFrame) -> DataFrame:
     return docs.select("id", F.regexp_replace(text, r"(?U)^\s+|\s+$", "").alias("text"))
 
 
+def grams(words: list[str], n: int) -> set[tuple]:
+    """Distinct n-grams; fewer words are one, none give none."""
+    return set(zip(*(words[i:] for i in range(n)), strict=False)) if len(words) >= n else {tuple(words)} if words else set()
+
+
 def validate_extraction(pairs: DataFrame, n: int = 3) -> DataFrame:
-    """id, coverage, hallucination, word_coverage, length_ratio, passed for pairs(id, raw, extracted), by distinct n-grams."""
-    raw, got = (split_words(normalise_for_validation(F.col(c))) for c in ("raw", "extracted"))
-    x = pairs.select("id", raw.alias("rw"), got.alias("gw")).select("id", "rw", "gw", ngrams(F.col("rw"), n).alias("r"), ngrams(F.col("gw"), n).alias("g"))
-    share = lambda a, b: F.when(F.size(b) > 0, F.size(a) / F.size(b)).otherwise(0.0)
-    words_r, words_g = F.array_distinct("rw"), F.array_distinct("gw")
-    out = x.select(
-        "id",
-        F.round(share(F.array_intersect("r", "g"), F.col("r")), 6).alias("coverage"),
-        F.round(share(F.array_except("g", "r"), F.col("g")), 6).alias("hallucination"),
-        F.round(share(F.array_intersect(words_r, words_g), words_r), 6).alias("word_coverage"),
-        F.round(share(F.col("gw"), F.col("rw")), 6).alias("length_ratio"),
-    )
+    """id, coverage, hallucination, word_coverage, length_ratio, passed for pairs(id, raw, extracted), by distinct n-grams: texts are
+    normalised where they are read, their sets compared in Arrow batches."""
+
+    def measure(batches):
+        share = lambda a, b: a / b if b else 0.0
+        for b in batches:
+            out = []
+            for raw, got in zip(b.column("raw").to_pylist(), b.column("extracted").to_pylist(), strict=True):
+                rw, gw = raw.split(), got.split()
+                r, g, words = grams(rw, n), grams(gw, n), set(rw)
+                both = len(r & g)
+                out.append((share(both, len(r)), share(len(g) - both, len(g)), share(len(words & set(gw)), len(words)), share(len(gw), len(rw))))
+            yield pa.RecordBatch.from_arrays([b.column("id"), *(pa.array(x, pa.float64()) for x in (zip(*out, strict=True) if out else [[]] * 4))], names=["id", *MEASURES])
+
+    kind = pairs.schema["id"].dataType.simpleString()
+    texts = pairs.select("id", *[normalise_for_validation(F.col(c)).alias(c) for c in ("raw", "extracted")])
+    out = texts.mapInArrow(measure, f"id {kind}, " + ", ".join(f"{m} double" for m in MEASURES)).select("id", *[F.round(m, 6).alias(m) for m in MEASURES])
     return out.withColumn("passed", (F.col("coverage") >= 0.85) & (F.col("hallucination") <= 0.20))
 
 

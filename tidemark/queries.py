@@ -10,6 +10,7 @@ from .operators import library as B
 from .operators import retrieval as R
 from .operators import sections as S
 from .operators import textprep as P
+from .indexes import QUESTION, TERMS_SQL, index_of
 from .operators.keyword_index import KeywordIndex
 from .plans import answer as A
 from .session import SQL as MAP
@@ -19,7 +20,6 @@ from .streaming.sync import event_windows
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-QUESTION = "The (and) of?"
 QUERY_VEC = 7
 #: A tenant's keyword and vector lists, and their fusion.
 LISTS = f"""{MAP['nodes']},
@@ -47,19 +47,6 @@ def _vector(spark, sf):
     return table(spark, sf, "embeddings").filter(F.col("vec_id") == QUERY_VEC).first()["embedding"]
 
 
-_INDEXES: dict = {}
-
-
-def index_of(spark, sf):
-    """The stored keyword index of a folder's nodes, built once in an application, as an ingestion does."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _INDEXES:
-        index = KeywordIndex(spark, scratch(spark, "keyword"))
-        index.rebuild(nodes(spark, sf))
-        _INDEXES[key] = index
-    return _INDEXES[key]
-
-
 def _fused(spark, sf):
     return A.retrieve(nodes(spark, sf), vectors(spark, sf), QUESTION, _vector(spark, sf), index_of(spark, sf), "t1")
 
@@ -111,10 +98,6 @@ def keyword_by_type_and_title(spark, sf):
     return index_of(spark, sf).top(QUESTION, 10, types=["Form", "POLICY"], title="th", titles=nodes(spark, sf))
 
 
-#: Terms of a text of a question in SQL: what is kept of each word, cut into tokens.
-TERMS_SQL = """list_distinct(regexp_extract_all(lower(array_to_string(list_transform(regexp_split_to_array({}, '\\s+'), lambda w: regexp_replace(w, '[^\\p{{L}}\\p{{N}}.\\-]', '', 'g')), ' ')), '[\\p{{L}}\\p{{N}}]+'))"""
-
-
 @query(f"""WITH {MAP['nodes']}, q AS (SELECT item_id AS query_id, unnest({TERMS_SQL.format('text')}) AS term FROM benchmark),
 p AS (SELECT node_id, term, count(*) AS tf FROM (SELECT node_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS term FROM nodes) GROUP BY ALL),
 s AS (SELECT query_id, node_id, round(sum(tf) * 0.1, 6) AS score FROM p JOIN q USING (term) GROUP BY ALL)
@@ -330,8 +313,8 @@ def sentence_chunks(spark, sf):
     return P.chunk(table(spark, sf, "documents"), 200, 40)
 
 
-from . import queries_data, queries_more, queries_text  # noqa: E402  (they add to the queries above)
+from . import queries_data, queries_flows, queries_more, queries_text  # noqa: E402  (they add to the queries above)
 
-for _part in (queries_data, queries_more, queries_text):
+for _part in (queries_data, queries_more, queries_text, queries_flows):
     QUERIES |= _part.QUERIES
     ORACLE_SQL |= _part.ORACLE_SQL

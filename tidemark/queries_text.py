@@ -7,7 +7,7 @@ from .functions import language as L
 from .functions import text as T
 from .operators import retrieval as R
 from .operators import sections as S
-from .queries import QUESTION, TERMS_SQL, index_of
+from .indexes import QUESTION, TERMS_SQL, index_of
 from .session import QUERY_TYPES, nodes, table, vectors
 from .session import SQL as MAP
 
@@ -103,7 +103,7 @@ def _seven(spark, sf):
     return table(spark, sf, "embeddings").filter("vec_id = 7").first()["embedding"]
 
 
-@query("""WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id < 50), r AS (SELECT query_id, vec_id AS node_id, vec_id AS was, round(0.7 * round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(e AS DOUBLE[])), 6) + 0.3 * ((vec_id % 10) / 10), 6) AS score FROM embeddings JOIN q ON query_id = vec_id % 50)
+@query("""WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id < 50), r AS (SELECT query_id, vec_id AS node_id, vec_id AS was, round(0.7 * round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(e AS DOUBLE[])), 6) + 0.3 * ((vec_id % 10) / 10), 7) AS score FROM embeddings JOIN q ON query_id = vec_id % 50)
 SELECT query_id, node_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, was) AS INT) AS rank FROM r""")
 def cached_rescoring(spark, sf):
     """Fifty cached lists, each against a vector of its own."""
