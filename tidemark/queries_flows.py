@@ -4,9 +4,11 @@ in SQL."""
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from .operators import administration as M
 from .operators import batches, trees
 from .operators import conversations as C
 from .operators import retrieval as R
+from .operators import sections as S
 from .plans.refine import refined
 from .indexes import TERMS_SQL, index_of
 from .queries_more import pick
@@ -255,3 +257,85 @@ def upload_restoration(spark, sf):
     lines = lines.select("hash", F.when(d % 8 == 0, "{broken").otherwise(F.col("line")).alias("line"))
     uploads = docs.select(F.concat(F.lit("s"), (d % 20).cast("string")).alias("session_id"), d.alias("file_id"), "hash")
     return C.restored_uploads(lines, uploads)
+
+
+@query(f"""WITH {_N}, q AS (SELECT item_id AS query_id, unnest({TERMS_SQL.format('text')}) AS term FROM benchmark), post AS (SELECT node_id, term, count(*) AS tf FROM (SELECT node_id, unnest({_TOK.format('text')}) AS term FROM nodes) GROUP BY ALL),
+s AS (SELECT query_id, node_id, row_number() OVER (PARTITION BY query_id ORDER BY round(sum(tf) * 0.1, 6) DESC, node_id) AS rank FROM post JOIN q USING (term) GROUP BY query_id, node_id QUALIFY rank <= 4),
+own AS (SELECT query_id, rank, n.node_id, n.doc_id, CASE WHEN n.node_id % 4 = 3 THEN '' ELSE n.section_id END AS section_id FROM s JOIN nodes n USING (node_id)), n2 AS (SELECT node_id, doc_id, CASE WHEN node_id % 4 = 3 THEN '' ELSE section_id END AS section_id, text FROM nodes),
+w AS (SELECT doc_id, section_id, sum(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''))) AS own FROM n2 WHERE doc_id <> 'src2' GROUP BY ALL), tot AS (SELECT a.doc_id, a.section_id, sum(b.own) AS total FROM w a JOIN w b ON a.doc_id = b.doc_id AND (b.section_id = a.section_id OR starts_with(b.section_id, a.section_id || '.')) GROUP BY ALL),
+refs AS (SELECT query_id, doc_id, section_id, min(rank) AS first FROM own WHERE section_id <> '' GROUP BY ALL), k AS (SELECT query_id, doc_id, section_id, first, sum(total) OVER (PARTITION BY query_id ORDER BY first) AS upto FROM refs JOIN tot USING (doc_id, section_id)),
+kept AS (SELECT * FROM k WHERE upto <= 12000), found AS (SELECT query_id, n.node_id, n.section_id, min(first) AS first FROM n2 n JOIN kept k ON n.doc_id = k.doc_id AND (n.section_id = k.section_id OR starts_with(n.section_id, k.section_id || '.')) GROUP BY ALL)
+SELECT query_id, node_id, section_id, CAST(first AS INT) AS first, true AS whole FROM found UNION ALL SELECT query_id, node_id, section_id, CAST(rank AS INT), false FROM own WHERE query_id NOT IN (SELECT query_id FROM found)""")
+def hierarchical_many_queries(spark, sf):
+    n = nodes(spark, sf).withColumn("section_id", F.when(F.col("node_id") % 4 == 3, "").otherwise(F.col("section_id")))
+    asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    sections = S.rolled_up(n.filter("doc_id <> 'src2'").select("doc_id", "section_id", "text")).select("doc_id", "section_id", "total")
+    return R.hierarchical_each(index_of(spark, sf).top_each(asked, 4), n, sections, budget=12_000)
+
+
+@query(f"WITH {MAP['messages']} SELECT count(DISTINCT session_id) AS sessions FROM messages WHERE tenant_id = 't1'")
+def session_count(spark, sf):
+    return M.session_counts(messages(spark, sf).select("session_id", "tenant_id").distinct(), "t1")
+
+
+@query("""WITH u AS (SELECT c_custkey AS nth, CASE WHEN c_nationkey % 5 > 0 THEN 'n' || CAST(c_nationkey AS VARCHAR) ELSE '' END AS t, CASE WHEN c_custkey % 3 > 0 THEN c_name END AS name FROM customer), x AS (SELECT t AS tenant_id, coalesce(arg_min(coalesce(name, t), nth), t) AS display_name FROM u WHERE t <> '' GROUP BY t)
+SELECT 0 AS nth, 'shared' AS tenant_id, 'Shared (All Tenants)' AS display_name UNION ALL SELECT CAST(row_number() OVER (ORDER BY tenant_id) AS INT), tenant_id, display_name FROM x""")
+def tenants(spark, sf):
+    c, k = table(spark, sf, "customer"), F.col("c_custkey")
+    own = F.when(F.col("c_nationkey") % 5 > 0, F.concat(F.lit("n"), F.col("c_nationkey").cast("string"))).otherwise("")
+    return M.tenant_list(c.select(k.alias("nth"), own.alias("tenant_id"), F.when(k % 3 > 0, F.col("c_name")).alias("name")))
+
+
+_CODES = "c AS (SELECT CASE WHEN s_nationkey = 7 THEN 'shared' ELSE 'n' || CAST(s_nationkey AS VARCHAR) END AS tenant_id, 'C' || CAST(s_suppkey AS VARCHAR) AS code, CASE WHEN s_nationkey % 4 = 1 AND s_suppkey % 2 = 0 THEN NULL ELSE s_name END AS description FROM supplier WHERE s_nationkey % 3 > 0)"
+
+
+def _categories(spark, sf):
+    s = table(spark, sf, "supplier").filter("s_nationkey % 3 > 0")
+    n, k = F.col("s_nationkey"), F.col("s_suppkey")
+    return s.select(F.when(n == 7, "shared").otherwise(F.concat(F.lit("n"), n.cast("string"))).alias("tenant_id"), F.concat(F.lit("C"), k.cast("string")).alias("code"), F.when(~((n % 4 == 1) & (k % 2 == 0)), F.col("s_name")).alias("description"))
+
+
+@query(f"""WITH {_CODES}, t AS (SELECT 'n' || CAST(n_nationkey AS VARCHAR) AS tenant_id FROM nation), v AS (SELECT tenant_id, bool_and(description IS NOT NULL) AS ok FROM c GROUP BY 1),
+s AS (SELECT t.tenant_id, CASE WHEN coalesce(ok, false) THEN t.tenant_id ELSE 'shared' END AS source FROM t LEFT JOIN v USING (tenant_id)) SELECT s.tenant_id, CASE WHEN source = 'shared' THEN 'shared' ELSE 'tenant' END AS level, code, description FROM s JOIN c ON c.tenant_id = source
+UNION ALL SELECT tenant_id, 'default', code, description FROM s, (VALUES ('A', 'first'), ('B', 'second')) d(code, description) WHERE source = 'shared' AND NOT EXISTS (SELECT 1 FROM c WHERE tenant_id = 'shared')""")
+def form_categories(spark, sf):
+    names = table(spark, sf, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("tenant_id"))
+    return M.category_maps(names, _categories(spark, sf), {"A": "first", "B": "second"})
+
+
+@query(f"WITH {_CODES} SELECT * FROM c WHERE tenant_id <> 'n5' UNION ALL SELECT 'n5', 'X' || CAST(n_nationkey AS VARCHAR), n_name FROM nation")
+def categories_saved(spark, sf):
+    n = table(spark, sf, "nation")
+    return M.replaced_categories(_categories(spark, sf), "n5", n.select(F.concat(F.lit("X"), F.col("n_nationkey").cast("string")).alias("code"), F.col("n_name").alias("description")))
+
+
+@query("""WITH m AS (SELECT conv_id AS session_id, count(*) AS n FROM conversations GROUP BY 1) SELECT session_id, CASE WHEN session_id % 3 = 0 THEN 't0' ELSE 't5' END AS tenant_id, CASE WHEN session_id % 3 = 0 THEN 'old' WHEN session_id % 2 = 0 THEN 'Imported Session' ELSE 'named' END AS title, CAST(CASE WHEN session_id % 3 = 0 OR session_id % 5 = 0 THEN 7 ELSE n END AS BIGINT) AS message_count, CAST(CASE WHEN session_id % 4 = 0 OR session_id % 3 = 0 THEN 100 ELSE 200 END AS BIGINT) AS last_active, CAST(CASE WHEN session_id % 3 = 0 THEN 0 ELSE n END AS BIGINT) AS messages FROM m""")
+def sessions_imported(spark, sf):
+    m, s = messages(spark, sf), F.col("session_id")
+    old = m.select("session_id").distinct().filter("session_id % 3 = 0").select("session_id", F.lit("t0").alias("tenant_id"), F.lit("old").alias("title"), F.lit(50).cast("long").alias("created_at"), F.lit(100).cast("long").alias("last_active"), F.lit(7).cast("long").alias("message_count"))
+    new = m.select("session_id").distinct().select("session_id", F.when(s % 2 == 1, "named").alias("title"), F.lit(100).cast("long").alias("created_at"), F.when(s % 4 != 0, 200).cast("long").alias("last_active"), F.when(s % 5 == 0, 7).cast("long").alias("message_count"))
+    said = m.select("session_id", "id", F.when(F.col("id") % 2 == 0, F.col("role")).alias("role"), "content", F.lit(None).cast("long").alias("timestamp"))
+    sessions, all_ = M.imported_sessions(old, said.limit(0), new, said, "t5")
+    return sessions.join(all_.groupBy("session_id").agg(F.count("*").alias("messages")), "session_id", "left").select("session_id", "tenant_id", "title", "message_count", "last_active", F.coalesce("messages", F.lit(0)).alias("messages"))
+
+
+@query("""SELECT doc_id AS id, CASE WHEN doc_id % 2 = 0 THEN CAST(doc_id % 100 AS INT) ELSE 0 END AS confidence_pct, CASE WHEN doc_id % 3 = 0 THEN 'hybrid' ELSE 'unknown' END AS retriever_type, 1 AS attempts, false AS was_refined, 'shared' AS tenant_id FROM documents WHERE doc_id % 7 > 0""")
+def feedback_imported(spark, sf):
+    d = F.col("doc_id")
+    own = F.concat(F.lit('{"query": "'), d.cast("string"), F.lit('"'), F.when(d % 2 == 0, F.concat(F.lit(', "confidence_pct": '), (d % 100).cast("string"))).otherwise(""), F.when(d % 3 == 0, ', "retriever_type": "hybrid"').otherwise(""), F.when(d % 7 > 0, "}").otherwise(""))
+    rows = M.imported_feedback(table(spark, sf, "documents").select(own.alias("value")))
+    return rows.select(F.col("query").cast("long").alias("id"), "confidence_pct", "retriever_type", "attempts", "was_refined", "tenant_id")
+
+
+@query("SELECT (SELECT count(*) > 0 FROM documents) AS nodes, (SELECT count(*) > 0 FROM embeddings) AS vectors, (SELECT count(*) > 0 FROM documents) AND (SELECT count(*) > 0 FROM embeddings) AS connected")
+def store_connection(spark, sf):
+    return M.connection(nodes(spark, sf), vectors(spark, sf))
+
+
+@query("""SELECT o_orderkey AS job_id, o_orderstatus AS status, CAST(o_orderkey % 9 AS BIGINT) AS current, CASE WHEN o_orderkey % 4 > 0 THEN CAST(o_custkey AS BIGINT) END AS total_files, CASE WHEN o_orderkey % 4 > 0 THEN CASE WHEN o_orderkey % 4 = 1 THEN CAST(o_custkey // 2 AS BIGINT) ELSE 0 END END AS successful, CASE WHEN o_orderkey % 4 > 0 THEN CAST(0 AS BIGINT) END AS failed FROM orders""")
+def job_summaries(spark, sf):
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    total = F.create_map(F.lit("total_files"), c.cast("double"))
+    report = F.when(k % 4 == 1, F.map_concat(total, F.create_map(F.lit("successful"), F.floor(c / 2).cast("double")))).when(k % 4 > 1, total)
+    jobs = table(spark, sf, "orders").select(k.alias("job_id"), F.lit("t1").alias("tenant_id"), F.col("o_orderstatus").alias("status"), F.lit("sync").alias("mode"), F.lit("x").alias("phase"), (k % 9).cast("long").alias("current"), F.lit(9).alias("total"), F.lit(None).cast("string").alias("error"), report.alias("report"))
+    return M.job_reports(jobs).select("job_id", "status", "progress.current", "report_summary.total_files", "report_summary.successful", "report_summary.failed")
