@@ -48,10 +48,6 @@ def intent(text) -> Column:
     return F.when(x.isin(*GREETINGS) | ((words <= 2) & ~F.contains(x, F.lit("?"))), "greeting").when(x.isin(*GOODBYES), "goodbye").otherwise("new_query")
 
 
-def confidence_level(pct) -> Column:
-    return F.when(pct >= 75, "HIGH").when(pct >= 55, "MEDIUM").otherwise("LOW")
-
-
 def answer_tone(pct) -> Column:
     return F.when(pct >= 80, "direct").when(pct >= 60, "hedged").otherwise("cautious")
 

@@ -27,13 +27,6 @@ def normalise_for_validation(text) -> Column:
     return F.lower(F.trim(F.regexp_replace(x, " +", " ")))
 
 
-def ngrams(words: Column, n: int) -> Column:
-    """Distinct n-grams of an array of words; fewer words give one of all, none give none."""
-    whole = F.when(F.size(words) > 0, F.array(F.array_join(words, " "))).otherwise(F.array().cast("array<string>"))
-    many = F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))
-    return F.array_distinct(F.when(F.size(words) < n, whole).otherwise(many))
-
-
 def query_terms(query) -> Column:
     """Terms of a query: words keep letters, digits, hyphens and dots, then are cut into tokens."""
     kept = F.filter(F.transform(split_words(query), lambda w: F.regexp_replace(w, r"[^\p{L}\p{N}.\-]", "")), lambda w: w != "")

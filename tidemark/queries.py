@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from .functions import language as L
 from .functions import text as T
 from .operators import conversations as C
 from .operators import dml as D

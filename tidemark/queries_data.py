@@ -3,7 +3,6 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .functions import text as T
 from .operators import conversations as C
 from .operators import dml as D
 from .operators import library as B
@@ -11,7 +10,7 @@ from .operators import retrieval as R
 from .operators.keyword_index import KeywordIndex
 from .plans import answer as A
 from .session import SQL as MAP
-from .session import feedback, files, messages, nodes, scratch, table
+from .session import files, messages, nodes, scratch, table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}

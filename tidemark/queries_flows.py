@@ -1,7 +1,6 @@
 """Registered queries: stored tables as they change, searches in several steps, trees, pages and states, each with the same computation
 in SQL."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .operators import administration as M
@@ -9,6 +8,7 @@ from .operators import batches, trees
 from .operators import conversations as C
 from .operators import retrieval as R
 from .operators import sections as S
+from .plans import answer as A
 from .plans.refine import refined
 from .indexes import TERMS_SQL, index_of
 from .queries_more import pick
@@ -339,3 +339,24 @@ def job_summaries(spark, sf):
     report = F.when(k % 4 == 1, F.map_concat(total, F.create_map(F.lit("successful"), F.floor(c / 2).cast("double")))).when(k % 4 > 1, total)
     jobs = table(spark, sf, "orders").select(k.alias("job_id"), F.lit("t1").alias("tenant_id"), F.col("o_orderstatus").alias("status"), F.lit("sync").alias("mode"), F.lit("x").alias("phase"), (k % 9).cast("long").alias("current"), F.lit(9).alias("total"), F.lit(None).cast("string").alias("error"), report.alias("report"))
     return M.job_reports(jobs).select("job_id", "status", "progress.current", "report_summary.total_files", "report_summary.successful", "report_summary.failed")
+
+
+@query(f"""WITH {_SUB}, n AS (SELECT query_id, rank, CASE WHEN max(score) OVER o > min(score) OVER o THEN (score - min(score) OVER o) / (max(score) OVER o - min(score) OVER o) ELSE 1.0 END AS s FROM fused WINDOW o AS (PARTITION BY query_id)),
+c AS (SELECT query_id, CAST(floor(round(100 * (0.30 * avg(s) FILTER (rank <= 1) + 0.25 * avg(s) FILTER (rank <= 3) + 0.20 * avg(s) FILTER (rank <= 2) + 0.15 * (count(*) FILTER (rank <= 10 AND s > 0.7)) / least(count(*), 10) + 0.10 * least(count(*) / 10.0, 1.0)), 6)) AS INT) AS pct FROM n GROUP BY 1),
+x AS (SELECT query_id, substr(string_agg(text, chr(10) || chr(10) ORDER BY rank), 1, 200) AS answer FROM fused JOIN nodes USING (node_id) WHERE rank <= 15 GROUP BY 1), p AS (SELECT q.query_id // 3 AS question, q.query_id % 3 AS nth, coalesce(pct, 0) AS pct, coalesce(answer, '') AS answer FROM q LEFT JOIN c USING (query_id) LEFT JOIN x USING (query_id)),
+d AS (SELECT query_id // 3 AS question, doc_id, min(query_id % 3 * 1000 + rank) AS met FROM fused JOIN nodes USING (node_id) WHERE rank <= 10 GROUP BY ALL), s AS (SELECT question, string_agg(doc_id, '|' ORDER BY met) AS sources FROM d GROUP BY 1),
+a AS (SELECT question, CAST(sum(pct) // count(*) AS INT) AS pct, min(pct) AS lo, string_agg(CASE WHEN pct < 60 THEN CAST(nth AS VARCHAR) END, ',' ORDER BY nth) AS weak, string_agg('--- part ' || CAST(nth AS VARCHAR) || CASE WHEN nth = 1 THEN ' (REGULATORY STANDARD)' ELSE '' END || ' ---' || chr(10) || answer, chr(10) || chr(10) ORDER BY nth) AS answers FROM p GROUP BY 1)
+SELECT a.question AS query_id, answers, pct AS confidence_pct, CASE WHEN pct >= 80 AND lo >= 60 THEN 'HIGH' WHEN pct >= 60 THEN 'MEDIUM' ELSE 'LOW' END AS level, CASE WHEN NOT (pct >= 80 AND lo >= 60) AND pct >= 60 THEN coalesce(weak, '') ELSE '' END AS weak, coalesce(sources, '') AS sources FROM a LEFT JOIN s USING (question)""")
+def orchestrated_questions(spark, sf):
+    """Three benchmark items make the parts of a question, each with its own filters."""
+    i = F.col("query_id")
+    parts = _sub(spark, sf).withColumns({"label": F.concat(F.lit("part "), (i % 3).cast("string")), "nth": (i % 3).cast("int"), "is_standard": i % 3 == 1}).withColumn("query_id", F.floor(i / 3))
+    whole = A.orchestrated(parts, nodes(spark, sf), vectors(spark, sf), index_of(spark, sf).table.read())[1]
+    return whole.select("query_id", "answers", "confidence_pct", "level", "weak", F.array_join("sources", "|").alias("sources"))
+
+
+@query("""SELECT conv_id AS query_id, turn AS id, nth, part FROM (SELECT conv_id, turn, unnest(p) AS part, CAST(generate_subscripts(p, 1) - 1 AS INT) AS nth FROM (SELECT conv_id, turn, CASE WHEN len(x) > 0 THEN x[1:4] ELSE [text] END AS p FROM (SELECT conv_id, turn, text, list_filter(list_transform(string_split(text, '?'), lambda x: trim(x)), lambda x: x <> '') AS x FROM conversations)))""")
+def question_parts(spark, sf):
+    c = table(spark, sf, "conversations")
+    parts = A.by_rules(c.select(F.struct("conv_id", "turn").alias("query_id"), "text"))
+    return parts.select(F.col("query_id.conv_id").alias("query_id"), F.col("query_id.turn").alias("id"), "nth", F.col("text").alias("part"))

@@ -1,6 +1,5 @@
 """Registered queries: reports, uploads, plans, texts and section boundaries, each with the same computation in SQL."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .functions import language as L

@@ -3,12 +3,11 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .functions import language as L
 from .functions import text as T
 from .operators import retrieval as R
 from .operators import sections as S
 from .indexes import QUESTION, TERMS_SQL, index_of
-from .session import QUERY_TYPES, nodes, table, vectors
+from .session import nodes, table, vectors
 from .session import SQL as MAP
 
 QUERIES: dict = {}

@@ -154,9 +154,3 @@ def page_text(html) -> F.Column:
     for name, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         x = F.replace(x, F.lit(name), F.lit(sign))
     return F.trim(F.regexp_replace(x, r"\s+", " "))
-
-
-def fallback_lookup(table: DataFrame, tenant: str, shared: str = "shared") -> DataFrame:
-    """code, description: a tenant's own table, or the shared one where it has none."""
-    use = F.when(F.count_if(F.col("tenant_id") == tenant).over(Window.partitionBy(F.lit(0))) > 0, tenant).otherwise(shared)
-    return table.filter(F.col("tenant_id").isin(tenant, shared)).withColumn("use", use).filter("tenant_id = use").select("code", "description")
