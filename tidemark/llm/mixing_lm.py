@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, Words, as_bytes, crc_mod, dropped, grouped, mix64, table, written
+from .common import U64, Words, as_bytes, crc_mod, grouped, mix64, table, written
 from .packed import _split, n_buckets, row_key
 
 HEAD = 1 << 17
@@ -223,8 +223,9 @@ def log10_of(bits: np.ndarray, p: np.ndarray) -> np.ndarray:
 
 
 def dealt(rows: DataFrame, parts: int, by: str) -> DataFrame:
-    """rows in so many partitions and in an order that do not depend on how they were read, so that what is learned along them does not."""
-    return rows.repartition(parts, by).sortWithinPartitions(by)
+    """rows in so many partitions and in an order that do not depend on how they were read, so that what is learned along them does not.
+    A cluster that deals them to more partitions than asked for gets them back in so many tasks, each of which gives whole tables."""
+    return rows.repartition(parts, by).sortWithinPartitions(by).coalesce(parts)
 
 
 def learned_spelling(counts: DataFrame, parts: int) -> Online:
