@@ -143,3 +143,20 @@ def test_anchors_of_titles(spark):
     rows = [("A guide to ships", "A guide to ships"), ("A. Guide to ships", "Guide to ships"), ("3.1 Use", None), ("3.1 Use of it", "Use of it")]
     got = spark.createDataFrame(rows, "t string, want string").select("want", T.anchor(F.lit(None).cast("string"), F.lit(None).cast("string"), F.col("t")).alias("got")).collect()
     assert all(r.want == r.got for r in got)
+
+
+def test_scratch_is_cleared_unless_kept(spark, tmp_path):
+    import os
+
+    from tidemark import session
+
+    before = spark.conf.get("spark.checkpoint.dir", None)
+    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
+    try:
+        session.clear_scratch(spark)
+        kept = session.scratch(spark, "kept", keep=True)
+        spark.range(1).write.parquet(kept)
+        assert session.stored(spark.range(5), "gone").count() == 5 and len(os.listdir(tmp_path)) == 2
+        assert session.clear_scratch(spark) == 1 and os.listdir(tmp_path) == [kept.split("/")[-1]]
+    finally:
+        spark.conf.unset("spark.checkpoint.dir") if before is None else spark.conf.set("spark.checkpoint.dir", before)

@@ -15,7 +15,7 @@ def index_of(spark: SparkSession, sf: str) -> KeywordIndex:
     """The stored keyword index of a folder's nodes, built once in an application, as an ingestion does."""
     key = (spark.sparkContext.applicationId, sf)
     if key not in _INDEXES:
-        index = KeywordIndex(spark, scratch(spark, "keyword"))
+        index = KeywordIndex(spark, scratch(spark, "keyword", keep=True))
         index.rebuild(nodes(spark, sf))
         _INDEXES[key] = index
     return _INDEXES[key]

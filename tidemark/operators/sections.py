@@ -61,23 +61,24 @@ def merge_empty(sections: DataFrame, least: int = 80) -> DataFrame:
 
 
 #: What heads a table of contents, in order of precedence; what its entries and the first heading after it look like; what a line
-#: begins with when it is numbered or lettered (fixed values).
+#: begins with when it is numbered or lettered; what may be a heading at all, with its line end (fixed values).
 CONTENTS = [r"table\s+of\s+contents", r"\bcontents\b", r"\bindex\b"]
 ENTRY = r"\s*\d+\.?\d*\s+[A-Z]"
 HEAD = r"\s*([0-9][0-9.]*|[A-Z]\.)"
+HEADING = r"\s*(\d+(?:\.\d+)*\.?\s+.+|[A-Z]\.\s+.+|[A-Z][A-Z0-9\-\s]{4,})"
 #: Characters of a line, and of a section's name, that are looked at for a name; a heading is no longer.
 LINE, NAME = 2000, 1000
 
 
 def lines_of(texts: DataFrame) -> DataFrame:
-    """doc_id, start, line, head, entry, contents, at of the lines of texts(doc_id, text) that are not empty, stored once for the
+    """doc_id, start, line, head, heading, entry, contents, at of the lines of texts(doc_id, text) that are not empty, stored once for the
     searches below. start counts characters from 1; line is the first LINE of them; head the number or letter that it
-    begins with; entry whether it looks like one of a table of contents; contents which of CONTENTS it holds first, at where."""
+    begins with; heading whether it may be one; entry whether it looks like one of a table of contents; contents which of CONTENTS it holds first, at where."""
 
     def cut(batches):
         import pandas as pd
 
-        marks, entry, head = [re.compile(p) for p in CONTENTS], re.compile(ENTRY), re.compile(HEAD)
+        marks, entry, head, heading = [re.compile(p) for p in CONTENTS], re.compile(ENTRY), re.compile(HEAD), re.compile(HEADING)
         any_mark = re.compile("contents|index")
         for b in batches:
             out = []
@@ -91,12 +92,12 @@ def lines_of(texts: DataFrame) -> DataFrame:
                             got = next(((i, m) for i, m in enumerate(x.search(low) for x in marks) if m), None)
                             rank, at = (got[0], start + got[1].start()) if got else (None, None)
                         h = head.match(line)
-                        out.append((doc, start, line[:LINE], h.group(1) if h else None, bool(entry.match(line)), rank, at))
+                        out.append((doc, start, line[:LINE], h.group(1) if h else None, bool(heading.match(f"{line}\n")), bool(entry.match(line)), rank, at))
                     start += len(line) + 1
-            yield pd.DataFrame(out, columns=["doc_id", "start", "line", "head", "entry", "contents", "at"]).astype({"contents": "Int32", "at": "Int64"})
+            yield pd.DataFrame(out, columns=["doc_id", "start", "line", "head", "heading", "entry", "contents", "at"]).astype({"contents": "Int32", "at": "Int64"})
 
     kind = texts.schema["doc_id"].dataType.simpleString()
-    rows = texts.select("doc_id", "text").mapInPandas(cut, f"doc_id {kind}, start long, line string, head string, entry boolean, contents int, at long")
+    rows = texts.select("doc_id", "text").mapInPandas(cut, f"doc_id {kind}, start long, line string, head string, heading boolean, entry boolean, contents int, at long")
     return stored(rows, "lines")
 
 
@@ -191,24 +192,27 @@ def by_boundaries(texts: DataFrame, sections: DataFrame) -> tuple[DataFrame, Dat
     """Contents and failures of texts(doc_id, text) cut by sections(doc_id, ord, name, prefix, anchor), tables of contents left out.
 
     Contents: doc_id, ord, section_id, name, content: located, cut from start to start, without the line of the heading and
-    the space around; sections that are nearly empty are merged into the next. Failures: doc_id, expected, missing and error
-    (over half of the names were not found) of every document with sections."""
+    the space around; sections that are nearly empty are merged into the next. Failures: doc_id, expected, missing and error of
+    every document with sections: no line that may be a heading (then it has no contents either), no name found, or over half not found."""
     lines = lines_of(texts)
-    starts = stored(located(texts, sections, stored(contents_end(texts, lines), "contents"), lines=lines), "starts")
+    headed = lines.filter("heading").select("doc_id").distinct()
+    starts = located(texts, sections, stored(contents_end(texts, lines), "contents"), lines=lines)
+    starts = stored(starts.join(headed, "doc_id", "left_semi"), "starts")
     named = starts.join(sections.select("doc_id", "ord", F.coalesce("prefix", "name").alias("section_id"), "name"), ["doc_id", "ord"])
     last = named.groupBy("doc_id", "start").agg(F.max(F.struct("ord", "section_id", "name")).alias("s")).select("doc_id", "start", "s.*")  # of equal starts the others are empty
     cut = slices(texts, last.select("doc_id", "start"))
     flat = lambda x: F.trim(F.regexp_replace(F.lower(x), r"\s+", " "))
     whole = F.regexp_replace("content", r"^\s+|\s+$", "")
-    headed = F.startswith(flat(F.substring_index("content", "\n", 1)), flat(F.col("name")))
+    titled = F.startswith(flat(F.substring_index("content", "\n", 1)), flat(F.col("name")))
     rest = F.when(F.contains("content", F.lit("\n")), F.substring("content", F.length(F.substring_index("content", "\n", 1)) + 2, F.length("content"))).otherwise("")
-    own = last.join(cut, ["doc_id", "start"]).withColumn("content", whole).filter("content <> ''").withColumn("content", F.when(headed, rest).otherwise(F.col("content")))
+    own = last.join(cut, ["doc_id", "start"]).withColumn("content", whole).filter("content <> ''").withColumn("content", F.when(titled, rest).otherwise(F.col("content")))
     own = own.withColumn("ord", F.row_number().over(Window.partitionBy("doc_id").orderBy("start")) - 1)
     wanted = sections.filter("name <> ''").select("doc_id", "name").distinct().join(own.select("doc_id", "name", F.lit(1).alias("there")).distinct(), ["doc_id", "name"], "left")
     n, gone = F.count("*"), F.count_if(F.col("there").isNull())
-    failures = wanted.groupBy("doc_id").agg(n.alias("expected"), gone.alias("missing"))
-    error = F.when(F.col("missing") / F.col("expected") > 0.5, F.concat(F.lit("Failed to extract "), F.col("missing").cast("string"), F.lit("/"), F.col("expected").cast("string"), F.lit(" sections")))
-    return merge_empty(own.drop("start")), failures.withColumn("error", error)
+    failures = wanted.groupBy("doc_id").agg(n.alias("expected"), gone.alias("missing")).join(headed.withColumn("headed", F.lit(True)), "doc_id", "left")
+    error = F.when(F.col("headed").isNull(), "No heading candidates detected in document text").when(F.col("missing") == F.col("expected"), "Could not locate any section headings in document text")
+    error = error.when(F.col("missing") / F.col("expected") > 0.5, F.concat(F.lit("Failed to extract "), F.col("missing").cast("string"), F.lit("/"), F.col("expected").cast("string"), F.lit(" sections")))
+    return merge_empty(own.drop("start")), failures.select("doc_id", "expected", "missing", error.alias("error"))
 
 
 def as_markdown(chunks: DataFrame) -> DataFrame:

@@ -25,8 +25,11 @@ def session(name: str = "tidemark") -> SparkSession:
     )
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share, under spark.checkpoint.dir. Where that is not set: in local mode a temporary
+_SCRATCH: list[str] = []
+
+
+def scratch(spark: SparkSession, name: str, keep: bool = False) -> str:
+    """A new folder that driver and executors share, under spark.checkpoint.dir; `clear_scratch` deletes it unless it is to be kept. Where that is not set: in local mode a temporary
     folder that goes with the driver; on a cluster it is an error, since no folder is known to be shared."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
@@ -35,7 +38,19 @@ def scratch(spark: SparkSession, name: str) -> str:
         made = tempfile.mkdtemp(prefix="tidemark-")
         atexit.register(shutil.rmtree, made, ignore_errors=True)
         where = f"file://{made}"
-    return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    at = f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if not keep:
+        _SCRATCH.append(at)
+    return at
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Deletes the folders that this driver has made and not kept; how many. For when nothing reads their tables any more."""
+    n = len(_SCRATCH)
+    while _SCRATCH:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    return n
 
 
 def stored(rows: DataFrame, name: str) -> DataFrame:
