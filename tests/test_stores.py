@@ -146,13 +146,16 @@ def test_anchors_of_titles(spark):
     assert all(r.want == r.got for r in got)
 
 
-def test_scratch_is_cleared_unless_kept(spark, tmp_path, monkeypatch):
-    made = iter([tmp_path / "a", tmp_path / "b"])
-    monkeypatch.setattr(session.tempfile, "mkdtemp", lambda prefix: str(next(made)))
-    if spark.conf.get("spark.checkpoint.dir", None):
-        pytest.skip("the session names a folder of its own")
+def test_scratch_is_cleared_unless_kept(spark):
+    def there(at):
+        path = spark._jvm.org.apache.hadoop.fs.Path(at)
+        return path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(path)
+
     session.clear_scratch(spark)
-    spark.range(1).write.parquet(session.scratch(spark, "kept", keep=True))
-    assert session.stored(spark.range(5), "gone").count() == 5
-    assert session.clear_scratch(spark) == 1
-    assert len(list((tmp_path / "a").iterdir())) == 1 and list((tmp_path / "b").iterdir()) == []
+    kept, gone = session.scratch(spark, "kept", keep=True), session.scratch(spark, "gone")
+    for at in (kept, gone):
+        spark.range(3).write.parquet(at)
+    assert session.stored(spark.range(5), "more").count() == 5
+    assert session.clear_scratch(spark) == 2 and there(kept) and not there(gone)
+    session._SCRATCH.append(kept)
+    assert session.clear_scratch(spark) == 1 and not there(kept)
