@@ -171,7 +171,10 @@ def proven(texts: DataFrame, found: DataFrame, anchors: DataFrame, reach: int =
     per = found.groupBy("doc_id").agg(F.collect_list(F.struct("ord", "start")).alias("c"))
     windows = texts.join(per, "doc_id").select("doc_id", "text", F.explode("c").alias("c"))
     windows = windows.select("doc_id", "c.ord", "c.start", F.substring("text", F.col("c.start"), F.lit(reach)).alias("window"))
-    sure = windows.join(anchors.select("doc_id", "ord", "anchors"), ["doc_id", "ord"]).withColumn("sure", any_anchor(F.col("window"), F.col("anchors")))
+    spark = texts.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    both = windows.join(anchors.select("doc_id", "ord", "anchors"), ["doc_id", "ord"]).repartition(tasks)  # few bytes, but dear to compare
+    sure = both.withColumn("sure", any_anchor(F.col("window"), F.col("anchors")))
     return sure.groupBy("doc_id", "ord").agg(F.coalesce(F.min(F.when(F.col("sure"), F.col("start"))), F.min("start")).alias("start"))
 
 

@@ -391,8 +391,8 @@ def section_failures(spark, sf):
     return S.by_boundaries(_texts(spark, sf), _outline(spark, sf))[1]
 
 
-@query(r"""WITH l AS (SELECT doc_id, unnest(x) AS line, generate_subscripts(x, 1) AS n FROM (SELECT doc_id, string_split(regexp_replace(text, '[^a-e]', chr(10), 'g'), chr(10)) AS x FROM documents)),
+@query(r"""WITH l AS (SELECT doc_id, unnest(x) AS line, generate_subscripts(x, 1) AS n FROM (SELECT doc_id, string_split(regexp_replace(text, '[.,] ', chr(10), 'g'), chr(10)) AS x FROM documents)),
 r AS (SELECT *, coalesce(line = lag(line) OVER w AND line = lag(line, 2) OVER w AND line = lag(line, 3) OVER w, false) AS again FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY n)) SELECT doc_id, string_agg(line, ',' ORDER BY n) AS lines FROM r WHERE NOT again GROUP BY 1""")
 def repeated_lines(spark, sf):
-    lines = F.split(F.regexp_replace("text", "[^a-e]", "\n"), "\n", -1)
+    lines = F.split(F.regexp_replace("text", "[.,] ", "\n"), "\n", -1)
     return table(spark, sf, "documents").select("doc_id", F.array_join(T.limit_repeats(lines), ",").alias("lines"))
