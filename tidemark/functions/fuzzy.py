@@ -40,25 +40,32 @@ def best_window(probe: str, context: str) -> float:
     m, n = len(probe), len(context)
     if not m:
         return 100.0 if not n else 0.0
-    codes: dict[str, tuple[int, int]] = {}
+    at: dict[str, int] = {}
     for i, x in enumerate(probe):
-        lo, hi = codes.get(x, (0, 0))
-        codes[x] = (lo | 1 << i, hi) if i < 64 else (lo, hi | 1 << i - 64)
-    low = np.array([codes.get(c, (0, 0))[0] for c in context] + [0] * m, U64)
-    high = np.array([codes.get(c, (0, 0))[1] for c in context] + [0] * m, U64)
+        at[x] = at.get(x, 0) | 1 << i
+    # stretches at the beginning that are shorter than the probe
+    full, row, best = (1 << m) - 1, (1 << m) - 1, 0.0
+    for t, y in enumerate(context[: m - 1], 1):
+        k = at.get(y, 0)
+        row = ((row + (row & k)) | (row & ~k)) & full
+        best = max(best, 200 * (m - row.bit_count()) / (m + t))
+    point = np.frombuffer(context.encode("utf-32-le", "surrogatepass"), np.uint32)
+    low, high = np.zeros(n + m, U64), np.zeros(n + m, U64)
+    for x, k in at.items():
+        here = np.flatnonzero(point == ord(x))
+        low[here], high[here] = U64(k & 0xFFFFFFFFFFFFFFFF), U64(k >> 64)
     v, w = np.full(n, _ALL), np.full(n, _ALL)
-    own_low, own_high = (_ALL >> U64(64 - m) if m < 64 else _ALL), (_ALL >> U64(128 - m) if m > 64 else U64(0))
-    best = 0.0
     for t in range(m):
-        a, b = low[t : t + n], high[t : t + n]
-        x, y = v & a, w & b
+        a = low[t : t + n]
+        x = v & a
         s = v + x
-        w = (w + y + (s < v)) | (w & ~b)
+        if m > 64:
+            b = high[t : t + n]
+            w = (w + (w & b) + (s < v)) | (w & ~b)
         v = s | (v & ~a)
-        if t + 1 < m:  # a stretch at the beginning, shorter than the probe
-            got = m - int(_bits(v[:1] & own_low)[0]) - int(_bits(w[:1] & own_high)[0])
-            best = max(best, 200 * got / (m + t + 1))
-    got = m - _bits(v & own_low) - _bits(w & own_high)
+    got = m - _bits(v & (_ALL >> U64(64 - m) if m < 64 else _ALL))
+    if m > 64:
+        got -= _bits(w & (_ALL >> U64(128 - m)))
     size = np.minimum(m, n - np.arange(n))
     return max(best, float((200 * got / (m + size)).max()))
 
