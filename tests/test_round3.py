@@ -4,7 +4,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from tidemark.operators import best, library, retrieval
+from tidemark.functions import fuzzy
+from tidemark.operators import best, library, retrieval, sections, textprep
 from tidemark.operators.keyword_index import KeywordIndex
 from tidemark.sources.logged import LoggedTable
 
@@ -96,3 +97,33 @@ def test_texts_are_not_shuffled_for_ranked_rows(spark):
     asked = spark.createDataFrame([(1, "q")], "query_id int, text string")
     got = retrieval.reranked(ranked, asked, nodes, lambda q, x: F.length(x))
     assert "SortMergeJoin" not in plan_of(got) and got.count() == 2
+
+
+def test_windows_of_many_pairs_at_once(monkeypatch):
+    """Probes of all word widths, among them longer than their contexts, against every stretch compared by itself."""
+    rng = np.random.default_rng(3)
+    word = lambda n: "".join("abcé "[i] for i in rng.integers(0, 5, n))
+    pairs = [(word(p), word(c)) for p in (0, 1, 15, 16, 17, 32, 33, 64, 65, 90) for c in (0, 1, 40, 90, 130)]
+
+    def plain(a, b):
+        a, b = (a, b) if len(a) <= len(b) else (b, a[:128])
+        cuts = [b[max(0, i) : i + len(a)] for i in range(1 - len(a), len(b))]
+        return max(fuzzy.ratio(a, x) for x in cuts) if a else 0.0 if b else 100.0
+
+    want = [plain(*p) for p in pairs]
+    for n in (1, 300, 1 << 14):
+        monkeypatch.setattr(fuzzy, "AT_ONCE", n)
+        assert fuzzy.best_windows(pairs) == want
+    texts, anchors = [None, "The Anchor  here", "xx the anchr hree xx", "nothing"], [["a"], ["the anchor HERE", None], [None, "the anchor here"], ["the anchor here"]]
+    assert fuzzy.anchored(texts, anchors) == [False, True, True, False] and fuzzy.anchored(["x"], [None]) == [False]
+
+
+def test_lines_and_chunks_go_in_slices(spark, monkeypatch):
+    """More texts than a slice has, empty ones and none among them."""
+    rows = [(f"d{i}", None if i % 7 == 0 else "" if i % 7 == 1 else f"Contents\n1 One\n\nText {i}. More.") for i in range(30)]
+    texts = spark.createDataFrame(rows, "doc_id string, text string").coalesce(1)
+    monkeypatch.setattr(sections, "SLICE", 4)
+    got = sorted((r.doc_id, r.start, r.line, r.head, r.heading, r.entry, r.contents, r.at) for r in sections.lines_of(texts).filter("head IS NOT NULL OR contents IS NOT NULL").collect())
+    assert len(got) == 2 * sum(bool(t) for _, t in rows)
+    assert [g[1:4] + g[6:] for g in got if g[0] == "d2"] == [(1, "Contents", None, 1, 1), (10, "1 One", "1", None, None)]
+    assert sorted(map(tuple, textprep.chunk(texts.filter("doc_id = 'd2'"), 5, 0).collect())) == [("d2", 0, "Contents\n1 One\n\nText 2."), ("d2", 1, "More.")]

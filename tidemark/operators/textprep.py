@@ -5,12 +5,17 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from ..functions.text import normalise_for_validation
 
 #: What an extraction is measured by.
 MEASURES = ["coverage", "hallucination", "word_coverage", "length_ratio"]
 
+#: Texts that a task cuts into chunks at once.
+SLICE = 200
+
 #: White space but line ends, as Unicode has it.
 BLANK = r"(?U)[^\S\n]"
 
@@ -88,12 +93,14 @@ def pack_sentences(sentences: list[str], size: int, overlap: int) -> list[str]:
 
 def chunk(docs: DataFrame, size: int = 1024, overlap: int = 200) -> DataFrame:
     """doc_id, chunk, text: sentence-aware chunks of docs(doc_id, text), words standing for tokens."""
-    import pandas as pd
+    schema = StructType([docs.schema["doc_id"], StructField("chunk", IntegerType()), StructField("text", StringType())])
+    arrow = to_arrow_schema(schema)
 
     def cut(batches):
-        for b in batches:
-            rows = [(d, i, c) for d, t in zip(b["doc_id"], b["text"], strict=True) for i, c in enumerate(pack_sentences([s for s in re.split(r"(?<=[.!?])\s+", t or "") if s], size, overlap))]
-            yield pd.DataFrame(rows, columns=["doc_id", "chunk", "text"])
+        for b in (whole.slice(i, SLICE) for whole in batches for i in range(0, len(whole), SLICE)):
+            rows = [(d, i, c) for d, t in enumerate(b.column("text").to_pylist()) for i, c in enumerate(pack_sentences([s for s in re.split(r"(?<=[.!?])\s+", t or "") if s], size, overlap))]
+            row, nth, text = zip(*rows, strict=True) if rows else [()] * 3
+            ids = b.column("doc_id").take(pa.array(row, pa.int64())).cast(arrow.field(0).type)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(nth, pa.int32()), pa.array(text, arrow.field(2).type)], schema=arrow)
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(cut, f"doc_id {kind}, chunk int, text string")
+    return docs.select("doc_id", "text").mapInArrow(cut, schema)
