@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 
+from tidemark.llm import suffixes
 from tidemark.llm.suffixes import Columns, remove_substrings
 
 LONG = "the quick brown fox jumps over the lazy dog and runs away into the deep dark wood "
@@ -67,3 +68,12 @@ def test_empty_table_and_clashing_columns(spark):
     assert run(spark, []) == []
     docs = spark.createDataFrame([(1, LONG, 1, 2, 3), (2, LONG, 1, 2, 3)], "doc_id long, text string, row int, bucket int, spans int")
     assert sorted((r.doc_id, r.n_removed) for r in remove_substrings(docs).collect()) == [(1, 0), (2, len(LONG))]
+
+
+def test_a_bucket_answers_to_4_mb_of_text(spark, monkeypatch):
+    """With 16 MB a Python worker took up to 582 MB, and an executor more than 3 GB."""
+    asked = []
+    find = suffixes.find_segments
+    monkeypatch.setattr(suffixes, "find_segments", lambda docs, buckets: asked.append(buckets) or find(docs.limit(0), buckets))
+    remove_substrings(spark.range(100).selectExpr("id AS doc_id", "repeat('x', 1000000) AS text"))
+    assert asked == [25]

@@ -11,7 +11,7 @@ that share a 20-gram but differ are cut at it into halves, meet again by the 35
 cut twice more there in the same way, and what still differs goes, bucket by bucket, into a column-wise index. Only hashes,
 places and the differing halves move.
 
-The index lives in memory, bucket by bucket (a bucket answers to 16 MB of text); what lies between the stages is in files
+The index lives in memory, bucket by bucket (a bucket answers to 4 MB of text); what lies between the stages is in files
 of the shared folder, written and read in sequence.
 
 Defined results: a null text is an empty one; a text of fewer than `size` bytes keeps all; a byte goes if a smaller doc_id
@@ -38,6 +38,8 @@ HALVES = f"{SPANS}, ids binary, grams binary, heads binary, data binary, sizes b
 NO_ID = -(2**63)
 #: Times that halves are cut again within their bucket before they are indexed.
 CUTS = 2
+#: Text bytes for each bucket: with 16 MB a Python worker took up to 582 MB, and an executor 3 GB.
+BUCKET_BYTES = 4_000_000
 #: Bytes of text at once, and segments that a task holds before it packs them.
 HALF_GROUP, HELD = 1_000_000, 500_000
 SPAN_COLUMNS = ["bucket", "rows", "who", "spans"]
@@ -345,7 +347,7 @@ def _runs(keys: np.ndarray, sizes: np.ndarray, limit: int = 1_000_000):
 
 def remove_substrings(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (bytes), kept_sha256 for docs(doc_id, text)."""
-    buckets = n_buckets(docs)
+    buckets = n_buckets(docs, BUCKET_BYTES)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), "text", row_key().alias("row"))
     rows = rows.withColumn("bucket", F.expr(f"cast(cast(row as decimal(20,0)) + if(row < 0, 18446744073709551616, 0) as decimal(20,0)) % {buckets}").cast("int"))
     settled = written(settle_segments(find_segments(rows.select("id", "row", "text"), buckets), buckets), "settled")
