@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from tidemark.llm import jaccard
@@ -72,3 +73,34 @@ def test_words_that_a_polynomial_confuses_and_ids_beside_null(spark):
     b = a.translate(str.maketrans("ab", "ba"))
     rows = [(2**60 + 1, f"x y z {a}"), (2**60 + 3, f"x y z {b}"), (None, f"x y z {b}"), (2**60 + 5, "x y z " + "long" * 5000)]
     assert run(spark, rows) == sorted([(2**60 + 1, 1, 2**60 + 1), (2**60 + 3, 1, 2**60 + 3), (None, 1, 2**60 + 3), (2**60 + 5, 1, 2**60 + 5)], key=str)
+
+
+def test_sketches_never_part_sets_that_are_alike():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 2**63, rng.integers(1, 900)).astype(np.uint64)) for _ in range(40)]
+    for s in sets[:30]:  # near copies, some of them just as alike as a link asks for
+        sets.append(np.unique(np.concatenate([s[: len(s) - rng.integers(0, len(s) // 6 + 1)], rng.integers(0, 2**63, rng.integers(0, 3)).astype(np.uint64)])))
+    size = np.array([len(s) for s in sets])
+    sketch = jaccard.sketches_of(np.repeat(np.arange(len(sets)), size), np.concatenate(sets), len(sets))
+    every = np.arange(len(sets))
+    alike = {(i, j) for i in range(len(sets)) for j in range(len(sets)) if i != j and 100 * (k := len(np.intersect1d(sets[i], sets[j]))) >= 85 * (size[i] + size[j] - k)}
+    near = {(i, j) for i in range(len(sets)) for j in every.tolist() if i != j and jaccard.near(size, every, sketch.view(np.uint64), every[i : i + 1], every[j : j + 1], 85)[[i, j]].all()}
+    assert len(alike) > 20 and alike <= near
+    assert len(near) < len(sets) * len(sets) / 10  # and most of the others are ruled out
+
+
+def test_few_pairs_of_near_copies_that_are_not_alike(spark, monkeypatch):
+    """600 texts that each change some words of one: they share frequent members, but few are alike. Pairs that move with their sets stay few."""
+    moved = []
+    similar = jaccard.similar
+    monkeypatch.setattr(jaccard, "similar", lambda pairs, sets, t: moved.append(pairs.count()) or similar(pairs, sets, t))
+    rng = random.Random(4)
+    text = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(600):
+        t = list(text)
+        for _ in range(5):
+            t[rng.randrange(len(t))] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(t)))
+    assert run(spark, rows) == brute(rows)
+    assert sum(moved) < 2 * len(rows)
