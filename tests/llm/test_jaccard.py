@@ -104,3 +104,21 @@ def test_few_pairs_of_near_copies_that_are_not_alike(spark, monkeypatch):
         rows.append((i, " ".join(t)))
     assert run(spark, rows) == brute(rows)
     assert sum(moved) < 2 * len(rows)
+
+
+def test_long_texts_that_are_not_alike_move_no_sets(spark, monkeypatch):
+    """60 texts of 3,000 words, each with a tenth of one text's words changed: a narrow sketch is full and rules none of them out."""
+    moved = []
+    similar = jaccard.similar
+    monkeypatch.setattr(jaccard, "similar", lambda pairs, sets, t: moved.append(pairs.count()) or similar(pairs, sets, t))
+    rng = random.Random(5)
+    text = [f"w{i}" for i in range(3000)]
+    rows = []
+    for i in range(60):
+        t = list(text)
+        for k in rng.sample(range(3000), 300):
+            t[k] = f"x{rng.randrange(10**9)}"
+        rows.append((i, " ".join(t)))
+    rows.append((60, rows[7][1] + " more"))
+    assert run(spark, rows) == brute(rows)
+    assert sum(moved) < 10
