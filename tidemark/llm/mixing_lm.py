@@ -123,26 +123,42 @@ class Online:
         """Each slot's logit (in sixteenths) and how often it was met, in 16 bits."""
         n = self.counts.astype(np.float32)
         logit = np.log((n[..., 1] + 0.3) / (n[..., 0] + 0.3))
-        met = n.sum(axis=-1)
+        met = n[..., 0] + n[..., 1]  # a sum over so short an axis takes many times as long
         step = (met > 0).astype(np.uint16) + (met > 3) + (met > 30)
         self.codes = (np.clip(np.round(logit * 16) + 512, 0, 1023).astype(np.uint16) << np.uint16(2)) | step.astype(np.uint16)
 
     def inputs(self, slots: np.ndarray, fixed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         codes = [self.codes[c].take(slots[c]) for c in range(len(slots))]
-        x = [((v >> 2).astype(np.float32) - np.float32(512)) * np.float32(1 / 16) for v in codes]
-        gate = ((codes[-2] & 3) << 2 | codes[-1] & 3).astype(np.int64)
-        return np.stack([*([fixed] if fixed is not None else []), *x, np.ones(slots.shape[1], np.float32)]), gate
+        x, k = np.empty((len(slots) + (fixed is not None) + 1, slots.shape[1]), np.float32), 0
+        if fixed is not None:
+            x[0], k = fixed, 1
+        for i, v in enumerate(codes, k):
+            x[i] = v >> 2
+        x[k:-1] -= np.float32(512)
+        x[k:-1] *= np.float32(1 / 16)
+        x[-1] = 1
+        return x, ((codes[-2] & 3) << 2 | codes[-1] & 3).astype(np.uint8)
 
     def mixed(self, x: np.ndarray, gate: np.ndarray, weights: np.ndarray, at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Probability of a one for each bit: of the mixture, and refined, with the step of the map."""
         z = np.zeros(len(gate), np.float32)
         row = gate if at is None else at
         for i in range(len(x)):
-            z += x[i] * weights[:, i].take(row)
-        z = np.clip(z, -12, 12)
-        p = 1 / (1 + np.exp(-z))
-        step = np.clip(np.round(z * 2) + 16, 0, self.STEPS - 1).astype(np.int64)
-        return p, (p + self.map.ravel().take(gate * self.STEPS + step)) * np.float32(0.5), step
+            z += x[i] * np.ascontiguousarray(weights[:, i]).take(row)
+        p, step = self.squashed(z)
+        refined = self.map.ravel().take(gate * np.int64(self.STEPS) + step)
+        refined += p
+        refined *= np.float32(0.5)
+        return p, refined, step
+
+    def squashed(self, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Probability of a one, and the step of the map; z, float32, is used up."""
+        np.clip(z, -12, 12, out=z)
+        step = np.clip(z * np.float32(2) + np.float32(16.5), 0, self.STEPS - 1).astype(np.uint8)
+        np.negative(z, out=z)
+        np.exp(z, out=z)
+        z += np.float32(1)
+        return np.reciprocal(z, out=z), step
 
     def learn(self, slots: np.ndarray, bits: np.ndarray, fixed: np.ndarray | None = None) -> None:
         """Blocks of bits: each is predicted, learned from, and only then counted."""
@@ -151,22 +167,26 @@ class Online:
             lo, hi = hi, hi + int(min(self.BLOCK, max(1024, self.seen / 4)))  # small blocks at first
             part, b = slots[:, lo:hi], bits[lo:hi]
             x, gate = self.inputs(part, None if fixed is None else fixed[lo:hi])
-            order = np.argsort(gate.astype(np.uint8), kind="stable")
-            x, value, ends = x[:, order], b[order], np.searchsorted(gate[order], np.arange(self.GATES + 1))
-            for g in np.flatnonzero(np.diff(ends)).tolist():
-                xs, bs = x[:, ends[g] : ends[g + 1]], value[ends[g] : ends[g + 1]]
-                z = np.clip(self.weights[g] @ xs, -12, 12)
-                p = 1 / (1 + np.exp(-z))
-                bend = (xs * xs) @ (p * (1 - p))
-                self.weights[g] = np.clip(self.weights[g] + self.RATE * (xs @ (bs - p)) / (bend + self.LEARNED * self.bend[g]), -0.5, 1.5)
-                self.bend[g] = (self.bend[g] * self.LEARNED + bend) / (self.LEARNED + len(bs))
-                step = np.clip(np.round(z * 2) + 16, 0, self.STEPS - 1).astype(np.int64)
-                n, ones = (np.bincount(step, w, self.STEPS) for w in (None, bs))
-                self.map[g] += ((ones - n * self.map[g]) / (n + 300)).astype(np.float32)
-            self.waiting.append(part.astype(np.int64) * 2 + b)
+            order = np.argsort(gate, kind="stable")
+            gate, value = gate[order], b[order]
+            x, ends = x.take(order, axis=1), np.searchsorted(gate, np.arange(self.GATES + 1))
+            gates = np.flatnonzero(np.diff(ends)).tolist()
+            z = np.empty(len(value), np.float32)
+            for g in gates:
+                np.dot(self.weights[g], x[:, ends[g] : ends[g + 1]], out=z[ends[g] : ends[g + 1]])
+            p, step = self.squashed(z)
+            n, ones = (np.bincount(gate * np.int64(self.STEPS) + step, w, self.map.size).reshape(self.map.shape) for w in (None, value))
+            self.map += ((ones - n * self.map) / (n + 300)).astype(np.float32)
+            err, square, free = value - p, x * x, p * (1 - p)
+            for g in gates:
+                own = slice(ends[g], ends[g + 1])
+                bend, size = square[:, own] @ free[own], ends[g + 1] - ends[g]
+                self.weights[g] = np.clip(self.weights[g] + self.RATE * (x[:, own] @ err[own]) / (bend + self.LEARNED * self.bend[g]), -0.5, 1.5)
+                self.bend[g] = (self.bend[g] * self.LEARNED + bend) / (self.LEARNED + size)
+            self.waiting.append(part * np.int32(2) + b)
             self.seen += len(b)
             grown = self.seen > (1.25 if self.seen > 1e6 else 1.6) * self.coded
-            if grown or len(self.waiting) > 16:
+            if grown or len(self.waiting) > 32:
                 self.count()
                 if grown:
                     self.coded = self.seen
@@ -176,7 +196,7 @@ class Online:
         """Adds the bits that wait to the counts."""
         if self.waiting:
             for c, at in enumerate(np.concatenate(self.waiting, axis=1)):
-                self.counts[c] += np.bincount(at, minlength=self.counts[c].size).reshape(-1, 2).astype(np.uint32)
+                self.counts[c].ravel()[:] += np.bincount(at, minlength=self.counts[c].size).astype(np.uint32)
         self.waiting = []
 
     def rows(self, task: int, parts: int = 16) -> list[dict]:
@@ -219,7 +239,8 @@ class Online:
 
 def log10_of(bits: np.ndarray, p: np.ndarray) -> np.ndarray:
     """log10 of what each bit was given."""
-    return np.log10(np.maximum(np.abs((bits ^ 1) - p), np.float32(1e-6)))
+    got = np.abs((bits ^ 1) - p)
+    return np.log(np.maximum(got, np.float32(1e-6), out=got), out=got) * np.float32(1 / np.log(10))
 
 
 def dealt(rows: DataFrame, parts: int, by: str) -> DataFrame:
@@ -296,8 +317,9 @@ class Tree:
         """token, node and value of each bit."""
         size = self.size[symbols]
         token = np.repeat(np.arange(len(symbols)), size)
-        at = np.repeat(self.first[symbols] - (np.cumsum(size) - size), size) + np.arange(len(token))
-        return token, self.node[at], self.bit[at]
+        at = np.repeat(self.first[symbols] - (np.cumsum(size) - size), size)
+        at += np.arange(len(at))
+        return token, self.node.take(at), self.bit.take(at)
 
 
 class Model:
@@ -391,7 +413,7 @@ class Model:
         for hi in upto.tolist():
             of, b = doc.take(token[lo:hi]), bit[lo:hi]
             x, gate = mix.inputs(slots[:, lo:hi], self.tree.logit.take(node[lo:hi]))
-            row = of * mix.GATES + gate
+            row = of * np.int64(mix.GATES) + gate
             p, refined, _ = mix.mixed(x, gate, weights, row)
             out += np.bincount(of, log10_of(b, refined), n)
             if hi < len(token):
@@ -414,12 +436,18 @@ def lookup(head: np.ndarray, h: np.ndarray) -> np.ndarray:
     """Place in head, sorted, of each hash; -1: not there."""
     if not len(head):
         return np.full(len(h), -1)
-    first = np.searchsorted(head >> U64(44), np.arange((1 << 20) + 1, dtype=U64))
-    at, upto = first[(h >> U64(44)).astype(np.int64)], first[(h >> U64(44)).astype(np.int64) + 1]
-    out = np.full(len(h), -1)
-    for k in range(int(np.diff(first).max())):
-        i = np.minimum(at + k, len(head) - 1)
-        out[(at + k < upto) & (head[i] == h)] = i[(at + k < upto) & (head[i] == h)]
+    first = np.zeros((1 << 18) + 1, np.int32)
+    np.cumsum(np.bincount((head >> U64(46)).astype(np.int64), minlength=1 << 18), out=first[1:])
+    top = (h >> U64(46)).astype(np.int64)
+    at, upto = first.take(top), first.take(top + 1)
+    out, live = np.full(len(h), -1), np.flatnonzero(at < upto)
+    while len(live):  # what has not been met goes on to the next of its few
+        i = at[live]
+        met = head.take(i) == h.take(live)
+        out[live[met]] = i[met]
+        live = live[~met]
+        at[live] += 1
+        live = live[at[live] < upto[live]]
     return out
 
 
