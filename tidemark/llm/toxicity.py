@@ -25,6 +25,8 @@ SAMPLE = 3000
 #: Near copies share so much of their words; false terms among those of the lexicon; parts for cross-fitting.
 ALIKE, RATE, FOLDS = 0.8, 0.05, 4
 CONTEXT, WINDOW = 8, 25
+#: Bytes of training text whose features are taken at once.
+AT_ONCE = 500_000
 #: Bytes that do not belong to words: ASCII but letters and digits.
 PARTS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 QUOTES = (b'"', "“".encode(), "”".encode(), "«".encode(), "»".encode(), "„".encode())
@@ -83,7 +85,8 @@ def significant(clean: np.ndarray, toxic: np.ndarray, n0: int, n1: int) -> np.nd
 
 
 class Terms:
-    """Words, and beginnings of words (4 to 8 bytes), of labelled texts; near copies of a class are one text with the words of all."""
+    """Words, and beginnings of words (4 to 8 bytes), of labelled texts, and in how many texts of each fold and label they stand
+    (per_word, per_start; n has all texts with words). Near copies are in one fold, and those of a class are one text with the words of all."""
 
     def __init__(self, texts: list[bytes], labels: np.ndarray):
         gaps = bytes(32 if p else i for i, p in enumerate(PARTS))
@@ -92,38 +95,31 @@ class Terms:
         for text in texts:
             words = set(Words([text], PARTS, lower=True).buf.tobytes().translate(gaps).split())
             sets.append(np.array(sorted(number.setdefault(w, len(number)) for w in words), np.int32))
-        self.words, self.leader = list(number), leaders(sets)
+        self.words, leader = list(number), leaders(sets)
         del number
+        self.fold = (mix64(np.where(leader < 0, np.arange(len(texts)), leader).astype(np.uint64)) % np.uint64(FOLDS)).astype(np.int64)
         starts: dict[bytes, int] = {}
         self.start_of = np.full((len(self.words), 5), -1, np.int32)
         for i, w in enumerate(self.words):
             for n in range(4, min(9, len(w))):
                 self.start_of[i, n - 4] = starts.setdefault(w[:n], len(starts))
         self.starts = list(starts)
-        group = np.repeat(2 * self.leader + labels, [len(x) for x in sets])
-        self.group, self.word = self._once(group, np.concatenate([np.empty(0, np.int32), *sets]), len(self.words))
-        del sets, group, starts
-        parts = []
-        for n in range(5):  # beginnings of different lengths are different
-            at = self.start_of[self.word, n]
-            parts.append(self._once(self.group[at >= 0], at[at >= 0], len(self.starts)))
-        self.start_group, self.start = (np.concatenate(x) for x in zip(*parts, strict=True))
-
-    @staticmethod
-    def _once(group: np.ndarray, term: np.ndarray, terms: int) -> tuple[np.ndarray, np.ndarray]:
-        both = np.unique(group.astype(np.int64) * max(terms, 1) + term)
-        return (both // max(terms, 1)).astype(np.int32), (both % max(terms, 1)).astype(np.int32)
+        del starts
+        self.n, self.per_word, self.per_start = (np.zeros((FOLDS, 2, *size), np.int32) for size in ((), (len(self.words),), (len(self.starts),)))
+        copies: dict[tuple[int, int], list[int]] = {}
+        for i in np.flatnonzero(leader >= 0).tolist():
+            copies.setdefault((int(leader[i]), int(labels[i])), []).append(i)
+        for (first, y), group in copies.items():  # a text at a time: all its terms at once are many times the texts
+            at = self.fold[first], y
+            has = sets[group[0]] if len(group) == 1 else np.unique(np.concatenate([sets[i] for i in group]))
+            begun = self.start_of[has]
+            self.n[at] += 1
+            self.per_word[at][has] += 1
+            self.per_start[at][np.unique(begun[begun >= 0])] += 1  # beginnings of different lengths are different
 
     def lexicon(self, taken: np.ndarray) -> tuple[list[bytes], list[bytes]]:
-        """Words and beginnings that mark toxic texts, by the texts whose leaders are taken."""
-        groups = np.unique(self.group[taken[self.group // 2]])
-        n0, n1 = int((groups % 2 == 0).sum()), int((groups % 2 == 1).sum())
-
-        def counts(group, term, terms):
-            use = taken[group // 2]
-            return [np.bincount(term[use & (group % 2 == y)], minlength=terms) for y in (0, 1)]
-
-        per_word, per_start = counts(self.group, self.word, len(self.words)), counts(self.start_group, self.start, len(self.starts))
+        """Words and beginnings that mark toxic texts, by the texts of the folds that are taken."""
+        (n0, n1), per_word, per_start = self.n[taken].sum(axis=0).tolist(), self.per_word[taken].sum(axis=0), self.per_start[taken].sum(axis=0)
         clean, toxic = (np.concatenate([per_word[y], per_start[y]]) for y in (0, 1))
         long = np.fromiter((len(w) >= 3 for part in (self.words, self.starts) for w in part), bool, len(clean))
         asked = np.flatnonzero(long & (toxic > 0))
@@ -246,16 +242,15 @@ class Toxicity:
         if len(set(labels.tolist())) < 2:
             return
         terms = Terms(texts, labels)
-        fold = (mix64(np.where(terms.leader < 0, np.arange(len(texts)), terms.leader).astype(np.uint64)) % np.uint64(FOLDS)).astype(np.int64)
         x = None
         for k in range(FOLDS):
-            automaton, at = Automaton(*terms.lexicon(fold != k)), np.flatnonzero(fold == k)
-            for lo, hi in grouped([texts[i] for i in at]):
+            automaton, at = Automaton(*terms.lexicon(np.arange(FOLDS) != k)), np.flatnonzero(terms.fold == k)
+            for lo, hi in grouped([texts[i] for i in at], AT_ONCE):
                 part = features([texts[i] for i in at[lo:hi]], automaton)
                 x = np.zeros((len(texts), part.shape[1])) if x is None else x
                 x[at[lo:hi]] = part
         self.weight = logistic(x, labels.astype(float), ridge=0.3)
-        self.words, self.starts = terms.lexicon(np.ones(len(texts), bool))
+        self.words, self.starts = terms.lexicon(np.ones(FOLDS, bool))
         self.automaton = Automaton(self.words, self.starts)
 
     def score(self, texts: list[bytes]) -> np.ndarray:
@@ -265,8 +260,10 @@ class Toxicity:
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, each: int = SAMPLE) -> Toxicity:
-    rows = training_sample(docs, labels, "toxic", each).orderBy(F.xxhash64("doc_id")).toPandas()
-    return Toxicity(as_bytes(rows["text"]), rows["label"].to_numpy(np.int64))
+    rows = training_sample(docs, labels, "toxic", each).orderBy(F.xxhash64("doc_id")).select("text", "label").toArrow()
+    texts, marks = as_bytes(rows["text"].combine_chunks()), rows["label"].to_numpy().astype(np.int64)
+    del rows  # the driver holds the texts once
+    return Toxicity(texts, marks)
 
 
 def score_toxicity(docs: DataFrame, model: Toxicity, keep: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
