@@ -122,3 +122,43 @@ def test_long_texts_that_are_not_alike_move_no_sets(spark, monkeypatch):
     rows.append((60, rows[7][1] + " more"))
     assert run(spark, rows) == brute(rows)
     assert sum(moved) < 10
+
+
+def shuffled(spark):
+    """Bytes that this application has shuffled so far."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty(30_000)
+    executors = sc.statusStore().executorList(True)
+    return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+
+@pytest.mark.parametrize("copies,most", [(6, 1.5), (12, 4.5)])
+def test_near_copies_of_all_texts_move_little(spark, copies, most):
+    """All texts have near copies: on short lists, and on longer ones. Each text goes to one place, whatever its pairs, and pairs of lists are packed."""
+    rng = random.Random(6)
+    rows = []
+    for i in range(720 // copies):
+        t = [f"{rng.randrange(16**6):x}" for _ in range(500)]
+        for k in range(copies):
+            near = list(t)
+            near[rng.randrange(500)] = f"copy{k}"
+            rows.append((len(rows), " ".join(near)))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if there were many more
+    before = shuffled(spark)
+    try:
+        got = run(spark, rows)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    moved = shuffled(spark) - before
+    assert got == [(i, n, i // copies * copies) for i, n, _ in got] and len(got) == len(rows)
+    assert moved < most * sum(len(x) for _, x in rows)
+
+
+def test_classes_with_many_pairs_are_dealt_to_several_places(spark, monkeypatch):
+    """A hub with 900 pairs beside a clique: pairs are dealt once each, the hub goes to several places, and others to one."""
+    monkeypatch.setattr(jaccard, "TOGETHER", 100)
+    star, clique = [(7, i) for i in range(100, 1000)], [(i, j) for i in range(10, 16) for j in range(i + 1, 16)]
+    dealt = [tuple(r) for r in jaccard.places(spark.createDataFrame(star + clique, "a long, b long"), 50).collect()]
+    assert sorted(x[:2] for x in dealt) == sorted(star + clique)
+    of = lambda c: {p for a, b, p in dealt if c in (a, b)}
+    assert len(of(7)) > 3 and all(len(of(c)) == 1 for c in [*range(10, 16), *range(100, 1000)])
