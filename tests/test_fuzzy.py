@@ -83,3 +83,31 @@ def test_sections_with_typos_and_failures(spark):
     assert set(got) == {"1 Scope of it", "2 Duties", "Risk Management"}
     assert got["2 Duties"].startswith("deck crew") and "hazards" not in got["2 Duties"] and got["Risk Management"].startswith("Risk Mangement\nhazards")
     assert sorted(tuple(r) for r in failed.collect()) == [(7, 4, 1, None), (8, 1, 1, "No heading candidates detected in document text"), (9, 2, 2, "Could not locate any section headings in document text")]
+
+
+def test_a_text_moves_twice_at_most(spark):
+    """Once for its windows and once to be cut; lines move no further than names may reach, and contents not at all."""
+    rng = random.Random(9)
+    body = lambda: "x " + " ".join(f"{rng.randrange(16**6):x}" for _ in range(1400))
+    rows = [(i, f"1 One\n{body()}\n2 Two\n{body()}\nAnex of Trms\n{body()}") for i in range(60)]
+    outline = [(i, o, n) for i, _ in rows for o, n in enumerate(["1 One", "2 Two", "Annex of Terms"])]
+    d = spark.createDataFrame(outline, "doc_id long, ord int, name string")
+    known = d.select("doc_id", "ord", "name", T.section_prefix(F.col("name")).alias("prefix"), T.anchor(F.lit(None).cast("string"), F.lit(None).cast("string"), F.col("name")).alias("anchor"))
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def moved():
+        sc = spark.sparkContext._jsc.sc()
+        sc.listenerBus().waitUntilEmpty(30_000)
+        executors = sc.statusStore().executorList(True)
+        return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if there were many more
+    before = moved()
+    try:
+        got = sections.by_boundaries(texts, known)[0].collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    share = (moved() - before) / sum(len(x) for _, x in rows)
+    want = {(i, o): x.split("\n")[1 + 2 * o] if o < 2 else "\n".join(x.split("\n")[4:]) for i, x in rows for o in range(3)}
+    assert {(r.doc_id, r.ord): r.content for r in got} == want
+    assert share < 2.5, share
